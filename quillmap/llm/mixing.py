@@ -72,7 +72,7 @@ def draw_shards(quota: np.ndarray, shard_slots: int, seed: int) -> np.ndarray:
             got, need = got + draw, need - int(draw.sum())
         left -= got
         rows.append(got)
-    return np.array(rows, dtype=np.int64).reshape(-1, len(quota))
+    return np.array(rows, dtype=np.int64).reshape(len(rows), len(quota))
 
 
 def permute(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -204,6 +204,6 @@ def mixed_blocks(docs: DataFrame, **options) -> DataFrame:
     """The output itself: ``shard, slot, source_no, block, text`` with each block's words, documents in stream order."""
     m = Mix(docs, carry=("text",), **options)
     parts = m.parts().drop("times").join(m.placed.where("size > 0").select("source_no", "start", "text"), ["source_no", "start"])
-    words = parts.select("source_no", "block", "start", F.expr(rf"array_join(slice(regexp_extract_all(text, '{WORD}', 0), cast(first + 1 as int), cast(upto - first as int)), ' ')").alias("words"))
+    words = parts.select("source_no", "block", "start", F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), (F.col("first") + 1).cast("int"), (F.col("upto") - F.col("first")).cast("int")), " ").alias("words"))
     texts = words.groupBy("source_no", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "words"))), lambda x: x.words), " ").alias("text"))
     return m.slots.join(texts, ["source_no", "block"]).select("shard", "slot", "source_no", "block", "text")
