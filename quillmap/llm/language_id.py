@@ -68,28 +68,26 @@ class Model:
     def __init__(self, rows: list[tuple[str, int, str, int]]):
         self.langs = sorted({r[0] for r in rows})
         at = {x: k for k, x in enumerate(self.langs)}
-        count: dict[int, dict[str, np.ndarray]] = {k: {} for k in range(LONGEST + 1)}
+        self.rows, self.logs = [{} for _ in range(LONGEST + 1)], []
+        for _, size, item, _ in rows:
+            self.rows[size].setdefault(item, len(self.rows[size]))
+        for known in self.rows:
+            self.logs.append(np.full((len(known), len(self.langs)), 0.3))
         for lang, size, item, n in rows:
-            count[size].setdefault(item, np.zeros(len(self.langs)))[at[lang]] += n
-        self.logs = {}
-        for size, items in count.items():
-            if items:
-                table = np.array(list(items.values())) + 0.3
-                table = np.log(table / table.sum(axis=0))
-                self.logs[size] = dict(zip(items, table.astype(np.float32), strict=True))
-        self.words = self.logs.get(0, {})
-        self.none = np.zeros(len(self.langs), np.float32)
+            self.logs[size][self.rows[size][item], at[lang]] += n
+        self.logs = [np.log(t / t.sum(axis=0)) for t in self.logs]
+        self.none = np.zeros(len(self.langs))
 
     def of(self, word: str) -> np.ndarray:
         """The word's log frequencies, less those of its likeliest language."""
-        v = self.words.get(word)
-        if v is None:
-            v = self.none
+        at = self.rows[0].get(word)
+        v = self.none if at is None else self.logs[0][at]
+        if at is None:
             for n in range(LONGEST, 0, -1):
-                known = self.logs.get(n, {})
+                known = self.rows[n]
                 found = [known[g] for g in grams(word, n) if g in known]
                 if found:
-                    v = np.mean(found, axis=0)
+                    v = self.logs[n][found].mean(axis=0)
                     break
         return v - v.max()
 
