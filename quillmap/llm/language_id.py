@@ -76,25 +76,30 @@ class Model:
         for lang, size, item, n in rows:
             self.logs[size][self.rows[size][item], at[lang]] += n
         self.logs = [np.log(t / t.sum(axis=0)) for t in self.logs]
-        self.none = np.zeros(len(self.langs))
-
-    def of(self, word: str) -> np.ndarray:
-        """The word's log frequencies, less those of its likeliest language."""
-        at = self.rows[0].get(word)
-        v = self.none if at is None else self.logs[0][at]
-        if at is None:
-            for n in range(LONGEST, 0, -1):
-                known = self.rows[n]
-                found = [known[g] for g in grams(word, n) if g in known]
-                if found:
-                    v = self.logs[n][found].mean(axis=0)
-                    break
-        return v - v.max()
+
+    def lists(self) -> list[dict[str, list[float]]]:
+        """The tables as Python lists, which are faster for single words than arrays."""
+        return [dict(zip(rows, logs.tolist(), strict=True)) for rows, logs in zip(self.rows, self.logs, strict=True)]
+
+
+def of(tables: list[dict[str, list[float]]], word: str, langs: int) -> list[float]:
+    """The word's log frequencies; of an unseen word, the mean over its longest n-grams that are known."""
+    v = tables[0].get(word)
+    if v is not None:
+        return v
+    marked, n = f"\x02{word}\x03", LONGEST
+    while n:
+        text, known = marked if n > 1 else word, tables[n]
+        found = [x for k in range(len(text) - n + 1) if (x := known.get(text[k : k + n])) is not None]
+        if found:
+            return [sum(x) / len(found) for x in zip(*found, strict=True)]
+        n -= 1
+    return [0.0] * langs
 
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model, self.at, self.rows = model, {}, np.zeros((1024, len(model.langs)), np.float64)
+        self.model, self.tables, self.at, self.rows = model, model.lists(), {}, np.zeros((1024, len(model.langs)))
 
     def total(self, words: list[str]) -> np.ndarray:
         if len(self.at) > CACHE:
@@ -102,12 +107,14 @@ class Scorer:
         out = np.zeros(len(self.model.langs))
         for k in range(0, len(words), 50_000):
             some = words[k : k + 50_000]
-            for w in set(some) - self.at.keys():
-                i = len(self.at)
-                if i == len(self.rows):
+            new = [w for w in set(some) if w not in self.at]
+            if new:
+                n = len(self.at)
+                while n + len(new) > len(self.rows):
                     self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-                self.rows[i] = self.model.of(w)
-                self.at[w] = i
+                found = np.array([of(self.tables, w, len(out)) for w in new])
+                self.rows[n : n + len(new)] = found - found.max(axis=1, keepdims=True)
+                self.at.update(zip(new, range(n, n + len(new)), strict=True))
             out += self.rows[np.fromiter(map(self.at.__getitem__, some), np.int64, len(some))].sum(axis=0)
         return out
 
