@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -28,10 +29,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmap.llm.runtime import prepare
+from quillmap.llm.runtime import prepare, release
 
 #: White-space pieces, and words, that a worker remembers before it starts anew.
-CACHE = 250_000
+CACHE = 120_000
 _SPLIT = re.compile("[\t-\r \x85\xa0  -     　]+")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -47,6 +48,7 @@ class ForcedBoundaryBpe:
     """An encoder and decoder for a tokenizers file of this kind: byte-level BPE with word-end marks."""
 
     def __init__(self, spec: str, special_as_text: bool = False, cache: int = CACHE):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer, models, pre_tokenizers
 
         spec = json.loads(spec)
@@ -102,8 +104,8 @@ class ForcedBoundaryBpe:
 
     def learn(self, pieces: set[str]) -> None:
         """Encode the white-space pieces not yet known and remember each one's ids and tokens, as text."""
-        if len(self.cache) + len(pieces) > self.most:
-            self.cache.clear()
+        if len(self.cache) + len(pieces) > self.most:  # what this run holds stays, so frequent pieces outlive rare ones
+            self.cache = {p: self.cache[p] for p in pieces if p in self.cache}
         new = [p for p in pieces if p not in self.cache]
         for p in self.special.keys() & set(new):
             self.cache[p] = (str(self.special[p]), p)
@@ -116,10 +118,11 @@ class ForcedBoundaryBpe:
         if self.lower:
             joined = joined.replace("Σ", "σ").lower()
         found = self.words.findall(joined)
-        if len(self.known) > self.most:
-            self.known.clear()
+        words = set(found)
+        if len(self.known) + len(words) > self.most:
+            self.known = {w: self.known[w] for w in words if w in self.known}
         self.known["\n"] = ("\n", "\n")
-        self._learn_words(list(set(found) - self.known.keys()))
+        self._learn_words([w for w in words if w not in self.known])
         got = [self.known[w] for w in found]
         ids, tokens = (" ".join([x[k] for x in got]).split(" \n ") for k in (0, 1))
         self.cache.update(zip(new, zip(ids, tokens, strict=True), strict=True))
@@ -149,6 +152,11 @@ class ForcedBoundaryBpe:
         text = raw.decode("latin-1")
         return text[:-1].translate(self.plain) + self.ending[raw[-1]] if ends else text.translate(self.plain)
 
+    def forget(self) -> None:
+        """Free what has been learnt; workers outlive their tasks, and other operators need the memory."""
+        self.cache, self.known = {}, {}
+        release()
+
     def numbers(self, pieces: list[str]) -> np.ndarray:
         """The ids of learnt pieces."""
         text = " ".join([self.cache[p][0] for p in pieces])
@@ -180,7 +188,7 @@ def vocabulary(path: str) -> str:
         return f.read()
 
 
-def text_runs(texts: list[str | None], chars: int = 2_000_000) -> Iterator[list[str]]:
+def text_runs(texts: list[str | None], chars: int = 1_500_000) -> Iterator[list[str]]:
     """The texts in runs of about ``chars`` characters, so that what is learnt at once stays bounded."""
     run, n = [], 0
     for t in texts:
@@ -213,6 +221,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                     a.append(hashlib.sha256(ids.encode()).hexdigest())
                     d.append(hashlib.sha256(" ".join([x[1] for x in got]).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.forget()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -237,6 +246,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             values = np.concatenate(out) if out else np.zeros(0, np.int32)
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at), pa.int64()), lists], names=["doc_id", "n_tokens", "ids"])
+        bpe.forget()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")

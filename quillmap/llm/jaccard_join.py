@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmap.llm.runtime import narrow, prepare
+from quillmap.llm.runtime import narrow, prepare, release
 from quillmap.llm.shingles import many_ngrams, mixed
 from quillmap.plans.components import components
 from quillmap.plans.storage import keep
@@ -95,6 +95,7 @@ def _sketches(words: int, bands: int, rows: int):
             offsets = np.concatenate([[0], np.cumsum(has * bands)]).astype(np.int32)
             keys = [_key(s.tobytes()) for s in sets]
             yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["doc_id", "set_key", "n_grams", "bands"])
+        release()
 
     return run
 
@@ -104,6 +105,7 @@ def _sets(words: int):
         for b in batches:
             grams = [np.unique(g).tobytes() for g in many_ngrams(b.column(0).to_pylist(), words)]
             yield pa.RecordBatch.from_arrays([pa.array(map(_key, grams), pa.binary()), pa.array(grams, pa.binary())], names=["rep", "grams"])
+        release()
 
     return run
 
@@ -193,6 +195,7 @@ def _verified(threshold: float):
         if rows:
             out += group(now, rows)
         yield batch()
+        release()
 
     return run
 

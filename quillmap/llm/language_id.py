@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmap.llm.runtime import id_crc, prepare
+from quillmap.llm.runtime import id_crc, prepare, release
 
 #: Bounds of the fit.
 TRAIN_DOCS = 6_000
@@ -156,6 +156,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             found = [scorer.predict(t) for t in b.column(b.num_columns - 1).to_pylist()]
             cols = [*b.columns[:-1], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+        del scorer
+        release()
 
     return rows.mapInArrow(run, schema)
 

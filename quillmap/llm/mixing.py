@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmap.llm.runtime import WORD, prepare
+from quillmap.llm.runtime import WORD, prepare, release
 from quillmap.plans.storage import keep
 
 #: Words in a block, slots in an output shard, rows in a bucket, passes that a source may give at most.
@@ -186,6 +186,7 @@ def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for name, v in (("doc_id", r["doc_id"]), ("text", text), ("lang", r["lang"]), ("source", r["source"]), ("n_chars", len(text))):
                     out[name].append(v)
         yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["text"], pa.string()), pa.array(out["lang"], pa.string()), pa.array(out["source"], pa.string()), pa.array(out["n_chars"], pa.int64())], names=list(out))
+    release()
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmap.llm.runtime import id_crc, prepare
+from quillmap.llm.runtime import id_crc, prepare, release
 
 PASSAGE_WORDS = 100
 TRAIN_DOCS = 2_000
@@ -172,6 +172,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for b in batches:
             s = shared.value.score([passages(t).astype(np.float64) for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
+        release()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double")
@@ -198,5 +199,6 @@ def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         for b in batches:
             s = shared.value.score([passages(t).astype(np.float64) for t in b.column(text_col).to_pylist()])
             yield b.filter(pa.array(s >= CUT))
+        release()
 
     return docs.mapInArrow(run, schema)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +15,7 @@ from quillmap.session import workers_see_package
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows in an Arrow batch; with whole texts the usual 10,000 would be too many for a worker.
-BATCH_ROWS = "1000"
+BATCH_ROWS = "500"
 
 
 def prepare(spark: SparkSession) -> None:
@@ -28,3 +32,12 @@ def narrow(df: DataFrame, id_col: str, *cols: str) -> DataFrame:
 def id_crc(doc_id: Column) -> Column:
     """crc32 of the id as text; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary"))
+
+
+def release() -> None:
+    """Give a worker's freed memory back to the system, at the end of a task; workers live on."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

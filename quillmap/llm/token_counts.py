@@ -60,6 +60,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, id_col:
                 bpe.learn(set().union(*pieces))
                 out += [head(next(ids)).tobytes() + bpe.numbers(p).astype(">u2").tobytes() for p in pieces]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+        bpe.forget()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
