@@ -8,6 +8,7 @@ polygon to be straight, ``flatten`` comes first.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,13 +18,18 @@ def point(x: Column, y: Column, bulge: Column | None = None) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), (F.lit(None) if bulge is None else bulge).cast("double").alias("bulge"))
 
 
+def named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _next(poly: Column, i: Column) -> Column:
     return F.get(poly, F.pmod(i + 1, F.size(poly)))
 
 
 def edges(poly: Column) -> Column:
     """``ARRAY<STRUCT<a, b>>``: every edge with its two ends."""
-    return F.transform(poly, lambda p, i: F.struct(p.alias("a"), _next(poly, i).alias("b")))
+    return named(poly, lambda v: F.transform(v, lambda p, i: F.struct(p.alias("a"), _next(v, i).alias("b"))))
 
 
 def arc(a: Column, b: Column) -> Column:
@@ -55,8 +61,12 @@ def flatten(poly: Column, most: float = math.pi / 12) -> Column:
 
 def bbox(poly: Column) -> Column:
     """``STRUCT<x, y, width, height>`` of a straight polygon."""
-    xs, ys = F.transform(poly, lambda p: p.x), F.transform(poly, lambda p: p.y)
-    return F.struct(F.array_min(xs).alias("x"), F.array_min(ys).alias("y"), (F.array_max(xs) - F.array_min(xs)).alias("width"), (F.array_max(ys) - F.array_min(ys)).alias("height"))
+
+    def around(v: Column) -> Column:
+        x, y = F.array_min(v.xs), F.array_min(v.ys)
+        return F.struct(x.alias("x"), y.alias("y"), (F.array_max(v.xs) - x).alias("width"), (F.array_max(v.ys) - y).alias("height"))
+
+    return named(F.struct(F.transform(poly, lambda p: p.x).alias("xs"), F.transform(poly, lambda p: p.y).alias("ys")), around)
 
 
 def _sum(items: Column) -> Column:

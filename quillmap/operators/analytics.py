@@ -9,9 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def upper_median(v: Column) -> Column:
-    """The element at ``n div 2`` of the sorted group, so the upper of two middle values."""
-    return F.element_at(F.array_sort(F.collect_list(v)), (F.floor(F.count(v) / 2) + 1).cast("int"))
+def upper_median(v: str) -> Column:
+    """The element at ``n div 2`` of the sorted group, so the upper of two middle values; partial counts per value."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {v} DESC)")
 
 
 def reached(v: Column, limits: tuple[float, ...], name: str) -> list[Column]:
@@ -51,3 +51,35 @@ def runs(df: DataFrame, group: str, order: str, gap: Column, into: str = "run")
 
 def degrees(a: Column) -> Column:
     return a * (180 / math.pi)
+
+
+def least_gap(df: DataFrame, group: str, value: str) -> DataFrame:
+    """``group, pitch``: the smallest gap between neighbouring different values; null for a group of one value."""
+    w = W.partitionBy(group).orderBy(value)
+    steps = df.select(group, value).distinct().withColumn("gap", F.col(value) - F.lag(value).over(w))
+    return steps.groupBy(group).agg(F.min("gap").alias("pitch"))
+
+
+def frame(df: DataFrame, group: str, by: float = 20.0) -> DataFrame:
+    """``group, x, y, width, height``: the box of all points ``x, y`` of a group, grown by ``by``."""
+    b = df.groupBy(group).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+    return b.select(group, (F.col("x0") - by).alias("x"), (F.col("y0") - by).alias("y"), (F.col("x1") - F.col("x0") + 2 * by).alias("width"), (F.col("y1") - F.col("y0") + 2 * by).alias("height"))
+
+
+def mean_line(df: DataFrame, group: str, angle: str, offset: str, weight: str) -> DataFrame:
+    """``group, nx, ny, offset``: the weighted mean of the normals (length 1) and offsets of a group's lines."""
+    w = F.col(weight)
+    s = df.groupBy(group).agg(F.sum(w * F.cos(angle)).alias("c"), F.sum(w * F.sin(angle)).alias("s"), F.sum(w * F.col(offset)).alias("o"), F.sum(w).alias("w"))
+    n = F.hypot("c", "s")
+    return s.select(group, (F.col("c") / n).alias("nx"), (F.col("s") / n).alias("ny"), (F.col("o") / F.col("w")).alias("offset"))
+
+
+def parity(df: DataFrame, group: str, iou: str) -> DataFrame:
+    """Per group the rows, those missing (null), those at or above 0.95, 0.9 and 0.8, and the upper median."""
+    v = F.col(iou)
+    return df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count_if(v.isNull()).alias("missing"), *reached(v, (0.95, 0.9, 0.8), "iou"), upper_median(iou).alias("middle"))
+
+
+def worst(df: DataFrame, iou: str, order: str, below: float = 0.8) -> DataFrame:
+    """Rows without a score, then those below the limit from the lowest."""
+    return df.where(F.col(iou).isNull() | (F.col(iou) < below)).orderBy(F.asc_nulls_first(iou), order)

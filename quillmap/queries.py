@@ -422,7 +422,7 @@ def threshold_counts(spark, d):
 
 @query("SELECT c_mktsegment, list_sort(list(c_acctbal))[(count(c_acctbal) // 2 + 1)::INT] AS upper_median, count(*) AS n, count_if(c_acctbal < 0) AS below FROM customer GROUP BY c_mktsegment")
 def upper_median(spark, d):
-    return table(spark, d, "customer").groupBy("c_mktsegment").agg(analytics.upper_median(F.col("c_acctbal")).alias("upper_median"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("c_acctbal") < 0).alias("below"))
+    return table(spark, d, "customer").groupBy("c_mktsegment").agg(analytics.upper_median("c_acctbal").alias("upper_median"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("c_acctbal") < 0).alias("below"))
 
 
 @query("SELECT l_returnflag, round(atan2(sum(l_quantity * sin(l_discount * 4)), sum(l_quantity * cos(l_discount * 4))) / 4, 8) AS direction FROM lineitem GROUP BY l_returnflag")
