@@ -41,6 +41,40 @@ def greedy_pairs(pairs: DataFrame, left: str, right: str, **order: Column) -> Da
     return reduce(DataFrame.unionByName, rounds).select(F.col("l").alias(left), F.col("r").alias(right), *[F.col(f"k.{n}").alias(n) for n in order])
 
 
+def pair_up(pairs: DataFrame, a: str, b: str, **order: Column) -> DataFrame:
+    """As ``greedy_pairs`` where both ends are rows of one table, each in one pair at most: leaves of double doors."""
+    key = F.struct(*[c.alias(n) for n, c in order.items()], F.col(a).alias("__a"), F.col(b).alias("__b"))
+    rest = keep(pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.col(a).alias("a"), F.col(b).alias("b"), key.alias("k")), "pairs")
+    rounds = []
+    while True:
+        ends = rest.select(F.col("a").alias("end"), "k").unionByName(rest.select(F.col("b").alias("end"), "k"))
+        both = ends.groupBy("end").agg(F.min("k").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n = 2")
+        taken = keep(both.select(F.col("k.__a").alias("a"), F.col("k.__b").alias("b")), "taken")
+        rounds.append(taken)
+        if taken.limit(1).count() == 0:
+            break
+        gone = taken.select(F.explode(F.array("a", "b")).alias("end"))
+        rest = keep(rest.join(gone, rest.a == gone.end, "left_anti").join(gone, rest.b == gone.end, "left_anti"), "pairs")
+    return reduce(DataFrame.unionByName, rounds).select(F.col("a").alias(a), F.col("b").alias(b))
+
+
+def snapped(points: DataFrame, shapes: DataFrame, key: str, point_id: str) -> DataFrame:
+    """``points`` (``key, x, y``) with the nearest place ``on_x, on_y`` on the edge of the shape (``poly``) of their key, and its ``distance``."""
+
+    def foot(e: Column) -> Column:
+        dx, dy = e.b.x - e.a.x, e.b.y - e.a.y
+        n = dx * dx + dy * dy
+        t = F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - e.a.x) * dx + (F.col("y") - e.a.y) * dy) / n))).otherwise(F.lit(0.0))
+        return F.struct((e.a.x + t * dx).alias("on_x"), (e.a.y + t * dy).alias("on_y"))
+
+    def ranked(f: Column) -> Column:
+        return F.struct(F.hypot(F.col("x") - f.on_x, F.col("y") - f.on_y).alias("distance"), f.on_x.alias("on_x"), f.on_y.alias("on_y"))
+
+    best = F.array_min(F.transform(F.transform(G.edges(F.col("poly")), foot), ranked))
+    found = points.join(shapes.select(key, "poly"), key, "left").withColumn("__m", best)
+    return found.select(points["*"], *[F.col(f"__m.{c}").alias(c) for c in ("on_x", "on_y", "distance")])
+
+
 def zip_rest(left: DataFrame, right: DataFrame, matched: DataFrame, group: str, left_id: str, right_id: str, left_order: Column, right_order: Column) -> DataFrame:
     """``left_id, right_id``: the match, and the unmatched rows of both sides of a group paired by their order.
 

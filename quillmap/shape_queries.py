@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmap.functions import geometry as G
-from quillmap.functions import markdown, naming, shapes
+from quillmap.functions import directory, markdown, naming, shapes
 from quillmap.operators import analytics, matching
 from quillmap.plans.components import components
 from quillmap.queries import _CORNERS, _POINTS, _points, _polygons, query
@@ -286,3 +286,45 @@ def markdown_html(spark, d):
     source = F.concat(F.lit("## "), F.col("role"), F.lit("\n\n- turn **"), F.col("turn").cast("string"), F.lit("**\n  goes on\n---\nby `a < *b*`\nand *"), F.col("role"), F.lit("*\n"))
     rows = table(spark, d, "conversations").where("role is not null and turn is not null")
     return rows.select("conv_id", "turn", markdown.rendered(source).alias("m")).select("conv_id", "turn", "m.title", "m.html")
+
+
+# directory pages and annotations
+
+
+@query("SELECT (100 + c_custkey % 800)::VARCHAR AS room, string_agg(initcap_ || ' N' || c_custkey, ',' ORDER BY c_custkey) AS names FROM (SELECT *, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS initcap_ FROM customer) GROUP BY ALL")
+def directory_rooms(spark, d):
+    k = F.col("c_custkey").cast("string")
+    room = (100 + F.col("c_custkey") % 800).cast("string")
+    html = F.concat(F.lit('<div><h3><a href="/x/People/p'), k, F.lit('">N'), k, F.lit(", "), F.initcap("c_mktsegment"), F.lit("</a></h3>\n<p><strong>Professor</strong><br/> Tower Building, Room "), room, F.lit(" &amp; 555<br><strong>Email</strong> 999 Tower</p></div>"))
+    found = directory.entries(table(spark, d, "customer").select("c_custkey", html.alias("html")), "c_custkey", "html", "/People/", "Tower")
+    return directory.people_of_rooms(found, "c_custkey").select("room", F.array_join("names", ",").alias("names"))
+
+
+@query(
+    """WITH l AS (SELECT l_orderkey, l_linenumber, l_linenumber * 10 + l_quantity % 7 AS down FROM lineitem), g AS (SELECT *, CASE WHEN down - lag(down) OVER w > 11 THEN 1 ELSE 0 END AS cut FROM l WINDOW w AS (PARTITION BY l_orderkey ORDER BY down, l_linenumber)),
+       b AS (SELECT *, sum(cut) OVER (PARTITION BY l_orderkey ORDER BY down, l_linenumber ROWS UNBOUNDED PRECEDING) AS block FROM g), t AS (SELECT l_orderkey, block, string_agg(l_linenumber::VARCHAR, ' ' ORDER BY down, l_linenumber) AS text FROM b GROUP BY ALL)
+       SELECT l_orderkey, string_agg(text, '|' ORDER BY block) AS blocks FROM t GROUP BY l_orderkey"""
+)
+def stacked_lines(spark, d):
+    n = F.col("l_linenumber")
+    line = F.struct((n * 10 + F.col("l_quantity") % 7).alias("down"), F.lit(0.0).alias("a0"), F.lit(9.0).alias("a1"), F.lit(10.0).alias("size"), n.cast("string").alias("text"))
+    rooms = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(line).alias("lines"))
+    return rooms.select("l_orderkey", F.array_join(F.transform(directory.stacked(F.col("lines"), 1.1), lambda b: F.array_join(b, " ")), "|").alias("blocks"))
+
+
+@query("SELECT c_custkey, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || ' Stone;Max Byrd' AS names, '31' || (c_custkey % 90 + 10) || ';Scholars' AS dropped FROM customer")
+def annotation_names(spark, d):
+    lines = F.array(F.concat(F.lit("Staff "), F.initcap("c_mktsegment"), F.lit(" Stone (away) & Max")), F.lit("Byrd,"), F.concat(F.lit("31"), (F.col("c_custkey") % 90 + 10).cast("string")), F.lit("; Scholars"))
+    found = table(spark, d, "customer").select("c_custkey", directory.names_in(lines, frozenset({"staff", "scholars"})).alias("f"))
+    return found.select("c_custkey", F.array_join("f.names", ";").alias("names"), F.array_join("f.dropped", ";").alias("dropped"))
+
+
+@query(
+    f"""WITH {_RECTS} SELECT k, least(greatest(px, x), x + w) AS on_x, y + h AS on_y, sqrt((px - least(greatest(px, x), x + w)) ** 2 + 4) AS distance
+        FROM (SELECT *, x + k % 20 AS px FROM b)"""
+)
+def snapped_doors(spark, d):
+    r = _rects(spark, d)
+    doors = r.select("k", (F.col("x") + F.col("k") % 20).alias("x"), (F.col("y") + F.col("h") + 2).alias("y"))
+    rooms = r.select("k", _rect(F.col("x"), F.col("y"), F.col("w"), F.col("h")).alias("poly"))
+    return matching.snapped(doors, rooms, "k", "k").select("k", "on_x", "on_y", "distance")

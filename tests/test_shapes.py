@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmap.functions import geometry as G
-from quillmap.functions import markdown, naming, shapes
+from quillmap.functions import directory, markdown, naming, shapes
 from quillmap.operators import analytics, matching
 
 
@@ -127,3 +127,48 @@ def test_gap_and_worst(spark):
     assert {r.g: r.pitch for r in analytics.least_gap(df, "g", "v").collect()} == {"a": 2.0, "b": None}
     scores = spark.createDataFrame([(1, 0.7), (2, None), (3, 0.9), (4, 0.1)], "k long, iou double")
     assert [r.k for r in analytics.worst(scores, "iou", "k").collect()] == [2, 4, 1]
+
+
+def test_pair_up(spark):
+    r = random.Random(5)
+    pairs = sorted({(a, b) for a, b in ((r.randrange(30), r.randrange(30)) for _ in range(60)) if a < b})
+    used, want = set(), []
+    for a, b in pairs:
+        if not {a, b} & used:
+            used |= {a, b}
+            want.append((a, b))
+    got = matching.pair_up(spark.createDataFrame(pairs, "a long, b long"), "a", "b", first=F.col("a"), second=F.col("b")).collect()
+    assert sorted(map(tuple, got)) == want
+
+
+ROLES = frozenset({"dean", "staff", "lab"})
+
+
+@pytest.mark.parametrize(
+    ("lines", "names", "dropped"),
+    [
+        (["Ada Byrd", "Max Stone"], ["Ada Byrd", "Max Stone"], []),
+        (["Ada", "Byrd", "and Max", "de Stone"], ["Ada Byrd", "Max de Stone"], []),
+        (["Staff Ada Byrd", "Dean", "Byrd"], ["Ada Byrd Byrd"], ["Dean"]),
+        (["Stone", "Lab"], [], ["Lab", "Stone"]),
+        (["CS Lab"], [], ["CS Lab"]),
+        (["Room 3123A / Ada O’Neil [a", "b]"], ["Ada O'Neil"], ["Room 3123A"]),
+        ([], [], []),
+    ],
+)
+def test_names_in(spark, lines, names, dropped):
+    got = value(spark, directory.names_in(F.lit(lines) if lines else F.array().cast("array<string>"), ROLES))
+    assert (got.names, got.dropped) == (names, dropped)
+
+
+def test_stacked_keeps_several_blocks_open(spark):
+    rows = [(0.0, 0.0, 9.0, 5.0, "a1"), (0.0, 50.0, 59.0, 5.0, "b1"), (6.0, 1.0, 8.0, 5.0, "a2"), (6.0, 51.0, 58.0, 5.0, "b2"), (30.0, 0.0, 9.0, 5.0, "c1")]
+    df = spark.createDataFrame([(rows,)], "l array<struct<down:double,a0:double,a1:double,size:double,text:string>>")
+    assert df.select(directory.stacked(F.col("l"), 1.5).alias("v")).collect()[0].v == [["a1", "a2"], ["b1", "b2"], ["c1"]]
+
+
+def test_directory_without_entries(spark):
+    empty = directory.entries(spark.createDataFrame([(1, "<p>none</p>")], "id long, html string"), "id", "html", "/p/", "Tower")
+    with pytest.raises(ValueError, match="layout"):
+        directory.people_of_rooms(empty, "id")
+    assert value(spark, directory.building_room(F.lit("b412 tower, phone"), "Tower")) == "B412"
