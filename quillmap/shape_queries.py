@@ -302,7 +302,7 @@ def directory_rooms(spark, d):
 
 @query(
     """WITH l AS (SELECT l_orderkey, l_linenumber, l_linenumber * 10 + l_quantity % 7 AS down FROM lineitem), g AS (SELECT *, CASE WHEN down - lag(down) OVER w > 11 THEN 1 ELSE 0 END AS cut FROM l WINDOW w AS (PARTITION BY l_orderkey ORDER BY down, l_linenumber)),
-       b AS (SELECT *, sum(cut) OVER (PARTITION BY l_orderkey ORDER BY down, l_linenumber ROWS UNBOUNDED PRECEDING) AS block FROM g), t AS (SELECT l_orderkey, block, string_agg(l_linenumber::VARCHAR, ' ' ORDER BY down, l_linenumber) AS text FROM b GROUP BY ALL)
+       b AS (SELECT *, sum(cut) OVER (PARTITION BY l_orderkey ORDER BY down, l_linenumber) AS block FROM g), t AS (SELECT l_orderkey, block, string_agg(l_linenumber::VARCHAR, ' ' ORDER BY down, l_linenumber) AS text FROM b GROUP BY ALL)
        SELECT l_orderkey, string_agg(text, '|' ORDER BY block) AS blocks FROM t GROUP BY l_orderkey"""
 )
 def stacked_lines(spark, d):
