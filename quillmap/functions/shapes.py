@@ -46,20 +46,25 @@ def least_rectangle(poly: Column) -> Column:
     Null for a polygon whose edges all have no length.
     """
 
-    def along(e: Column) -> Column:
-        n = F.hypot(e.b.x - e.a.x, e.b.y - e.a.y)
-        ux, uy = (e.b.x - e.a.x) / n, (e.b.y - e.a.y) / n
 
-        def span(vx: Column, vy: Column) -> tuple[Column, Column]:
-            v = F.transform(poly, lambda p: p.x * vx + p.y * vy)
-            return F.array_min(v), F.array_max(v)
-
-        (a0, a1), (b0, b1) = span(ux, uy), span(-uy, ux)
-        a, b, ma, mb = a1 - a0, b1 - b0, (a0 + a1) / 2, (b0 + b1) / 2
+    def rectangle(s: Column) -> Column:
+        a, b, ma, mb = s.a1 - s.a0, s.b1 - s.b0, (s.a0 + s.a1) / 2, (s.b0 + s.b1) / 2
         long = a >= b
-        return F.when(n >= 1e-6, F.struct((a * b).alias("area"), (ux * ma - uy * mb).alias("x"), (uy * ma + ux * mb).alias("y"), F.when(long, ux).otherwise(-uy).alias("ux"), F.when(long, uy).otherwise(ux).alias("uy"), F.greatest(a, b).alias("length"), F.least(a, b).alias("width")))
+        return F.struct((a * b).alias("area"), (s.ux * ma - s.uy * mb).alias("x"), (s.uy * ma + s.ux * mb).alias("y"), F.when(long, s.ux).otherwise(-s.uy).alias("ux"), F.when(long, s.uy).otherwise(s.ux).alias("uy"), F.greatest(a, b).alias("length"), F.least(a, b).alias("width"))
+
+    def best(v: Column) -> Column:
+        def direction(e: Column) -> Column:
+            n = F.hypot(e.b.x - e.a.x, e.b.y - e.a.y)
+            return F.when(n >= 1e-6, F.struct(((e.b.x - e.a.x) / n).alias("ux"), ((e.b.y - e.a.y) / n).alias("uy")))
+
+        def spans(u: Column) -> Column:
+            a, b = F.transform(v, lambda p: p.x * u.ux + p.y * u.uy), F.transform(v, lambda p: p.y * u.ux - p.x * u.uy)
+            return F.struct(u.ux.alias("ux"), u.uy.alias("uy"), F.array_min(a).alias("a0"), F.array_max(a).alias("a1"), F.array_min(b).alias("b0"), F.array_max(b).alias("b1"))
+
+        directions = F.array_compact(F.transform(G.edges(v), direction))
+        return F.array_min(F.transform(F.transform(directions, spans), rectangle))
 
-    return F.array_min(F.array_compact(F.transform(G.edges(poly), along)))
+    return G.named(poly, best)
 
 
 def without_straight_corners(poly: Column, slack: float) -> Column:
