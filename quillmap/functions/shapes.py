@@ -14,21 +14,50 @@ def _side(e: Column, p: Column) -> Column:
     return (e.b.x - e.a.x) * (p.y - e.a.y) - (e.b.y - e.a.y) * (p.x - e.a.x)
 
 
+def _cut(shape: Column, edge: Column) -> Column:
+    """The part of ``shape`` on the inner side of the line through ``edge``."""
+    sides = F.transform(G.edges(shape), lambda e: F.struct(e.a.alias("a"), e.b.alias("b"), _side(edge, e.a).alias("d"), _side(edge, e.b).alias("n")))
+
+    def piece(e: Column) -> Column:
+        t = e.d / (e.d - e.n)
+        meet = G.point(e.a.x + (e.b.x - e.a.x) * t, e.a.y + (e.b.y - e.a.y) * t)
+        return F.array_compact(F.array(F.when(e.d >= 0, e.a), F.when((e.d >= 0) != (e.n >= 0), meet)))
+
+    return F.flatten(F.transform(sides, piece))
+
+
+def _turned(poly: Column) -> Column:
+    return F.when(G.doubled_area(poly) < 0, F.reverse(poly)).otherwise(poly)
+
+
+def _straight(poly: Column) -> Column:
+    return F.transform(poly, lambda p: G.point(p.x, p.y))
+
+
 def clip_convex(poly: Column, clip: Column) -> Column:
     """The part of ``poly`` inside the convex polygon ``clip``, cut edge by edge; empty where they are apart. Both straight."""
+    return F.reduce(G.edges(_turned(clip)), _straight(poly), _cut)
+
 
-    def cut(shape: Column, edge: Column) -> Column:
-        sides = F.transform(G.edges(shape), lambda e: F.struct(e.a.alias("a"), e.b.alias("b"), _side(edge, e.a).alias("d"), _side(edge, e.b).alias("n")))
+def inset_convex(poly: Column, by: float) -> Column:
+    """A convex straight polygon with every edge moved inward by ``by``; empty where nothing is left."""
 
-        def piece(e: Column) -> Column:
-            t = e.d / (e.d - e.n)
-            meet = G.point(e.a.x + (e.b.x - e.a.x) * t, e.a.y + (e.b.y - e.a.y) * t)
-            return F.array_compact(F.array(F.when(e.d >= 0, e.a), F.when((e.d >= 0) != (e.n >= 0), meet)))
+    def inward(e: Column) -> Column:
+        dx, dy = e.b.x - e.a.x, e.b.y - e.a.y
+        n = F.hypot(dx, dy)
+        sx, sy = -dy / n * by, dx / n * by
+        return F.when(n > 0, F.struct(G.point(e.a.x + sx, e.a.y + sy).alias("a"), G.point(e.b.x + sx, e.b.y + sy).alias("b")))
 
-        return F.flatten(F.transform(sides, piece))
+    return F.reduce(F.array_compact(F.transform(G.edges(_turned(poly)), inward)), _straight(poly), _cut)
 
-    turned = F.when(G.doubled_area(clip) < 0, F.reverse(clip)).otherwise(clip)
-    return F.reduce(G.edges(turned), F.transform(poly, lambda p: G.point(p.x, p.y)), cut)
+
+def hausdorff(a: Column, b: Column) -> Column:
+    """The largest distance from a vertex of one straight polygon to the edges of the other, both ways."""
+
+    def far(one: Column, other: Column) -> Column:
+        return F.array_max(F.transform(one, lambda p: G.edge_distance(other, p.x, p.y)))
+
+    return F.greatest(far(a, b), far(b, a))
 
 
 def convex_iou(a: Column, b: Column) -> Column:
@@ -116,3 +145,79 @@ def union_box() -> Column:
     b = F.col("box")
     x, y = F.min(b.x), F.min(b.y)
     return F.struct(x.alias("x"), y.alias("y"), (F.max(b.x + b.width) - x).alias("width"), (F.max(b.y + b.height) - y).alias("height"))
+
+
+def panned(view: Column, box: Column, margin: float = 40.0) -> Column:
+    """The view moved as little as shows ``box`` with a margin; a side too long for the view is centred."""
+
+    def side(at: str, size: str) -> Column:
+        low, length = box[at] - margin, box[size] + 2 * margin
+        return F.when(length >= view[size], low + (length - view[size]) / 2).otherwise(F.least(F.greatest(view[at], low + length - view[size]), low))
+
+    return F.struct(side("x", "width").alias("x"), side("y", "height").alias("y"), view.width.alias("width"), view.height.alias("height"))
+
+
+def bulge_through(a: Column, m: Column, b: Column) -> Column:
+    """The bulge of the arc from ``a`` over ``m`` to ``b``: 0 where they are in line, null where the way turns back at ``m``.
+
+    The way's turn at ``m`` is half of what the arc sweeps, and so the bulge is the tangent of half that turn.
+    """
+    ux, uy, vx, vy = m.x - a.x, m.y - a.y, b.x - m.x, b.y - m.y
+    whole = F.hypot(ux, uy) * F.hypot(vx, vy) + ux * vx + uy * vy
+    return F.when(whole > 1e-12, (uy * vx - ux * vy) / whole)
+
+
+def circle_of(points: Column) -> Column:
+    """``STRUCT<cx, cy, r, off>`` of the least-squares circle of a point list, ``off`` the largest miss; null for points in line."""
+
+    def total(v: Column, f) -> Column:
+        return F.reduce(v, F.lit(0.0), lambda s, p: s + f(p))
+
+    def about(v: Column) -> Column:
+        n = F.nullif(F.size(v), F.lit(0))
+        return F.struct((total(v, lambda p: p.x) / n).alias("x"), (total(v, lambda p: p.y) / n).alias("y"))
+
+    def powers(v: Column, c: Column) -> Column:
+        def power(i: int, j: int) -> Column:
+            return total(v, lambda p: F.pow(p.x - c.x, F.lit(i)) * F.pow(p.y - c.y, F.lit(j)))
+
+        kinds = {"uu": (2, 0), "vv": (0, 2), "uv": (1, 1), "uuu": (3, 0), "vvv": (0, 3), "uvv": (1, 2), "uuv": (2, 1)}
+        return F.struct(c.x.alias("x"), c.y.alias("y"), *[power(*ij).alias(k) for k, ij in kinds.items()])
+
+    def solved(s: Column, n: Column) -> Column:
+        det = s.uu * s.vv - s.uv * s.uv
+        p, q = (s.uuu + s.uvv) / 2, (s.vvv + s.uuv) / 2
+        u, v = (p * s.vv - q * s.uv) / det, (q * s.uu - p * s.uv) / det
+        flat = det <= 1e-9 * (s.uu + s.vv) * (s.uu + s.vv)
+        return F.when(~flat, F.struct((s.x + u).alias("cx"), (s.y + v).alias("cy"), F.sqrt(u * u + v * v + (s.uu + s.vv) / n).alias("r")))
+
+    def measured(v: Column, c: Column) -> Column:
+        off = F.array_max(F.transform(v, lambda p: F.abs(F.hypot(p.x - c.cx, p.y - c.cy) - c.r)))
+        return F.when(c.isNotNull(), F.struct(c.cx.alias("cx"), c.cy.alias("cy"), c.r.alias("r"), off.alias("off")))
+
+    def fit(v: Column) -> Column:
+        return G.named(G.named(G.named(about(v), lambda c: powers(v, c)), lambda s: solved(s, F.size(v))), lambda c: measured(v, c))
+
+    return G.named(points, fit)
+
+
+def gentle(chain: Column, scale: float = 1.0, least: float = 10.0, most_turn: float = 35.0, radii: tuple[float, float] = (7.0, 24.0), slack: float = 0.6) -> Column:
+    """Whether an open chain of at least four points is long enough and turns gently, and is not an arc of a radius in ``radii``."""
+
+    def step(i: Column) -> Column:
+        p, q = F.get(chain, i), F.get(chain, i + 1)
+        return F.struct((q.x - p.x).alias("x"), (q.y - p.y).alias("y"), F.hypot(q.x - p.x, q.y - p.y).alias("n"))
+
+    def bend(u: Column, v: Column) -> Column:
+        return F.when((u.n >= 1e-6) & (v.n >= 1e-6), F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (u.x * v.x + u.y * v.y) / (u.n * v.n))))))
+
+    def judged(s: Column) -> Column:
+        turns = F.transform(F.sequence(F.lit(0), F.size(s) - 2), lambda i: bend(F.get(s, i), F.get(s, i + 1)))
+        first, last = F.get(chain, F.lit(0)), F.element_at(chain, -1)
+        open_ = F.hypot(first.x - last.x, first.y - last.y) >= 2 * scale
+        length = F.reduce(s, F.lit(0.0), lambda t, x: t + x.n)
+        round_ = G.named(circle_of(chain), lambda c: F.coalesce((c.r >= radii[0] * scale) & (c.r <= radii[1] * scale) & (c.off <= slack * scale), F.lit(False)))
+        return open_ & (length >= least * scale) & (F.coalesce(F.array_max(turns), F.lit(0.0)) <= most_turn) & ~round_
+
+    steps = F.transform(F.sequence(F.lit(0), F.size(chain) - 2), step)
+    return F.when(F.size(chain) < 4, F.lit(False)).otherwise(G.named(steps, judged))

@@ -50,3 +50,17 @@ def write_ordered(df: DataFrame, path: str, *order: str, by: str | None = None)
     """JSON lines in order, in one folder per value of ``by`` if it is given."""
     w = df.orderBy(*order).write
     (w.partitionBy(by) if by else w).json(path)
+
+
+def patch_problems(lines: Column, doors: Column, guides: Column) -> Column:
+    """What is wrong with a patch: lines of fewer than four values, doors of fewer than two, guides of other than three points.
+
+    Lists are arrays of arrays, guides a map of names to arrays of points; null lists are empty.
+    """
+
+    def short(items: Column, least: int, what: str) -> Column:
+        places = F.transform(items, lambda v, i: F.when(F.coalesce(F.size(v), F.lit(0)) < least, F.concat(F.lit(f"{what} "), (i + 1).cast("string"), F.lit(f" needs {least} values"))))
+        return F.coalesce(F.array_compact(places), F.array().cast("array<string>"))
+
+    odd = F.transform(F.filter(F.map_entries(guides), lambda g: F.coalesce(F.size(g.value), F.lit(0)) != 3), lambda g: F.concat(F.lit("guide "), g.key, F.lit(" needs 3 points")))
+    return F.concat(short(lines, 4, "line"), short(doors, 2, "door"), F.coalesce(odd, F.array().cast("array<string>")))
