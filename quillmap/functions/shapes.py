@@ -221,3 +221,34 @@ def gentle(chain: Column, scale: float = 1.0, least: float = 10.0, most_turn: fl
 
     steps = F.transform(F.sequence(F.lit(0), F.size(chain) - 2), step)
     return F.when(F.size(chain) < 4, F.lit(False)).otherwise(G.named(steps, judged))
+
+
+def hull(points: Column) -> Column:
+    """The convex hull of a point list as a polygon, from its least point on; points within an edge are left out.
+
+    Each corner looks for the next one over all points, so the work is points times corners. Fewer than three corners are
+    returned as they are; no points give an empty list.
+    """
+
+    def wrap(v: Column) -> Column:
+        def next_of(at: Column) -> Column:
+            def choose(best: Column, p: Column) -> Column:
+                ux, uy, vx, vy = best.x - at.x, best.y - at.y, p.x - at.x, p.y - at.y
+                side = ux * vy - uy * vx
+                slack = 1e-12 * (F.abs(ux * vy) + F.abs(uy * vx))
+                farther = (F.abs(side) <= slack) & (vx * vx + vy * vy > ux * ux + uy * uy)
+                return F.when((side < -slack) | farther, p).otherwise(best)
+
+            return F.reduce(v, at, choose)
+
+        def step(s: Column, _: Column) -> Column:
+            def grown(q: Column) -> Column:
+                return F.when(q == F.get(s.ring, F.lit(0)), F.struct(s.ring.alias("ring"), F.lit(True).alias("done"))).otherwise(F.struct(F.concat(s.ring, F.array(q)).alias("ring"), F.lit(False).alias("done")))
+
+            return F.when(s.done, s).otherwise(G.named(next_of(F.element_at(s.ring, -1)), grown))
+
+        start = F.struct(F.slice(v, 1, 1).alias("ring"), F.lit(False).alias("done"))
+        return F.transform(F.reduce(v, start, step).ring, lambda p: G.point(p.x, p.y))
+
+    places = F.array_sort(F.array_distinct(F.transform(points, lambda p: F.struct(p.x.alias("x"), p.y.alias("y")))))
+    return G.named(places, wrap)

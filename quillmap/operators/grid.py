@@ -1,4 +1,4 @@
-"""Numbering and regions: running numbers that no single task counts, and regions of touching cells."""
+"""Numbering and grid cells: running numbers that no single task counts, regions, claims, closing and growth of cells."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillmap.functions import geometry as G
 from quillmap.plans.components import components
 from quillmap.plans.storage import keep
 
@@ -48,3 +49,62 @@ def region_sizes(found: DataFrame, group: str) -> DataFrame:
     """Cells of each region, with the region's box; the largest first."""
     sizes = found.groupBy(group, "region_x", "region_y").agg(F.count(F.lit(1)).alias("cells"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("x", "y") for f in (F.min, F.max)])
     return sizes.orderBy(F.col("cells").desc(), group, "region_x", "region_y")
+
+
+def rasterised(items: DataFrame, step: float, id_col: str = "id", poly: str = "poly") -> DataFrame:
+    """``id, x, y``: the cells of a grid of ``step`` whose middles lie in the straight polygon of each row."""
+    box = G.bbox(F.col(poly))
+
+    def span(low: Column, length: Column) -> Column:
+        return F.sequence(F.floor(low / step).cast("long"), F.floor((low + length) / step).cast("long"))
+
+    columns = items.select(id_col, poly, F.explode(span(box.x, box.width)).alias("x"), span(box.y, box.height).alias("ys"))
+    cells = columns.select(id_col, poly, "x", F.explode("ys").alias("y"))
+    return cells.where(G.contains(F.col(poly), (F.col("x") + 0.5) * step, (F.col("y") + 0.5) * step)).select(id_col, "x", "y")
+
+
+def owned(cells: DataFrame, *order: str, keep_cols: tuple[str, ...] = ("id",), place: tuple[str, ...] = ("x", "y")) -> DataFrame:
+    """One row per cell, that of the first claim by ``order``; so shapes that overlap yield to those that go before."""
+    first = F.min(F.struct(*order, *[F.col(c).alias(f"__{c}") for c in keep_cols])).alias("s")
+    return cells.groupBy(*place).agg(first).select(*place, *[F.col(f"s.__{c}").alias(c) for c in keep_cols])
+
+
+def dilated(cells: DataFrame, by: int, group: str) -> DataFrame:
+    """The cells within ``by`` of a cell, along both sides; first along x, then along y, so each cell is copied 4 ``by`` + 2 times at most."""
+    out = cells.select(group, "x", "y")
+    for c, other in (("x", "y"), ("y", "x")):
+        out = out.select(group, other, F.explode(F.sequence(F.col(c) - by, F.col(c) + by)).alias(c)).distinct()
+    return out.select(group, "x", "y")
+
+
+def eroded(cells: DataFrame, by: int, group: str) -> DataFrame:
+    """The cells all of whose neighbours within ``by`` are there as well."""
+    out = cells.select(group, "x", "y").distinct()
+    for c, other in (("x", "y"), ("y", "x")):
+        out = out.select(group, other, F.explode(F.sequence(F.col(c) - by, F.col(c) + by)).alias(c))
+        out = out.groupBy(group, other, c).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == 2 * by + 1).drop("n")
+    return out.select(group, "x", "y")
+
+
+def closed(cells: DataFrame, by: int, group: str) -> DataFrame:
+    """The cells with gaps of up to twice ``by`` filled: dilated, then eroded."""
+    return eroded(dilated(cells, by, group), by, group)
+
+
+def grown(seeds: DataFrame, free: DataFrame, rounds: int, group: str, label: str = "label") -> DataFrame:
+    """Labelled cells that spread over the free cells along sides, one step a round, for at most ``rounds`` rounds.
+
+    Of several labels that reach a cell in the same round, the least wins; seeds off the free cells do not spread. Each
+    round joins only the cells that were new in the round before, and its result is written to the shared folder.
+    """
+    cell = [group, "x", "y"]
+    open_ = keep(free.select(*cell).dropna().distinct(), "free")
+    done = front = keep(seeds.join(open_, cell, "left_semi").groupBy(*cell).agg(F.min(label).alias(label)), "grown")
+    for _ in range(rounds):
+        moves = F.array(*[F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))])
+        near = front.select(group, label, F.explode(moves).alias("m")).select(group, "m.x", "m.y", label).groupBy(*cell).agg(F.min(label).alias(label))
+        front = keep(near.join(open_, cell, "left_semi").join(done, cell, "left_anti"), "front")
+        if front.limit(1).count() == 0:
+            break
+        done = keep(done.unionByName(front), "grown")
+    return done.select(*cell, label)

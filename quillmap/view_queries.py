@@ -159,3 +159,58 @@ def cell_regions(spark, d):
 @query(f"WITH RECURSIVE {_CELLS} SELECT floor, region_x, region_y, count(*) AS cells, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM g GROUP BY ALL")
 def region_sizes(spark, d):
     return grid.region_sizes(_regions(spark, d), "floor")
+
+
+# rasters
+
+
+def _whole_rects(spark, d):
+    return _rects(spark, d).select("k", _rect(F.col("x"), F.col("y"), F.col("w"), F.col("h")).alias("poly"))
+
+
+_RASTER = f"{_RECTS}, u AS (SELECT k, unnest(range(x::BIGINT, (x + w)::BIGINT)) AS x, y, h FROM b), c AS (SELECT k, x, unnest(range(y::BIGINT, (y + h)::BIGINT)) AS y FROM u)"
+
+
+@query(f"WITH {_RASTER}, o AS (SELECT x, y, min(k) AS k FROM c GROUP BY x, y) SELECT k, count(*) AS cells, min(x) AS x, max(y) AS y FROM o GROUP BY k")
+def owned_cells(spark, d):
+    cells = grid.owned(grid.rasterised(_whole_rects(spark, d), 1.0, "k"), "k", keep_cols=("k",))
+    return cells.groupBy("k").agg(F.count(F.lit(1)).alias("cells"), F.min("x").alias("x"), F.max("y").alias("y"))
+
+
+_SPOTS = "s AS (SELECT DISTINCT p_partkey % 2 AS floor, (p_partkey * 7 // 3) % 60 AS x, (p_partkey * 11 // 5) % 50 AS y FROM part WHERE p_size % 3 = 0)"
+
+
+def _spots(spark, d):
+    k = F.col("p_partkey")
+    return table(spark, d, "part").where("p_size % 3 = 0").select((k % 2).alias("floor"), (F.floor(k * 7 / 3) % 60).alias("x"), (F.floor(k * 11 / 5) % 50).alias("y"))
+
+
+@query(
+    f"""WITH {_SPOTS}, d AS (SELECT DISTINCT floor, x + i AS x, y + j AS y FROM s, range(-1, 2) a(i), range(-1, 2) b(j)),
+        e AS (SELECT floor, x + i AS x, y + j AS y FROM d, range(-1, 2) a(i), range(-1, 2) b(j)) SELECT floor, x, y FROM e GROUP BY ALL HAVING count(*) = 9"""
+)
+def closed_cells(spark, d):
+    return grid.closed(_spots(spark, d), 1, "floor")
+
+
+def _grown_sql(rounds: int) -> str:
+    out = f"WITH {_SPOTS}, g0 AS (SELECT *, x * 100 + y AS label FROM s WHERE x % 4 = 0)"
+    for n in range(rounds):
+        out += f""", g{n + 1} AS (SELECT * FROM g{n} UNION ALL SELECT s.floor, s.x, s.y, min(label) FROM s JOIN g{n} g ON g.floor = s.floor AND abs(g.x - s.x) + abs(g.y - s.y) = 1
+                WHERE (s.floor, s.x, s.y) NOT IN (SELECT (floor, x, y) FROM g{n}) GROUP BY s.floor, s.x, s.y)"""
+    return f"{out} SELECT floor, x, y, label FROM g{rounds}"
+
+
+@query(_grown_sql(3))
+def grown_cells(spark, d):
+    spots = _spots(spark, d)
+    return grid.grown(spots.where("x % 4 = 0").withColumn("label", F.col("x") * 100 + F.col("y")), spots, 3, "floor")
+
+
+@query("SELECT p_partkey, 3 + p_partkey % 5 AS corners, round((3 + p_partkey % 5) / 2 * (2 + p_size % 6) ** 2 * sin(2 * pi() / (3 + p_partkey % 5)), 5) AS area FROM part")
+def hull_area(spark, d):
+    poly = F.col("poly")
+    middles = F.transform(G.edges(poly), lambda e: G.point((e.a.x * 2 + e.b.x) / 3, (e.a.y * 2 + e.b.y) / 3))
+    inner = F.transform(middles, lambda p: G.point((p.x + F.get(middles, F.lit(0)).x) / 2, (p.y + F.get(middles, F.lit(0)).y) / 2))
+    ring = _polygons(spark, d).select("p_partkey", shapes.hull(F.concat(inner, F.reverse(poly), poly)).alias("h"))
+    return ring.select("p_partkey", F.size("h").cast("long").alias("corners"), F.round(G.area(F.col("h")), 5).alias("area"))

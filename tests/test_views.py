@@ -154,3 +154,61 @@ def test_regions(spark, corners):
 
 def test_regions_of_nothing(spark):
     assert grid.regions(spark.createDataFrame([], "g int, x int, y int"), "g").collect() == []
+
+
+def chain_hull(points):
+    def half(ps):
+        out = []
+        for p in ps:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    ps = sorted(set(points))
+    return set(half(ps) + half(ps[::-1])) if len(ps) > 1 else set(ps)
+
+
+@pytest.mark.parametrize("n, size", [(0, 1), (1, 9), (2, 9), (30, 6), (60, 40)])
+def test_hull(spark, n, size):
+    r = random.Random(n)
+    points = [(float(r.randrange(size)), float(r.randrange(size))) for _ in range(n)]
+    rows = spark.createDataFrame([([(*p, None) for p in points + points[:2]],), ([(float(k), 2.0 * k, 0.0) for k in range(4)],)], "v array<struct<x: double, y: double, bulge: double>>")
+    got, line = [[(p.x, p.y) for p in x.h] for x in rows.select(shapes.hull(F.col("v")).alias("h")).collect()]
+    assert set(got) == chain_hull(points) and len(got) == len(set(got))
+    assert line == [(0, 0), (3, 6)]
+
+
+def test_owned(spark):
+    shapes_ = spark.createDataFrame([(1, 0.0, 4.0), (2, 2.0, 4.0), (3, 2.0, 4.0)], "id long, x double, w double")
+    x, w = F.col("x"), F.col("w")
+    cells = grid.rasterised(shapes_.select("id", F.array(G.point(x, F.lit(0.0)), G.point(x + w, F.lit(0.0)), G.point(x + w, F.lit(1.0)), G.point(x, F.lit(1.0))).alias("poly")), 1.0)
+    assert sorted((c.id, c.x, c.y) for c in cells.collect()) == [(k, x, 0) for k, low in ((1, 0), (2, 2), (3, 2)) for x in range(low, low + 4)]
+    rank = F.when(F.col("id") == 1, 5).otherwise(1)
+    assert {(c.x, c.id) for c in grid.owned(cells.withColumn("rank", rank), "rank", "id").collect()} == {(0, 1), (1, 1), (2, 2), (3, 2), (4, 2), (5, 2)}
+
+
+def test_closed(spark):
+    r = random.Random(7)
+    cells = {(r.randrange(2), r.randrange(12), r.randrange(12)) for _ in range(60)}
+    got = grid.closed(spark.createDataFrame([*cells, *list(cells)[:4]], "g int, x int, y int"), 1, "g").collect()
+    near = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+    wide = {(g, x + a, y + b) for g, x, y in cells for a, b in near}
+    assert {tuple(c) for c in got} == {(g, x, y) for g, x, y in wide if all((g, x + a, y + b) in wide for a, b in near)} and len(got) >= len(cells)
+
+
+@pytest.mark.parametrize("rounds", [0, 2, 50])
+def test_grown(spark, rounds):
+    r = random.Random(8)
+    free = {(1, x, y) for x in range(10) for y in range(10) if r.random() < 0.7}
+    seeds = [(*c, k) for k, c in enumerate(sorted(free)[::17])] + [(1, -5, 0, 9)]
+    want = {s[:3]: s[3] for s in seeds if s[:3] in free}
+    for _ in range(rounds):
+        new = {}
+        for (g, x, y), v in want.items():
+            for c in ((g, x + 1, y), (g, x - 1, y), (g, x, y + 1), (g, x, y - 1)):
+                if c in free and c not in want:
+                    new[c] = min(v, new.get(c, v))
+        want |= new
+    got = grid.grown(spark.createDataFrame(seeds, "g int, x int, y int, label int"), spark.createDataFrame([*free, (1, None, 1)], "g int, x int, y int"), rounds, "g").collect()
+    assert {(c.g, c.x, c.y): c.label for c in got} == want and len(got) == len(want)
