@@ -52,15 +52,29 @@ def region_sizes(found: DataFrame, group: str) -> DataFrame:
 
 
 def rasterised(items: DataFrame, step: float, id_col: str = "id", poly: str = "poly") -> DataFrame:
-    """``id, x, y``: the cells of a grid of ``step`` whose middles lie in the straight polygon of each row."""
-    box = G.bbox(F.col(poly))
+    """``id, x, y``: the cells of a grid of ``step`` whose middles lie in the straight polygon of each row.
 
-    def span(low: Column, length: Column) -> Column:
-        return F.sequence(F.floor(low / step).cast("long"), F.floor((low + length) / step).cast("long"))
+    Each line of cells is cut where edges cross its middle, and only the cells between two cuts are listed.
+    """
+
+    def filled(edges: Column, y: Column) -> Column:
+        at = (y + 0.5) * step
+        crossed = F.filter(edges, lambda e: (e.a.y > at) != (e.b.y > at))
+        cuts = F.sort_array(F.transform(crossed, lambda e: (e.b.x - e.a.x) * (at - e.a.y) / (e.b.y - e.a.y) + e.a.x))
+        firsts = F.transform(cuts, lambda x: F.ceil(x / step - 0.5).cast("long"))
+
+        def between(v: Column) -> Column:
+            pairs = F.filter(F.transform(v, lambda x, i: F.struct(x.alias("low"), (F.get(v, i + 1) - 1).alias("high"), i.alias("i"))), lambda p: (p.i % 2 == 0) & (p.low <= p.high))
+            return F.flatten(F.transform(pairs, lambda p: F.sequence(p.low, p.high)))
+
+        return G.named(firsts, between)
+
+    def lines(edges: Column, box: Column) -> Column:
+        ys = F.sequence(F.floor(box.y / step).cast("long"), F.floor((box.y + box.height) / step).cast("long"))
+        return F.transform(ys, lambda y: F.struct(y.alias("y"), filled(edges, y).alias("xs")))
 
-    columns = items.select(id_col, poly, F.explode(span(box.x, box.width)).alias("x"), span(box.y, box.height).alias("ys"))
-    cells = columns.select(id_col, poly, "x", F.explode("ys").alias("y"))
-    return cells.where(G.contains(F.col(poly), (F.col("x") + 0.5) * step, (F.col("y") + 0.5) * step)).select(id_col, "x", "y")
+    drawn = G.named(F.struct(G.edges(F.col(poly)).alias("edges"), G.bbox(F.col(poly)).alias("box")), lambda s: lines(s.edges, s.box))
+    return items.select(id_col, F.explode(drawn).alias("line")).select(id_col, F.explode("line.xs").alias("x"), F.col("line.y").alias("y"))
 
 
 def owned(cells: DataFrame, *order: str, keep_cols: tuple[str, ...] = ("id",), place: tuple[str, ...] = ("x", "y")) -> DataFrame:

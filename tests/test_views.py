@@ -212,3 +212,13 @@ def test_grown(spark, rounds):
         want |= new
     got = grid.grown(spark.createDataFrame(seeds, "g int, x int, y int, label int"), spark.createDataFrame([*free, (1, None, 1)], "g int, x int, y int"), rounds, "g").collect()
     assert {(c.g, c.x, c.y): c.label for c in got} == want and len(got) == len(want)
+
+
+def test_rasterised_is_the_cells_whose_middles_are_inside(spark):
+    r = random.Random(9)
+    rings = [(k, [(r.uniform(-6, 6), r.uniform(-6, 6), None) for _ in range(3 + k % 5)]) for k in range(12)] + [(98, []), (99, [(0.0, 0.0, None)])]
+    items = spark.createDataFrame(rings, "id int, poly array<struct<x: double, y: double, bulge: double>>")
+    places = spark.range(-20, 20).select(F.col("id").alias("x")).crossJoin(spark.range(-20, 20).select(F.col("id").alias("y")))
+    want = items.where("id < 90").crossJoin(places).where(G.contains(F.col("poly"), (F.col("x") + 0.5) * 0.5, (F.col("y") + 0.5) * 0.5)).select("id", "x", "y")
+    got = sorted(map(tuple, grid.rasterised(items, 0.5).collect()))
+    assert got == sorted(map(tuple, want.collect())) and got
