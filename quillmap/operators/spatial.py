@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmap.functions import geometry as G
+from quillmap.plans.storage import BROADCAST_ROWS, small
+
+#: Parts of a group in a nearest-neighbour search whose query set is too large to broadcast.
+SALTS = 32
 
 
 def _cell(v: Column, size: float) -> Column:
@@ -36,13 +40,19 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float, poin
     return points.join(best, point_id, "left")
 
 
-def nearest_in_group(points: DataFrame, others: DataFrame, group: str, score: Column, keep: Column | None = None, point_id: str = "id", other_id: str = "other_id", order: str = "other_id") -> DataFrame:
+def nearest_in_group(points: DataFrame, others: DataFrame, group: str, score: Column, keep: Column | None = None, point_id: str = "id", other_id: str = "other_id", order: str = "other_id", most: int = BROADCAST_ROWS) -> DataFrame:
     """For each point, the other of its group with the least ``score`` (first of equals) among those where ``keep`` holds.
 
-    ``others`` is a set of named candidates, such as those of one floor, not a second large table: all of a group are
-    compared with each point of it.
+    ``points`` is a stated query set; each of its points meets all others of its group. A counted small set is broadcast, so
+    that ``others`` stays where it is; beyond that, a group is dealt over ``SALTS`` tasks and the least of each is taken.
     """
-    pairs = points.join(others, group)
+    asked = small(points, most)
+    if asked is points:
+        asked = points.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        others = others.withColumn("__salt", F.pmod(F.xxhash64(other_id), F.lit(SALTS)))
+        pairs = asked.join(others, [group, "__salt"])
+    else:
+        pairs = others.join(asked, group)
     if keep is not None:
         pairs = pairs.where(keep)
     best = pairs.groupBy(point_id).agg(F.min(F.struct(score.alias("score"), F.col(order).alias("o"), F.col(other_id).alias("v"))).alias("m"))

@@ -6,6 +6,7 @@ import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmap.functions import geometry as G
@@ -144,12 +145,12 @@ def intersect_ids(spark, d):
     return a.intersect(b)
 
 
-_MAPS = "a AS (SELECT n_nationkey AS k, n_name AS v FROM nation WHERE n_nationkey < 15), b AS (SELECT n_nationkey AS k, 'new ' || n_name AS v FROM nation WHERE n_nationkey > 10)"
+_MAPS = "a AS (SELECT n_nationkey AS k, n_name AS v FROM nation WHERE n_regionkey <= 2), b AS (SELECT n_nationkey AS k, 'new ' || n_name AS v FROM nation WHERE n_regionkey >= 2)"
 
 
 def _maps(spark, d):
     n = table(spark, d, "nation").withColumnRenamed("n_nationkey", "k")
-    return n.where("k < 15").select("k", F.col("n_name").alias("v")), n.where("k > 10").select("k", F.concat(F.lit("new "), "n_name").alias("v"))
+    return n.where("n_regionkey <= 2").select("k", F.col("n_name").alias("v")), n.where("n_regionkey >= 2").select("k", F.concat(F.lit("new "), "n_name").alias("v"))
 
 
 @query(f"WITH {_MAPS} SELECT coalesce(a.k, b.k) AS k, coalesce(b.v, a.v) AS v FROM a FULL JOIN b ON a.k = b.k")
@@ -336,31 +337,35 @@ def _vectors(spark, d) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", "label", F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))
 
 
+def _asked(spark, d) -> DataFrame:
+    """The query set of searches: every vector whose id is divisible by 50, looked up among all of them."""
+    return _vectors(spark, d).where("vec_id % 50 = 0")
+
+
 def _candidates(spark, d) -> DataFrame:
-    """Every 25th vector: the stated set of candidates."""
-    return _vectors(spark, d).where("vec_id % 25 = 0").select("label", F.col("vec_id").alias("other_id"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+    return _vectors(spark, d).select("label", F.col("vec_id").alias("other_id"), F.col("x").alias("ox"), F.col("y").alias("oy"))
 
 
 @query(
-    f"""WITH {_VECTORS} SELECT a.vec_id, (SELECT b.vec_id FROM v b WHERE b.label = a.label AND b.vec_id % 25 = 0 AND b.vec_id <> a.vec_id
-        ORDER BY sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), b.vec_id LIMIT 1) AS other_id FROM v a"""
+    f"""WITH {_VECTORS} SELECT a.vec_id, (SELECT b.vec_id FROM v b WHERE b.label = a.label AND b.vec_id <> a.vec_id
+        ORDER BY sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), b.vec_id LIMIT 1) AS other_id FROM v a WHERE a.vec_id % 50 = 0"""
 )
 def nearest(spark, d):
     score = F.sqrt((F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy")))
-    return spatial.nearest_in_group(_vectors(spark, d), _candidates(spark, d), "label", score, F.col("vec_id") != F.col("other_id"), "vec_id").select("vec_id", "other_id")
+    return spatial.nearest_in_group(_asked(spark, d), _candidates(spark, d), "label", score, F.col("vec_id") != F.col("other_id"), "vec_id").select("vec_id", "other_id")
 
 
 @query(
     f"""WITH {_VECTORS}, s AS (SELECT a.vec_id, b.vec_id AS o, greatest((b.x - 0.05) - (a.x + 0.05), 0.0) + 2 * greatest((b.y - 0.05) - a.y, a.y - (b.y - 0.05 + 0.1), 0.0) + 0.05 * abs(b.y - a.y) AS score
-        FROM v a JOIN v b ON a.label = b.label AND b.vec_id % 25 = 0 AND b.vec_id <> a.vec_id AND b.x - a.x > 0)
-        SELECT v.vec_id, (SELECT o FROM s WHERE s.vec_id = v.vec_id ORDER BY score, o LIMIT 1) AS other_id FROM v"""
+        FROM v a JOIN v b ON a.label = b.label AND b.vec_id <> a.vec_id AND b.x - a.x > 0 WHERE a.vec_id % 50 = 0)
+        SELECT v.vec_id, (SELECT o FROM s WHERE s.vec_id = v.vec_id ORDER BY score, o LIMIT 1) AS other_id FROM v WHERE vec_id % 50 = 0"""
 )
 def nearest_in_direction(spark, d):
     def box(x, y):
         return F.struct((F.col(x) - 0.05).alias("x"), (F.col(y) - 0.05).alias("y"), F.lit(0.1).alias("width"), F.lit(0.1).alias("height"))
 
     score, before = spatial.direction_score("right", F.col("x"), F.col("y"), F.struct((F.col("x") - 0.05).alias("x"), F.col("y").alias("y"), F.lit(0.1).alias("width"), F.lit(0.1).alias("height")), F.col("ox"), F.col("oy"), box("ox", "oy"))
-    return spatial.nearest_in_group(_vectors(spark, d), _candidates(spark, d), "label", score, before & (F.col("vec_id") != F.col("other_id")), "vec_id").select("vec_id", "other_id")
+    return spatial.nearest_in_group(_asked(spark, d), _candidates(spark, d), "label", score, before & (F.col("vec_id") != F.col("other_id")), "vec_id").select("vec_id", "other_id")
 
 
 @query(
@@ -380,7 +385,7 @@ def nearest_colour(spark, d):
 
 
 # Rooms and fills are rectangles of a grid of five sheets.
-_ROOMS = """rooms AS (SELECT s_suppkey AS room_id, s_suppkey % 5 AS floor, (s_suppkey % 20) * 10.0 AS x0, (s_suppkey % 20) * 10.0 + 8 AS x1, 0.0 AS y0, 4.0 + s_suppkey % 7 AS y1 FROM supplier WHERE s_suppkey < 200),
+_ROOMS = """rooms AS (SELECT s_suppkey AS room_id, s_suppkey % 5 AS floor, (s_suppkey % 20) * 10.0 AS x0, (s_suppkey % 20) * 10.0 + 8 AS x1, 0.0 AS y0, 4.0 + s_suppkey % 7 AS y1 FROM supplier),
             fills AS (SELECT n_nationkey % 5 AS floor, 'd' || (n_nationkey % 4) AS name, n_nationkey * 8.0 AS x0, n_nationkey * 8.0 + 13 AS x1, 1.0 AS y0, 7.0 AS y1 FROM nation),
             grid AS (SELECT room_id, floor, i + 0.5 AS x, j + 0.5 AS y FROM rooms, range(0, 210) a(i), range(0, 12) b(j) WHERE i + 0.5 > x0 AND i + 0.5 < x1 AND j + 0.5 > y0 AND j + 0.5 < y1),
             sizes AS (SELECT room_id, count(*) AS cells FROM grid GROUP BY room_id),
@@ -393,7 +398,7 @@ def _cover(spark, d) -> DataFrame:
         return F.array(G.point(x, y), G.point(x + w, y), G.point(x + w, y + h), G.point(x, y + h))
 
     k, n = F.col("s_suppkey"), F.col("n_nationkey")
-    rooms = table(spark, d, "supplier").where("s_suppkey < 200").select(k.alias("room_id"), (k % 5).cast("long").alias("floor"), box(k % 20 * 10.0, F.lit(0.0), F.lit(8.0), 4.0 + k % 7).alias("poly"))
+    rooms = table(spark, d, "supplier").select(k.alias("room_id"), (k % 5).cast("long").alias("floor"), box(k % 20 * 10.0, F.lit(0.0), F.lit(8.0), 4.0 + k % 7).alias("poly"))
     fills = table(spark, d, "nation").select((n % 5).cast("long").alias("floor"), F.concat(F.lit("d"), (n % 4).cast("string")).alias("name"), box(n * 8.0, F.lit(1.0), F.lit(13.0), F.lit(6.0)).alias("poly"))
     return spatial.coverage(rooms, fills, "floor", 1.0)
 
@@ -486,14 +491,11 @@ def state_store(spark, d):
     return state.state_at_end(table(spark, d, "events"), "user_id", "event_id", "event_type", "value", ["click", "error"])
 
 
-@query(
-    """WITH RECURSIVE e AS (SELECT l_partkey % 997 AS a, l_suppkey * 13 % 997 AS b FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 1),
-       pairs AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach AS (SELECT a AS node, a AS label FROM pairs UNION SELECT b, label FROM reach JOIN pairs ON a = node)
-       SELECT node, min(label) AS label FROM reach GROUP BY node"""
-)
+@query("SELECT p_partkey AS node, min(p_partkey) OVER g AS label FROM part WINDOW g AS (PARTITION BY p_brand, p_size) QUALIFY count(*) OVER g > 1")
 def graph_components(spark, d):
-    e = table(spark, d, "lineitem").where("l_quantity = 50 and l_linenumber = 1").select((F.col("l_partkey") % 997).alias("a"), (F.col("l_suppkey") * 13 % 997).alias("b"))
-    return components(e)
+    """Parts linked to the next one of their brand and size; the chains are put together again."""
+    following = F.lead("p_partkey").over(W.partitionBy("p_brand", "p_size").orderBy("p_partkey"))
+    return components(table(spark, d, "part").select(F.col("p_partkey").alias("a"), following.alias("b")))
 
 
 # projections

@@ -103,16 +103,16 @@ def overlap_pairs(spark, d):
     return matching.overlaps(_rects(spark, d).select("k", poly.alias("poly")), 16.0, "k")
 
 
-_TRACED = f"""{_RECTS}, t AS (SELECT k, x + k % 3 AS x, y, w, h + k % 2 AS h FROM b WHERE k % 17 <> 0),
+_TRACED = f"""{_RECTS}, t AS (SELECT k, x + k % 3 AS x, y, w, h + k % 2 AS h FROM b WHERE w <> 9),
               m AS (SELECT b.k, p_type, greatest(0.0, least(b.x + b.w, t.x + t.w) - greatest(b.x, t.x)) * greatest(0.0, least(b.y + b.h, t.y + t.h) - greatest(b.y, t.y)) AS shared, b.w * b.h AS one, t.w * t.h AS two FROM b LEFT JOIN t USING (k)),
               j AS (SELECT k, p_type, CASE WHEN two IS NOT NULL THEN round(shared / (one + two - shared), 9) END AS iou FROM m)"""
 
 
 def _traced(spark, d) -> DataFrame:
-    """Committed rectangles with the overlap of traced ones, which are shifted; one in 17 was not traced."""
+    """Committed rectangles with the overlap of traced ones, which are shifted; those of one width were not traced."""
     old = _rects(spark, d)
     k = F.col("k")
-    new = old.where("k % 17 <> 0").select("k", _rect(F.col("x") + k % 3, F.col("y"), F.col("w"), F.col("h") + k % 2).alias("traced"))
+    new = old.where("w <> 9").select("k", _rect(F.col("x") + k % 3, F.col("y"), F.col("w"), F.col("h") + k % 2).alias("traced"))
     both = old.join(new, "k", "left")
     iou = F.when(F.col("traced").isNotNull(), F.round(shapes.convex_iou(_rect(F.col("x"), F.col("y"), F.col("w"), F.col("h")), F.col("traced")), 9))
     return both.select("k", "p_type", iou.alias("iou"))

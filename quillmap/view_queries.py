@@ -140,14 +140,14 @@ def numbered_marks(spark, d):
     return grid.numbered(table(spark, d, "customer").select("c_mktsegment", "c_acctbal", "c_custkey"), "c_mktsegment", "c_acctbal", "c_custkey").drop("c_acctbal")
 
 
-_CELLS = """cells AS (SELECT DISTINCT p_partkey % 2 AS floor, (p_partkey * 7 // 3) % 30 AS x, (p_partkey * 11 // 5) % 25 AS y FROM part WHERE p_size % 3 = 0),
+_CELLS = """cells AS (SELECT DISTINCT p_partkey % 2 AS floor, (p_partkey * 7 // 3) % 30 AS x, (p_partkey * 11 // 5) % 25 AS y FROM part WHERE p_size <= 16),
     r AS (SELECT floor, x, y, x AS rx, y AS ry FROM cells UNION SELECT c.floor, c.x, c.y, r.rx, r.ry FROM r JOIN cells c ON c.floor = r.floor AND abs(c.x - r.x) + abs(c.y - r.y) = 1),
     m AS (SELECT floor, x, y, min((rx, ry)) AS least FROM r GROUP BY ALL), g AS (SELECT floor, x, y, least[1] AS region_x, least[2] AS region_y FROM m)"""
 
 
 def _regions(spark, d):
     k = F.col("p_partkey")
-    cells = table(spark, d, "part").where("p_size % 3 = 0").select((k % 2).alias("floor"), (F.floor(k * 7 / 3) % 30).alias("x"), (F.floor(k * 11 / 5) % 25).alias("y"))
+    cells = table(spark, d, "part").where("p_size <= 16").select((k % 2).alias("floor"), (F.floor(k * 7 / 3) % 30).alias("x"), (F.floor(k * 11 / 5) % 25).alias("y"))
     return grid.regions(cells, "floor")
 
 
@@ -177,12 +177,12 @@ def owned_cells(spark, d):
     return cells.groupBy("k").agg(F.count(F.lit(1)).alias("cells"), F.min("x").alias("x"), F.max("y").alias("y"))
 
 
-_SPOTS = "s AS (SELECT DISTINCT p_partkey % 2 AS floor, (p_partkey * 7 // 3) % 60 AS x, (p_partkey * 11 // 5) % 50 AS y FROM part WHERE p_size % 3 = 0)"
+_SPOTS = "s AS (SELECT DISTINCT p_partkey % 2 AS floor, (p_partkey * 7 // 3) % 60 AS x, (p_partkey * 11 // 5) % 50 AS y FROM part WHERE p_size <= 16)"
 
 
 def _spots(spark, d):
     k = F.col("p_partkey")
-    return table(spark, d, "part").where("p_size % 3 = 0").select((k % 2).alias("floor"), (F.floor(k * 7 / 3) % 60).alias("x"), (F.floor(k * 11 / 5) % 50).alias("y"))
+    return table(spark, d, "part").where("p_size <= 16").select((k % 2).alias("floor"), (F.floor(k * 7 / 3) % 60).alias("x"), (F.floor(k * 11 / 5) % 50).alias("y"))
 
 
 @query(
