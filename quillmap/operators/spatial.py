@@ -48,7 +48,7 @@ def nearest_in_group(points: DataFrame, others: DataFrame, group: str, score: Co
     """
     asked = small(points, most)
     if asked is points:
-        asked = points.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        asked = points.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         others = others.withColumn("__salt", F.pmod(F.xxhash64(other_id), F.lit(SALTS)))
         pairs = asked.join(others, [group, "__salt"])
     else:

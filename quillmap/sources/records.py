@@ -64,3 +64,33 @@ def patch_problems(lines: Column, doors: Column, guides: Column) -> Column:
 
     odd = F.transform(F.filter(F.map_entries(guides), lambda g: F.coalesce(F.size(g.value), F.lit(0)) != 3), lambda g: F.concat(F.lit("guide "), g.key, F.lit(" needs 3 points")))
     return F.concat(short(lines, 4, "line"), short(doors, 2, "door"), F.coalesce(odd, F.array().cast("array<string>")))
+
+
+def module_rows(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """``file, line, row``: the rows of the list constant ``name`` in code modules that hold one ``[..],`` row a line.
+
+    A row is an array of its elements as JSON text (plain text for strings, null for ``undefined``), to be read with the
+    schema of its place. Lines are numbered in their file's list from 0. A line that does not parse stops the read; files
+    without the list give no rows.
+    """
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("v"))
+    body = F.regexp_extract("v", rf"(?s)\b{name}\b[^=\n]*= \[\r?\n(.*?)\n\];", 1)
+    lines = text.select("file", F.posexplode(F.filter(F.transform(F.split(body, r"\r?\n"), lambda x: F.trim(x)), lambda x: x.startswith("["))).alias("line", "raw"))
+
+    def as_json(part: Column) -> Column:
+        inner = F.replace(F.regexp_replace(part, r"^'|'$", ""), F.lit('"'), F.lit('\\"'))
+        quoted = F.concat(F.lit('"'), F.replace(inner, F.lit("\\'"), F.lit("'")), F.lit('"'))
+        bare = F.regexp_replace(F.regexp_replace(part, r"([{,] ?)(\w+):", '$1"$2":'), r"\bundefined\b", "null")
+        return F.when(part.startswith("'"), quoted).otherwise(bare)
+
+    parts = F.transform(F.regexp_extract_all("raw", F.lit(r"'(?:[^'\\]|\\.)*'|[^']+"), F.lit(0)), as_json)
+    json = F.regexp_replace(F.array_join(parts, ""), r",\s*$", "")
+    return lines.select("file", "line", F.from_json(json, T.ArrayType(T.StringType()), {"mode": "FAILFAST"}).alias("row"))
+
+
+def module_frame(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """``file, x, y`` of the constant ``name = { x: .., y: .. }`` in code modules; null where a file has none."""
+    number = r"(-?[\d.]+)"
+    pattern = rf"\b{name}\b = \{{ x: {number}, y: {number} \}}"
+    text = spark.read.text(path, wholetext=True)
+    return text.select(F.input_file_name().alias("file"), *[F.nullif(F.regexp_extract("value", pattern, k), F.lit("")).cast("double").alias(c) for k, c in enumerate("xy", 1)])
