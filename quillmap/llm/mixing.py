@@ -38,6 +38,8 @@ BUCKET_ROWS = 4000
 MOST_PASSES = 3
 #: More shards than this and each gets more slots instead, so that the driver's table stays small.
 MOST_SHARDS = 20_000
+#: The same for the driver's table as a whole, of shards times sources.
+MOST_CELLS = 500_000
 #: Sources are few; a column with more values than this is no source column and is refused.
 MOST_SOURCES = 100_000
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -138,12 +140,13 @@ class Mix:
     def _slots(self, spark, seed: int) -> DataFrame:
         """``shard, source_no, slot, block``: one row for each block of the output."""
         quota = np.array([x[5] for x in self.summary], dtype=np.int64)
-        size = max(SHARD_SLOTS, -(-int(quota.sum()) // MOST_SHARDS)) if len(quota) else SHARD_SLOTS
+        most = max(1, min(MOST_SHARDS, MOST_CELLS // max(1, len(quota))))
+        size = max(SHARD_SLOTS, -(-int(quota.sum()) // most))
         drawn = draw_shards(quota, size, seed)
         first = np.cumsum(drawn, axis=0) - drawn
         plan = [(int(i), int(k), int(first[i, k]), int(drawn[i, k]), int(self.summary[k][4])) for i, k in zip(*np.nonzero(drawn))]
         plan = spark.createDataFrame(plan, "shard long, source_no long, first long, n long, n_blocks long")
-        slots = plan.repartition("shard").select("shard", "source_no", F.explode(F.expr("sequence(first, first + n - 1)")).alias("slot"), "n_blocks")
+        slots = plan.repartition("shard", "source_no").select("shard", "source_no", F.explode(F.expr("sequence(first, first + n - 1)")).alias("slot"), "n_blocks")
         return slots.mapInArrow(_permuted(seed), "shard long, source_no long, slot long, block long")
 
     def blocks(self) -> DataFrame:

@@ -283,6 +283,18 @@ def test_sharding_of_one_repeated_id(spark):
 # mixing
 
 
+def test_mixing_bounded_plan(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 1)
+    rows = [(k, f"w{k} " * 300, None, f"s{k % 5}", 0) for k in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for cells, shards in ((10, 2), (1, 1)):
+        monkeypatch.setattr(mixing, "MOST_CELLS", cells)
+        m = mixing.Mix(frame)
+        slots = m.slots.collect()
+        assert len({r.shard for r in slots}) == shards
+        assert len({(r.source_no, r.slot) for r in slots}) == len(slots) == sum(x[5] for x in m.summary)
+
+
 def brute_targets(sizes):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: (1, 2, 3)[k % 3] for k, s in enumerate(order)}
