@@ -161,6 +161,25 @@ def region_sizes(spark, d):
     return grid.region_sizes(_regions(spark, d), "floor")
 
 
+# The same over all parts: the SQL of the queries above takes a part of them, on the grid of the spots below.
+_ALL_CELLS = _CELLS.replace("% 30", "% 60").replace("% 25", "% 50").replace(" WHERE p_size <= 16", "")
+
+
+def _all_spots(spark, d):
+    k = F.col("p_partkey")
+    return table(spark, d, "part").select((k % 2).alias("floor"), (F.floor(k * 7 / 3) % 60).alias("x"), (F.floor(k * 11 / 5) % 50).alias("y"))
+
+
+@query(f"WITH RECURSIVE {_ALL_CELLS} SELECT * FROM g")
+def all_cell_regions(spark, d):
+    return grid.regions(_all_spots(spark, d), "floor")
+
+
+@query(f"WITH RECURSIVE {_ALL_CELLS} SELECT floor, region_x, region_y, count(*) AS cells, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM g GROUP BY ALL")
+def all_region_sizes(spark, d):
+    return grid.region_sizes(grid.regions(_all_spots(spark, d), "floor"), "floor")
+
+
 # rasters
 
 
@@ -178,6 +197,7 @@ def owned_cells(spark, d):
 
 
 _SPOTS = "s AS (SELECT DISTINCT p_partkey % 2 AS floor, (p_partkey * 7 // 3) % 60 AS x, (p_partkey * 11 // 5) % 50 AS y FROM part WHERE p_size <= 16)"
+_ALL_SPOTS = _SPOTS.replace(" WHERE p_size <= 16", "")
 
 
 def _spots(spark, d):
@@ -185,28 +205,43 @@ def _spots(spark, d):
     return table(spark, d, "part").where("p_size <= 16").select((k % 2).alias("floor"), (F.floor(k * 7 / 3) % 60).alias("x"), (F.floor(k * 11 / 5) % 50).alias("y"))
 
 
-@query(
-    f"""WITH {_SPOTS}, d AS (SELECT DISTINCT floor, x + i AS x, y + j AS y FROM s, range(-1, 2) a(i), range(-1, 2) b(j)),
+def _closed_sql(spots: str) -> str:
+    return f"""WITH {spots}, d AS (SELECT DISTINCT floor, x + i AS x, y + j AS y FROM s, range(-1, 2) a(i), range(-1, 2) b(j)),
         e AS (SELECT floor, x + i AS x, y + j AS y FROM d, range(-1, 2) a(i), range(-1, 2) b(j)) SELECT floor, x, y FROM e GROUP BY ALL HAVING count(*) = 9"""
-)
+
+
+@query(_closed_sql(_SPOTS))
 def closed_cells(spark, d):
     return grid.closed(_spots(spark, d), 1, "floor")
 
 
-def _grown_sql(rounds: int) -> str:
-    out = f"WITH {_SPOTS}, g0 AS (SELECT *, x * 100 + y AS label FROM s WHERE x % 4 = 0)"
+@query(_closed_sql(_ALL_SPOTS))
+def all_closed_cells(spark, d):
+    return grid.closed(_all_spots(spark, d), 1, "floor")
+
+
+def _grown_sql(spots: str, rounds: int) -> str:
+    out = f"WITH {spots}, g0 AS (SELECT *, x * 100 + y AS label FROM s WHERE x % 4 = 0)"
     for n in range(rounds):
         out += f""", g{n + 1} AS (SELECT * FROM g{n} UNION ALL SELECT s.floor, s.x, s.y, min(label) FROM s JOIN g{n} g ON g.floor = s.floor AND abs(g.x - s.x) + abs(g.y - s.y) = 1
                 WHERE (s.floor, s.x, s.y) NOT IN (SELECT (floor, x, y) FROM g{n}) GROUP BY s.floor, s.x, s.y)"""
     return f"{out} SELECT floor, x, y, label FROM g{rounds}"
 
 
-@query(_grown_sql(3))
-def grown_cells(spark, d):
-    spots = _spots(spark, d)
+def _grown(spots):
     return grid.grown(spots.where("x % 4 = 0").withColumn("label", F.col("x") * 100 + F.col("y")), spots, 3, "floor")
 
 
+@query(_grown_sql(_SPOTS, 3))
+def grown_cells(spark, d):
+    return _grown(_spots(spark, d))
+
+
+@query(_grown_sql(_ALL_SPOTS, 3))
+def all_grown_cells(spark, d):
+    return _grown(_all_spots(spark, d))
+
+
 @query("SELECT p_partkey, 3 + p_partkey % 5 AS corners, round((3 + p_partkey % 5) / 2 * (2 + p_size % 6) ** 2 * sin(2 * pi() / (3 + p_partkey % 5)), 5) AS area FROM part")
 def hull_area(spark, d):
     poly = F.col("poly")

@@ -156,6 +156,32 @@ def test_regions_of_nothing(spark):
     assert grid.regions(spark.createDataFrame([], "g int, x int, y int"), "g").collect() == []
 
 
+def test_cell_queries_over_all_parts(spark):
+    from quillmap import view_queries as V
+
+    d = "/root/testdata/sf0.01"
+    keys = [p.p_partkey for p in spark.read.parquet(f"{d}/part.parquet").select("p_partkey").collect()]
+    spots = {(k % 2, k * 7 // 3 % 60, k * 11 // 5 % 50) for k in keys}
+    sides = [(1, 0), (-1, 0), (0, 1), (0, -1)]
+    want = flooded(spots, sides)
+    got = {(c.floor, c.x, c.y): (c.region_x, c.region_y) for c in V.all_cell_regions(spark, d).collect()}
+    assert got == want and set(got) == spots
+    sizes = [s.cells for s in V.all_region_sizes(spark, d).collect()]
+    assert sum(sizes) == len(spots) and sizes == sorted(sizes, reverse=True) and sizes[0] > 1
+    near = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+    wide = {(g, x + a, y + b) for g, x, y in spots for a, b in near}
+    assert {tuple(c) for c in V.all_closed_cells(spark, d).collect()} == {(g, x, y) for g, x, y in wide if all((g, x + a, y + b) in wide for a, b in near)}
+    grown = {(g, x, y): x * 100 + y for g, x, y in spots if x % 4 == 0}
+    for _ in range(3):
+        new = {}
+        for (g, x, y), v in grown.items():
+            for a, b in sides:
+                if (c := (g, x + a, y + b)) in spots and c not in grown:
+                    new[c] = min(v, new.get(c, v))
+        grown |= new
+    assert {(c.floor, c.x, c.y): c.label for c in V.all_grown_cells(spark, d).collect()} == grown
+
+
 def chain_hull(points):
     def half(ps):
         out = []
