@@ -1,10 +1,12 @@
 """Main-text extraction from HTML by consensus host paths.
 
 1. Each page's containers are scored on their own: text of the paragraphs below, full for the parent and half for the one
-   above, link text counted against it. The best containers vote for their generalised path, which is the chain of tags and
-   classes with numbers blanked.
+   above, link text counted against it. Lists and tables are no containers, but parts of the one around them. A container is
+   widened to the outermost article around it, else to the nearest main, else to the highest element below body with
+   paragraphs or headings of its own, and to a body with such text where no element holds half of the page's. The best
+   containers vote for their generalised path, which is the chain of tags and classes with numbers blanked.
 2. Spark sums the votes by (host, path), with map-side sums, and takes the best path of each host.
-3. Every page is read again, and the text of the elements on the winning path is taken; a page that has no such element
+3. Every page is read again, and the text of the elements on the winning path is taken, widened likewise; a page that has no such element
    falls back on its own best container.
 
 Boilerplate never counts nor comes out, on the path or below it: menus, headers, footers, sidebars, notices, adverts, forms,
@@ -36,6 +38,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption caption summary".split())
+PARTS = frozenset("ul ol menu dl table caption colgroup thead tbody tfoot tr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 # Boilerplate by element, role and word of a class or id.
 DROP_TAGS = frozenset("head nav header footer aside form script style noscript template iframe noembed noframes object embed svg canvas button select option textarea input dialog menu title audio video map".split())
@@ -149,8 +152,8 @@ class Page:
         """Whether text of ``node`` may come out; in an article's header only headings do."""
         return not self.dropped[node] and (self.heading[node] or not self.banner[node])
 
-    def scores(self) -> dict[str, int]:
-        """A score for each generalised path of containers with text."""
+    def _credit(self) -> dict[int, int]:
+        """Letters of the paragraphs right in each container, doubled; those of links are taken off."""
         credit: dict[int, int] = {}
         for node, _, text, link in self.runs:
             if not self.shown(node) or not (n := len(text) - text.count(" ")) or text.isspace():
@@ -158,16 +161,44 @@ class Page:
             while node > 0 and self.tag[node] in INLINE:
                 node = self.parent[node]
             box = self.parent[node] if self.tag[node] in LEAF and self.parent[node] >= 0 else node
-            while box > 0 and self.tag[box] in LEAF:
+            while box > 0 and (self.tag[box] in LEAF or self.tag[box] in PARTS):
                 box = self.parent[box]
-            n = -2 * n if link else 2 * n
-            credit[box] = credit.get(box, 0) + n
-            if box > 0:
-                credit[self.parent[box]] = credit.get(self.parent[box], 0) + n // 2
+            credit[box] = credit.get(box, 0) + (-2 * n if link else 2 * n)
+        return credit
+
+    def _widened(self, credit: dict[int, int]) -> list[int]:
+        """For each element the one that it is widened to, as far as an article, a main or text beside it tells."""
+        size = len(self.parent)
+        article, main, high = [0] * size, [0] * size, [0] * size
+        for k in range(1, size):
+            up, name = self.parent[k], self.tag[k]
+            article[k] = article[up] or (k if name == "article" else 0)
+            main[k] = k if name == "main" else main[up]
+            high[k] = high[up] or (k if credit.get(k, 0) > 0 and name not in ("html", "body") else 0)
+        wide = [article[k] or main[k] or high[k] or k for k in range(size)]
+        body = next((k for k, n in credit.items() if n > 0 and self.tag[k] in ("#", "html", "body")), None)
+        if body is not None:
+            held: dict[int, int] = {}
+            for k, n in credit.items():
+                if n > 0 and k != body:
+                    held[wide[k]] = held.get(wide[k], 0) + n
+            if held and 2 * max(held.values()) < credit[body] + sum(held.values()):
+                below = [k == body for k in range(size)]
+                for k in range(1, size):
+                    below[k] = below[k] or below[self.parent[k]]
+                    if below[k] and not article[k] and not main[k]:
+                        wide[k] = body
+        return wide
+
+    def scores(self) -> dict[str, int]:
+        """A score for each generalised path of widened containers with text."""
+        credit = self._credit()
+        wide = self._widened(credit)
         paths: dict[str, int] = {}
         for node, n in credit.items():
-            p = self.path[node]
-            paths[p] = paths.get(p, 0) + n
+            for k, m in ((node, n), (self.parent[node], n // 2))[: 2 if node > 0 else 1]:
+                p = self.path[wide[k]]
+                paths[p] = paths.get(p, 0) + m
         return {p: n for p, n in paths.items() if n > 0}
 
     def best(self) -> str | None:
@@ -175,10 +206,12 @@ class Page:
         return min(found, key=lambda p: (-found[p], p)) if found else None
 
     def text(self, path: str) -> str:
-        """The blocks of all elements on ``path``, boilerplate left out."""
+        """The blocks of all elements on ``path``, widened, boilerplate left out."""
+        wide = self._widened(self._credit())
+        tops = {wide[k] for k, p in enumerate(self.path) if p == path and not self.dropped[k]}
         inside = [False] * len(self.parent)
         for k in range(len(self.parent)):
-            inside[k] = self.parent[k] >= 0 and inside[self.parent[k]] or self.path[k] == path
+            inside[k] = self.parent[k] >= 0 and inside[self.parent[k]] or k in tops
         blocks: dict[int, list[str]] = {}
         for node, block, text, _ in self.runs:
             if inside[node] and self.shown(node):

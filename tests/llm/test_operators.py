@@ -373,6 +373,35 @@ def test_html(spark):
     assert html_extract.extract(frame.limit(0)).count() == 0
 
 
+LONG = "A long sentence of the text, and more of it. " * 8
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        f"<article><h1>Head</h1><p>Lead.</p><section><p>{LONG}</p></section><section><p>{LONG}</p></section></article>",
+        f"<article><h1>Head</h1><div class=content><p>Lead.</p><div><p>{LONG}</p><p>{LONG}</p></div></div></article>",
+        f"<article><h1>Head</h1><p>Lead.</p><ul><li>{LONG}</li><li>{LONG}</li></ul></article>",
+        f"<article><h1>Head</h1><p>Lead.</p><table><tr><td>{LONG}<td>{LONG}</table></article>",
+        f"<main><div><h1>Head</h1><p>Lead.</p></div><div class=content><p>{LONG}</p><p>{LONG}</p></div></main>",
+        f"<div class=page><h1>Head</h1><p>Lead.</p><div class=content><p>{LONG}</p><p>{LONG}</p></div></div>",
+        f"<h1>Head</h1><p>Lead.</p><section><p>{LONG}</p></section><section><p>{LONG}</p></section>",
+        f"<h1>Head</h1><p>Lead.</p><ol><li>{LONG}</li><li>{LONG}</li></ol>",
+    ],
+)
+def test_html_takes_the_whole_container(body):
+    source = f"<html><body><nav><a href=/>menu</a></nav>{body}<div class=ad>Buy</div><footer>x</footer></body></html>"
+    want = "\n".join(["Head", "Lead.", LONG.strip(), LONG.strip()])
+    path = html_extract.votes(source)[0][0]
+    assert html_extract.main_text(source, path) == html_extract.main_text(source, None) == want
+
+
+def test_html_leaves_what_lies_beside_the_container():
+    beside = "<div class=x><p>Another text.</p></div>"
+    for body in (f"<article><p>{LONG}</p></article>", f"<div id=post><h2>Head</h2><p>{LONG}</p></div>"):
+        assert "Another" not in html_extract.main_text(f"<body><p>Site</p>{beside}{body}{beside}", None)
+
+
 def test_html_table(spark, sf):
     frame = spark.read.parquet(f"{sf}/pages.parquet")
     import html as entities
