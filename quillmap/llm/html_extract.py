@@ -10,7 +10,10 @@
    falls back on its own best container.
 
 Boilerplate never counts nor comes out, on the path or below it: menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments, told by tag, role or the words of class and id.
+scripts, styles and reader comments, told by tag, role or the words of class and id. Words alone do not drop an element with
+most of the page's text if it is, or holds, an article or main; on pages without these, an element that is named by words of
+layout only and holds an h1, if there is one. Words of comments and adverts are overruled by an article with an h1 only. Nor
+do words of a header inside an article: there headings stay, as in a header element.
 
 Edge cases: null and empty html give an empty text; pages without a host share one group; broken markup (open tags,
 stray ends, cut files) is closed as browsers do; repeated rows are extracted alike and all vote; equal votes go to the path
@@ -49,6 +52,8 @@ DROP_WORDS = frozenset(
     "pagination pager footer header masthead topbar share sharing social follow related recommended recommendations newsletter subscribe subscription signup login "
     "comment comments commentlist disqus reply replies respond discussion form search toolbar copyright outbrain taboola skiplink hidden".split()
 )
+HEADER_WORDS = frozenset("header masthead".split())
+LAYOUT_WORDS = HEADER_WORDS | frozenset("sidebar aside widget widgets rail nav navbar navigation menu menus breadcrumb breadcrumbs footer topbar toolbar".split())
 COMMENT_WORDS = frozenset("comment comments commentlist reply replies ad ads advert sponsored promo promoted related".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
@@ -65,8 +70,12 @@ class Page:
     def __init__(self, source: str):
         self.parent, self.tag, self.path = [-1], ["#"], [""]
         self.dropped, self.article, self.banner, self.heading = [False], [False], [False], [False]
+        self.words: dict[int, set[str]] = {}  # the words by which alone an element is dropped
+        self.barred = [False]  # dropped itself by tag, role or style
         self.runs: list[tuple[int, int, str, bool]] = []  # element, block, text, inside a link
         self._read(source)
+        if self.words:
+            self._spare()
 
     def _read(self, s: str) -> None:
         stack, at, block, links = [0], 0, 0, 0
@@ -133,21 +142,54 @@ class Page:
         classes = found.get("class", "").split()
         words = {w.lower() for c in [*classes, found.get("id", "")] if not _NEGATED.match(c) for w in _WORDS.findall(c)}
         drop = name in DROP_TAGS or found.get("role", "").lower() in DROP_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-        if name not in ("html", "body", "main"):
-            drop = drop or bool(words & (COMMENT_WORDS if name == "article" else DROP_WORDS))
+        bad = words & (COMMENT_WORDS if name == "article" else DROP_WORDS) if name not in ("html", "body", "main") else set()
         article = self.article[parent] or name in ("article", "main")
-        if name == "header" and article:
-            drop = self.dropped[parent]  # its headings are the article's own
+        banner = name == "header"
+        if banner and article:
+            drop = False  # its headings are the article's own
+        elif article and bad and bad <= HEADER_WORDS:
+            banner, bad = True, set()
+        elif bad and not drop:
+            self.words[len(self.parent)] = bad
         self.parent.append(parent)
         self.tag.append(name)
         key = name + "".join("." + _NUMBER.sub("#", c.lower()) for c in sorted(set(classes)))
         self.path.append(f"{self.path[parent]}>{key}" if parent else key)
-        self.dropped.append(self.dropped[parent] or drop)
+        self.barred.append(drop)
+        self.dropped.append(self.dropped[parent] or drop or bool(bad))
         self.article.append(article)
-        self.banner.append(self.banner[parent] or name == "header")
+        self.banner.append(self.banner[parent] or banner)
         self.heading.append(self.heading[parent] or name in ("h1", "h2", "h3"))
         return len(self.parent) - 1
 
+    def _spare(self) -> None:
+        """Takes back drops by words of elements that hold most of the page's paragraph text."""
+        size = len(self.parent)
+        hard, loud = [False] * size, [False] * size  # never spared; named by other words than those of layout
+        article, head, held = [False] * size, [False] * size, [0] * size
+        for k in range(1, size):
+            hard[k] = hard[self.parent[k]] or self.barred[k]
+            article[k], head[k] = self.tag[k] in ("article", "main") and not hard[k] and k not in self.words, self.tag[k] == "h1" and not hard[k]
+        for holds in (article, head):
+            for k in range(size - 1, 0, -1):
+                holds[self.parent[k]] = holds[self.parent[k]] or holds[k]
+        for k in range(1, size):
+            up, bad = self.parent[k], self.words.get(k, set())
+            # Comments may be articles, but the page's headline is not among them.
+            hard[k] = hard[k] or hard[up] or bool(bad & COMMENT_WORDS) and not (article[k] and head[k])
+            loud[k] = loud[up] or not bad <= LAYOUT_WORDS
+        for node, _, text, link in self.runs:
+            if not link and not hard[node]:
+                held[node] += len(text) - text.count(" ")
+        for k in range(size - 1, 0, -1):
+            held[self.parent[k]] += held[k]
+
+        def spared(k: int) -> bool:
+            return not hard[k] and 2 * held[k] > held[0] and (article[k] or not article[0] and not loud[k] and (head[k] or not head[0]))
+
+        for k in range(1, size):
+            self.dropped[k] = self.dropped[self.parent[k]] or self.barred[k] or k in self.words and not spared(k)
+
     def shown(self, node: int) -> bool:
         """Whether text of ``node`` may come out; in an article's header only headings do."""
         return not self.dropped[node] and (self.heading[node] or not self.banner[node])

@@ -396,6 +396,21 @@ def test_html_takes_the_whole_container(body):
     assert html_extract.main_text(source, path) == html_extract.main_text(source, None) == want
 
 
+@pytest.mark.parametrize("name", ["page-with-sidebar", "layout-sidebar wide", "site menu-left", "page-promo"])
+def test_html_keeps_wrappers_named_by_words(name):
+    inner = f"<article><div class='entry-header'><h1>Head</h1><p>by line</p></div><p>{LONG}</p></article><aside><p>{LONG * 3}</p></aside><div class=related><p>{LONG}</p></div>"
+    assert html_extract.main_text(f"<body><div class='{name}'>{inner}</div><div class=cookie-notice><p>We use cookies.</p></div>", None) == f"Head\n{LONG.strip()}"
+    if "promo" not in name:
+        plain = f"<body><div class='{name}'><h1>Head</h1><p>{LONG}</p><div class=sidebar><p>side</p></div></div><div class=sidebar><p>{LONG}</p></div>"
+        assert html_extract.main_text(plain, None) == f"Head\n{LONG.strip()}"
+
+
+def test_html_drops_by_words():
+    for name in ("sidebar", "comments", "cookie-notice", "related"):
+        for body in (f"<article><h1>Head</h1><p>{LONG}</p></article>", f"<div><h1>Head</h1><p>{LONG}</p></div>"):
+            assert html_extract.main_text(f"<body>{body}<div class={name}><p>{LONG * 5}</p></div>", None) == f"Head\n{LONG.strip()}"
+
+
 def test_html_leaves_what_lies_beside_the_container():
     beside = "<div class=x><p>Another text.</p></div>"
     for body in (f"<article><p>{LONG}</p></article>", f"<div id=post><h2>Head</h2><p>{LONG}</p></div>"):
