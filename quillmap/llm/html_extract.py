@@ -3,8 +3,8 @@
 1. Each page's containers are scored on their own: text of the paragraphs below, full for the parent and half for the one
    above, link text counted against it. Lists and tables are no containers, but parts of the one around them. A container is
    widened to the outermost article around it, else to the nearest main, else to the highest element below body with
-   paragraphs or headings of its own, and to a body with such text where no element holds half of the page's. The best
-   containers vote for their generalised path, which is the chain of tags and classes with numbers blanked.
+   paragraphs or headings of its own, and to a body with such text where no element holds half of the page's. All
+   containers of positive score vote for their generalised path, which is the chain of tags and classes with numbers blanked.
 2. Spark sums the votes by (host, path), with map-side sums, and takes the best path of each host.
 3. Every page is read again, and the text of the elements on the winning path is taken, widened likewise; a page that has no such element
    falls back on its own best container.
@@ -33,9 +33,6 @@ from pyspark.sql import functions as F
 from quillmap.llm.runtime import prepare
 from quillmap.plans.storage import keep, small
 
-#: Paths that one page votes for at most.
-VOTES = 3
-
 # HTML's void, raw-text, inline and paragraph-like elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -265,9 +262,8 @@ class Page:
 
 
 def votes(source: str | None) -> list[tuple[str, int]]:
-    """The page's best paths with votes of up to 1000."""
-    found = Page(source or "").scores()
-    top = sorted(found.items(), key=lambda x: (-x[1], x[0]))[:VOTES]
+    """The page's paths of positive score with votes of up to 1000, the best first."""
+    top = sorted(Page(source or "").scores().items(), key=lambda x: (-x[1], x[0]))
     return [(p, 1000 * n // top[0][1]) for p, n in top]
 
 

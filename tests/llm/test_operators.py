@@ -411,6 +411,15 @@ def test_html_drops_by_words():
             assert html_extract.main_text(f"<body>{body}<div class={name}><p>{LONG * 5}</p></div>", None) == f"Head\n{LONG.strip()}"
 
 
+def test_html_fourth_path_wins_its_host(spark):
+    def at(page):  # the common container comes fourth, after three blocks of the page's own
+        return "<body>" + "".join(f"<div class='own-{c}{'abc'[k]}'><div><p>{'x' * n}</p></div></div>" for k, (c, n) in enumerate(((page, 43), (page, 42), (page, 41)))) + "<div class=text><div><p>" + "y" * 40 + "</p></div></div></body>"
+
+    pages = [("h", at(c)) for c in "pqrstu"]
+    assert all([p for p, _ in html_extract.votes(s)].index("body>div.text>div") >= 3 for _, s in pages)
+    assert html_extract.host_paths(spark.createDataFrame(pages, "host string, html string")).collect()[0].path == "body>div.text>div"
+
+
 def test_html_leaves_what_lies_beside_the_container():
     beside = "<div class=x><p>Another text.</p></div>"
     for body in (f"<article><p>{LONG}</p></article>", f"<div id=post><h2>Head</h2><p>{LONG}</p></div>"):
