@@ -4,8 +4,8 @@ A document is a bag of passages of ``PASSAGE_WORDS`` words, the whole text over.
 classes, word lengths and repetition, and encoded by a small network. Gated attention weighs the passages; the weighted mean
 of their codes is the document's representation, which a logistic layer scores. Only document labels are learnt from.
 
-The fit takes a bounded sample of labelled documents (``TRAIN_DOCS``, by a hash of the id; of at most ``TRAIN_PASSAGES``
-passages each) and runs on the driver in a few seconds; scoring is one pass over the texts in Arrow batches.
+The fit takes a bounded sample of labelled documents (``TRAIN_DOCS``, by a hash of the id; of longer ones than
+``TRAIN_PASSAGES`` passages so many, evenly spaced from the first to the last) and runs on the driver in a few seconds; scoring is one pass over the texts in Arrow batches.
 
 Edge cases: null and empty texts are one passage of zeros and get a score; labels that are null, or whose id is null, are
 not learnt from, and of repeated labels the largest counts; without labels of both kinds every score is the share of label 1
@@ -71,6 +71,11 @@ def passages(text: str | None) -> np.ndarray:
     return out
 
 
+def spaced(rows: np.ndarray, most: int = TRAIN_PASSAGES) -> np.ndarray:
+    """``rows``, or ``most`` of them at even distances, the first and the last among them."""
+    return rows if len(rows) <= most else rows[np.linspace(0, len(rows) - 1, most).round().astype(np.int64)]
+
+
 class Bags:
     """Passages of many documents in one array, with the first row of each."""
 
@@ -151,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(i, y, f.tobytes()) for i, y, t in zip(*(c.to_pylist() for c in b.columns), strict=True) if len(f := passages(t)) <= TRAIN_PASSAGES]
+            found = [(i, y, spaced(passages(t)).tobytes()) for i, y, t in zip(*(c.to_pylist() for c in b.columns), strict=True)]
             i, y, f = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(y, pa.int32()), pa.array(f, pa.binary())], names=["doc_id", "y", "f"])
 

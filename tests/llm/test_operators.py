@@ -477,6 +477,17 @@ def test_classifier(spark, docs, none):
     assert quality_classifier.accepted(docs, labels).columns == docs.columns
 
 
+def test_classifier_learns_from_long_documents(spark):
+    n = quality_classifier.PASSAGE_WORDS * (quality_classifier.TRAIN_PASSAGES + 50)
+    frame = spark.createDataFrame([(1, "plain words " * (n // 2)), (2, "## || " * (n // 2))], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    model = quality_classifier.fit(frame, labels, F.lit(True))
+    good, bad = (r.score for r in quality_classifier.score(frame, model).orderBy("doc_id").collect())
+    assert good > 0.5 > bad
+    rows = np.arange(1001)[:, None]
+    assert quality_classifier.spaced(rows, 11)[:, 0].tolist() == list(range(0, 1001, 100)) and quality_classifier.spaced(rows, 1001) is rows
+
+
 def test_attention_gradient():
     rng = np.random.default_rng(0)
     bags = [rng.normal(size=(n, quality_classifier.WIDTH)) for n in (1, 3, 2, 4)]
