@@ -126,6 +126,12 @@ def union_by_source(spark, d):
     return a.unionByName(table(spark, d, "lineitem").where("l_quantity = 50").select(F.lit("b").alias("source"), F.col("l_orderkey").alias("k")))
 
 
+@query("SELECT 'a' AS source, o_orderkey AS k FROM orders UNION ALL SELECT 'b', l_orderkey FROM lineitem")
+def all_by_source(spark, d):
+    a = table(spark, d, "orders").select(F.lit("a").alias("source"), F.col("o_orderkey").alias("k"))
+    return a.unionByName(table(spark, d, "lineitem").select(F.lit("b").alias("source"), F.col("l_orderkey").alias("k")))
+
+
 def _years(spark, d):
     o = table(spark, d, "orders").withColumn("y", F.year("o_orderdate"))
     return (o.where(F.col("y") == y).select(F.col("o_custkey").alias("k")) for y in (1996, 1997))

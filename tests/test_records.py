@@ -177,3 +177,11 @@ def test_oracles(spark, sf):
         assert sorted(got.columns) == sorted(want.columns), name
         assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall()), name
     assert entry.entry(spark).count() > 0
+
+
+def test_union_of_whole_tables(spark, sf):
+    from quillmap.queries import all_by_source
+
+    got = {r.source: (r["count"], r.total) for r in all_by_source(spark, sf).groupBy("source").agg(F.count("*").alias("count"), F.sum("k").alias("total")).collect()}
+    tables = (("a", "orders", "o_orderkey"), ("b", "lineitem", "l_orderkey"))
+    assert got == {n: tuple(spark.read.parquet(f"{sf}/{t}.parquet").agg(F.count("*"), F.sum(k)).collect()[0]) for n, t, k in tables}
