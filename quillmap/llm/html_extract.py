@@ -2,26 +2,33 @@
 
 1. Each page's containers are scored on their own: text of the paragraphs below, full for the parent and half for the one
    above, link text counted against it. Lists and tables are no containers, but parts of the one around them. A container is
-   widened to the outermost article around it, else to the nearest main, else to the highest element below body with
+   widened to the outermost article around it, else to the nearest main; on pages without these, to the lowest element that
+   holds ``MOST_TEXT`` of the page's, so that sections side by side come together, else to the highest element below body with
    paragraphs or headings of its own, and to a body with such text where no element holds half of the page's. All
    containers of positive score vote for their generalised path, which is the chain of tags and classes with numbers blanked.
 2. Spark sums the votes by (host, path), with map-side sums, and takes the best path of each host.
-3. Every page is read again, and the text of the elements on the winning path is taken, widened likewise; a page that has no such element
-   falls back on its own best container.
+3. Every page is read again, and the text of the elements on the winning path is taken, widened as far as an article, a main
+   or text beside it tells; a page that has no such element, or no text there, falls back on its own best container. A
+   headline (h1) in front of the text comes along where the text holds none.
 
 Boilerplate never counts nor comes out, on the path or below it: menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and reader comments, told by tag, role or the words of class and id. Words alone do not drop an element with
 most of the page's text if it is, or holds, an article or main; on pages without these, an element that is named by words of
 layout only and holds an h1, if there is one. Words of comments and adverts are overruled by an article with an h1 only. Nor
-do words of a header inside an article: there headings stay, as in a header element.
+do words of a header inside an article: there headings stay, as in a header element. A form is dropped like an element named
+by words, as some sites put the whole page into one. Where words drop all of a page's text, they are not looked at.
+
+A page is read once, from left to right, in time proportional to its length: open elements are found by tag, not by search,
+and the path of a deep element is a digest and its last steps, of ``PATH_CHARS`` at most.
 
 Edge cases: null and empty html give an empty text; pages without a host share one group; broken markup (open tags,
-stray ends, cut files) is closed as browsers do; repeated rows are extracted alike and all vote; equal votes go to the path
-first in order; an empty table gives an empty result; extra columns are ignored.
+stray ends, cut files) is closed as browsers do, and a tag that the file's end cuts is no text; repeated rows are extracted
+alike and all vote; equal votes go to the path first in order; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -41,7 +48,7 @@ LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption c
 PARTS = frozenset("ul ol menu dl table caption colgroup thead tbody tfoot tr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 # Boilerplate by element, role and word of a class or id.
-DROP_TAGS = frozenset("head nav header footer aside form script style noscript template iframe noembed noframes object embed svg canvas button select option textarea input dialog menu title audio video map".split())
+DROP_TAGS = frozenset("head nav header footer aside script style noscript template iframe noembed noframes object embed svg canvas button select option textarea input dialog menu title audio video map".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 DROP_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense adslot adbox banner banners promo promos promotion promoted sponsor sponsored sponsors "
@@ -53,83 +60,119 @@ HEADER_WORDS = frozenset("header masthead".split())
 LAYOUT_WORDS = HEADER_WORDS | frozenset("sidebar aside widget widgets rail nav navbar navigation menu menus breadcrumb breadcrumbs footer topbar toolbar".split())
 COMMENT_WORDS = frozenset("comment comments commentlist reply replies ad ads advert sponsored promo promoted related".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+#: Share of the page's shown text that the lowest common container of its sections holds.
+MOST_TEXT = 5 / 6
+#: Longest path that is written out; of longer ones the front is a digest.
+PATH_CHARS = 400
+
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_TAG_REST = re.compile(r"(?:[^>=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|=(?!\s*[\"']))*+>")
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _NEGATED = re.compile(r"^(?:no|has|with|without|not|is)[-_]", re.I)
 _NUMBER = re.compile(r"\d+")
 _GAP = re.compile(r"\s+")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in RAW}
+# Tags that end an open element of the first set, unless one of the second set lies between.
+IMPLIED = {name: (own, bar) for own, bar in (("li", "ul ol menu"), ("dt dd", "dl"), ("tr", "table"), ("td th", "tr table"), ("option", "select"), ("a", "")) for name in own.split()}
+
+
+def tokens(s: str) -> Iterator[tuple[str, str, str]]:
+    """``kind, name or text, attributes`` in order; kind is ``text``, ``open`` or ``close``. Each character is read a bounded number of times."""
+    at, text, last, quoted = 0, 0, s.rfind(">"), True
+    while (at := s.find("<", at)) >= 0:
+        follow = s[at + 1 : at + 2]
+        closing = follow == "/"
+        m = _NAME.match(s, at + 1 + closing)
+        if not m and not closing and follow not in ("!", "?"):
+            at += 1
+            continue
+        if at > text:
+            yield "text", s[text:at], ""
+        if at > last and not s.startswith("<!--", at):
+            return  # the file ends inside this tag
+        if m:
+            rest = _TAG_REST.match(s, m.end()) if quoted else None
+            quoted = rest is not None  # after a quote without end, tags end at the next bracket
+            end = rest.end() if rest else s.index(">", m.end()) + 1 if m.end() <= last else len(s)
+            name = m[0].lower()
+            yield "close" if closing else "open", name, s[m.end() : end - 1]
+            if name in RAW and not closing:
+                over = _RAW_END[name].search(s, end)
+                end = over.end() if over else len(s)
+        elif s.startswith("<!--", at):
+            end = s.find("-->", at + 2) + 3
+            end = end if end > 2 else len(s)
+        elif s.startswith("<![CDATA[", at):
+            end = s.find("]]>", at) + 3
+            end = end if end > 2 else len(s)
+        else:
+            end = s.index(">", at) + 1
+        at = text = end
+    if text < len(s):
+        yield "text", s[text:], ""
 
 
 class Page:
-    """The elements and text runs of one page, in order."""
+    """The elements and text runs of one page, in order; with ``words`` false, words of classes and ids drop nothing."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, words: bool = True):
         self.parent, self.tag, self.path = [-1], ["#"], [""]
         self.dropped, self.article, self.banner, self.heading = [False], [False], [False], [False]
+        self.box = [0]  # the container that text right in an element counts for
         self.words: dict[int, set[str]] = {}  # the words by which alone an element is dropped
         self.barred = [False]  # dropped itself by tag, role or style
         self.runs: list[tuple[int, int, str, bool]] = []  # element, block, text, inside a link
+        self.by_words = words
         self._read(source)
         if self.words:
             self._spare()
 
     def _read(self, s: str) -> None:
-        stack, at, block, links = [0], 0, 0, 0
-        while True:
-            m = _TOKEN.search(s, at)
-            text = s[at : m.start() if m else len(s)]
-            if text:
-                self.runs.append((stack[-1], block, text, links > 0))
-            if not m:
-                return
-            at = m.end()
-            name = m[2] or m[5]
-            if not name:
+        stack, block = [0], 0
+        places: dict[str, list[int]] = {}  # where in the stack each tag is open
+        blocks: list[int] = []  # the same for all elements that are not inline
+
+        def cut(depth: int) -> None:
+            while len(stack) > depth:
+                name = self.tag[stack.pop()]
+                places[name].pop()
+                if name not in INLINE:
+                    blocks.pop()
+
+        def open_at(names: str) -> int:
+            return max((places[n][-1] for n in names.split() if places.get(n)), default=0)
+
+        for kind, name, attrs in tokens(s):
+            if kind == "text":
+                self.runs.append((stack[-1], block, name, bool(places.get("a"))))
                 continue
-            name, closing, attrs = name.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
-            if closing:
-                depth = next((k for k in range(len(stack) - 1, 0, -1) if self.tag[stack[k]] == name), 0)
-                if name in INLINE and depth and any(self.tag[x] not in INLINE for x in stack[depth + 1 :]):
-                    depth = 0  # an inline end does not close blocks
-                if depth:
-                    links -= sum(self.tag[x] == "a" for x in stack[depth:])
-                    del stack[depth:]
+            if kind == "close":
+                depth = open_at(name)
+                if depth and not (name in INLINE and blocks and blocks[-1] > depth):  # an inline end does not close blocks
+                    cut(depth)
                 if name not in INLINE:
                     block += 1
                 continue
             if name == "br":
                 self.runs.append((stack[-1], block, " ", False))
                 continue
-            cut = self._implied(stack, name)
-            if cut:
-                links -= sum(self.tag[x] == "a" for x in stack[cut:])
-                del stack[cut:]
+            if name in CLOSES_P and places.get("p"):
+                cut(places["p"][-1])
+            elif name in IMPLIED:
+                own, bar = IMPLIED[name]
+                depth = open_at(own)
+                if depth > (open_at(bar) if bar else blocks[-1] if blocks else 0):
+                    cut(depth)
             if name not in INLINE:
                 block += 1
             node = self._add(stack[-1], name, attrs)
-            if name in VOID or attrs.endswith("/") and name in ("svg", "path", "use"):
-                continue
-            if name in RAW:
-                end = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(s, at)
-                at = end.end() if end else len(s)
+            if name in VOID or name in RAW or attrs.endswith("/") and name in ("svg", "path", "use"):
                 continue
+            places.setdefault(name, []).append(len(stack))
+            if name not in INLINE:
+                blocks.append(len(stack))
             stack.append(node)
-            links += name == "a"
-
-    def _implied(self, stack: list[int], name: str) -> int:
-        """Where the stack is cut before ``name`` opens."""
-        tags = [self.tag[x] for x in stack]
-        if name in CLOSES_P and "p" in tags:
-            return len(tags) - 1 - tags[::-1].index("p")
-        for own, bar in (({"li"}, {"ul", "ol", "menu"}), ({"dt", "dd"}, {"dl"}), ({"tr"}, {"table"}), ({"td", "th"}, {"tr", "table"}), ({"option"}, {"select"}), ({"a"}, CLOSES_P)):
-            if name in own:
-                for k in range(len(tags) - 1, 0, -1):
-                    if tags[k] in own:
-                        return k
-                    if tags[k] in bar:
-                        return 0
-        return 0
 
     def _add(self, parent: int, name: str, attrs: str) -> int:
         found = {}
@@ -139,7 +182,9 @@ class Page:
         classes = found.get("class", "").split()
         words = {w.lower() for c in [*classes, found.get("id", "")] if not _NEGATED.match(c) for w in _WORDS.findall(c)}
         drop = name in DROP_TAGS or found.get("role", "").lower() in DROP_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-        bad = words & (COMMENT_WORDS if name == "article" else DROP_WORDS) if name not in ("html", "body", "main") else set()
+        bad = words & (COMMENT_WORDS if name == "article" else DROP_WORDS) if self.by_words and name not in ("html", "body", "main") else set()
+        if self.by_words and name == "form":
+            bad.add("form")
         article = self.article[parent] or name in ("article", "main")
         banner = name == "header"
         if banner and article:
@@ -150,8 +195,10 @@ class Page:
             self.words[len(self.parent)] = bad
         self.parent.append(parent)
         self.tag.append(name)
+        self.box.append(self.box[parent] if name in INLINE or name in LEAF or name in PARTS else len(self.parent) - 1)
         key = name + "".join("." + _NUMBER.sub("#", c.lower()) for c in sorted(set(classes)))
-        self.path.append(f"{self.path[parent]}>{key}" if parent else key)
+        path = f"{self.path[parent]}>{key}" if parent else key
+        self.path.append(path if len(path) <= PATH_CHARS else "~" + hashlib.blake2b(path.encode("utf-8", "replace"), digest_size=16).hexdigest())
         self.barred.append(drop)
         self.dropped.append(self.dropped[parent] or drop or bool(bad))
         self.article.append(article)
@@ -197,16 +244,19 @@ class Page:
         for node, _, text, link in self.runs:
             if not self.shown(node) or not (n := len(text) - text.count(" ")) or text.isspace():
                 continue
-            while node > 0 and self.tag[node] in INLINE:
-                node = self.parent[node]
-            box = self.parent[node] if self.tag[node] in LEAF and self.parent[node] >= 0 else node
-            while box > 0 and (self.tag[box] in LEAF or self.tag[box] in PARTS):
-                box = self.parent[box]
+            box = self.box[node]
             credit[box] = credit.get(box, 0) + (-2 * n if link else 2 * n)
         return credit
 
-    def _widened(self, credit: dict[int, int]) -> list[int]:
-        """For each element the one that it is widened to, as far as an article, a main or text beside it tells."""
+    def _common(self, credit: dict[int, int]) -> int:
+        """The lowest element that holds most of the page's text."""
+        held = [max(0, credit.get(k, 0)) for k in range(len(self.parent))]
+        for k in range(len(held) - 1, 0, -1):
+            held[self.parent[k]] += held[k]
+        return max(k for k, n in enumerate(held) if n > MOST_TEXT * held[0] or k == 0)
+
+    def _widened(self, credit: dict[int, int], common: bool) -> list[int]:
+        """For each element the one that it is widened to, as far as an article, a main or text beside it tells; with ``common``, sections side by side too."""
         size = len(self.parent)
         article, main, high = [0] * size, [0] * size, [0] * size
         for k in range(1, size):
@@ -215,6 +265,13 @@ class Page:
             main[k] = k if name == "main" else main[up]
             high[k] = high[up] or (k if credit.get(k, 0) > 0 and name not in ("html", "body") else 0)
         wide = [article[k] or main[k] or high[k] or k for k in range(size)]
+        if common and not any(n > 0 and (article[k] or main[k]) for k, n in credit.items()):
+            top = self._common(credit)
+            below = [k == top for k in range(size)]
+            for k in range(1, size):
+                below[k] = below[k] or below[self.parent[k]]
+                if below[k] and not (high[top] and high[top] < top):
+                    wide[k] = top
         body = next((k for k, n in credit.items() if n > 0 and self.tag[k] in ("#", "html", "body")), None)
         if body is not None:
             held: dict[int, int] = {}
@@ -232,7 +289,7 @@ class Page:
     def scores(self) -> dict[str, int]:
         """A score for each generalised path of widened containers with text."""
         credit = self._credit()
-        wide = self._widened(credit)
+        wide = self._widened(credit, True)
         paths: dict[str, int] = {}
         for node, n in credit.items():
             for k, m in ((node, n), (self.parent[node], n // 2))[: 2 if node > 0 else 1]:
@@ -244,18 +301,30 @@ class Page:
         found = self.scores()
         return min(found, key=lambda p: (-found[p], p)) if found else None
 
-    def text(self, path: str) -> str:
-        """The blocks of all elements on ``path``, widened, boilerplate left out."""
-        wide = self._widened(self._credit())
+    def text(self, path: str, own: bool = False) -> str:
+        """The blocks of all elements on ``path``, widened, boilerplate left out; ``own`` says that the page itself has chosen the path."""
+        wide = self._widened(self._credit(), own)
         tops = {wide[k] for k, p in enumerate(self.path) if p == path and not self.dropped[k]}
-        inside = [False] * len(self.parent)
-        for k in range(len(self.parent)):
+        size = len(self.parent)
+        inside, headline = [False] * size, [0] * size
+        for k in range(size):
             inside[k] = self.parent[k] >= 0 and inside[self.parent[k]] or k in tops
+            headline[k] = k if self.tag[k] == "h1" else headline[self.parent[k]] if k else 0
         blocks: dict[int, list[str]] = {}
+        before, has = {}, False
         for node, block, text, _ in self.runs:
-            if inside[node] and self.shown(node):
+            if not self.shown(node):
+                continue
+            if inside[node]:
+                has = has or headline[node] > 0
                 blocks.setdefault(block, []).append(entities.unescape(text))
-        return "\n".join(t for b in blocks.values() if (t := _GAP.sub(" ", "".join(b)).strip()))
+            elif headline[node] and not blocks and not self.article[node]:
+                before = before if before.keys() == {headline[node]} else {headline[node]: []}
+                before[headline[node]].append(entities.unescape(text))
+        found = [t for b in blocks.values() if (t := _GAP.sub(" ", "".join(b)).strip())]
+        if found and not has:
+            found = [t for b in before.values() if (t := _GAP.sub(" ", "".join(b)).strip())] + found
+        return "\n".join(found)
 
     def has(self, path: str) -> bool:
         return any(p == path and not self.dropped[n] for n, p in enumerate(self.path))
@@ -263,17 +332,24 @@ class Page:
 
 def votes(source: str | None) -> list[tuple[str, int]]:
     """The page's paths of positive score with votes of up to 1000, the best first."""
-    top = sorted(Page(source or "").scores().items(), key=lambda x: (-x[1], x[0]))
+    page = Page(source or "")
+    found = page.scores() or (Page(source or "", False).scores() if page.words else {})
+    top = sorted(found.items(), key=lambda x: (-x[1], x[0]))
     return [(p, 1000 * n // top[0][1]) for p, n in top]
 
 
 def main_text(source: str | None, path: str | None) -> str:
     """The text on the host's path; on the page's own best path where it has no such element or no text there."""
-    page = Page(source or "")
-    if path is not None and page.has(path) and (found := page.text(path)):
-        return found
-    own = page.best()
-    return page.text(own) if own is not None else ""
+    for words in (True, False):
+        page = Page(source or "", words)
+        if path is not None and page.has(path) and (found := page.text(path)):
+            return found
+        best = page.best()
+        if best is not None and (found := page.text(best, True)):
+            return found
+        if not page.words:  # nothing was dropped by words
+            return ""
+    return ""
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

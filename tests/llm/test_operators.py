@@ -413,11 +413,56 @@ def test_html_drops_by_words():
 
 def test_html_fourth_path_wins_its_host(spark):
     def at(page):  # the common container comes fourth, after three blocks of the page's own
-        return "<body>" + "".join(f"<div class='own-{c}{'abc'[k]}'><div><p>{'x' * n}</p></div></div>" for k, (c, n) in enumerate(((page, 43), (page, 42), (page, 41)))) + "<div class=text><div><p>" + "y" * 40 + "</p></div></div></body>"
+        return "<body>" + "".join(f"<article class='own-{c}{'abc'[k]}'><div><p>{'x' * n}</p></div></article>" for k, (c, n) in enumerate(((page, 43), (page, 42), (page, 41)))) + "<article class=text><div><p>" + "y" * 40 + "</p></div></article></body>"
 
     pages = [("h", at(c)) for c in "pqrstu"]
-    assert all([p for p, _ in html_extract.votes(s)].index("body>div.text>div") >= 3 for _, s in pages)
-    assert html_extract.host_paths(spark.createDataFrame(pages, "host string, html string")).collect()[0].path == "body>div.text>div"
+    assert all([p for p, _ in html_extract.votes(s)].index("body>article.text") >= 3 for _, s in pages)
+    assert html_extract.host_paths(spark.createDataFrame(pages, "host string, html string")).collect()[0].path == "body>article.text"
+
+
+LEAD, NEXT = "The lead of it.", "More of the same text, and a bit more. " * 6
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        "<article><div class=sec1>{a}</div><div class=other>{b}</div></article>",
+        "<article><p>The lead of it.</p><div class=wp-block-group>{a}{b}</div></article>",
+        "<div class=wrap><div class=sec1>{a}</div><div class=other>{b}</div></div>",
+        "<div class=sec1>{a}</div><div class=other>{b}</div>",
+        "<div class=elementor-widget-container><h1>Head</h1>{a}{b}</div>",
+        "<div class=content-sidebar-wrap>{a}{b}</div>",
+        "<div class='blog-post share-enabled'><h1>Head</h1>{a}{b}</div>",
+        "<div class='blog-post share-enabled'>{a}{b}</div>",
+        "<form id=aspnetForm><div><h1>Head</h1>{a}{b}</div></form>",
+        "<div class=title><h1>Head</h1></div><div class=text>{a}{b}</div>",
+    ],
+)
+def test_html_loses_no_part(body):
+    a, b = f"<p>{LONG}</p>" * 5, f"<p>{NEXT}</p>" * 3
+    got = html_extract.main_text(f"<body><nav><a href=/>menu</a></nav>{body.format(a=a, b=b)}<footer>x</footer>", None)
+    assert got == "\n".join([t for t in ("Head", LEAD) if t in body] + [LONG.strip()] * 5 + [NEXT.strip()] * 3)
+
+
+def test_html_is_linear():
+    import time
+
+    deep = "<div>" * 100_000 + "deep" + "</i>" * 100_000
+    cases = {"<a " * 350_000: "", "<!-- " * 200_000: "", "<script " * 100_000: "", "<p x='" * 100_000: "", deep: "deep", "<font>x" * 50_000: "x" * 50_000, "<p>x" * 50_000: "\n".join("x" * 50_000)}
+    for source, want in cases.items():
+        began = time.time()
+        assert html_extract.main_text(source, None) == want
+        assert time.time() - began < 20
+    assert all(len(p) <= html_extract.PATH_CHARS for p in html_extract.Page(deep).path)
+
+
+def test_html_vote_changes_a_page(spark):
+    story, other = "<div class=story><p>{}</p></div>", "<div class=latest><p>{}</p></div>"
+    pages = [(k, "http://h.example/", "<body>" + story.format(LONG * 3) + other.format(NEXT)) for k in range(5)]
+    odd = "<body>" + story.format("Short.") + other.format(LONG * 2)
+    frame = spark.createDataFrame([*pages, (9, "http://h.example/x", odd), (10, "http://else.example/", odd)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(frame).collect()}
+    assert got[9] == "Short." and got[10] == (LONG * 2).strip() and got[0] == (LONG * 3).strip()
 
 
 def test_html_leaves_what_lies_beside_the_container():
