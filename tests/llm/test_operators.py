@@ -458,7 +458,7 @@ def test_html_is_linear():
 
 def test_html_vote_changes_a_page(spark):
     story, other = "<div class=story><p>{}</p></div>", "<div class=latest><p>{}</p></div>"
-    pages = [(k, "http://h.example/", "<body>" + story.format(LONG * 3) + other.format(NEXT)) for k in range(5)]
+    pages = [(k, "http://h.example/", "<body>" + story.format(LONG * 3) + other.format(NEXT[:100])) for k in range(5)]
     odd = "<body>" + story.format("Short.") + other.format(LONG * 2)
     frame = spark.createDataFrame([*pages, (9, "http://h.example/x", odd), (10, "http://else.example/", odd)], "page_id long, url string, html string")
     got = {r.page_id: r.text for r in html_extract.extract(frame).collect()}
