@@ -7,8 +7,9 @@ own, each at most once while a worker remembers it, and the results are concaten
 is encoded without the word-end mark; for that the vocabulary's marked tokens are renamed so that the mark is part of the
 last byte.
 
-Kept as the tokenizers library has it: composed characters (NFC), lower case by single characters, special tokens found in
-the raw text, decoding by the vocabulary's own rule (tokens joined by one space where it names no decoder).
+Kept as the tokenizers library has it: its own normalisers compose characters and lower their case and its own splitter finds
+the words of text beyond ASCII, so both sides read one Unicode table; special tokens are found in the raw text; decoding is by the vocabulary's own rule (tokens joined by one space
+where it names no decoder). Vocabularies of other rules, added tokens among them, are refused.
 
 Edge cases: null counts as empty and gives no ids; texts of any length are encoded whole; rows are independent, so repeats
 and ties need no rule; an empty table gives an empty result; extra columns are ignored.
@@ -17,13 +18,14 @@ and ties need no rule; an empty table gives an empty result; extra columns are i
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import os
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -49,7 +51,7 @@ class ForcedBoundaryBpe:
 
     def __init__(self, spec: str, special_as_text: bool = False, cache: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer, models, pre_tokenizers
+        from tokenizers import Regex, Tokenizer, models, normalizers, pre_tokenizers
 
         spec = json.loads(spec)
         model, self.mark = spec["model"], spec["model"].get("end_of_word_suffix") or ""
@@ -57,8 +59,13 @@ class ForcedBoundaryBpe:
         norms = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [spec["normalizer"]] if spec.get("normalizer") else [])]
         if model["type"] != "BPE" or "ByteLevel" not in parts or "Split" not in parts or set(norms) - {"NFC", "Replace", "Lowercase"} or spec.get("decoder") or spec.get("post_processor") or not self.mark:
             raise ValueError("not a vocabulary of the supported kind")
-        self.words = regex.compile("\\n|" + parts["Split"]["pattern"]["Regex"])
-        self.nfc, self.lower = "NFC" in norms, "Lowercase" in norms
+        if any(t.get(flag) for t in spec["added_tokens"] for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens are found as they stand in the raw text, with no other rule")
+        pattern = "\\n|" + parts["Split"]["pattern"]["Regex"]
+        self.ascii_words, self.splitter = regex.compile(pattern), pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
+        kinds = {"NFC": normalizers.NFC, "Lowercase": normalizers.Lowercase}
+        self.lower = "Lowercase" in norms
+        self.normaliser = normalizers.Sequence([kinds[n]() for n in norms if n in kinds])
         chars = byte_chars()
         byte_of = {c: b for b, c in enumerate(chars)}
         marked = [chr(0xE000 + b) for b in range(256)]
@@ -89,7 +96,7 @@ class ForcedBoundaryBpe:
     def split(self, text: str) -> list[str]:
         """White-space pieces, with special tokens as pieces of their own."""
         cut = _SPLIT.split if _ODD_SPACE.search(text) else str.split
-        if self.special_split and "<" in text:
+        if any(t in text for t in self.special):
             return [p for k, part in enumerate(self.special_split.split(text)) for p in ([part] if k % 2 else cut(part)) if p]
         return [p for p in cut(text) if p] if cut is not str.split else text.split()
 
@@ -102,6 +109,10 @@ class ForcedBoundaryBpe:
                 at = k
         return [*out, raw[at:]]
 
+    def other_words(self, joined: str) -> list[str]:
+        """The words of text beyond ASCII, and the line ends between them, by the library."""
+        return [w for w, _ in self.splitter.pre_tokenize_str(self.normaliser.normalize_str(joined))]
+
     def learn(self, pieces: set[str]) -> None:
         """Encode the white-space pieces not yet known and remember each one's ids and tokens, as text."""
         if len(self.cache) + len(pieces) > self.most:  # what this run holds stays, so frequent pieces outlive rare ones
@@ -112,12 +123,12 @@ class ForcedBoundaryBpe:
         new = [p for p in new if p not in self.special]
         if not new:
             return
-        joined = "\n".join(new)  # no word, no cut and no character of NFC reaches across the line ends
-        if self.nfc and not unicodedata.is_normalized("NFC", joined):
-            joined = unicodedata.normalize("NFC", joined)
-        if self.lower:
-            joined = joined.replace("Σ", "σ").lower()
-        found = self.words.findall(joined)
+        new = sorted(new, key=str.isascii)
+        found = []
+        for ascii_only, some in itertools.groupby(new, str.isascii):  # no word, no cut and no character of NFC reaches across the line ends
+            joined = "\n".join(some)
+            found += ["\n"] if found else []
+            found += self.ascii_words.findall(joined.lower() if self.lower else joined) if ascii_only else self.other_words(joined)
         words = set(found)
         if len(self.known) + len(words) > self.most:
             self.known = {w: self.known[w] for w in words if w in self.known}
@@ -253,15 +264,21 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
 
 def decoded(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
-    """``rows`` with a column ``decoded``: the text that the ids stand for; null ids give null."""
+    """``rows`` with a column ``decoded``: the text that the ids stand for.
+
+    A null list gives null; null ids and ids beyond the vocabulary stand for nothing, as in the library.
+    """
     prepare(rows.sparkSession)
     spec = json.loads(vocabulary(path))
     tokens = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
-    shared = rows.sparkSession.sparkContext.broadcast(tokens)
+    table = [tokens.get(i) for i in range(max(tokens) + 1)]
+    shared = rows.sparkSession.sparkContext.broadcast(table)  # one entry for each id of the vocabulary
 
     @F.pandas_udf("string")
     def text(ids):
-        known = shared.value
-        return ids.map(lambda x: None if x is None else " ".join(known[i] for i in x))
+        known, out = shared.value, []
+        for x in ids:
+            out.append(None if x is None else " ".join([t for i in x if i == i and i is not None and 0 <= i < len(known) and (t := known[int(i)]) is not None]))
+        return pd.Series(out, dtype=object)
 
     return rows.withColumn("decoded", text(F.col(ids_col)))

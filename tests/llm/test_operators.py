@@ -182,6 +182,31 @@ def test_bpe_like_the_library(docs, none, table):
     assert bpe.digests(none, VOCABULARY).count() == 0
 
 
+def test_bpe_every_character():
+    from tokenizers import Tokenizer
+
+    t, b = Tokenizer.from_file(VOCABULARY), bpe.ForcedBoundaryBpe(bpe.vocabulary(VOCABULARY))
+    chars = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    for text in ([f"a{c}B" for c in chars], [f"{c} {c}{c}" for c in chars]):
+        for at in range(0, len(text), 20_000):
+            some = text[at : at + 20_000]
+            got = [b.split(x) for x in some]
+            b.learn(set().union(*got))
+            want = t.encode_batch(some, add_special_tokens=False)
+            assert [x for x, p, e in zip(some, got, want, strict=True) if b.numbers(p).tolist() != e.ids] == []
+
+
+def test_bpe_refuses_other_rules():
+    spec = json.loads(bpe.vocabulary(VOCABULARY))
+    for flag in ("lstrip", "rstrip", "single_word", "normalized"):
+        spec["added_tokens"][0][flag] = True
+        with pytest.raises(ValueError):
+            bpe.ForcedBoundaryBpe(json.dumps(spec))
+        spec["added_tokens"][0][flag] = False
+    spec["added_tokens"].append(spec["added_tokens"][0] | {"content": "[END]", "id": 49408})
+    assert 49408 in bpe.ForcedBoundaryBpe(json.dumps(spec)).encode("x[END]y")
+
+
 def test_bpe_round_trip(docs):
     from tokenizers import Tokenizer
 
@@ -190,6 +215,9 @@ def test_bpe_round_trip(docs):
     assert len(got) == len(TEXTS)
     for r in got:
         assert r.n_tokens == len(r.ids) and r.decoded == t.decode(r.ids, skip_special_tokens=False)
+    odd = docs.sparkSession.createDataFrame([(1, [5, 99_999, 7]), (2, None), (3, []), (4, [5, None, 7]), (5, [-1])], "k int, ids array<int>")
+    back = {r.k: r.decoded for r in bpe.decoded(odd, VOCABULARY).collect()}
+    assert back == {1: t.decode([5, 99_999, 7]), 2: None, 3: "", 4: t.decode([5, 7]), 5: ""}
 
 
 def test_forced_cuts_are_certain():
