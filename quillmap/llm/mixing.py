@@ -1,20 +1,27 @@
 """Mixing sources to target weights.
 
-1. Every source's words, in the order of a hash bucket and the id, form one stream, packed into blocks of ``BLOCK_WORDS``.
-   A document's place in its stream is a prefix sum: sums per (source, bucket), offsets over buckets, then a window inside
-   one bucket. Buckets are a few thousand rows, so a hot source is spread over tasks like any other.
-2. The driver turns the totals per source (one row for each source) into targets, and draws for every output shard how
-   many of its slots each source gets: a multinomial draw from what each source still has to give. Totals so meet the
-   targets exactly, whatever single shards draw.
-3. Slot ``j`` of a source of ``n`` blocks is pass ``j div n`` at ``j mod n``; a Feistel permutation of ``0 .. n-1``, keyed by
-   source and pass, names the block. So no block comes more often than once in a pass, nor more than three times in all.
+1. Every source's words, in the order of a hash bucket, the id and a hash of the row, form one stream, packed into blocks of
+   ``BLOCK_WORDS``. A document's place in its stream is a prefix sum in two levels: sums per (source, bucket), offsets over
+   runs of buckets, then a window inside one bucket. Rows that are alike in all that matters are one row with a count until
+   their places are known. Buckets are about a thousand rows, so a hot source or id is spread over tasks like any other.
+2. Every output shard of ``SHARD_SLOTS`` slots draws how many of them each source gets: a multinomial draw whose weights
+   are the targets. Shards come in groups of ``GROUP_SHARDS``; inside a group the weights of a draw are what the group still
+   owes each source, so that chance of one shard is answered by the next and a group misses its share by the chance of a
+   single shard. Groups are drawn apart, in tasks of their own. What a source gives is the sum of its draws, no more and no
+   less: over G groups it comes within about ``sqrt(G * SHARD_SLOTS * p)`` blocks of its target, for a share ``p``.
+3. The draws of a source, numbered by prefix sums over groups, go through its blocks: draw ``j`` of a source of ``n`` blocks
+   is pass ``j div n`` at ``j mod n``; a Feistel permutation of ``0 .. n-1``, keyed by source and pass, names the block. So
+   no block comes more often than once in a pass, nor more than three times in all; a slot that would need a fourth pass
+   stays empty. Inside its shard every slot has a pseudorandom place.
 4. Blocks join the documents they hold by source and block index.
 
-Everything is keyed by ids and a seed, so reruns agree whatever the partitioning.
+Everything is keyed by ids, texts and a seed, so reruns agree whatever the partitioning. One row for each source passes
+through the driver, and a task that draws holds one number for each source; nothing else is collected.
 
-Edge cases: null and empty texts have size 0 and are never taken; a null source is one source, last in order; repeated
-rows each have their own place; a table without words has targets of 0; an empty table gives an empty result; extra columns
-are ignored by ``mix`` and replaced by those of documents in ``mixed_documents``.
+Edge cases: null and empty texts have size 0 and are never taken; a null source is one source, last in order; null ids and
+repeated ids are told apart by their texts; repeated rows each have their own place; a table without words has targets of 0;
+an empty table gives an empty result; extra columns are ignored by ``mix`` and replaced by those of documents in
+``mixed_documents``.
 """
 
 from __future__ import annotations
@@ -29,20 +36,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmap.llm.runtime import WORD, prepare, release
-from quillmap.plans.storage import keep
+from quillmap.plans.storage import keep, small
 
-#: Words in a block, slots in an output shard, rows in a bucket, passes that a source may give at most.
-BLOCK_WORDS = 256
-SHARD_SLOTS = 4096
-BUCKET_ROWS = 4000
+#: Words in a block, slots in an output shard, shards in a group, rows in a bucket, passes that a source may give at most.
+BLOCK_WORDS = 64
+SHARD_SLOTS = 256
+GROUP_SHARDS = 64
+BUCKET_ROWS = 1000
 MOST_PASSES = 3
-#: More shards than this and each gets more slots instead, so that the driver's table stays small.
-MOST_SHARDS = 20_000
-#: The same for the driver's table as a whole, of shards times sources.
-MOST_CELLS = 500_000
-#: Sources are few; a column with more values than this is no source column and is refused.
-MOST_SOURCES = 100_000
 WEIGHTS = (1.0, 2.0, 3.0)
+#: Buckets, or groups, in one run of the two-level prefix sums; groups drawn by one task.
+RUN = 1000
+TASK_GROUPS = 4
 
 
 def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = WEIGHTS, most: int = MOST_PASSES) -> dict[str | None, float]:
@@ -63,18 +68,17 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = WE
     return fixed
 
 
-def draw_shards(quota: np.ndarray, shard_slots: int, seed: int) -> np.ndarray:
-    """Slots per (shard, source): multinomial draws by what is left, never more than is left; rows add up to the quota."""
-    rng, left, rows = np.random.default_rng(seed), quota.astype(np.int64).copy(), []
-    while left.sum() > 0:
-        need, got = int(min(shard_slots, left.sum())), np.zeros_like(left)
-        while need > 0:
-            open_ = left - got
-            draw = np.minimum(rng.multinomial(need, open_ / open_.sum()), open_)
-            got, need = got + draw, need - int(draw.sum())
-        left -= got
-        rows.append(got)
-    return np.array(rows, dtype=np.int64).reshape(len(rows), len(quota))
+def draw_group(share: np.ndarray, group: int, n_slots: int, seed: int, shard_slots: int = SHARD_SLOTS, group_shards: int = GROUP_SHARDS) -> np.ndarray:
+    """Slots per (shard, source) of one group of shards; ``share`` adds up to 1, ``n_slots`` counts those of all groups."""
+    left = min(n_slots - group * group_shards * shard_slots, group_shards * shard_slots)
+    rng, owed, rows = np.random.default_rng([seed, group]), share * left, []
+    while left > 0:
+        n = min(shard_slots, left)
+        weight = np.maximum(owed, 0)
+        rows.append(rng.multinomial(n, weight / weight.sum()))
+        owed = owed - rows[-1]
+        left -= n
+    return np.array(rows, dtype=np.int64).reshape(len(rows), len(share))
 
 
 def permute(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -95,81 +99,139 @@ def permute(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _permuted(seed: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            source, slot, n = (b.column(k).to_numpy() for k in ("source_no", "slot", "n_blocks"))
-            key = (source.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)) ^ ((slot // n).astype(np.uint64) * np.uint64(0x94D049BB133111EB)) ^ np.uint64(seed)
-            yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("source_no"), b.column("slot"), pa.array(permute(slot % n, n, key))], names=["shard", "source_no", "slot", "block"])
+def block_keys(source_no: np.ndarray, turn: np.ndarray, seed: int) -> np.ndarray:
+    """The key of a source's permutation for each pass."""
+    return (source_no.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)) ^ (turn.astype(np.uint64) * np.uint64(0x94D049BB133111EB)) ^ np.uint64(seed)
 
-    return run
+
+def before(rows: DataFrame, group: str, order: str, value: str, run: int = RUN) -> DataFrame:
+    """``rows`` with ``before``: the sum of ``value`` over smaller ``order`` of the same ``group``, which it tells apart.
+
+    Sums over runs of ``run`` orders first, then a window inside each run, so that no task sees more of a group.
+    """
+    rows = rows.withColumn("__run", F.expr(f"{order} div {run}"))
+    far = rows.groupBy(group, "__run").agg(F.sum(value).alias("__sum"))
+    far = far.select(group, "__run", (F.sum("__sum").over(W.partitionBy(group).orderBy("__run")) - F.col("__sum")).alias("__far"))
+    near = F.sum(value).over(W.partitionBy(group, "__run").orderBy(order)) - F.col(value)
+    return rows.withColumn("__near", near).join(far, [group, "__run"]).withColumn("before", F.col("__near") + F.col("__far")).drop("__run", "__near", "__far")
 
 
 class Mix:
     """The parts of one mix: ``placed`` documents, ``slots`` of the output and the ``summary`` per source."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, block_words: int = BLOCK_WORDS, weights: tuple[float, ...] = WEIGHTS, carry: tuple[str, ...] = ()):
-        spark = docs.sparkSession
-        prepare(spark)
-        self.block_words = block_words
-        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"), *[F.col(c) for c in carry if c not in (id_col, source_col)])
-        totals = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()
-        if len(totals) > MOST_SOURCES:
-            raise ValueError(f"more than {MOST_SOURCES} sources")
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, block_words: int = BLOCK_WORDS, weights: tuple[float, ...] = WEIGHTS, carry: tuple[str, ...] = (), shard_slots: int = SHARD_SLOTS, group_shards: int = GROUP_SHARDS):
+        self.spark, self.seed, self.block_words, self.shard_slots, self.group_shards = docs.sparkSession, seed, block_words, shard_slots, group_shards
+        prepare(self.spark)
+        text = F.col(text_col).cast("string")
+        row_hash = F.xxhash64(F.col(id_col).cast("long"), text.isNull(), text, *[F.col(c) for c in carry])
+        keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), row_hash.alias("row_hash"), F.xxhash64(F.lit(1), text).alias("text_hash"), text.alias("text"), *[F.col(c) for c in carry if c not in (id_col, source_col, text_col)])
+        self.texts = keyed
+        size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+        rows = keep(keyed.select("doc_id", "source", "row_hash", "text_hash", size.alias("size")), "mix-sizes")
+        totals = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()  # one row for each source
         totals = sorted(((r["source"], r["size"], r["n"]) for r in totals), key=lambda x: (x[0] is None, x[0] or ""))
         want = targets([(s, n) for s, n, _ in totals], weights)
         self.summary = []
         for k, (s, n, _) in enumerate(totals):
             blocks = -(-n // block_words)
-            slots = min(MOST_PASSES * blocks, int(want[s] * blocks / n + 0.5)) if n else 0
-            self.summary.append((k, s, n, want[s], blocks, slots))
-        schema = "source_no long, source string, source_size long, target double, n_blocks long, slots long"
-        known = spark.createDataFrame(self.summary, schema) if self.summary else spark.createDataFrame([], schema)
-        known = F.broadcast(known)  # MOST_SOURCES rows at most
+            self.summary.append((k, s, n, want[s], blocks, want[s] * blocks / n if n else 0.0))
+        schema = "source_no long, source string, source_size long, target double, n_blocks long, slots double"
+        known = self.spark.createDataFrame(self.summary, schema) if self.summary else self.spark.createDataFrame([], schema)
+        known = small(known.select("source_no", "source", "source_size", "target"))
         buckets = max(1, -(-sum(n for *_, n in totals) // BUCKET_ROWS))
-        rows = rows.join(known.select("source_no", "source", "source_size", "target"), rows["source"].eqNullSafe(known["source"])).drop(known["source"])
-        rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
-        sums = rows.groupBy("source_no", "bucket").agg(F.sum("size").alias("bucket_size"))
-        offsets = sums.select("source_no", "bucket", (F.sum("bucket_size").over(W.partitionBy("source_no").orderBy("bucket")) - F.col("bucket_size")).alias("offset"))
-        inside = W.partitionBy("source_no", "bucket").orderBy("doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-        placed = rows.withColumn("upto", F.sum("size").over(inside)).join(F.broadcast(offsets) if buckets * len(totals) <= 50_000 else offsets, ["source_no", "bucket"])
-        placed = placed.withColumn("start", F.col("offset") + F.col("upto") - F.col("size")).drop("bucket", "offset", "upto")
-        self.placed = keep(placed, "placed")
-        self.slots = self._slots(spark, seed)
-
-    def _slots(self, spark, seed: int) -> DataFrame:
-        """``shard, source_no, slot, block``: one row for each block of the output."""
-        quota = np.array([x[5] for x in self.summary], dtype=np.int64)
-        most = max(1, min(MOST_SHARDS, MOST_CELLS // max(1, len(quota))))
-        size = max(SHARD_SLOTS, -(-int(quota.sum()) // most))
-        drawn = draw_shards(quota, size, seed)
-        first = np.cumsum(drawn, axis=0) - drawn
-        plan = [(int(i), int(k), int(first[i, k]), int(drawn[i, k]), int(self.summary[k][4])) for i, k in zip(*np.nonzero(drawn))]
-        plan = spark.createDataFrame(plan, "shard long, source_no long, first long, n long, n_blocks long")
-        slots = plan.repartition("shard", "source_no").select("shard", "source_no", F.explode(F.expr("sequence(first, first + n - 1)")).alias("slot"), "n_blocks")
-        return slots.mapInArrow(_permuted(seed), "shard long, source_no long, slot long, block long")
+        rows = rows.join(known, rows["source"].eqNullSafe(known["source"])).drop(known["source"])
+        rows = rows.groupBy("source_no", "doc_id", "row_hash", "text_hash", "size").agg(F.count(F.lit(1)).alias("copies"), F.first("source").alias("source"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
+        rows = rows.withColumn("bucket", F.pmod("row_hash", F.lit(buckets)))
+        inside = W.partitionBy("source_no", "bucket").orderBy("doc_id", "row_hash", "text_hash", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+        rows = keep(rows.withColumn("upto", F.sum(F.col("size") * F.col("copies")).over(inside)), "mix-buckets")
+        sums = rows.groupBy("source_no", "bucket").agg(F.max("upto").alias("bucket_size"))
+        offsets = keep(before(sums, "source_no", "bucket", "bucket_size").select("source_no", "bucket", "before"), "mix-offsets")
+        placed = rows.join(small(offsets), ["source_no", "bucket"]).withColumn("copy", F.explode(F.expr("sequence(0L, copies - 1)")))
+        start = F.col("before") + F.col("upto") - (F.col("copies") - F.col("copy")) * F.col("size")
+        self.placed = keep(placed.withColumn("start", start).drop("bucket", "before", "upto", "copy"), "placed")
+        self.slots = self._slots()
+
+    def _slots(self) -> DataFrame:
+        """``shard, slot, source_no, draw, block``: one row for each block of the output."""
+        schema = "shard long, slot long, source_no long, draw long, block long"
+        quota = np.array([x[5] for x in self.summary])
+        n_slots = int(quota.sum() + 0.5)
+        if n_slots == 0:
+            return self.spark.createDataFrame([], schema)
+        share, n_blocks = quota / quota.sum(), np.array([x[4] for x in self.summary], np.int64)
+        seed, shard_slots, group_shards = self.seed, self.shard_slots, self.group_shards
+        plan = self.spark.sparkContext.broadcast((share, n_blocks))  # two numbers for each source
+        groups = -(-n_slots // (shard_slots * group_shards))
+        tasks = -(-groups // TASK_GROUPS)
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for g in b.column(0).to_pylist():
+                    n = draw_group(plan.value[0], g, n_slots, seed, shard_slots, group_shards).sum(axis=0)
+                    some = np.flatnonzero(n)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), g)), pa.array(some), pa.array(n[some])], names=["group", "source_no", "n"])
+
+        def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for g, firsts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    drawn = draw_group(plan.value[0], g, n_slots, seed, shard_slots, group_shards)
+                    first = np.zeros(drawn.shape[1], np.int64)
+                    for f in firsts:
+                        first[f["source_no"]] = f["before"]
+                    first = first + np.cumsum(drawn, axis=0) - drawn
+                    shard, source = (np.repeat(x.ravel(), drawn.ravel()) for x in np.indices(drawn.shape))
+                    run = np.cumsum(drawn.ravel()) - drawn.ravel()
+                    draw = np.repeat(first.ravel() - run, drawn.ravel()) + np.arange(len(shard))
+                    rng = np.random.default_rng([seed, g, 1])
+                    slot = np.concatenate([rng.permutation(n) for n in drawn.sum(axis=1)])
+                    n = plan.value[1][source]
+                    turn = draw // n
+                    block = permute(draw % n, n, block_keys(source, turn, seed))
+                    fits = turn < MOST_PASSES
+                    yield pa.RecordBatch.from_arrays([pa.array(x[fits].astype(np.int64)) for x in (shard + g * group_shards, slot, source, draw, block)], names=["shard", "slot", "source_no", "draw", "block"])
+
+        numbers = self.spark.range(0, groups, 1, tasks)
+        drawn = keep(numbers.mapInArrow(sums, "group long, source_no long, n long"), "draws")
+        firsts = before(drawn, "source_no", "group", "n").groupBy("group").agg(F.collect_list(F.struct("source_no", "before")).alias("firsts"))  # one for each source
+        return firsts.repartition(tasks, "group").mapInArrow(slots, schema)
 
     def blocks(self) -> DataFrame:
-        """``source_no, block, times``: how often the output holds each block that it holds."""
-        return self.slots.groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"))
+        """``source_no, block, times, place``: how often the output holds each block that it holds, and where first."""
+        return self.slots.groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("shard", "slot")).alias("place"))
 
     def parts(self) -> DataFrame:
-        """``source_no, start, first, upto, times`` for every piece of a document in one block; words ``first .. upto-1``."""
+        """``source_no, start, block, first, upto, times, place`` for every piece of a document in one block; words ``first .. upto-1``."""
         b = self.block_words
         spans = self.placed.where("size > 0").select("source_no", "start", "size", F.explode(F.expr(f"sequence(start div {b}, (start + size - 1) div {b})")).alias("block"))
         spans = spans.withColumn("first", F.greatest(F.col("start"), F.col("block") * b) - F.col("start"))
         spans = spans.withColumn("upto", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b) - F.col("start"))
         return spans.join(self.blocks(), ["source_no", "block"])
 
+    def with_texts(self, rows: DataFrame) -> DataFrame:
+        """``rows``, which hold the columns that tell documents apart, with the text and the carried columns of each."""
+        keys = ["doc_id", "source", "row_hash", "text_hash"]
+        texts = self.texts
+        repeated = keep(self.placed.where("copies > 1").select(*keys).distinct(), "mix-repeated")
+        if repeated.limit(1).count():
+            twice = repeated.select(*[F.col(k).alias(f"__{k}") for k in keys])
+            same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+            texts = texts.join(small(twice), same, "left_anti").unionByName(texts.join(small(twice), same, "left_semi").dropDuplicates(keys))
+        texts = texts.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in texts.columns if c not in keys])
+        same = [F.col(k).eqNullSafe(F.col(f"__{k}")) if k in ("doc_id", "source") else F.col(k) == F.col(f"__{k}") for k in keys]
+        return rows.join(texts, same).drop(*[f"__{k}" for k in keys])
+
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """``doc_id, source, size, source_size, target, taken`` for every row of ``docs``."""
+    """``doc_id, source, size, source_size, target, taken, shard, slot`` for every row of ``docs``.
+
+    ``shard`` and ``slot`` are the first place in the output that holds words of the row, null if none does.
+    """
     m = Mix(docs, **options)
-    taken = m.parts().groupBy("source_no", "start").agg(F.sum((F.col("upto") - F.col("first")) * F.col("times")).alias("taken"))
+    taken = m.parts().groupBy("source_no", "start").agg(F.sum((F.col("upto") - F.col("first")) * F.col("times")).alias("taken"), F.min("place").alias("place"))
     taken = taken.withColumn("some", F.lit(True))
     placed = m.placed.withColumn("some", F.col("size") > 0)  # a row without words shares its start with the next one
     out = placed.join(taken, ["source_no", "start", "some"], "left")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "place.shard", "place.slot")
 
 
 def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,16 +260,18 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     A document wholly taken keeps its text as it is; of one partly taken, the taken words are joined by spaces. A document
     comes up to three times and drops out only where the mix takes none of its words.
     """
-    m = Mix(docs, carry=("text", "lang"), **options)
+    m = Mix(docs, carry=("lang",), **options)
     pieces = m.parts().groupBy("source_no", "start").agg(F.collect_list(F.struct("first", "upto", "times")).alias("pieces"))
-    rows = m.placed.where("size > 0").join(pieces, ["source_no", "start"]).select("doc_id", "text", F.col("lang").cast("string").alias("lang"), "source", "size", "pieces")
+    rows = m.placed.where("size > 0").join(pieces, ["source_no", "start"]).select("doc_id", "source", "row_hash", "text_hash", "size", "pieces")
+    rows = m.with_texts(rows).select("doc_id", "text", F.col("lang").cast("string").alias("lang"), "source", "size", "pieces")
     return rows.mapInArrow(_written, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())]))
 
 
 def mixed_blocks(docs: DataFrame, **options) -> DataFrame:
     """The output itself: ``shard, slot, source_no, block, text`` with each block's words, documents in stream order."""
-    m = Mix(docs, carry=("text",), **options)
-    parts = m.parts().drop("times").join(m.placed.where("size > 0").select("source_no", "start", "text"), ["source_no", "start"])
-    words = parts.select("source_no", "block", "start", F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), (F.col("first") + 1).cast("int"), (F.col("upto") - F.col("first")).cast("int")), " ").alias("words"))
+    m = Mix(docs, **options)
+    parts = m.parts().select("source_no", "start", "block", "first", "upto").join(m.placed.where("size > 0"), ["source_no", "start"])
+    words = m.with_texts(parts.select("source_no", "start", "block", "first", "upto", "doc_id", "source", "row_hash", "text_hash"))
+    words = words.select("source_no", "block", "start", F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), (F.col("first") + 1).cast("int"), (F.col("upto") - F.col("first")).cast("int")), " ").alias("words"))
     texts = words.groupBy("source_no", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "words"))), lambda x: x.words), " ").alias("text"))
     return m.slots.join(texts, ["source_no", "block"]).select("shard", "slot", "source_no", "block", "text")

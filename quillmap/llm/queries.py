@@ -15,7 +15,7 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "shard", "slot")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

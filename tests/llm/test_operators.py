@@ -311,18 +311,6 @@ def test_sharding_of_one_repeated_id(spark):
 # mixing
 
 
-def test_mixing_bounded_plan(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "SHARD_SLOTS", 1)
-    rows = [(k, f"w{k} " * 300, None, f"s{k % 5}", 0) for k in range(20)]
-    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for cells, shards in ((10, 2), (1, 1)):
-        monkeypatch.setattr(mixing, "MOST_CELLS", cells)
-        m = mixing.Mix(frame)
-        slots = m.slots.collect()
-        assert len({r.shard for r in slots}) == shards
-        assert len({(r.source_no, r.slot) for r in slots}) == len(slots) == sum(x[5] for x in m.summary)
-
-
 def brute_targets(sizes):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: (1, 2, 3)[k % 3] for k, s in enumerate(order)}
@@ -337,8 +325,25 @@ def brute_targets(sizes):
         done |= over
 
 
+def brute_taken(m):
+    """Words taken of each placed row, block by block and word by word, from the slots."""
+    owner = {}
+    for k, r in enumerate(m.placed.collect()):
+        for w in range(r.start, r.start + r.size):
+            assert (r.source_no, w) not in owner
+            owner[r.source_no, w] = (k, r.doc_id, r.size)
+    sizes = {x[0]: x[2] for x in m.summary}
+    assert Counter(s for s, _ in owner) == Counter({s: n for s, n in sizes.items() if n})
+    taken = Counter()
+    for r in m.slots.collect():
+        for w in range(r.block * m.block_words, min((r.block + 1) * m.block_words, sizes[r.source_no])):
+            taken[owner[r.source_no, w]] += 1
+    return Counter((i, n, t) for (_, i, n), t in taken.items())
+
+
 def test_mixing(docs, none, table):
-    for frame, tolerance in ((table, 0.12), (docs, 1)):
+    repeated = docs.unionByName(docs.where("doc_id is null or doc_id = 8")).unionByName(docs.where("doc_id = 10").withColumn("text", F.lit("other words here")))
+    for frame in (table, repeated):
         got = mixing.mix(frame).collect()
         sizes, taken = Counter(), Counter()
         for r in frame.select("doc_id", "source", "text").collect():
@@ -347,33 +352,78 @@ def test_mixing(docs, none, table):
         assert Counter((r.doc_id, r.source) for r in got) == Counter((r.doc_id, r.source) for r in frame.collect())
         for r in got:
             taken[r.source] += r.taken
-            assert r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source]) and 0 <= r.taken <= 3 * r.size
+            assert r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source]) and 0 <= r.taken <= 3 * r.size and (r.shard is None) == (r.taken == 0)
+        one = mixing.SHARD_SLOTS * mixing.BLOCK_WORDS ** 2  # the chance of one shard: the one group's last
         for s, n in sizes.items():
-            assert abs(taken[s] - want[s]) <= tolerance * max(n, 1) + 256
+            assert abs(taken[s] - want[s]) <= 4 * (one * want[s] / max(1, sum(sizes.values()))) ** 0.5 + mixing.BLOCK_WORDS
         assert sorted(map(str, got)) == sorted(map(str, mixing.mix(frame.repartition(7)).collect()))
-    assert mixing.mix(none).count() == 0 and mixing.mixed_documents(none).count() == 0
-
-
-def test_mixed_documents_and_blocks(table):
-    taken = {r.doc_id: r for r in mixing.mix(table).collect()}
-    words, times = Counter(), Counter()
-    for r in mixing.mixed_documents(table).collect():
-        words[r.doc_id] += len(WORD.findall(r.text))
-        times[r.doc_id] += 1
-        assert r.n_chars == len(r.text)
-    assert words == Counter({i: r.taken for i, r in taken.items() if r.taken}) and max(times.values()) <= 3
-    blocks = mixing.mixed_blocks(table).collect()
-    assert sum(len(b.text.split(" ")) for b in blocks) == sum(words.values())
-    assert len({(b.source_no, b.slot) for b in blocks}) == len(blocks)
+        assert Counter((r.doc_id, r.size, r.taken) for r in got if r.taken) == brute_taken(mixing.Mix(frame))
+    assert mixing.mix(none).count() == 0 and mixing.mixed_documents(none).count() == 0 and mixing.mixed_blocks(none).count() == 0
+
+
+def test_mixing_many_groups(spark):
+    """Small shards and groups, so that draws, prefix sums and passes go over several tasks."""
+    rows = [(k % 50 if k % 7 else None, f"w{k} " * (k % 90), None, ("s", "t", None, "u")[k % 4], 0) for k in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    options = {"block_words": 8, "shard_slots": 16, "group_shards": 4}
+    got = mixing.mix(frame, **options).collect()
+    m = mixing.Mix(frame, **options)
+    assert Counter((r.doc_id, r.size, r.taken) for r in got if r.taken) == brute_taken(m)
+    slots = m.slots.collect()
+    assert len({r.shard for r in slots}) > 100 and len({(r.shard, r.slot) for r in slots}) == len(slots) and all(r.slot < 16 for r in slots)
+    n_blocks = {x[0]: x[4] for x in m.summary}
+    for s, n in n_blocks.items():
+        draws = sorted((r.draw, r.block) for r in slots if r.source_no == s)
+        assert [d for d, _ in draws] == list(range(len(draws))) and len(draws) <= 3 * n
+        for k in range(0, len(draws), n):
+            assert len({b for _, b in draws[k : k + n]}) == len(draws[k : k + n])
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(frame.repartition(3), **options).collect()))
+
+
+def test_the_draw_decides(table):
+    """Each source gives what its draws add up to, and another seed draws otherwise."""
+    given = []
+    for seed in (1, 2):
+        m = mixing.Mix(table, seed=seed)
+        quota = np.array([x[5] for x in m.summary])
+        n_slots, full = int(quota.sum() + 0.5), mixing.SHARD_SLOTS * mixing.GROUP_SHARDS
+        counts = sum(mixing.draw_group(quota / quota.sum(), g, n_slots, seed).sum(axis=0) for g in range(-(-n_slots // full)))
+        given.append(Counter(r.source_no for r in m.slots.collect()))
+        assert given[-1] == Counter({k: min(int(n), 3 * m.summary[k][4]) for k, n in enumerate(counts)})
+        assert given[-1] != Counter(dict(enumerate((quota + 0.5).astype(int).tolist())))
+    assert given[0] != given[1]
+
+
+def test_mixed_documents_and_blocks(table, docs):
+    for frame in (table, docs.unionByName(docs.where("doc_id is null or doc_id = 6"))):
+        taken = Counter()
+        for r in mixing.mix(frame, carry=("lang",)).collect():
+            taken[r.doc_id] += r.taken
+        words, times = Counter(), Counter()
+        for r in mixing.mixed_documents(frame).collect():
+            words[r.doc_id] += len(WORD.findall(r.text))
+            times[r.doc_id] += 1
+            assert r.n_chars == len(r.text)
+        assert words == Counter({i: n for i, n in taken.items() if n})
+        blocks = mixing.mixed_blocks(frame).collect()
+        assert abs(sum(len(b.text.split()) for b in blocks) - sum(words.values())) <= 64 * 100
+        assert len({(b.shard, b.slot) for b in blocks}) == len(blocks)
+        texts = " ".join(r.text for r in frame.where("text is not null").collect())
+        held = set(WORD.findall(texts))
+        assert all(set(b.text.split(" ")) <= held and len(b.text.split(" ")) <= mixing.BLOCK_WORDS for b in blocks)
 
 
 def test_permutation_and_draws():
     for n in (1, 2, 3, 17, 1000):
         out = mixing.permute(np.arange(n), np.full(n, n), np.full(n, 99))
         assert sorted(out.tolist()) == list(range(n))
-    quota = np.array([0, 5, 1000, 77])
-    drawn = mixing.draw_shards(quota, 64, 1)
-    assert (drawn.sum(axis=0) == quota).all() and (drawn[:-1].sum(axis=1) == 64).all()
+    share = np.array([0, 0.1, 0.6, 0.3])
+    drawn = [mixing.draw_group(share, g, 1000, 1, 32, 8) for g in range(4)]
+    assert [d.shape for d in drawn] == [(8, 4)] * 3 + [(8, 4)] and sum(int(d.sum()) for d in drawn) == 1000
+    assert all((d[:-1].sum(axis=1) == 32).all() and (d[:, 0] == 0).all() for d in drawn) and (drawn[0] != drawn[1]).any()
+    assert len({tuple(row) for d in drawn for row in d.tolist()}) > 10
+    far = np.abs(np.array([mixing.draw_group(share, 0, 32 * 8, s, 32, 8).sum(axis=0) for s in range(200)]) - share * 256).mean(axis=0)
+    assert (far <= 1.2 * np.sqrt(32 * share)).all()
 
 
 # HTML
