@@ -1,9 +1,10 @@
 """Language identification: known words first, ever shorter character n-grams for the others.
 
-Fit: a sample of labelled documents, bounded by ``TRAIN_DOCS`` and chosen by a hash of the id, is counted in Spark (words and
-character n-grams by language, map-side sums in the workers); the most frequent ``MOST_WORDS`` and ``MOST_GRAMS`` form the
-model, whose size is so bounded, and it is broadcast. Score: each word adds its log frequency by language; a word that the
-model does not hold adds the mean log frequency of its longest n-grams that the model holds, of 5 characters down to 1.
+Fit: of every language a sample of labelled documents, bounded by ``TRAIN_DOCS`` and chosen by a hash of the id, is counted in
+Spark (words and character n-grams by language, map-side sums in the workers). All counts of the sample are the model, which is
+broadcast; a language with fewer documents than the bound is learnt from all of them, so the rare ones are there too. Score:
+each word adds its log frequency by language; a word that the model does not hold adds the mean log frequency of its longest
+n-grams that the model holds, of 5 characters down to 1.
 
 Only the text decides: id, source and label are not looked at when a text is scored.
 
@@ -14,7 +15,6 @@ order; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -25,11 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmap.llm.runtime import id_crc, prepare, release
+from quillmap.plans.storage import keep, small
 
-#: Bounds of the fit.
-TRAIN_DOCS = 6_000
-MOST_WORDS = 150_000
-MOST_GRAMS = 150_000
+#: Documents that each language is learnt from, about.
+TRAIN_DOCS = 1_500
 LONGEST = 5
 #: Words that a worker remembers.
 CACHE = 200_000
@@ -130,23 +129,24 @@ class Scorer:
 
 
 def fit(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = TRAIN_DOCS) -> Model:
-    """A model from at most about ``most`` of the rows for which ``learn`` (a condition) holds."""
+    """A model from at most about ``most`` of each language's rows for which ``learn`` (a condition) holds."""
     prepare(docs.sparkSession)
-    rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    n = rows.count()
-    parts = max(1, math.ceil(n / most))
-    taken = rows.where(F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.lit(11)), F.lit(parts)) == 0)
-    counts = taken.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).mapInArrow(_count, "lang string, size int, item string, n long")
+    lang = F.col(lang_col).cast("string")
+    rows = docs.where(learn & lang.isNotNull() & F.col(id_col).isNotNull())
+    parts = rows.groupBy(lang.alias("lang")).agg(F.ceil(F.count(F.lit(1)) / most).alias("parts"))
+    parts = keep(parts, "languages")
+    rows = rows.select(lang.alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col).cast("long"), F.lit(11)).alias("h"))
+    taken = rows.join(small(parts), "lang").where(F.pmod("h", "parts") == 0)
+    counts = taken.select("lang", "text").mapInArrow(_count, "lang string, size int, item string, n long")
     counts = counts.groupBy("lang", "size", "item").agg(F.sum("n").alias("n"))
-    order = [F.col("n").desc(), "size", "lang", "item"]
-    top = counts.where("size = 0 and n > 1").orderBy(*order).limit(MOST_WORDS).unionByName(counts.where("size > 0 and n > 1").orderBy(*order).limit(MOST_GRAMS))
-    return Model([tuple(r) for r in top.toPandas().itertuples(index=False)])
+    found = counts.toArrow()  # counts of a sample that is bounded for each language
+    return Model(list(zip(*(found.column(c).to_pylist() for c in ("lang", "size", "item", "n")), strict=True)))
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", *more) -> DataFrame:
     """``doc_id``, the columns ``more``, ``lang_pred`` and ``score`` for every row."""
     prepare(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # MOST_WORDS + MOST_GRAMS rows at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the words and n-grams of TRAIN_DOCS documents of each language
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *more, F.col(text_col).cast("string").alias("text"))
     schema = rows.drop("text").schema.add("lang_pred", "string").add("score", "double")
 

@@ -584,6 +584,61 @@ def test_language_backs_off():
     assert best == {"hello": 0, "sahh": 1, "zzs": 1} and language_id.of(m.lists(), "z", 2) == [0.0, 0.0]
 
 
+def test_language_rare(spark):
+    rng = np.random.default_rng(4)
+    words = {x: ["".join(rng.choice(list(abc), rng.integers(2, 9))) for _ in range(300)] for x, abc in (("aa", "abcdefgh"), ("bb", "ghijklmn"), ("cc", "mnopqrst"), ("rare", "rstuvwxy"))}
+    lang = ["rare" if k % 1000 == 7 else ("aa", "bb", "cc")[k % 3] for k in range(8000)]
+    rows = [(k, " ".join(rng.choice(words[x], 12)), x) for k, x in enumerate(lang)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = language_id.fit(frame, F.col("doc_id") % 2000 != 7, most=500)
+    assert model.langs == ["aa", "bb", "cc", "rare"]
+    got = language_id.predict(frame, model).collect()
+    assert all(r.lang_pred == lang[r.doc_id] for r in got)
+
+
+def test_language_like_brute_force(spark, sf):
+    """Scores by a plain reading of the rule: no caches, no arrays."""
+    import math
+
+    frame = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [r for r in frame.collect() if r.doc_id is not None]
+    known = {}
+    for r in rows:
+        if r.lang is not None and r.doc_id % 2:
+            for w in re.findall(r"[^\W\d_]+", (r.text or "").lower()):
+                known.setdefault((0, w), Counter())[r.lang] += 1
+                for n in range(1, 6):
+                    x = f"\x02{w}\x03" if n > 1 else w
+                    for k in range(len(x) - n + 1):
+                        known.setdefault((n, x[k : k + n]), Counter())[r.lang] += 1
+    langs = sorted({r.lang for r in rows if r.lang is not None and r.doc_id % 2})
+    mass = {(n, x): sum(c[x] + 0.3 for (m, _), c in known.items() if m == n) for n in range(6) for x in langs}
+
+    def logs(n, item):
+        return [math.log((known[n, item][x] + 0.3) / mass[n, x]) for x in langs]
+
+    def word(w):
+        if (0, w) in known:
+            return logs(0, w)
+        for n in range(5, 0, -1):
+            x = f"\x02{w}\x03" if n > 1 else w
+            found = [logs(n, x[k : k + n]) for k in range(len(x) - n + 1) if (n, x[k : k + n]) in known]
+            if found:
+                return [sum(v) / len(found) for v in zip(*found, strict=True)]
+        return [0.0] * len(langs)
+
+    got = {r.doc_id: r for r in language_id.predict(frame, language_id.fit(frame, F.col("doc_id") % 2 == 1)).collect()}
+    for r in rows[:60]:
+        words = re.findall(r"[^\W\d_]+", (r.text or "").lower())
+        if not words:
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        total = [sum(v) for v in zip(*map(word, words), strict=True)]
+        best = max(range(len(langs)), key=total.__getitem__)
+        p = [math.exp((t - total[best]) * min(len(words), 30) / len(words)) for t in total]
+        assert got[r.doc_id].lang_pred == langs[best] and got[r.doc_id].score == pytest.approx(1 / sum(p), rel=1e-6)
+
+
 # quality classifier
 
 
