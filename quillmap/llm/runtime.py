@@ -19,9 +19,11 @@ BATCH_ROWS = "500"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Settings for Python operators over whole texts."""
+    """Settings for Python operators over whole texts. A batch size that the session has set itself stays."""
     workers_see_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":  # Spark's own
+        spark.conf.set(name, BATCH_ROWS)
 
 
 def narrow(df: DataFrame, id_col: str, *cols: str) -> DataFrame:

@@ -233,29 +233,59 @@ def test_forced_cuts_are_certain():
 # token counts
 
 
-def test_token_counts(docs, none, tmp_path):
+@pytest.fixture
+def blocks_of(spark):
+    """Sets the reader's block size for a test."""
+    names = {"spark.sql.files.maxPartitionBytes": None, "spark.sql.files.openCostInBytes": "0"}
+    was = {k: spark.conf.get(k) for k in names}
+
+    def use(n):
+        for k, v in names.items():
+            spark.conf.set(k, v or f"{n}b")
+
+    yield use
+    for k, v in was.items():
+        spark.conf.set(k, v)
+
+
+def test_token_counts(docs, none, blocks_of):
     want = Counter((r.doc_id, r.n_tokens) for r in bpe.encoded(docs, VOCABULARY, special_as_text=True).collect())
-    for block in (64, 1 << 20):
-        got = token_counts.token_counts(docs, VOCABULARY, block_bytes=block).collect()
+    for block in (50_001, 1 << 27):
+        blocks_of(block)
+        got = token_counts.token_counts(docs, VOCABULARY).collect()
         assert Counter((r.doc_id, r.n_tokens) for r in got) == want
     assert token_counts.token_counts(none, VOCABULARY).count() == 0
 
 
-def test_scan_without_heads(spark, tmp_path):
+def test_scan_without_heads(spark, tmp_path, blocks_of):
+    """Files with line feeds at every place of a token, the separator's bytes across tokens, and open ends."""
     rng = np.random.default_rng(2)
-    want = Counter()
-    for f in range(3):
-        ids = rng.choice([5, 6, token_counts.END], 500 + f)
-        (tmp_path / f"f{f}.bin").write_bytes(ids.astype(">u2").tobytes())
+    want, end = Counter(), token_counts.END
+    for f in range(6):
+        ids = rng.choice([5, 0x0A0A, 0x0A05, 0x050A, 0x05C2, 0x8005, end], 4000 + f)
+        if f == 3:
+            ids[-1] = 0x050A
+        (tmp_path / f"f{f}.bin").write_bytes(ids.astype(">u2").tobytes() + (b"x" if f == 4 else b""))
         run = []
-        for part in "".join("|" if x == token_counts.END else "t" for x in ids).split("|"):
+        for part in "".join("|" if x == end else "t" for x in ids).split("|"):
             run.append(len(part))
         if run[-1] == 0:
             run.pop()
         want.update((f"f{f}.bin", k, n) for k, n in enumerate(run))
-    for block in (2, 10, 4096):
-        got = token_counts.scan(spark, str(tmp_path), block, heads=0).collect()
+    (tmp_path / "empty.bin").write_bytes(b"")
+    for block in (1999, 1 << 27):
+        blocks_of(block)
+        got = token_counts.scan(spark, str(tmp_path), heads=0).collect()
         assert Counter((r.file.rsplit("/", 1)[-1], r.ordinal, r.n_tokens) for r in got) == want
+    lines = spark.read.option("lineSep", "\n").text(str(tmp_path)).rdd.getNumPartitions()
+    blocks_of(1999)
+    assert spark.read.option("lineSep", "\n").text(str(tmp_path)).rdd.getNumPartitions() >= 4 * lines
+
+
+def test_scan_refuses_lost_bytes(spark, tmp_path):
+    (tmp_path / "f.bin").write_bytes(b"\xef\xbb\xbf\x05" + token_counts.END.to_bytes(2, "big"))
+    with pytest.raises(Exception, match="not read"):
+        token_counts.scan(spark, str(tmp_path), heads=0).collect()
 
 
 # quality rules
