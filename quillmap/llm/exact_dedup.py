@@ -61,10 +61,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that ``exact_dedup`` drops; all columns stay.
 
-    Ids are taken as unique here: of rows that repeat an id and its text, all go or stay together, and are then made one.
+    Rows go by their id, so that only ids are joined and no text is hashed again. Ids that hold rows of both kinds, and null
+    ids, are told apart by the text's hash; of rows that repeat an id and its text one stays.
     """
-    gone = exact_dedup(docs, id_col, text_col)
-    once = gone.where("kept").select(F.col("doc_id").alias("__kept"), F.col("text_sha256").alias("__sha"))
-    marked = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__text", F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
-    joined = marked.join(once, F.col("__id").eqNullSafe(F.col("__kept")) & (F.col("__text") == F.col("__sha")), "left_semi")
-    return joined.dropDuplicates(["__id", "__text"]).drop("__id", "__text")
+    found = keep(exact_dedup(docs, id_col, text_col).select("doc_id", "kept", "text_sha256"), "verdicts")
+    marks = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("kept").alias("all"), F.max("kept").alias("some"))
+    marks = keep(marks.where("not all").select(F.col("doc_id").alias("__id"), F.col("some").alias("mixed")), "dropped")
+    own = F.col(id_col).cast("long")
+    stay = docs.where(own.isNotNull()).join(small(marks.select("__id")), own == F.col("__id"), "left_anti")
+    mixed = small(marks.where("mixed").select("__id"))
+    unclear = docs.where(own.isNotNull()).join(mixed, own == F.col("__id"), "left_semi").unionByName(docs.where(own.isNull()))
+    unclear = unclear.withColumn("__id", own).withColumn("__sha", F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
+    kept = found.where("kept").join(mixed.withColumnRenamed("__id", "__mixed"), F.col("doc_id") == F.col("__mixed"), "left_semi").unionByName(found.where("kept and doc_id is null"))
+    kept = small(keep(kept.select(F.col("doc_id").alias("__kept"), F.col("text_sha256").alias("__own")), "kept-of-unclear"))
+    once = unclear.join(kept, F.col("__id").eqNullSafe(F.col("__kept")) & (F.col("__sha") == F.col("__own")), "left_semi")
+    return stay.unionByName(once.dropDuplicates(["__id", "__sha"]).drop("__id", "__sha"))

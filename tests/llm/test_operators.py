@@ -86,6 +86,13 @@ def test_exact_dedup_empty_and_drop(docs, none):
     kept = exact_dedup.drop_copies(docs)
     assert kept.columns == docs.columns
     assert len({norm(r.text) for r in kept.collect()}) == kept.count() == brute_dedup(TEXTS)[1]
+    # an id with a copy of another's text, a text of its own, and that one twice; null ids with and without copies
+    odd = TEXTS + [(8, "one two"), (8, "own text"), (8, "own text"), (None, "one two"), (None, "null's own"), (None, "null's own"), (20, "null's own")]
+    kept = exact_dedup.drop_copies(docs.sparkSession.createDataFrame(rows_of(odd), SCHEMA).repartition(3)).collect()
+    first = {}
+    for i, t in odd:
+        first[norm(t)] = min(first.get(norm(t), (True, 1 << 60)), (i is not None, i or 0))
+    assert Counter((r.doc_id, norm(r.text)) for r in kept) == Counter((i if known else None, t) for t, (known, i) in first.items())
 
 
 # n-gram Jaccard join
