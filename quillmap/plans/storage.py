@@ -16,13 +16,19 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+#: Tables written by ``keep`` and not yet removed, oldest first.
+_written: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one is set only where the session names none."""
+    """The folder of ``spark.checkpoint.dir``; a local session that names none gets a temporary one, any other must name it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors and the driver share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillmap-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
@@ -32,6 +38,7 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once to the shared folder and read again."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -39,3 +46,15 @@ def keep(df: DataFrame, label: str) -> DataFrame:
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` (a kept table of narrow rows) with a broadcast hint if its row count proves it small, else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def kept() -> int:
+    """How many tables are kept now; see ``remove_kept``."""
+    return len(_written)
+
+
+def remove_kept(spark: SparkSession, since: int = 0) -> None:
+    """Deletes what ``keep`` has written after ``kept()`` gave ``since``. Frames that read these tables can't be used any more."""
+    while len(_written) > since:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
