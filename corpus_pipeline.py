@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillmap.llm import bpe, exact_dedup, jaccard_join, mixing, quality_classifier
 from quillmap.llm.queries import VOCABULARY
-from quillmap.plans.storage import shared_folder
+from quillmap.plans.storage import kept, remove_kept, shared_folder
 from quillmap.sources.tables import table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -54,11 +54,13 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table of documents."""
+    """All stages over the table of documents. What a stage keeps on its way goes when its result is written."""
     docs = table(spark, sf_dir, "documents")
     base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES[:-1]):
+        before = kept()
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
+        remove_kept(spark, before)
         docs = spark.read.parquet(f"{base}/{k}")
     return STAGES[-1][1](spark, docs, sf_dir)
 
