@@ -8,7 +8,8 @@ is encoded without the word-end mark; for that the vocabulary's marked tokens ar
 last byte.
 
 Kept as the tokenizers library has it: its own normalisers compose characters and lower their case and its own splitter finds
-the words of text beyond ASCII, so both sides read one Unicode table; special tokens are found in the raw text; decoding is by the vocabulary's own rule (tokens joined by one space
+the words, so both sides read one Unicode table; only text of ASCII and of those Latin letters for which Python has been
+asked and says the same goes the faster way through Python. Special tokens are found in the raw text; decoding is by the vocabulary's own rule (tokens joined by one space
 where it names no decoder). Vocabularies of other rules, added tokens among them, are refused.
 
 Edge cases: null counts as empty and gives no ids; texts of any length are encoded whole; rows are independent, so repeats
@@ -62,10 +63,13 @@ class ForcedBoundaryBpe:
         if any(t.get(flag) for t in spec["added_tokens"] for flag in ("single_word", "lstrip", "rstrip", "normalized")):
             raise ValueError("added tokens are found as they stand in the raw text, with no other rule")
         pattern = "\\n|" + parts["Split"]["pattern"]["Regex"]
-        self.ascii_words, self.splitter = regex.compile(pattern), pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
+        self.easy_words, self.splitter = regex.compile(pattern), pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
         kinds = {"NFC": normalizers.NFC, "Lowercase": normalizers.Lowercase}
         self.lower = "Lowercase" in norms
         self.normaliser = normalizers.Sequence([kinds[n]() for n in norms if n in kinds])
+        lower = str.lower if self.lower else str
+        same = [c for c in map(chr, range(0x80, 0x250)) if len(lower(c)) == 1 and self.normaliser.normalize_str(c) == lower(c) and self.easy_words.findall(f"a{c}1") == [w for w, _ in self.splitter.pre_tokenize_str(f"a{c}1")]]
+        self.beyond = re.compile("[^\\x00-\\x7f" + "".join(map(re.escape, same)) + "]")
         chars = byte_chars()
         byte_of = {c: b for b, c in enumerate(chars)}
         marked = [chr(0xE000 + b) for b in range(256)]
@@ -110,7 +114,7 @@ class ForcedBoundaryBpe:
         return [*out, raw[at:]]
 
     def other_words(self, joined: str) -> list[str]:
-        """The words of text beyond ASCII, and the line ends between them, by the library."""
+        """The words of text, and the line ends between them, by the library."""
         return [w for w, _ in self.splitter.pre_tokenize_str(self.normaliser.normalize_str(joined))]
 
     def learn(self, pieces: set[str]) -> None:
@@ -123,12 +127,13 @@ class ForcedBoundaryBpe:
         new = [p for p in new if p not in self.special]
         if not new:
             return
-        new = sorted(new, key=str.isascii)
+        plain = {p: p.isascii() or not self.beyond.search(p) for p in new}
+        new = sorted(new, key=plain.__getitem__)
         found = []
-        for ascii_only, some in itertools.groupby(new, str.isascii):  # no word, no cut and no character of NFC reaches across the line ends
+        for easy, some in itertools.groupby(new, plain.__getitem__):  # no word, no cut and no character of NFC reaches across the line ends
             joined = "\n".join(some)
             found += ["\n"] if found else []
-            found += self.ascii_words.findall(joined.lower() if self.lower else joined) if ascii_only else self.other_words(joined)
+            found += self.easy_words.findall(joined.lower() if self.lower else joined) if easy else self.other_words(joined)
         words = set(found)
         if len(self.known) + len(words) > self.most:
             self.known = {w: self.known[w] for w in words if w in self.known}

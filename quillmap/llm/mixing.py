@@ -205,7 +205,7 @@ class Mix:
         spans = self.placed.where("size > 0").select("source_no", "start", "size", F.explode(F.expr(f"sequence(start div {b}, (start + size - 1) div {b})")).alias("block"))
         spans = spans.withColumn("first", F.greatest(F.col("start"), F.col("block") * b) - F.col("start"))
         spans = spans.withColumn("upto", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b) - F.col("start"))
-        return spans.join(self.blocks(), ["source_no", "block"])
+        return spans.join(self.blocks().hint("merge"), ["source_no", "block"])
 
     def with_texts(self, rows: DataFrame) -> DataFrame:
         """``rows``, which hold the columns that tell documents apart, with the text and the carried columns of each."""
