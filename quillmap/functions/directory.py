@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmap.functions.geometry import named
 from quillmap.functions.text import plain_text, tidy_name
 
 # The patterns of rooms, contact lines, notes and name words.
@@ -19,9 +20,13 @@ NAME_WORD = r"""^(?:[A-Z][A-Za-z'.-]*|"[A-Z][A-Za-z]*"|[a-z]{2,3})$"""
 def building_room(line: Column, building: str) -> Column:
     """The room that a contact line gives in a building, before its name or after it, in upper case; null where it gives none."""
     name = rf"\Q{building}\E"
-    before = F.regexp_extract(line, rf"(?i)\b{ROOM}\s+{name}\b", 1)
-    after = F.regexp_extract(line, rf"(?i)\b{name}(?:\s+Building)?(?:\s*,)?\s*(?:Room|Rm\.?|#)?\s*{ROOM}\b", 1)
-    return F.upper(F.coalesce(F.nullif(before, F.lit("")), F.nullif(after, F.lit(""))))
+
+    def room(v: Column) -> Column:
+        before = F.regexp_extract(v, rf"(?i)\b{ROOM}\s+{name}\b", 1)
+        after = F.regexp_extract(v, rf"(?i)\b{name}(?:\s+Building)?(?:\s*,)?\s*(?:Room|Rm\.?|#)?\s*{ROOM}\b", 1)
+        return F.upper(F.coalesce(F.nullif(before, F.lit("")), F.nullif(after, F.lit(""))))
+
+    return named(line, room)
 
 
 def entries(pages: DataFrame, page_id: str, html: str, link: str, building: str) -> DataFrame:

@@ -252,3 +252,9 @@ def hull(points: Column) -> Column:
 
     places = F.array_sort(F.array_distinct(F.transform(points, lambda p: F.struct(p.x.alias("x"), p.y.alias("y")))))
     return G.named(places, wrap)
+
+
+def longest_edges(poly: Column, n: int = 2) -> Column:
+    """The ``n`` longest edges, the longest first, equal ones in order: ``ARRAY<STRUCT<length, i, a, b>>``."""
+    told = F.transform(G.edges(poly), lambda e, i: F.struct((-F.hypot(e.b.x - e.a.x, e.b.y - e.a.y)).alias("less"), i.alias("i"), e.a.alias("a"), e.b.alias("b")))
+    return F.transform(F.slice(F.array_sort(told), 1, n), lambda e: F.struct((-e.less).alias("length"), e.i.alias("i"), e.a.alias("a"), e.b.alias("b")))

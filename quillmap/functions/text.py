@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
+from html import entities
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillmap.functions.geometry import named
+
 
 def _accents() -> tuple[str, str]:
     """Letters that decompose into one ASCII letter and marks, and that letter: by rule, over the Latin blocks."""
@@ -19,8 +23,9 @@ def _accents() -> tuple[str, str]:
 
 
 _FROM, _TO = _accents()
-# The entities that text extraction resolves, the ampersand last.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+#: Named character references without their ampersand, from the standard library's table; old ones stand without a semicolon too.
+ENTITIES = {name: text for name, text in entities.html5.items()}
+_LONGEST = max(len(n) for n in ENTITIES if not n.endswith(";"))
 
 
 def name_key(name: Column) -> Column:
@@ -56,14 +61,9 @@ def name_lines(name: Column) -> Column:
 
 def wrap_words(text: Column, most: int) -> Column:
     """Greedy lines of at most ``most`` characters; a longer word stands alone."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-
-    def add(lines: Column, w: Column) -> Column:
-        last = F.element_at(lines, -1)
-        fits = (F.size(lines) > 0) & (F.length(last) + 1 + F.length(w) <= most)
-        return F.when(fits, F.concat(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))), F.array(F.concat_ws(" ", last, w)))).otherwise(F.concat(lines, F.array(w)))
-
-    return F.reduce(words, F.array().cast("array<string>"), lambda lines, w: F.when(F.size(lines) == 0, F.array(w)).otherwise(add(lines, w)))
+    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
+    # As many characters as fit before a space or the end, else one word alone: one pass, whatever the length.
+    return F.regexp_extract_all(flat, F.lit(r"(?s)(.{1,%d}|[^ ]+)(?: |$)" % most), F.lit(1))
 
 
 def escape_html(text: Column) -> Column:
@@ -72,18 +72,57 @@ def escape_html(text: Column) -> Column:
     return text
 
 
+def unescaped(text: Column) -> Column:
+    """Character references resolved: decimal, hexadecimal and named ones, old names without their semicolon too.
+
+    Numbers beyond Unicode and those of surrogates and of NUL become U+FFFD; what is no reference stays.
+    """
+    # What the numbers 128 to 159 stand for on the web.
+    web = bytes(range(128, 160)).decode("cp1252", "replace")
+    # One literal, as the optimizer works it out beforehand.
+    names = F.from_json(F.lit(json.dumps(ENTITIES)), "map<string,string>")
+
+    def letter(n: Column) -> Column:
+        valid = (n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
+        utf32 = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        own = F.substring(F.lit(web), n.cast("int") - 127, 1)
+        return F.when(n.between(128, 159) & (own != "\ufffd"), own).when(valid, utf32).otherwise("\ufffd")
+
+    def resolved(part: Column, names: Column) -> Column:
+        def known(name: Column) -> Column:
+            return F.try_element_at(names, name)
+
+        dec = F.regexp_extract(part, r"^#0*(\d{1,12})", 1)
+        hexa = F.regexp_extract(part, r"^#[xX]0*([0-9a-fA-F]{1,12})", 1)
+        rest = F.regexp_replace(part, r"^#(?:[xX][0-9a-fA-F]+|\d+);?", "")
+        full = F.regexp_extract(part, r"^([A-Za-z][A-Za-z0-9]*;)", 1)
+        short = F.regexp_extract(part, r"^([A-Za-z][A-Za-z0-9]{0,%d})" % (_LONGEST - 1), 1)
+        cuts = F.transform(F.sequence(F.length(short), F.lit(1), F.lit(-1)), lambda k: F.substring(short, 1, k))
+        old = F.get(F.filter(cuts, lambda c: known(c).isNotNull()), F.lit(0))
+        whole = F.concat(known(full), F.substr(part, F.length(full) + 1))
+        begun = F.concat(known(old), F.substr(part, F.length(old) + 1))
+        named = F.coalesce(F.when(full != "", whole), F.when(F.length(short) > 1, begun), F.concat(F.lit("&"), part))
+        return F.when(dec != "", F.concat(letter(dec.cast("long")), rest)).when(hexa != "", F.concat(letter(F.conv(hexa, 16, 10).cast("long")), rest)).otherwise(named)
+
+    parts = F.split(text, "&")
+    return named(names, lambda n: F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(resolved(p, n))), ""))
+
+
 def plain_text(fragment: Column) -> Column:
     """Tags out, entities resolved, white space squeezed."""
     text = F.regexp_replace(fragment, "<[^>]*>", " ")
-    for a, b in ENTITIES:
-        text = F.replace(text, F.lit(a), F.lit(b))
+    text = named(text, lambda t: F.when(F.contains(t, F.lit("&")), unescaped(t)).otherwise(t))
     return F.trim(F.regexp_replace(text, r"[ \t\n\r\f]+", " "))
 
 
 def tidy_name(name: Column) -> Column:
     """A name written as "Last, First" turned round; other names as they are, trimmed."""
-    last, first = F.trim(F.substring_index(name, ",", 1)), F.trim(F.regexp_extract(name, r"^[^,]*,(.*)$", 1))
-    return F.when((last != "") & (first != ""), F.concat_ws(" ", first, last)).otherwise(F.trim(name))
+
+    def turned(v: Column) -> Column:
+        last, first = F.trim(F.substring_index(v, ",", 1)), F.trim(F.regexp_extract(v, r"^[^,]*,(.*)$", 1))
+        return F.when((last != "") & (first != ""), F.concat_ws(" ", first, last)).otherwise(F.trim(v))
+
+    return named(name, turned)
 
 
 def slug(text: Column) -> Column:
@@ -97,10 +136,10 @@ def space_number(space_id: Column) -> Column:
 
 
 def wing(number: Column) -> Column:
-    """North-east for a second digit of 1 or 2, south-west for 3 or 4; null for short numbers and those of a basement."""
+    """Northeast for a second digit of 1 or 2, Southwest for 3 or 4; null for short numbers and those of a basement."""
     digit = F.substring(F.regexp_replace(number, "[^0-9]", ""), 2, 1)
     long = (F.length(F.regexp_replace(number, "[^0-9]", "")) >= 4) & ~F.startswith(number, F.lit("B"))
-    return F.when(long & digit.isin("1", "2"), "NE").when(long & digit.isin("3", "4"), "SW")
+    return F.when(long & digit.isin("1", "2"), "Northeast").when(long & digit.isin("3", "4"), "Southwest")
 
 
 def half_up(v: Column, digits: int = 1) -> Column:

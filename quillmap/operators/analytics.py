@@ -8,12 +8,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillmap.operators.grid import numbered
+from quillmap.plans.storage import keep
+
 
 def upper_median(v: str) -> Column:
-    """The element at ``n div 2`` of the sorted group, so the upper of two middle values; partial counts per value."""
+    """The same as an aggregate: it holds a count for each different value of a group, so groups must have few of them."""
     return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {v} DESC)")
 
 
+def medians(df: DataFrame, group: str, value: str) -> DataFrame:
+    """``group, upper, middle`` of the values that are not null: the element at ``n div 2`` of the sorted group, so the upper
+    of two middle values, and the mean of those two. Ranks come from range-sorted tasks, so no task holds a group.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(group, F.col(value).alias("__value"))
+    ranked = keep(numbered(rows, group, "__value", name="__n"), "ranked")
+    sizes = ranked.groupBy(F.col(group).alias("__group")).agg(F.max("__n").alias("__size"))
+    at = ranked.join(sizes, F.col(group).eqNullSafe(F.col("__group"))).where("__n between (__size + 1) div 2 and __size div 2 + 1")
+    upper = F.max("__value").alias("upper")
+    return at.groupBy(group).agg(upper, F.avg("__value").alias("middle")) if dict(rows.dtypes)["__value"] in ("double", "float", "int", "bigint", "smallint", "tinyint") else at.groupBy(group).agg(upper)
+
+
 def reached(v: Column, limits: tuple[float, ...], name: str) -> list[Column]:
     """Counts of values at or above each limit."""
     return [F.count_if(v >= x).alias(f"{name}_{str(x).replace('.', '_')}") for x in limits]
@@ -77,9 +92,40 @@ def mean_line(df: DataFrame, group: str, angle: str, offset: str, weight: str) -
 def parity(df: DataFrame, group: str, iou: str) -> DataFrame:
     """Per group the rows, those missing (null), those at or above 0.95, 0.9 and 0.8, and the upper median."""
     v = F.col(iou)
-    return df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count_if(v.isNull()).alias("missing"), *reached(v, (0.95, 0.9, 0.8), "iou"), upper_median(iou).alias("middle"))
+    df = keep(df.select(group, iou), "scores")
+    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count_if(v.isNull()).alias("missing"), *reached(v, (0.95, 0.9, 0.8), "iou"))
+    middle = medians(df, group, iou).select(F.col(group).alias("__group"), F.col("upper").alias("middle"))
+    return counts.join(middle, F.col(group).eqNullSafe(F.col("__group")), "left").drop("__group")
 
 
 def worst(df: DataFrame, iou: str, order: str, below: float = 0.8) -> DataFrame:
-    """Rows without a score, then those below the limit from the lowest."""
+    """Rows without a score, then those below the limit from the lowest. Scores are worked out once."""
+    df = keep(df, "scores")
     return df.where(F.col(iou).isNull() | (F.col(iou) < below)).orderBy(F.asc_nulls_first(iou), order)
+
+
+def circle_residual(df: DataFrame, fit: DataFrame, group: str, x: str, y: str) -> DataFrame:
+    """``group, residual``: how far the point farthest from its group's circle (``cx, cy, r``) lies off it."""
+    off = F.abs(F.hypot(F.col(x) - F.col("cx"), F.col(y) - F.col("cy")) - F.col("r"))
+    return df.select(group, x, y).join(fit.select(group, "cx", "cy", "r"), group).groupBy(group).agg(F.max(off).alias("residual"))
+
+
+def median_direction(df: DataFrame, group: str, angle: str, fold: float = 90.0) -> DataFrame:
+    """``group, direction``: the median of angles in degrees that repeat every ``fold``, from -``fold``/2 on; groups of one have none."""
+    turned = df.where(F.col(angle).isNotNull()).select(group, (F.pmod(F.col(angle) + fold / 2, F.lit(fold)) - fold / 2).alias("__angle"))
+    turned = keep(turned, "angles")
+    several = turned.groupBy(F.col(group).alias("__g")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    found = medians(turned, group, "__angle")
+    return found.join(several, F.col(group).eqNullSafe(F.col("__g")), "left_semi").select(group, F.col("middle").alias("direction"))
+
+
+def circular_runs(df: DataFrame, group: str, angle: str, order: str, gap: float = 25.0) -> DataFrame:
+    """``df`` with ``run`` per group: angles in degrees from 0 to 360, a new run after a gap of more than ``gap``; the last run
+    joins the first where the circle closes within the gap. ``order`` tells equal angles apart.
+    """
+    at = df.withColumn("__at", F.struct(angle, order))
+    found = runs(at, group, "__at", F.col(f"__at.{angle}") - F.col(f"prev.{angle}") > gap)
+    ends = found.groupBy(F.col(group).alias("__g")).agg(F.min(angle).alias("__low"), F.max(angle).alias("__high"), F.max("run").alias("__last"))
+    out = found.join(ends, F.col(group) == F.col("__g"))
+    wraps = (F.col("__last") > 0) & (F.col("run") == F.col("__last")) & (F.col("__low") + 360 - F.col("__high") <= gap)
+    return out.withColumn("run", F.when(wraps, 0).otherwise(F.col("run"))).drop("__at", "__g", "__low", "__high", "__last")

@@ -122,3 +122,10 @@ def grown(seeds: DataFrame, free: DataFrame, rounds: int, group: str, label: str
             break
         done = keep(done.unionByName(front), "grown")
     return done.select(*cell, label)
+
+
+def labels_per_region(found: DataFrame, labels: DataFrame, group: str, label: str = "label") -> DataFrame:
+    """``group, region_x, region_y, labels``: how many different labels the cells of each region hold, the most first."""
+    told = found.join(labels.select(group, "x", "y", label).distinct(), [group, "x", "y"], "left")
+    counts = told.groupBy(group, "region_x", "region_y", label).agg(F.lit(1).alias("__one")).groupBy(group, "region_x", "region_y").agg(F.count(label).alias("labels"))
+    return counts.orderBy(F.col("labels").desc(), group, "region_x", "region_y")

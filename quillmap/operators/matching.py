@@ -183,20 +183,21 @@ def crossing_strokes(strokes: DataFrame, stroke_id: str, bucket: float, slack: f
     return s.join(t, ["i", "j"]).where((F.col("id") < F.col("b")) & (F.abs(F.col("len") - F.col("b_len")) <= slack) & angle.between(low, high)).select(F.col("id").alias("a"), "b")
 
 
-def near_parallel(lines: DataFrame, line_id: str, owner: str, angle_tol: float, offset_tol: float) -> DataFrame:
+def near_parallel(lines: DataFrame, line_id: str, owner: str, angle_tol: float, offset_tol: float, gap: float | None = None) -> DataFrame:
     """``a, b`` of lines (``angle`` in degrees modulo 180, ``offset``) of different owners that agree in both within tolerance.
 
-    Angles and offsets are put in bins as wide as the tolerances and each line asks the bins beside its own, so it is an equi-join.
+    With ``gap`` the stretches of both (``low, high`` along the line) come within it of each other too. Angles and offsets are put in bins as wide as the tolerances and each line asks the bins beside its own, so it is an equi-join.
     """
     bins = int(180 // angle_tol)
     wide = 180.0 / bins
-    at = lines.select(F.col(line_id).alias("id"), F.col(owner).alias("own"), F.pmod(F.col("angle"), F.lit(180.0)).alias("t"), F.col("offset").alias("o"))
+    at = lines.select(F.col(line_id).alias("id"), F.col(owner).alias("own"), F.pmod(F.col("angle"), F.lit(180.0)).alias("t"), F.col("offset").alias("o"), *([F.col("low"), F.col("high")] if gap is not None else []))
     at = at.withColumn("i", F.least(F.floor(F.col("t") / wide), F.lit(bins - 1)).cast("long")).withColumn("j", _cell(F.col("o"), offset_tol))
     beside = F.array_distinct(F.array(*[F.pmod(F.col("i") + k, F.lit(bins)) for k in (-1, 0, 1)]))
     asks = at.withColumn("i", F.explode(beside)).withColumn("j", F.explode(F.array(F.col("j") - 1, F.col("j"), F.col("j") + 1)))
-    other = at.select("i", "j", F.col("id").alias("b"), F.col("own").alias("b_own"), F.col("t").alias("b_t"), F.col("o").alias("b_o"))
+    other = at.select("i", "j", F.col("id").alias("b"), F.col("own").alias("b_own"), F.col("t").alias("b_t"), F.col("o").alias("b_o"), *([F.col("low").alias("b_low"), F.col("high").alias("b_high")] if gap is not None else []))
+    apart = F.lit(True) if gap is None else (F.col("b_low") <= F.col("high") + gap) & (F.col("low") <= F.col("b_high") + gap)
     turn = F.abs(F.pmod(F.col("t") - F.col("b_t") + 90, F.lit(180.0)) - 90)
-    return asks.join(other, ["i", "j"]).where((F.col("id") < F.col("b")) & (F.col("own") != F.col("b_own")) & (turn <= angle_tol) & (F.abs(F.col("o") - F.col("b_o")) <= offset_tol)).select(F.col("id").alias("a"), "b")
+    return asks.join(other, ["i", "j"]).where(apart & (F.col("id") < F.col("b")) & (F.col("own") != F.col("b_own")) & (turn <= angle_tol) & (F.abs(F.col("o") - F.col("b_o")) <= offset_tol)).select(F.col("id").alias("a"), "b")
 
 
 def members(rooms: DataFrame, suites: DataFrame, size: float, room_id: str, suite_id: str) -> DataFrame:
@@ -209,3 +210,18 @@ def members(rooms: DataFrame, suites: DataFrame, size: float, room_id: str, suit
     pairs = cells(rooms, "r", room_id).join(cells(suites, "s", suite_id), ["i", "j"])
     hit = G.contains(F.col("s_poly"), F.col("r_x"), F.col("r_y")) | G.contains(F.col("r_poly"), F.col("s_x"), F.col("s_y"))
     return pairs.where(hit).select(F.col("r").alias(room_id), F.col("s").alias(suite_id)).distinct()
+
+
+def touching(circles: DataFrame, strokes: DataFrame, size: float, circle_id: str, least: float, slack: float = 0.5) -> DataFrame:
+    """Circles (``cx, cy, r``) that a stroke (``ax, ay, bx, b_y``) of at least ``least`` comes within ``slack`` of, or runs through."""
+    reach = F.col("r") + slack
+    box = F.struct((F.col("cx") - reach).alias("x"), (F.col("cy") - reach).alias("y"), (2 * reach).alias("width"), (2 * reach).alias("height"))
+    discs = circles.withColumn("c", F.explode(cells_of_box(box, size))).select(circle_id, "cx", "cy", "r", F.col("c.i").alias("i"), F.col("c.j").alias("j"))
+    low = F.struct(F.least("ax", "bx").alias("x"), F.least("ay", "b_y").alias("y"), F.abs(F.col("ax") - F.col("bx")).alias("width"), F.abs(F.col("ay") - F.col("b_y")).alias("height"))
+    long = strokes.where(F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("b_y")) >= least)
+    lines = long.withColumn("c", F.explode(cells_of_box(low, size))).select("ax", "ay", "bx", "b_y", F.col("c.i").alias("i"), F.col("c.j").alias("j"))
+    dx, dy = F.col("bx") - F.col("ax"), F.col("b_y") - F.col("ay")
+    along = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("cx") - F.col("ax")) * dx + (F.col("cy") - F.col("ay")) * dy) / (dx * dx + dy * dy)))
+    near = F.hypot(F.col("ax") + along * dx - F.col("cx"), F.col("ay") + along * dy - F.col("cy")) <= reach
+    hit = discs.join(lines, ["i", "j"]).where(near).select(F.col(circle_id).alias("__hit")).distinct()
+    return circles.join(hit, F.col(circle_id) == F.col("__hit"), "left_semi")

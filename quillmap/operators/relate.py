@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillmap.operators.grid import numbered
+from quillmap.plans.storage import keep, small
+
 
 def assign_lists(left: DataFrame, right: DataFrame, key: str, right_key: str, item: Column, order: Column, into: str) -> DataFrame:
     """``left`` with an array of the matching ``item`` values in order; an empty array where there are none."""
@@ -50,14 +53,44 @@ def repeats(df: DataFrame, key: str, order: Column) -> DataFrame:
 
 
 def suffixed(df: DataFrame, key: str, order: list[Column], into: str) -> DataFrame:
-    """``key`` made unique: the second occurrence gets ``-2``, the third ``-3``."""
-    n = F.row_number().over(W.partitionBy(key).orderBy(*order))
-    return df.withColumn(into, F.when(n == 1, F.col(key).cast("string")).otherwise(F.concat_ws("-", F.col(key).cast("string"), n.cast("string"))))
+    """``key`` made unique: the second occurrence gets ``-2``, the third ``-3``. A key of any number of rows is spread over tasks."""
+    places = [f"__order{k}" for k in range(len(order))]
+    n = F.col("__n")
+    out = numbered(df.withColumns(dict(zip(places, order, strict=True))), key, *places, name="__n")
+    return out.withColumn(into, F.when(n == 1, F.col(key).cast("string")).otherwise(F.concat_ws("-", F.col(key).cast("string"), n.cast("string")))).drop("__n", *places)
+
+
+def with_dimension(rows: DataFrame, dimension: DataFrame, key: str, dimension_key: str) -> DataFrame:
+    """``rows`` with the columns of their dimension; rows without one, and null keys, are left out."""
+    side = keep(dimension, "dimension")
+    return rows.join(small(side.withColumnRenamed(dimension_key, "__dimension")), F.col(key) == F.col("__dimension")).drop("__dimension")
+
+
+def problems_in_order(sections: list[DataFrame], text: str = "problem") -> DataFrame:
+    """``section, problem`` of all lists, numbered in the order they are given."""
+    out = None
+    for k, part in enumerate(sections):
+        part = part.select(F.lit(k).alias("section"), F.col(text).cast("string").alias("problem"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def problem_summary(problems: DataFrame) -> DataFrame:
+    """``n, summary``: one row with their number."""
+    n = F.count(F.lit(1))
+    return problems.agg(n.alias("n"), F.when(n == 0, "no problems").otherwise(F.concat(n.cast("string"), F.when(n == 1, " problem").otherwise(" problems"))).alias("summary"))
+
+
+def report(header: str, lines: DataFrame, order: str, line: str) -> DataFrame:
+    """``pos, line``: a header with the number of lines at 0, then the lines by ``order``."""
+    body = numbered(lines.select(F.lit(0).alias("__all"), F.col(order).alias("__order"), F.col(line).alias("line")), "__all", "__order", name="pos")
+    head = lines.agg(F.count(F.lit(1)).alias("n")).select(F.lit(0).cast("long").alias("pos"), F.concat(F.lit(f"{header} ("), F.col("n").cast("string"), F.lit(")")).alias("line"))
+    return head.unionByName(body.select("pos", "line"))
 
 
 def listing(groups: DataFrame, rows: DataFrame, group_key: str, row_key: str) -> DataFrame:
     """``group_key, n, total, n_groups`` for every group, with those without rows; sums are small and made map-side."""
     counts = rows.groupBy(F.col(row_key).alias("__key")).agg(F.count(F.lit(1)).alias("n"))
     out = groups.join(counts, F.col(group_key) == F.col("__key"), "left").select(group_key, F.coalesce("n", F.lit(0)).alias("n"))
-    sums = out.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("n_groups"))
-    return out.crossJoin(F.broadcast(sums))  # one row
+    sums = out.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("n_groups")).withColumn("__one", F.lit(1))
+    return out.withColumn("__one", F.lit(1)).join(F.broadcast(sums), "__one").drop("__one")  # one row

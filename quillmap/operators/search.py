@@ -33,7 +33,7 @@ def term_score(t: Column, name: Column, id_: Column, people: Column, department:
 def ranked_search(df: DataFrame, query: str, *, id_col: str, name: Column, order: Column, people: Column | None = None, department: Column | None = None, tags: Column | None = None, description: Column | None = None, limit: int = 8) -> DataFrame:
     """``df`` with ``score``, best first, at most ``limit`` rows; every term must match somewhere.
 
-    A blank query gives no rows. Ties go by name, then by ``order``. One scan and a top-k per task; nothing is shuffled.
+    A blank query gives no rows. Ties go by name as dictionaries sort it, then by ``order``. One scan and a top-k per task; nothing is shuffled.
     """
     terms = query.strip().lower().split()
     if not terms:
@@ -42,7 +42,7 @@ def ranked_search(df: DataFrame, query: str, *, id_col: str, name: Column, order
     score = F.lit(0)
     for t in terms:
         score = score + term_score(F.lit(t), *low)
-    return df.withColumn("score", score).where("score > 0").orderBy(F.desc("score"), F.lower(name), name, order).limit(limit)
+    return df.withColumn("score", score).where("score > 0").orderBy(F.desc("score"), F.collate(name, "UNICODE"), order).limit(limit)
 
 
 def facets(category: Column, wanted: list[str], always: tuple[str, ...] = ()) -> Column:
@@ -52,3 +52,18 @@ def facets(category: Column, wanted: list[str], always: tuple[str, ...] = ()) ->
 
 def listable(category: Column, name: Column, hidden: tuple[str, ...], unnamed: str) -> Column:
     return ~category.isin(*hidden) & (name != unnamed)
+
+
+def searchable(category: Column, hidden: tuple[str, ...]) -> Column:
+    """Rows that a search looks at, unnamed ones too."""
+    return ~category.isin(*hidden)
+
+
+def listed(category: Column, name: Column, hidden: tuple[str, ...], unnamed: str, wanted: list[str]) -> Column:
+    """Rows of the list: listable, and of a wanted category if any is wanted; no category passes always."""
+    return listable(category, name, hidden, unnamed) & facets(category, wanted)
+
+
+def navigable(category: Column, on_floor: Column, current: Column, hidden: tuple[str, ...], wanted: list[str], always: tuple[str, ...] = ()) -> Column:
+    """Rows that the focus may move to: on the floor, not the current one, not hidden and not filtered out."""
+    return on_floor & ~current & ~category.isin(*hidden) & facets(category, wanted, always)

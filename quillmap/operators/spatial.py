@@ -84,24 +84,34 @@ def direction_score(direction: str, from_x: Column, from_y: Column, from_box: Co
 def nearest_colour(items: DataFrame, legend: DataFrame, item_id: str, sheet: str, own_limit: float, any_limit: float) -> DataFrame:
     """``items`` (``r, g, b``) with the nearest legend name of their sheet within a limit, else of any sheet within another.
 
-    The legend is a small fixed table and is broadcast; first of equals by ``ord``.
+    Colours are dealt to cells as wide as the limit, and each legend entry to the cells around its own, so both lookups are
+    equi-joins, whatever the legend's size; first of equals by ``ord``. Colours with a null match nothing.
     """
     k = legend.select(F.col(sheet).alias("__sheet"), F.col("name").alias("__name"), F.col("ord").alias("__ord"), *[F.col(c).alias(f"__{c}") for c in "rgb"])
     d = F.sqrt(sum(((F.col(c) - F.col(f"__{c}")) * (F.col(c) - F.col(f"__{c}")) for c in "rgb"), F.lit(0.0)))
-    pairs = items.crossJoin(F.broadcast(k)).withColumn("__d", d)
-    same = (F.col(sheet) == F.col("__sheet")) & (F.col("__d") <= own_limit)
 
-    def first(cond: Column) -> Column:
-        return F.min(F.when(cond, F.struct("__d", "__ord", "__name")))
+    def nearest(limit: float, into: str, same_sheet: bool) -> DataFrame:
+        asked = items.select(item_id, sheet, "r", "g", "b", *[_cell(F.col(c), limit).alias(f"__at{c}") for c in "rgb"])
+        around = k
+        for c in "rgb":
+            around = around.withColumn(f"__at{c}", F.explode(F.sequence(_cell(F.col(f"__{c}"), limit) - 1, _cell(F.col(f"__{c}"), limit) + 1)))
+        pairs = asked.join(around, [f"__at{c}" for c in "rgb"])
+        pairs = pairs.where(F.col(sheet) == F.col("__sheet")) if same_sheet else pairs
+        pairs = pairs.withColumn("__d", d).where(F.col("__d") <= limit)
+        return pairs.groupBy(item_id).agg(F.min(F.struct("__d", "__ord", "__name")).alias(into))
 
-    best = pairs.groupBy(item_id).agg(first(same).alias("own"), first(F.col("__d") <= any_limit).alias("other"))
-    return items.join(best, item_id, "left").select(items["*"], F.coalesce("own.__name", "other.__name").alias("name"))
+    found = items.join(nearest(own_limit, "own", True), item_id, "left").join(nearest(any_limit, "other", False), item_id, "left")
+    return found.select(items["*"], F.coalesce("own.__name", "other.__name").alias("name"))
+
+
+#: Grid points on a side of the cells by which coverage joins points and fills.
+COARSE = 8
 
 
 def coverage(rooms: DataFrame, fills: DataFrame, group: str, step: float, room_id: str = "room_id") -> DataFrame:
     """``room_id, name, fraction``: the share of a room's grid points that lie in any fill of that name.
 
-    Both have ``poly`` (straight); fills have ``name``. Grid points lie in the middle of cells ``step`` wide.
+    Both have ``poly`` (straight); fills have ``name``. Points meet the fills that touch their coarse cell. Grid points lie in the middle of cells ``step`` wide.
     """
     box = G.bbox(F.col("poly"))
 
@@ -112,9 +122,12 @@ def coverage(rooms: DataFrame, fills: DataFrame, group: str, step: float, room_i
     grid = grid.select(room_id, group, "poly", "i", F.explode("js").alias("j")).select(room_id, group, "poly", ((F.col("i") + 0.5) * step).alias("x"), ((F.col("j") + 0.5) * step).alias("y"))
     grid = grid.where(G.contains(F.col("poly"), F.col("x"), F.col("y"))).drop("poly")
     sizes = grid.groupBy(room_id).agg(F.count(F.lit(1)).alias("cells"))
-    f = fills.select(group, "name", "poly", G.bbox(F.col("poly")).alias("b"))
+    coarse = step * COARSE
+    f = fills.select(group, "name", "poly", G.bbox(F.col("poly")).alias("b")).withColumn("c", F.explode(cells_of_box(F.col("b"), coarse)))
+    f = f.withColumns({"__i": F.col("c.i"), "__j": F.col("c.j")}).drop("c")
+    placed = grid.withColumns({"__i": _cell(F.col("x"), coarse), "__j": _cell(F.col("y"), coarse)})
     inside = (F.col("x") >= F.col("b.x")) & (F.col("x") <= F.col("b.x") + F.col("b.width")) & (F.col("y") >= F.col("b.y")) & (F.col("y") <= F.col("b.y") + F.col("b.height"))
-    hits = grid.join(f, group).where(inside & G.contains(F.col("poly"), F.col("x"), F.col("y"))).select(room_id, "name", "x", "y").distinct()
+    hits = placed.join(f, [group, "__i", "__j"]).where(inside & G.contains(F.col("poly"), F.col("x"), F.col("y"))).select(room_id, "name", "x", "y").distinct()
     return hits.groupBy(room_id, "name").agg(F.count(F.lit(1)).alias("hit")).join(sizes, room_id).select(room_id, "name", (F.col("hit") / F.col("cells")).alias("fraction"))
 
 
@@ -123,3 +136,22 @@ def best_cover(covers: DataFrame, room_id: str = "room_id", least: float = 0.5,
     ranked = covers.groupBy(room_id).agg(F.array_sort(F.collect_list(F.struct((-F.col("fraction")).alias("f"), "name"))).alias("all"))
     one, two = F.get("all", F.lit(0)), F.get("all", F.lit(1))
     return ranked.select(room_id, one["name"].alias("name"), (-one["f"]).alias("fraction"), F.when(-two["f"] >= review, two["name"]).alias("second"), (-one["f"] >= least).alias("assigned"))
+
+
+def ordered_first(zones: DataFrame, points: DataFrame, size: float, point_id: str, zone_id: str, order: str, kind: str, otherwise: str) -> DataFrame:
+    """``points`` with ``side``: the kind of the first zone, by ``order``, that holds each, or ``otherwise``."""
+    found = points_in_polygons(points, zones, size, point_id, zone_id, order)
+    kinds = zones.select(F.col(zone_id).alias("__zone"), F.col(kind).alias("__kind"))
+    return found.join(kinds, F.col(zone_id) == F.col("__zone"), "left").withColumn("side", F.coalesce("__kind", F.lit(otherwise))).drop("__zone", "__kind")
+
+
+def moved_focus(asked: DataFrame, others: DataFrame, group: str, direction: str, has_current: Column, point_id: str, other_id: str, from_box: Column, box: Column) -> DataFrame:
+    """For each asked row the next other one: in the direction from a current row, else the nearest to the view's centre.
+
+    Both have ``x, y`` (``ox, oy`` on the other side); null where nothing lies ahead.
+    """
+    score, ahead_of = direction_score(direction, F.col("x"), F.col("y"), from_box, F.col("ox"), F.col("oy"), box)
+    step = nearest_in_group(asked.where(has_current), others, group, score, ahead_of & (F.col(point_id) != F.col(other_id)), point_id, other_id)
+    away = F.sqrt((F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy")))
+    start = nearest_in_group(asked.where(~has_current), others, group, away, None, point_id, other_id)
+    return step.unionByName(start)

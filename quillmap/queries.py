@@ -44,7 +44,7 @@ def _term_sql(t: str) -> str:
 @query(
     f"""SELECT p_partkey, p_name, score FROM (SELECT p_partkey, p_name, {" + ".join(_term_sql(t) for t in _TERMS.split())} AS score
         FROM (SELECT *, lower(p_name) AS n, p_partkey::VARCHAR AS k, lower(p_type) AS d, [lower(p_brand)] AS g FROM part)) WHERE score > 0
-        ORDER BY score DESC, lower(p_name), p_name, p_partkey LIMIT 8"""
+        ORDER BY score DESC, p_name, p_partkey LIMIT 8"""
 )
 def ranked_search_part(spark, d):
     found = search.ranked_search(table(spark, d, "part"), _TERMS, id_col="p_partkey", name=F.col("p_name"), order=F.col("p_partkey"), department=F.col("p_type"), tags=F.array("p_brand"))
@@ -92,11 +92,13 @@ def semi_tag(spark, d):
 
 @query(
     """SELECT 'customer' AS side, c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
-       UNION ALL SELECT 'part', p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)"""
+       UNION ALL SELECT 'part', p_partkey FROM part WHERE p_partkey + CASE WHEN p_size % 10 = 0 THEN 1000000000 ELSE 0 END NOT IN (SELECT l_partkey FROM lineitem)"""
 )
 def anti_unmatched(spark, d):
     a = relate.unmatched(table(spark, d, "customer"), "c_custkey", table(spark, d, "orders"), "o_custkey").select(F.lit("customer").alias("side"), F.col("c_custkey").alias("k"))
-    b = relate.unmatched(table(spark, d, "part"), "p_partkey", table(spark, d, "lineitem").where("l_quantity > 45"), "l_partkey")
+    # Sizes that end in 0 get keys that no line has.
+    parts = table(spark, d, "part").withColumn("key", F.col("p_partkey") + F.when(F.col("p_size") % 10 == 0, 1_000_000_000).otherwise(0))
+    b = relate.unmatched(parts, "key", table(spark, d, "lineitem"), "l_partkey")
     return a.unionByName(b.select(F.lit("part").alias("side"), F.col("p_partkey").alias("k")))
 
 
@@ -118,12 +120,10 @@ def route_lookup(spark, d):
     return relate.first_match(pages, keys, (F.col("floor") == F.col("lang")) & (F.col("room") == F.col("key")), "page_id", F.col("doc_id"), ["doc_id"]).select("page_id", "floor", "doc_id")
 
 
-@query(
-    """SELECT 'a' AS source, o_orderkey AS k FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT 'b', l_orderkey FROM lineitem WHERE l_quantity = 50"""
-)
+@query("SELECT 'a' AS source, o_orderkey AS k, o_orderstatus AS kind FROM orders UNION ALL SELECT 'b', l_orderkey, l_linestatus FROM lineitem")
 def union_by_source(spark, d):
-    a = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.lit("a").alias("source"), F.col("o_orderkey").alias("k"))
-    return a.unionByName(table(spark, d, "lineitem").where("l_quantity = 50").select(F.lit("b").alias("source"), F.col("l_orderkey").alias("k")))
+    a = table(spark, d, "orders").select(F.lit("a").alias("source"), F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("kind"))
+    return a.unionByName(table(spark, d, "lineitem").select(F.lit("b").alias("source"), F.col("l_orderkey").alias("k"), F.col("l_linestatus").alias("kind")))
 
 
 @query("SELECT 'a' AS source, o_orderkey AS k FROM orders UNION ALL SELECT 'b', l_orderkey FROM lineitem")
@@ -178,9 +178,9 @@ def dup_ids(spark, d):
     return relate.repeats(table(spark, d, "lineitem"), "l_orderkey", order).select("l_orderkey", "l_linenumber", "occurrence")
 
 
-@query("SELECT l_orderkey, l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 45)")
+@query("SELECT l_orderkey, l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT CASE WHEN p_size <= 45 THEN p_partkey ELSE -p_partkey END FROM part)")
 def fk_violations(spark, d):
-    return relate.unmatched(table(spark, d, "lineitem").select("l_orderkey", "l_partkey"), "l_partkey", table(spark, d, "part").where("p_size <= 45"), "p_partkey")
+    return relate.unmatched(table(spark, d, "lineitem").select("l_orderkey", "l_partkey"), "l_partkey", table(spark, d, "part").select(F.when(F.col("p_size") <= 45, F.col("p_partkey")).otherwise(-F.col("p_partkey")).alias("known")), "known")
 
 
 @query("SELECT p_partkey, p_size % 4 >= 3 OR (p_size % 4 = 2 AND p_partkey % 2 = 1) AS valid FROM part")
@@ -241,21 +241,15 @@ def name_lines(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(X.name_lines(F.col("p_name")), "|").alias("lines"))
 
 
-@query(
-    """WITH RECURSIVE w AS (SELECT item_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS words FROM benchmark),
-       f AS (SELECT item_id, words, 0 AS i, '' AS done, '' AS line FROM w UNION ALL
-             SELECT item_id, words, i + 1, CASE WHEN line <> '' AND length(line) + 1 + length(words[i + 1]) > 22 THEN done || line || '|' ELSE done END,
-                    CASE WHEN line <> '' AND length(line) + 1 + length(words[i + 1]) <= 22 THEN line || ' ' || words[i + 1] ELSE words[i + 1] END FROM f WHERE i < len(words))
-       SELECT item_id, done || line AS lines FROM f WHERE i = len(words)"""
-)
+@query("SELECT doc_id, array_to_string(regexp_extract_all(trim(regexp_replace(text, '\\s+', ' ', 'g')), '(?s)(.{1,22}|[^ ]+)(?: |$)', 1), '|') AS lines FROM documents")
 def word_wrap(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.array_join(X.wrap_words(F.col("text"), 22), "|").alias("lines"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(X.wrap_words(F.col("text"), 22), "|").alias("lines"))
 
 
 @query(
     """SELECT c_custkey, '4-' || CASE WHEN c_custkey % 2 = 0 THEN lower('B') ELSE '' END || c_custkey AS space_id,
        nullif(upper(regexp_extract('4-' || CASE WHEN c_custkey % 2 = 0 THEN 'b' ELSE '' END || c_custkey, '^[^-]+-([a-z]?\\d+[a-z]?)$', 1)), '') AS number,
-       CASE WHEN length(c_custkey::VARCHAR) >= 4 AND c_custkey % 2 = 1 THEN CASE WHEN (c_custkey::VARCHAR)[2] IN ('1', '2') THEN 'NE' WHEN (c_custkey::VARCHAR)[2] IN ('3', '4') THEN 'SW' END END AS wing,
+       CASE WHEN length(c_custkey::VARCHAR) >= 4 AND c_custkey % 2 = 1 THEN CASE WHEN (c_custkey::VARCHAR)[2] IN ('1', '2') THEN 'Northeast' WHEN (c_custkey::VARCHAR)[2] IN ('3', '4') THEN 'Southwest' END END AS wing,
        lower(regexp_replace(c_name || ' o''x', '[\\s''’]+', '-', 'g')) AS slug, floor(c_acctbal * 10 + 0.5) / 10 AS rounded,
        replace(replace(c_mktsegment || '&<', '&', '&amp;'), '<', '&lt;') AS escaped FROM customer"""
 )
@@ -275,8 +269,9 @@ def html_extract(spark, d):
 
 
 _PLAIN = "regexp_replace(html, '<[^>]*>', ' ', 'g')"
-for _a, _b in X.ENTITIES:
-    _PLAIN = "replace({}, '{}', '{}')".format(_PLAIN, _a, _b.replace("'", "''"))
+for _a, _b in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", "\u00a0")):
+    _PLAIN = f"replace({_PLAIN}, '{_a}', '{_b}')"
+_PLAIN = f"regexp_replace({_PLAIN}, '&amp;?', '&', 'g')"
 
 
 @query(f"SELECT page_id, trim(regexp_replace({_PLAIN}, '[ \\t\\n\\r\\f]+', ' ', 'g')) AS text FROM pages")
@@ -433,7 +428,9 @@ def threshold_counts(spark, d):
 
 @query("SELECT c_mktsegment, list_sort(list(c_acctbal))[(count(c_acctbal) // 2 + 1)::INT] AS upper_median, count(*) AS n, count_if(c_acctbal < 0) AS below FROM customer GROUP BY c_mktsegment")
 def upper_median(spark, d):
-    return table(spark, d, "customer").groupBy("c_mktsegment").agg(analytics.upper_median("c_acctbal").alias("upper_median"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("c_acctbal") < 0).alias("below"))
+    c = table(spark, d, "customer").select("c_mktsegment", "c_acctbal")
+    counts = c.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("c_acctbal") < 0).alias("below"))
+    return counts.join(analytics.medians(c, "c_mktsegment", "c_acctbal"), "c_mktsegment", "left").select("c_mktsegment", F.col("upper").alias("upper_median"), "n", "below")
 
 
 @query("SELECT l_returnflag, round(atan2(sum(l_quantity * sin(l_discount * 4)), sum(l_quantity * cos(l_discount * 4))) / 4, 8) AS direction FROM lineitem GROUP BY l_returnflag")

@@ -140,44 +140,51 @@ def numbered_marks(spark, d):
     return grid.numbered(table(spark, d, "customer").select("c_mktsegment", "c_acctbal", "c_custkey"), "c_mktsegment", "c_acctbal", "c_custkey").drop("c_acctbal")
 
 
-_CELLS = """cells AS (SELECT DISTINCT p_partkey % 2 AS floor, (p_partkey * 7 // 3) % 30 AS x, (p_partkey * 11 // 5) % 25 AS y FROM part WHERE p_size <= 16),
-    r AS (SELECT floor, x, y, x AS rx, y AS ry FROM cells UNION SELECT c.floor, c.x, c.y, r.rx, r.ry FROM r JOIN cells c ON c.floor = r.floor AND abs(c.x - r.x) + abs(c.y - r.y) = 1),
+# Spots of all parts on two floors; wide floors, so that regions stay small.
+_SPOTS = "s AS (SELECT DISTINCT p_partkey % 2 AS floor, (p_partkey * 7 // 3) % 97 AS x, (p_partkey * 11 // 5) % 50 AS y FROM part)"
+_CELLS = f"""{_SPOTS}, r AS (SELECT floor, x, y, x AS rx, y AS ry FROM s UNION SELECT c.floor, c.x, c.y, r.rx, r.ry FROM r JOIN s c ON c.floor = r.floor AND abs(c.x - r.x) + abs(c.y - r.y) = 1),
     m AS (SELECT floor, x, y, min((rx, ry)) AS least FROM r GROUP BY ALL), g AS (SELECT floor, x, y, least[1] AS region_x, least[2] AS region_y FROM m)"""
 
 
-def _regions(spark, d):
+def _spots(spark, d, width: int = 97):
     k = F.col("p_partkey")
-    cells = table(spark, d, "part").where("p_size <= 16").select((k % 2).alias("floor"), (F.floor(k * 7 / 3) % 30).alias("x"), (F.floor(k * 11 / 5) % 25).alias("y"))
-    return grid.regions(cells, "floor")
+    return table(spark, d, "part").select((k % 2).alias("floor"), (F.floor(k * 7 / 3) % width).alias("x"), (F.floor(k * 11 / 5) % 50).alias("y"), "p_size")
 
 
 @query(f"WITH RECURSIVE {_CELLS} SELECT * FROM g")
 def cell_regions(spark, d):
-    return _regions(spark, d)
+    return grid.regions(_spots(spark, d), "floor")
 
 
-@query(f"WITH RECURSIVE {_CELLS} SELECT floor, region_x, region_y, count(*) AS cells, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM g GROUP BY ALL")
+_SIZES = "SELECT floor, region_x, region_y, count(*) AS cells, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM g GROUP BY ALL"
+
+
+@query(f"WITH RECURSIVE {_CELLS} {_SIZES}")
 def region_sizes(spark, d):
-    return grid.region_sizes(_regions(spark, d), "floor")
+    return grid.region_sizes(grid.regions(_spots(spark, d), "floor"), "floor")
 
 
-# The same over all parts: the SQL of the queries above takes a part of them, on the grid of the spots below.
-_ALL_CELLS = _CELLS.replace("% 30", "% 60").replace("% 25", "% 50").replace(" WHERE p_size <= 16", "")
+@query(
+    f"""WITH RECURSIVE {_CELLS}, l AS (SELECT DISTINCT p_partkey % 2 AS floor, (p_partkey * 7 // 3) % 97 AS x, (p_partkey * 11 // 5) % 50 AS y, p_size % 7 AS label FROM part)
+        SELECT floor, region_x, region_y, count(DISTINCT label) AS labels FROM g JOIN l USING (floor, x, y) GROUP BY ALL"""
+)
+def region_labels(spark, d):
+    spots = _spots(spark, d).withColumn("label", F.col("p_size") % 7)
+    return grid.labels_per_region(grid.regions(spots, "floor"), spots, "floor")
 
 
-def _all_spots(spark, d):
-    k = F.col("p_partkey")
-    return table(spark, d, "part").select((k % 2).alias("floor"), (F.floor(k * 7 / 3) % 60).alias("x"), (F.floor(k * 11 / 5) % 50).alias("y"))
+# The same on floors so narrow that nearly all spots touch.
+_DENSE_CELLS = _CELLS.replace("% 97", "% 60")
 
 
-@query(f"WITH RECURSIVE {_ALL_CELLS} SELECT * FROM g")
+@query(f"WITH RECURSIVE {_DENSE_CELLS} SELECT * FROM g")
 def all_cell_regions(spark, d):
-    return grid.regions(_all_spots(spark, d), "floor")
+    return grid.regions(_spots(spark, d, 60), "floor")
 
 
-@query(f"WITH RECURSIVE {_ALL_CELLS} SELECT floor, region_x, region_y, count(*) AS cells, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM g GROUP BY ALL")
+@query(f"WITH RECURSIVE {_DENSE_CELLS} {_SIZES}")
 def all_region_sizes(spark, d):
-    return grid.region_sizes(grid.regions(_all_spots(spark, d), "floor"), "floor")
+    return grid.region_sizes(grid.regions(_spots(spark, d, 60), "floor"), "floor")
 
 
 # rasters
@@ -196,13 +203,7 @@ def owned_cells(spark, d):
     return cells.groupBy("k").agg(F.count(F.lit(1)).alias("cells"), F.min("x").alias("x"), F.max("y").alias("y"))
 
 
-_SPOTS = "s AS (SELECT DISTINCT p_partkey % 2 AS floor, (p_partkey * 7 // 3) % 60 AS x, (p_partkey * 11 // 5) % 50 AS y FROM part WHERE p_size <= 16)"
-_ALL_SPOTS = _SPOTS.replace(" WHERE p_size <= 16", "")
-
-
-def _spots(spark, d):
-    k = F.col("p_partkey")
-    return table(spark, d, "part").where("p_size <= 16").select((k % 2).alias("floor"), (F.floor(k * 7 / 3) % 60).alias("x"), (F.floor(k * 11 / 5) % 50).alias("y"))
+_DENSE_SPOTS = _SPOTS.replace("% 97", "% 60")
 
 
 def _closed_sql(spots: str) -> str:
@@ -215,9 +216,9 @@ def closed_cells(spark, d):
     return grid.closed(_spots(spark, d), 1, "floor")
 
 
-@query(_closed_sql(_ALL_SPOTS))
+@query(_closed_sql(_DENSE_SPOTS))
 def all_closed_cells(spark, d):
-    return grid.closed(_all_spots(spark, d), 1, "floor")
+    return grid.closed(_spots(spark, d, 60), 1, "floor")
 
 
 def _grown_sql(spots: str, rounds: int) -> str:
@@ -237,9 +238,9 @@ def grown_cells(spark, d):
     return _grown(_spots(spark, d))
 
 
-@query(_grown_sql(_ALL_SPOTS, 3))
+@query(_grown_sql(_DENSE_SPOTS, 3))
 def all_grown_cells(spark, d):
-    return _grown(_all_spots(spark, d))
+    return _grown(_spots(spark, d, 60))
 
 
 @query("SELECT p_partkey, 3 + p_partkey % 5 AS corners, round((3 + p_partkey % 5) / 2 * (2 + p_size % 6) ** 2 * sin(2 * pi() / (3 + p_partkey % 5)), 5) AS area FROM part")

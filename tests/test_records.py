@@ -52,7 +52,7 @@ def test_names(spark):
 
 def test_texts(spark):
     assert value(spark, X.space_number(F.lit("4-4123b"))) == "4123B" and value(spark, X.space_number(F.lit("4-room-2"))) is None
-    assert [value(spark, X.wing(F.lit(n))) for n in ("4123", "4323", "B123", "41")] == ["NE", "SW", None, None]
+    assert [value(spark, X.wing(F.lit(n))) for n in ("4123", "4323", "B123", "41")] == ["Northeast", "Southwest", None, None]
     assert value(spark, X.half_up(F.lit(-0.25))) == -0.2 and value(spark, X.hex_colour(F.lit(1.0), F.lit(0.5), F.lit(0.0))) == "#ff8000"
     assert value(spark, X.plain_text(F.lit("<p>a&nbsp;&amp;lt;<b>b</b></p>"))) == "a &lt; b"
     assert value(spark, X.escape_html(F.lit("<'\"&>"))) == "&lt;&#39;&quot;&amp;&gt;"
