@@ -112,7 +112,7 @@ def plain_text(fragment: Column) -> Column:
     """Tags out, entities resolved, white space squeezed."""
     text = F.regexp_replace(fragment, "<[^>]*>", " ")
     text = named(text, lambda t: F.when(F.contains(t, F.lit("&")), unescaped(t)).otherwise(t))
-    return F.trim(F.regexp_replace(text, r"[ \t\n\r\f]+", " "))
+    return F.trim(F.regexp_replace(text, r"[\s\x0b\x1c-\x1f\x85\p{Z}]+", " "))
 
 
 def tidy_name(name: Column) -> Column:
