@@ -6,7 +6,8 @@
    the one of the lowest band.
 3. The n-gram sets of bucket members only are computed again and written. Each bucket is cut into blocks of bounded size,
    by member hash, and every two blocks meet in one task, which compares all pairs between them on full n-gram sets. A pair
-   counts in the first band that it shares and in no other, so nothing is counted twice and no pair leaves the task: what
+   (n-grams as 64-bit hashes) counts in the first band that it shares and in no other, so nothing is counted twice and no
+   pair leaves the task: what
    leaves is, per member, a number of links and the smallest member it hangs together with.
 4. Groups are the connected components of those edges.
 
@@ -29,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmap.llm.runtime import narrow, prepare, release
+from quillmap.llm.runtime import WORD, narrow, prepare, release
 from quillmap.llm.shingles import many_ngrams, mixed
 from quillmap.plans.components import components
-from quillmap.plans.storage import keep
+from quillmap.plans.storage import keep, small
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -200,12 +201,20 @@ def _verified(threshold: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, block_members: int = BLOCK_MEMBERS, block_grams: int = BLOCK_GRAMS) -> DataFrame:
-    """``doc_id, class_id, set_id, n_links`` for every row.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``doc_id, class_id, set_id, n_links`` for every row; ``options`` are those of ``classes``.
 
     ``class_id`` is the smallest id of the group of linked documents, ``set_id`` the smallest id with the same n-gram set,
     ``n_links`` the number of other rows at the threshold or above.
     """
+    return classes(docs, id_col, text_col, **options).select("doc_id", "class_id", "set_id", "n_links")
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, block_members: int = BLOCK_MEMBERS, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+    """As ``near_duplicates``, with ``set_key`` (the key of a row's n-gram set, null for texts without words) and ``leads``.
+
+    ``leads`` is true for the rows of one set of each group: that of the smallest id, of equal ids the one of the smallest key.
+    """
     prepare(docs.sparkSession)
     n_bands, n_rows = choose_bands(threshold, recall)
     texts = narrow(docs, id_col, text_col).select("doc_id", F.col(text_col).alias("text"))
@@ -233,19 +242,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = components(links.where("rep <> root"), "rep", "root").withColumnRenamed("node", "rep")
     named = sets.select("rep", "first_id", "copies").join(linked, "rep", "left").join(groups, "rep", "left")
     named = keep(named.select("rep", "first_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("label", "rep").alias("label")), "linked")
-    least = named.groupBy("label").agg(F.min("first_id").alias("class_id"))
-    named = keep(named.join(least, "label").select(F.col("rep").alias("set_key"), F.col("first_id").alias("set_id"), "n_links", "class_id"), "classes")
+    order = F.struct(F.col("first_id").isNull(), "first_id", "rep")
+    least = named.groupBy("label").agg(F.min("first_id").alias("class_id"), F.min_by("rep", order).alias("lead"))
+    named = named.join(least, "label").select(F.col("rep").alias("set_key"), F.col("first_id").alias("set_id"), "n_links", "class_id", (F.col("rep") == F.col("lead")).alias("leads"))
+    named = keep(named, "classes")
     out = sketches.select("doc_id", "set_key").join(named, "set_key", "left")
     alone = F.col("set_key").isNull()
     ids = [F.when(alone, F.col("doc_id")).otherwise(F.col(c)).alias(c) for c in ("class_id", "set_id")]
-    return out.select("doc_id", *ids, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", *ids, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "set_key", F.coalesce("leads", F.lit(True)).alias("leads"))
+
+
+def _keys(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [_key(np.unique(g).tobytes()) for g in many_ngrams(b.column(2).to_pylist(), words)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.binary())], names=["__key_id", "__key_sha", "__set"])
+        release()
+
+    return run
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, **options) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest id. All columns stay.
 
-    Ids are taken as unique; rows without an id stay.
+    Rows without an id and texts without words stay. Rows go by their id, so that only ids are joined. The rows of an id that
+    repeats, of which some stay, are told apart by their n-gram sets; of those with one id and one set one stays, that of the
+    smallest text hash.
     """
-    found = near_duplicates(docs, id_col, text_col, **options)
-    gone = found.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("__id"))
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__id"), "left_anti")
+    found = classes(docs, id_col, text_col, words=words, **options).where("doc_id is not null")
+    found = found.select("doc_id", "set_key", (F.col("set_key").isNull() | (F.col("leads") & (F.col("doc_id") == F.col("class_id")))).alias("stays"))
+    found = keep(found, "verdicts")
+    marks = keep(found.groupBy(F.col("doc_id").alias("__id")).agg(F.max("stays").alias("some"), F.count(F.lit(1)).alias("n")).where("not some or n > 1"), "marks")
+    own = F.col(id_col).cast("long")
+    if marks.where("some").limit(1).count() == 0:
+        return docs.join(marks.select("__id"), own == F.col("__id"), "left_anti")
+    clear = docs.join(small(marks.select("__id")), own == F.col("__id"), "left_anti")
+    repeated = docs.join(small(marks.where("some").select("__id")), own == F.col("__id"), "left_semi")
+    has_words = F.coalesce(F.col(text_col).rlike(WORD), F.lit(False))
+    told = repeated.where(has_words).withColumns({"__id": own, "__sha": F.sha2(F.col(text_col).cast("binary"), 256)}).dropDuplicates(["__id", "__sha"])
+    keys = told.select("__id", "__sha", F.col(text_col).alias("text")).mapInArrow(_keys(words), "__key_id long, __key_sha string, __set binary")
+    leading = found.where("stays and set_key is not null").select(F.col("doc_id").alias("__key_id"), F.col("set_key").alias("__set")).distinct()
+    chosen = keys.join(leading, ["__key_id", "__set"]).groupBy("__key_id", "__set").agg(F.min("__key_sha").alias("__key_sha")).drop("__set")
+    once = told.join(chosen, (F.col("__id") == F.col("__key_id")) & (F.col("__sha") == F.col("__key_sha")), "left_semi").drop("__id", "__sha")
+    return clear.unionByName(repeated.where(~has_words)).unionByName(once)

@@ -94,6 +94,6 @@ def _packed(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = SHARD_BYTES) -> None:
-    """``docs`` written with one folder per shard. Ids are taken as unique."""
+    """``docs`` written with one folder and one file per shard; as a shard fits the limit, one task writes it. Ids are taken as unique."""
     where = shard(docs, id_col, text_col, limit).select(F.col("doc_id").alias("__id"), "shard").distinct()
-    docs.join(where, F.col(id_col).cast("long").eqNullSafe(F.col("__id"))).drop("__id").write.partitionBy("shard").parquet(path)
+    docs.join(where, F.col(id_col).cast("long").eqNullSafe(F.col("__id"))).drop("__id").repartition("shard").write.partitionBy("shard").parquet(path)

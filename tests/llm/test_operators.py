@@ -155,6 +155,15 @@ def test_near_duplicates_empty(docs, none):
     assert {r.doc_id for r in jaccard_join.one_of_each(docs).collect()} >= {None, -5, 3, 4, 5, 6, 8, 10}
 
 
+def test_one_of_each_tells_rows_of_a_repeated_id_apart(spark):
+    near, other = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(1, near), (2, near + " end"), (2, other), (2, other), (2, "  " + other), (3, other + " end"), (4, near + " end"), (4, near), (5, ""), (5, None), (5, near), (None, near), (6, "alone in this table"), (7, other.replace("b1 ", "c1 "))]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, rep string")
+    for table in (docs, docs.withColumn("set_key", F.lit(1)).repartition(5)):
+        got = jaccard_join.one_of_each(table).select("doc_id", F.trim("text").alias("text")).collect()
+        assert sorted(got, key=str) == sorted([(1, near), (2, other), (5, ""), (5, None), (None, near), (6, "alone in this table")], key=str)
+
+
 def test_bands_and_ngrams():
     bands, rows = jaccard_join.choose_bands()
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9999
@@ -339,6 +348,16 @@ def test_sharding(docs, none, table):
     assert sharding.shard(docs).count() == len(TEXTS)
 
 
+def test_written_shards(spark, tmp_path):
+    rows = spark.range(300).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), (F.col("id") % 40).cast("int")).alias("text"), F.lit(1).alias("depth"))
+    rows = rows.unionByName(spark.createDataFrame([(None, "no id", 2), (900, None, 3)], "doc_id long, text string, depth int")).repartition(6)
+    sharding.write_shards(rows, str(tmp_path / "out"), limit=4_000)
+    back = spark.read.parquet(str(tmp_path / "out")).select("doc_id", "text", "depth")
+    assert back.exceptAll(rows).count() == 0 and rows.exceptAll(back).count() == 0
+    folders = list((tmp_path / "out").glob("shard=*"))
+    assert len(folders) > 5 and all(len(list(f.glob("*.parquet"))) == 1 for f in folders)
+
+
 def test_sharding_of_one_repeated_id(spark):
     rows = spark.range(90).select(F.lit(7).cast("long").alias("doc_id"), F.repeat(F.lit("x"), 10 + (F.col("id") % 3).cast("int")).alias("text")).repartition(5)
     got = sharding.shard(rows, limit=100).collect()
