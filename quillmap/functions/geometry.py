@@ -95,33 +95,52 @@ def centroid(poly: Column) -> Column:
 
 def contains(poly: Column, x: Column, y: Column) -> Column:
     """Even-odd rule with half-open edges; arcs count as chords."""
+    return _between(_crossings(edges(poly), y), x)
 
-    def crosses(e: Column) -> Column:
-        straddles = (e.a.y > y) != (e.b.y > y)
-        return F.when(straddles, x < (e.b.x - e.a.x) * (y - e.a.y) / (e.b.y - e.a.y) + e.a.x).otherwise(F.lit(False))
 
-    return F.pmod(F.size(F.filter(edges(poly), crosses)), F.lit(2)) == 1
+def _crossings(sides: Column, y: Column) -> Column:
+    """Where the line at ``y`` meets the edges."""
+    return F.transform(F.filter(sides, lambda e: (e.a.y > y) != (e.b.y > y)), lambda e: (e.b.x - e.a.x) * (y - e.a.y) / (e.b.y - e.a.y) + e.a.x)
+
+
+def _between(crossings: Column, x: Column) -> Column:
+    return F.pmod(F.size(F.filter(crossings, lambda v: x < v)), F.lit(2)) == 1
 
 
 def edge_distance(poly: Column, x: Column, y: Column) -> Column:
     """The distance to the nearest edge."""
+    return _away(edges(poly), x, y)
 
+
+def _away(sides: Column, x: Column, y: Column) -> Column:
     def far(e: Column) -> Column:
         dx, dy = e.b.x - e.a.x, e.b.y - e.a.y
         length = dx * dx + dy * dy
         t = F.when(length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - e.a.x) * dx + (y - e.a.y) * dy) / length))).otherwise(F.lit(0.0))
-        return F.hypot(x - e.a.x - t * dx, y - e.a.y - t * dy)
+        return named(t, lambda v: F.hypot(x - e.a.x - v * dx, y - e.a.y - v * dy))
 
-    return F.array_min(F.transform(edges(poly), far))
+    return F.array_min(F.transform(sides, far))
 
 
 def label_point(poly: Column, cells: int = 24) -> Column:
     """The centroid if inside, else the grid point farthest from the edge; the first of equals wins."""
-    c, box = centroid(poly), bbox(poly)
-    steps = F.sequence(F.lit(1), F.lit(cells - 1))
-    grid = F.flatten(F.transform(steps, lambda i: F.transform(steps, lambda j: F.struct((box.x + box.width * j / cells).alias("x"), (box.y + box.height * i / cells).alias("y")))))
-    deep = F.transform(F.filter(grid, lambda p: contains(poly, p.x, p.y)), lambda p, k: F.struct((-edge_distance(poly, p.x, p.y)).alias("d"), k.alias("k"), p.alias("p")))
-    return F.when(contains(poly, c.x, c.y), c).otherwise(F.coalesce(F.array_min(deep).p, c))
+
+    def deepest(sides: Column, box: Column, c: Column) -> Column:
+        steps = F.sequence(F.lit(1), F.lit(cells - 1))
+
+        def inside(line: Column) -> Column:
+            return F.filter(F.transform(steps, lambda j: F.struct((box.x + box.width * j / cells).alias("x"), line.y.alias("y"))), lambda p: _between(line.xs, p.x))
+
+        def line(y: Column) -> Column:
+            return named(F.struct(y.alias("y"), _crossings(sides, y).alias("xs")), inside)
+
+        grid = F.flatten(F.transform(F.transform(steps, lambda i: box.y + box.height * i / cells), line))
+        deep = F.transform(grid, lambda p, k: F.struct((-_away(sides, p.x, p.y)).alias("d"), k.alias("k"), p.alias("p")))
+        return F.coalesce(F.array_min(deep).p, c)
+
+    # Edges, box and centroid are bound once; inside the loops over the grid they would be worked out for every point.
+    known = F.struct(edges(poly).alias("sides"), bbox(poly).alias("box"), centroid(poly).alias("c"))
+    return named(known, lambda s: F.when(_between(_crossings(s.sides, s.c.y), s.c.x), s.c).otherwise(deepest(s.sides, s.box, s.c)))
 
 
 def is_closed_shape(poly: Column) -> Column:

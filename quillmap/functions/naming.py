@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The first category with a word of the name wins; words joined by a plus must all be there.
+# The category of the first line with a word of the name wins; the words of a tuple must all be there.
 CATEGORIES = (
-    ("circulation", "CIRCULATION CORRIDOR"),
-    ("study", "PIAZZA"),
-    ("open", "COLLAB PORCH FLEXIBLE TERRACE OPEN+OFFICE"),
-    ("lab", "LAB MRI"),
-    ("classroom", "LECTURE CLASSROOM AUDITORIUM"),
-    ("focus", "FOCUS BOOTH PHONE"),
-    ("meeting", "HUDDLE MEETING PROJECT CONFERENCE"),
-    ("amenity", "KITCHEN LOUNGE LACTATION MEDITATION CAFE GREEN+ROOM"),
-    ("copy", "PRINTER COPY"),
-    ("service", "HELP STORAGE SHIPPING DAS RECEPTION MECH ELEC FACILITY"),
-    ("study", "STUDY STUDENT HOURS"),
+    ("circulation", ("CIRCULATION", "CORRIDOR")),
+    ("study", ("PIAZZA",)),
+    ("open", ("COLLAB", "PORCH", "FLEXIBLE", "TERRACE", ("OPEN", "OFFICE"))),
+    ("lab", ("LAB", "MRI")),
+    ("classroom", ("LECTURE", "CLASSROOM", "AUDITORIUM")),
+    ("focus", ("FOCUS", "BOOTH", "PHONE")),
+    ("meeting", ("HUDDLE", "MEETING", "PROJECT", "CONFERENCE")),
+    ("amenity", ("KITCHEN", "LOUNGE", "LACTATION", "MEDITATION", "CAFE", ("GREEN", "ROOM"))),
+    ("copy", ("PRINTER", "COPY")),
+    ("service", ("HELP", "STORAGE", "SHIPPING", "DAS", "RECEPTION", "MECH", "ELEC", "FACILITY")),
+    ("study", ("STUDY", "STUDENT", "HOURS")),
 )
 OTHERWISE = "office"
 # Spellings of display names, and the names that get the word "Room".
@@ -43,11 +43,11 @@ def category(name: Column, number: Column) -> Column:
     """The category of a plan name; numbers with ``CORR`` are circulation, and names without a known word are offices."""
     words = F.split(F.trim(F.translate(F.upper(name), "/-", "  ")), r"\s+")
 
-    def has(group: str) -> Column:
-        tests = [F.forall(F.array(*map(F.lit, w.split("+"))), lambda x: F.array_contains(words, x)) for w in group.split() if "+" in w]
-        out = F.arrays_overlap(words, F.array(*[F.lit(w) for w in group.split() if "+" not in w]))
-        for t in tests:
-            out = out | t
+    def has(group: tuple) -> Column:
+        out = F.arrays_overlap(words, F.array(*[F.lit(w) for w in group if isinstance(w, str)]))
+        for needed in group:
+            if isinstance(needed, tuple):
+                out = out | (F.size(F.array_except(F.array(*map(F.lit, needed)), words)) == 0)
         return out
 
     found = F.when(F.contains(F.upper(number), F.lit("CORR")), F.lit(CATEGORIES[0][0]))
@@ -65,7 +65,7 @@ def display_name(name: Column, number: Column) -> Column:
 
 
 def icon(tags: Column, icons: dict[str, str], box: Column, large: tuple[str, ...] = ("stairs", "printer"), width: float = 32.0, height: float = 48.0) -> Column:
-    """The icon of the first tag that has one; those in ``large`` need a box of the size."""
+    """The icon of the first tag that has one; icons in ``large`` need a box of the size, or there is none."""
     known = F.create_map(*[F.lit(x) for pair in icons.items() for x in pair])
     first = F.get(F.filter(F.transform(tags, lambda t: F.try_element_at(known, t)), lambda t: t.isNotNull()), F.lit(0))
     return F.when(~first.isin(*large) | ((box.width >= width) & (box.height >= height)), first)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quillmap.functions import geometry as G
 from quillmap.functions.shapes import clip_convex
+from quillmap.operators.grid import numbered
 from quillmap.operators.spatial import cells_of_box
 from quillmap.plans.storage import keep
 
@@ -78,11 +79,12 @@ def snapped(points: DataFrame, shapes: DataFrame, key: str, point_id: str) -> Da
 def zip_rest(left: DataFrame, right: DataFrame, matched: DataFrame, group: str, left_id: str, right_id: str, left_order: Column, right_order: Column) -> DataFrame:
     """``left_id, right_id``: the match, and the unmatched rows of both sides of a group paired by their order.
 
-    Groups are sheets: short lists of names. Rows without a partner are left out.
+    Groups are sheets. Rows without a partner, and those without a group, are left out; ids tell rows of one order apart. A
+    group of any size is spread over tasks.
     """
 
     def rest(side: DataFrame, k: str, order: Column) -> DataFrame:
-        return side.join(matched, k, "left_anti").select(group, k, F.row_number().over(W.partitionBy(group).orderBy(order, k)).alias("__n"))
+        return numbered(side.join(matched, k, "left_anti").select(group, k, order.alias("__order")), group, "__order", k, name="__n").drop("__order")
 
     pairs = rest(left, left_id, left_order).join(rest(right, right_id, right_order), [group, "__n"])
     return matched.select(left_id, right_id).unionByName(pairs.select(left_id, right_id))

@@ -260,8 +260,8 @@ _PLAN = ("FACULTY OFFICE", "HUDDLE", "OPEN OFFICE", "MRI LAB", "GREEN ROOM", "PI
 
 def _category_sql() -> str:
     def has(group):
-        tests = [f"list_has_all(w, {w.split('+')})" for w in group.split() if "+" in w]
-        return " OR ".join([f"list_has_any(w, {[x for x in group.split() if '+' not in x]})", *tests])
+        tests = [f"list_has_all(w, {list(x)})" for x in group if isinstance(x, tuple)]
+        return " OR ".join([f"list_has_any(w, {[x for x in group if isinstance(x, str)]})", *tests])
 
     return "CASE WHEN contains(number, 'CORR') THEN 'circulation' " + " ".join(f"WHEN {has(g)} THEN '{k}'" for k, g in naming.CATEGORIES) + " ELSE 'office' END"
 

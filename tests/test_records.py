@@ -155,6 +155,22 @@ def test_stream(spark, sf, tmp_path):
     assert spark.table("latest").select("user_id", "event_type").exceptAll(want).count() == 0
 
 
+def test_windowed_stream(spark, sf, tmp_path):
+    """Files in the order of time, so that the watermark drops nothing; the last day stays open until a later row."""
+    all_rows = spark.read.parquet(f"{sf}/events.parquet")
+    last = all_rows.agg(F.max("ts") + F.expr("interval 3 days")).collect()[0][0]
+    late = all_rows.limit(1).withColumn("ts", F.lit(last))
+    for k, part in enumerate((all_rows, late)):
+        part.coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    events = spark.readStream.schema(all_rows.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    counts = changes.windowed_counts(events, "ts", "event_type", "1 day", "2 hours")
+    q = counts.writeStream.format("memory").queryName("daily").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    want = all_rows.groupBy(F.date_trunc("day", "ts").alias("day"), "event_type").count()
+    got = spark.table("daily").select("window.start", "event_type", "n")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
 def test_oracles(spark, sf):
     """Every SQL text gives the query's rows, at the smallest size."""
     import glob
