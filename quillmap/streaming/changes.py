@@ -12,5 +12,8 @@ def latest_values(stream: DataFrame, key: str, seq: str, value: str) -> DataFram
 
 
 def windowed_counts(stream: DataFrame, ts: str, kind: str, width: str, late: str) -> DataFrame:
-    """Counts by kind in tumbling windows; rows later than ``late`` behind the newest are left out."""
-    return stream.withWatermark(ts, late).groupBy(F.window(ts, width), kind).agg(F.count(F.lit(1)).alias("n"))
+    """Counts by kind in tumbling windows; rows later than ``late`` behind the newest are left out.
+
+    Times without a zone are those of the session's zone, as watermarks need an instant.
+    """
+    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, width), kind).agg(F.count(F.lit(1)).alias("n"))
