@@ -507,42 +507,42 @@ def test_html(spark):
     assert html_extract.extract(frame.limit(0)).count() == 0
 
 
-LONG = "A long sentence of the text, and more of it. " * 8
+SENTENCES = "A long sentence of the text, and more of it. " * 8
 
 
 @pytest.mark.parametrize(
     "body",
     [
-        f"<article><h1>Head</h1><p>Lead.</p><section><p>{LONG}</p></section><section><p>{LONG}</p></section></article>",
-        f"<article><h1>Head</h1><div class=content><p>Lead.</p><div><p>{LONG}</p><p>{LONG}</p></div></div></article>",
-        f"<article><h1>Head</h1><p>Lead.</p><ul><li>{LONG}</li><li>{LONG}</li></ul></article>",
-        f"<article><h1>Head</h1><p>Lead.</p><table><tr><td>{LONG}<td>{LONG}</table></article>",
-        f"<main><div><h1>Head</h1><p>Lead.</p></div><div class=content><p>{LONG}</p><p>{LONG}</p></div></main>",
-        f"<div class=page><h1>Head</h1><p>Lead.</p><div class=content><p>{LONG}</p><p>{LONG}</p></div></div>",
-        f"<h1>Head</h1><p>Lead.</p><section><p>{LONG}</p></section><section><p>{LONG}</p></section>",
-        f"<h1>Head</h1><p>Lead.</p><ol><li>{LONG}</li><li>{LONG}</li></ol>",
+        f"<article><h1>Head</h1><p>Lead.</p><section><p>{SENTENCES}</p></section><section><p>{SENTENCES}</p></section></article>",
+        f"<article><h1>Head</h1><div class=content><p>Lead.</p><div><p>{SENTENCES}</p><p>{SENTENCES}</p></div></div></article>",
+        f"<article><h1>Head</h1><p>Lead.</p><ul><li>{SENTENCES}</li><li>{SENTENCES}</li></ul></article>",
+        f"<article><h1>Head</h1><p>Lead.</p><table><tr><td>{SENTENCES}<td>{SENTENCES}</table></article>",
+        f"<main><div><h1>Head</h1><p>Lead.</p></div><div class=content><p>{SENTENCES}</p><p>{SENTENCES}</p></div></main>",
+        f"<div class=page><h1>Head</h1><p>Lead.</p><div class=content><p>{SENTENCES}</p><p>{SENTENCES}</p></div></div>",
+        f"<h1>Head</h1><p>Lead.</p><section><p>{SENTENCES}</p></section><section><p>{SENTENCES}</p></section>",
+        f"<h1>Head</h1><p>Lead.</p><ol><li>{SENTENCES}</li><li>{SENTENCES}</li></ol>",
     ],
 )
 def test_html_takes_the_whole_container(body):
     source = f"<html><body><nav><a href=/>menu</a></nav>{body}<div class=ad>Buy</div><footer>x</footer></body></html>"
-    want = "\n".join(["Head", "Lead.", LONG.strip(), LONG.strip()])
+    want = "\n".join(["Head", "Lead.", SENTENCES.strip(), SENTENCES.strip()])
     path = html_extract.votes(source)[0][0]
     assert html_extract.main_text(source, path) == html_extract.main_text(source, None) == want
 
 
 @pytest.mark.parametrize("name", ["page-with-sidebar", "layout-sidebar wide", "site menu-left", "page-promo"])
 def test_html_keeps_wrappers_named_by_words(name):
-    inner = f"<article><div class='entry-header'><h1>Head</h1><p>by line</p></div><p>{LONG}</p></article><aside><p>{LONG * 3}</p></aside><div class=related><p>{LONG}</p></div>"
-    assert html_extract.main_text(f"<body><div class='{name}'>{inner}</div><div class=cookie-notice><p>We use cookies.</p></div>", None) == f"Head\n{LONG.strip()}"
+    inner = f"<article><div class='entry-header'><h1>Head</h1><p>by line</p></div><p>{SENTENCES}</p></article><aside><p>{SENTENCES * 3}</p></aside><div class=related><p>{SENTENCES}</p></div>"
+    assert html_extract.main_text(f"<body><div class='{name}'>{inner}</div><div class=cookie-notice><p>We use cookies.</p></div>", None) == f"Head\n{SENTENCES.strip()}"
     if "promo" not in name:
-        plain = f"<body><div class='{name}'><h1>Head</h1><p>{LONG}</p><div class=sidebar><p>side</p></div></div><div class=sidebar><p>{LONG}</p></div>"
-        assert html_extract.main_text(plain, None) == f"Head\n{LONG.strip()}"
+        plain = f"<body><div class='{name}'><h1>Head</h1><p>{SENTENCES}</p><div class=sidebar><p>side</p></div></div><div class=sidebar><p>{SENTENCES}</p></div>"
+        assert html_extract.main_text(plain, None) == f"Head\n{SENTENCES.strip()}"
 
 
 def test_html_drops_by_words():
     for name in ("sidebar", "comments", "cookie-notice", "related"):
-        for body in (f"<article><h1>Head</h1><p>{LONG}</p></article>", f"<div><h1>Head</h1><p>{LONG}</p></div>"):
-            assert html_extract.main_text(f"<body>{body}<div class={name}><p>{LONG * 5}</p></div>", None) == f"Head\n{LONG.strip()}"
+        for body in (f"<article><h1>Head</h1><p>{SENTENCES}</p></article>", f"<div><h1>Head</h1><p>{SENTENCES}</p></div>"):
+            assert html_extract.main_text(f"<body>{body}<div class={name}><p>{SENTENCES * 5}</p></div>", None) == f"Head\n{SENTENCES.strip()}"
 
 
 def test_html_fourth_path_wins_its_host(spark):
@@ -573,9 +573,9 @@ LEAD, NEXT = "The lead of it.", "More of the same text, and a bit more. " * 6
     ],
 )
 def test_html_loses_no_part(body):
-    a, b = f"<p>{LONG}</p>" * 5, f"<p>{NEXT}</p>" * 3
+    a, b = f"<p>{SENTENCES}</p>" * 5, f"<p>{NEXT}</p>" * 3
     got = html_extract.main_text(f"<body><nav><a href=/>menu</a></nav>{body.format(a=a, b=b)}<footer>x</footer>", None)
-    assert got == "\n".join([t for t in ("Head", LEAD) if t in body] + [LONG.strip()] * 5 + [NEXT.strip()] * 3)
+    assert got == "\n".join([t for t in ("Head", LEAD) if t in body] + [SENTENCES.strip()] * 5 + [NEXT.strip()] * 3)
 
 
 def test_html_is_linear():
@@ -592,16 +592,16 @@ def test_html_is_linear():
 
 def test_html_vote_changes_a_page(spark):
     story, other = "<div class=story><p>{}</p></div>", "<div class=latest><p>{}</p></div>"
-    pages = [(k, "http://h.example/", "<body>" + story.format(LONG * 3) + other.format(NEXT[:100])) for k in range(5)]
-    odd = "<body>" + story.format("Short.") + other.format(LONG * 2)
+    pages = [(k, "http://h.example/", "<body>" + story.format(SENTENCES * 3) + other.format(NEXT[:100])) for k in range(5)]
+    odd = "<body>" + story.format("Short.") + other.format(SENTENCES * 2)
     frame = spark.createDataFrame([*pages, (9, "http://h.example/x", odd), (10, "http://else.example/", odd)], "page_id long, url string, html string")
     got = {r.page_id: r.text for r in html_extract.extract(frame).collect()}
-    assert got[9] == "Short." and got[10] == (LONG * 2).strip() and got[0] == (LONG * 3).strip()
+    assert got[9] == "Short." and got[10] == (SENTENCES * 2).strip() and got[0] == (SENTENCES * 3).strip()
 
 
 def test_html_leaves_what_lies_beside_the_container():
     beside = "<div class=x><p>Another text.</p></div>"
-    for body in (f"<article><p>{LONG}</p></article>", f"<div id=post><h2>Head</h2><p>{LONG}</p></div>"):
+    for body in (f"<article><p>{SENTENCES}</p></article>", f"<div id=post><h2>Head</h2><p>{SENTENCES}</p></div>"):
         assert "Another" not in html_extract.main_text(f"<body><p>Site</p>{beside}{body}{beside}", None)
 
 
