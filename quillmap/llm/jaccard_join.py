@@ -5,7 +5,8 @@
 2. Band hashes are shuffled: classes that share a (band, hash) form a bucket. Buckets with the same members are kept once,
    the one of the lowest band.
 3. The n-gram sets of bucket members only are computed again and written. Each bucket is cut into blocks of bounded size,
-   by member hash, and every two blocks meet in one task, which compares all pairs between them on full n-gram sets. A pair
+   by member hash, and every two blocks meet in one task, which compares all pairs between them on full n-gram sets. Blocks
+   grow with their bucket, so a set is shuffled at most ``SHIPPED`` times until the bounds of a block hold. A pair
    (n-grams as 64-bit hashes) counts in the first band that it shares and in no other, so nothing is counted twice and no
    pair leaves the task: what
    leaves is, per member, a number of links and the smallest member it hangs together with.
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmap.llm.runtime import WORD, narrow, prepare, release
@@ -38,9 +39,15 @@ from quillmap.plans.storage import keep, small
 WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
-#: Members and n-grams in a block, about; two blocks meet in one task.
+#: Members of a block of a small bucket, about, and how many times that a block of a large one may have; two blocks meet in one task.
 BLOCK_MEMBERS = 400
-BLOCK_GRAMS = 1_000_000
+BLOCK_GROWTH = 10
+#: N-grams in a block, about.
+BLOCK_GRAMS = 2_000_000
+#: Blocks that a bucket is cut into before its blocks grow.
+SHIPPED = 8
+#: Rows of a comparison worked on at a time.
+STRIP = 500
 #: Stands for a null id in joins.
 NO_ID = -(2**63)
 
@@ -111,55 +118,82 @@ def _sets(words: int):
     return run
 
 
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections of sorted sets."""
-    m = len(sets)
+def n_blocks(members: Column, grams: Column, block_members: int = BLOCK_MEMBERS, block_grams: int = BLOCK_GRAMS) -> Column:
+    """How many blocks a bucket is cut into: of ``block_members``, more members where that makes over ``SHIPPED`` blocks."""
+    size = F.least(F.lit(float(block_members * BLOCK_GROWTH)), F.greatest(F.lit(float(block_members)), members / SHIPPED))
+    return F.greatest(F.ceil(members / size), F.ceil(grams / block_grams)).cast("int")
+
+
+def overlaps(sets: list[np.ndarray], first: int = 0) -> np.ndarray:
+    """Sizes of the intersections of sorted sets: of the first ``first`` with the others, or of all pairs (above the diagonal)."""
+    m, top = len(sets), first or len(sets)
     if m == 2:
         n = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return np.array([[len(sets[0]), n], [n, len(sets[1])]])
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(m), [len(s) for s in sets])
+        return np.array([[n]] if first else [[0, n], [0, 0]], np.float32)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(m, dtype=np.int32), [len(s) for s in sets])
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
     new = np.concatenate([[True], flat[1:] != flat[:-1]])
-    column, counts = np.cumsum(new) - 1, np.diff(np.concatenate([np.flatnonzero(new), [len(flat)]]))
-    shared = counts[column] > 1
-    owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
-    out, step = np.zeros((m, m), np.float32), max(1024, 4_000_000 // max(m, 1))
+    column, counts = np.cumsum(new, dtype=np.int32) - 1, np.diff(np.concatenate([np.flatnonzero(new), [len(flat)]]))
+    held = counts[column]
+    out = np.zeros((top, m - first), np.float32)
+    # N-grams that few sets hold add to single cells, the others are columns of a product.
+    rare = (held > 1) & (held * 16 <= m)
+    o, c, away = owner[rare], column[rare], 1
+    while len(same := np.flatnonzero(c[away:] == c[:-away])):
+        i, j = o[same], o[same + away]
+        if first:
+            across = (i < first) & (j >= first)
+            i, j = i[across], j[across] - first
+        np.add.at(out, (i, j), 1)
+        away += 1
+    common = (held > 1) & ~rare
+    owner, column = owner[common], np.unique(column[common], return_inverse=True)[1]
+    step = max(1024, 4_000_000 // m)
     for at in range(0, int(column.max()) + 1 if len(column) else 0, step):
         a, b = np.searchsorted(column, [at, at + step])
         block = np.zeros((m, step), np.float32)
         block[owner[a:b], column[a:b] - at] = 1
-        out += block @ block.T
-    np.fill_diagonal(out, [len(s) for s in sets])
-    return out.astype(np.int64)
+        out += block[:top] @ block[first:].T
+    return out
+
 
+def _joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``label`` after the components of each ``i`` and ``j`` have become one, that of the smaller label."""
+    root = np.arange(len(label))
+    a, b = label[i], label[j]
+    while (a != b).any():
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+        a, b = root[a], root[b]
+    return root[label]
 
-def block_links(band: int, lo: int, hi: int, reps, blocks, copies, bands, sets, threshold: float) -> list[tuple[bytes, int, bytes]]:
-    """``(rep, links, root)`` of the members with a link that counts here."""
+
+def block_links(band: int, first: int, reps: list[bytes], copies: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], threshold: float) -> list[tuple[bytes, int, bytes]]:
+    """``(rep, links, root)`` of the members with a link that counts here.
+
+    Links lie between the first ``first`` members and the others, or with 0 between any two.
+    """
     m = len(reps)
-    both = overlaps(sets)
+    both = overlaps(sets, first)
     size = np.array([len(s) for s in sets])
-    near = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
-    i, j = np.nonzero(np.triu(near, 1))
-    if lo != hi:
-        across = blocks[i] != blocks[j]
-        i, j = i[across], j[across]
-    if len(i) and band:
-        fresh = np.concatenate([~(bands[i[k : k + 100_000], :band] == bands[j[k : k + 100_000], :band]).any(axis=1) for k in range(0, len(i), 100_000)])
-        i, j = i[fresh], j[fresh]
-    if not len(i):
-        return []
-    links = np.bincount(i, copies[j], m) + np.bincount(j, copies[i], m)
+    links, label = np.zeros(m), np.empty(m, np.int64)
     order = sorted(range(m), key=reps.__getitem__)
-    label = np.empty(m, np.int64)
     label[order] = np.arange(m)
-    while True:
-        low = np.minimum(label[i], label[j])
-        was = label.copy()
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
-        if (was == label).all():
-            break
+    for at in range(0, len(both), STRIP):
+        part = both[at : at + STRIP]
+        own = slice(at, at + len(part))
+        near = part >= threshold * (size[own, None] + size[None, first:] - part) - 1e-9
+        if not first:
+            near = np.triu(near, at + 1)
+        for k in range(band if near.any() else 0):
+            near &= bands[own, k, None] != bands[None, first:, k]
+        i, j = np.nonzero(near)
+        if len(i):
+            i, j = i + at, j + first
+            links += np.bincount(i, copies[j], m) + np.bincount(j, copies[i], m)
+            label = _joined(label, i, j)
     return [(reps[k], int(links[k]), reps[order[label[k]]]) for k in np.flatnonzero(links)]
 
 
@@ -167,12 +201,17 @@ def _verified(threshold: float):
     names = ("band", "key", "lo", "hi")
 
     def group(key, rows):
-        reps = [r[0] for r in rows]
-        blocks = np.array([r[1] for r in rows])
-        if key[2] != key[3] and len(set(blocks.tolist())) < 2 or len(rows) < 2:
+        band, _, lo, hi = key
+        first = 0
+        if lo != hi:
+            first = sum(r[1] == lo for r in rows)
+            if first in (0, len(rows)):
+                return []
+            rows.sort(key=lambda r: r[1])
+        if len(rows) < 2:
             return []
-        bands = np.array([r[3] for r in rows], np.int64)
-        return block_links(key[0], key[2], key[3], reps, blocks, np.array([r[2] for r in rows], np.float64), bands, [np.frombuffer(r[4], np.uint64) for r in rows], threshold)
+        reps, _, copies, bands, sets = zip(*rows, strict=True)
+        return block_links(band, first, list(reps), np.array(copies, np.float64), np.array(bands, np.int64), [np.frombuffer(s, np.uint64) for s in sets], threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows, out = None, [], []
@@ -225,8 +264,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     prints = F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("f1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("f2")
     buckets = spread.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m"), F.sum("n_grams").alias("grams"), *prints).where("m > 1")
     once = buckets.groupBy("m", "f1", "f2").agg(F.min(F.struct("band", "key")).alias("b"), F.first("grams").alias("grams"))
-    blocks = F.greatest(F.ceil(F.col("m") / block_members), F.ceil(F.col("grams") / block_grams)).cast("int")
-    once = keep(once.select("b.band", "b.key", blocks.alias("n_blocks")), "buckets")
+    once = keep(once.select("b.band", "b.key", n_blocks(F.col("m"), F.col("grams"), block_members, block_grams).alias("n_blocks")), "buckets")
     members = spread.select("rep", "band", "key").join(once, ["band", "key"])
     members = keep(members.select("band", "key", "n_blocks", "rep", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("n_blocks")).cast("int").alias("block")), "members")
     # The texts of one document of each wanted set; a repeated id may bring other texts along, which the join on the set drops.

@@ -164,6 +164,37 @@ def test_one_of_each_tells_rows_of_a_repeated_id_apart(spark):
         assert sorted(got, key=str) == sorted([(1, near), (2, other), (5, ""), (5, None), (None, near), (6, "alone in this table")], key=str)
 
 
+@pytest.mark.parametrize("m", [2, 3, 40, 700])
+def test_overlaps_and_links_of_blocks(m):
+    rng = np.random.default_rng(m)
+    base = rng.integers(0, 2**63, 60).astype(np.uint64)
+    # Some n-grams are in nearly all sets, some in a few, some in one.
+    sets = [np.unique(np.concatenate([base[rng.random(60) < 0.95], rng.integers(0, 4 * m, 6).astype(np.uint64), rng.integers(0, 2**63, 2).astype(np.uint64)])) for _ in range(m)]
+    plain = [set(s.tolist()) for s in sets]
+    bands = rng.integers(0, 3, (m, 4))
+    copies, reps = rng.integers(1, 4, m).astype(float), [rng.bytes(16) for _ in range(m)]
+    for first in (0, 1, m // 2):
+        pairs = [(i, j) for i in range(first or m) for j in range(first or i + 1, m)]
+        got = jaccard_join.overlaps(sets, first)
+        assert all(got[i, j - first] == len(plain[i] & plain[j]) for i, j in pairs)
+        links, root = Counter(), {r: {r} for r in reps}
+        for i, j in pairs:
+            if len(plain[i] & plain[j]) >= 0.8 * len(plain[i] | plain[j]) and not (bands[i, :2] == bands[j, :2]).any():
+                links[reps[i]] += int(copies[j])
+                links[reps[j]] += int(copies[i])
+                if root[reps[i]] is not root[reps[j]]:
+                    both = root[reps[i]] | root[reps[j]]
+                    root.update(dict.fromkeys(both, both))
+        want = sorted((r, n, min(root[r])) for r, n in links.items())
+        assert sorted(jaccard_join.block_links(2, first, reps, copies, bands, sets, 0.8)) == want
+
+
+def test_blocks_of_large_buckets_grow(spark):
+    sizes = spark.createDataFrame([(2, 400), (400, 80_000), (900, 90_000), (5_000, 1_500_000), (30_000, 3_000_000), (10, 9_000_000)], "m long, grams long")
+    got = [r.n for r in sizes.select(jaccard_join.n_blocks(F.col("m"), F.col("grams")).alias("n")).collect()]
+    assert got == [1, 1, 3, 8, 8, 5]
+
+
 def test_bands_and_ngrams():
     bands, rows = jaccard_join.choose_bands()
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9999
