@@ -258,3 +258,86 @@ def longest_edges(poly: Column, n: int = 2) -> Column:
     """The ``n`` longest edges, the longest first, equal ones in order: ``ARRAY<STRUCT<length, i, a, b>>``."""
     told = F.transform(G.edges(poly), lambda e, i: F.struct((-F.hypot(e.b.x - e.a.x, e.b.y - e.a.y)).alias("less"), i.alias("i"), e.a.alias("a"), e.b.alias("b")))
     return F.transform(F.slice(F.array_sort(told), 1, n), lambda e: F.struct((-e.less).alias("length"), e.i.alias("i"), e.a.alias("a"), e.b.alias("b")))
+
+
+def edge_direction(poly: Column) -> Column:
+    """Degrees of the longest edge, of equal ones the first; null for an empty polygon."""
+    return G.named(F.get(longest_edges(poly, 1), F.lit(0)), lambda e: F.degrees(F.atan2(e.b.y - e.a.y, e.b.x - e.a.x)))
+
+
+def _spun(p: Column, turn: Column, cx: Column, cy: Column) -> tuple[Column, Column]:
+    """``x, y`` of a point after a turn by degrees around a centre."""
+    c, s, dx, dy = F.cos(F.radians(turn)), F.sin(F.radians(turn)), p.x - cx, p.y - cy
+    return cx + dx * c - dy * s, cy + dx * s + dy * c
+
+
+def turned_to_axis(poly: Column, axis: Column, limit: float = 15.0, least: float = 0.05, digits: int = 1) -> Column:
+    """``poly`` turned around the mean of its vertices until its longest edge lies along or across ``axis`` (degrees).
+
+    Vertices are rounded and keep their arcs. A polygon that is off by more than ``limit`` or less than ``least`` stays as it is,
+    as does an empty one; a null polygon or axis gives the polygon.
+    """
+
+    def told(v: Column) -> Column:
+        def by(t: Column) -> Column:
+            n = F.size(v)
+            mean = F.struct((F.aggregate(v, F.lit(0.0), lambda s, p: s + p.x) / n).alias("x"), (F.aggregate(v, F.lit(0.0), lambda s, p: s + p.y) / n).alias("y"))
+
+            def moved_points(m: Column) -> Column:
+                def one(p: Column) -> Column:
+                    x, y = _spun(p, t, m.x, m.y)
+                    return F.struct(F.round(x, digits).alias("x"), F.round(y, digits).alias("y"), p.bulge.alias("bulge"))
+
+                return F.transform(v, one)
+
+            return F.when(F.abs(t).between(least, limit), G.named(mean, moved_points)).otherwise(v)
+
+        return G.named(F.pmod(axis - edge_direction(v) + 45, F.lit(90.0)) - 45, by)
+
+    return G.named(poly, told)
+
+
+def box_of_axis(poly: Column, axis: Column | None = None) -> Column:
+    """Corners of the least box around the vertices that lies along ``axis`` (degrees), or along the longest edge."""
+
+    def told(v: Column) -> Column:
+        def by(t: Column) -> Column:
+            zero = F.lit(0.0)
+
+            def flat(p: Column) -> Column:
+                x, y = _spun(p, -t, zero, zero)
+                return G.point(x, y)
+
+            def back(b: Column) -> Column:
+                corners = F.array(*[G.point(b.x + i * b.width, b.y + j * b.height) for i, j in ((0, 0), (1, 0), (1, 1), (0, 1))])
+                return F.transform(corners, lambda p: G.point(*_spun(p, t, zero, zero)))
+
+            return G.named(G.bbox(F.transform(v, flat)), back)
+
+        return G.named(edge_direction(v) if axis is None else axis, by)
+
+    return G.named(poly, told)
+
+
+def leaves_ellipse(e: Column, ox: Column, oy: Column, degrees: Column) -> Column:
+    """The point where a ray from ``(ox, oy)`` inside an ellipse (``cx, cy, a, b, turn`` in degrees) leaves it."""
+
+    def scaled(x: Column, y: Column) -> tuple[Column, Column]:
+        # In the ellipse's own axes, as parts of them, it is the unit circle.
+        c, s = F.cos(F.radians(e.turn)), F.sin(F.radians(e.turn))
+        return (x * c + y * s) / e.a, (y * c - x * s) / e.b
+
+    dx, dy = F.cos(F.radians(degrees)), F.sin(F.radians(degrees))
+    (px, py), (ux, uy) = scaled(ox - e.cx, oy - e.cy), scaled(dx, dy)
+    along, square = px * ux + py * uy, ux * ux + uy * uy
+    far = (F.sqrt(along * along - square * (px * px + py * py - 1)) - along) / square
+    return G.named(far, lambda k: G.point(ox + k * dx, oy + k * dy))
+
+
+def band(inner: Column, outer: Column, low: Column, high: Column, steps: int = 40) -> Column:
+    """The polygon between two ellipses from ``low`` to ``high`` degrees, seen from the inner one's centre: out there, back inside."""
+
+    def side(e: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: leaves_ellipse(e, inner.cx, inner.cy, low + (high - low) * i / steps))
+
+    return F.concat(side(outer), F.reverse(side(inner)))

@@ -45,6 +45,59 @@ def ellipses(spark, d):
     return e.select("k", "area", F.round("b.x", 6).alias("low"), F.round("b.height", 6).alias("height"))
 
 
+def _tilted(x, y, w, h, turn):
+    """A rectangle turned around its middle by degrees."""
+    c, s = F.cos(F.radians(turn)), F.sin(F.radians(turn))
+    return F.array(*[G.point(x + w / 2 + i * w / 2 * c - j * h / 2 * s, y + h / 2 + i * w / 2 * s + j * h / 2 * c) for i, j in ((-1, -1), (1, -1), (1, 1), (-1, 1))])
+
+
+@query(
+    f"""WITH {_RECTS}, t AS (SELECT *, CASE WHEN abs(k % 41 - 19.5) <= 15 THEN 0 ELSE radians(k % 41 - 19.5) END AS t FROM b)
+       SELECT k, round(x + w / 2 - w / 2 * cos(t) + h / 2 * sin(t), 6) AS first_x, round(y + h / 2 - w / 2 * sin(t) - h / 2 * cos(t), 6) AS first_y,
+       round(x + w / 2 + w / 2 * cos(t) - h / 2 * sin(t), 6) AS third_x FROM t"""
+)
+def axis_boxes(spark, d):
+    """Rectangles that stand up to 20.5 degrees off the axis; those within 15 are turned onto it."""
+    x, y, w, h = (F.col(c) for c in "xywh")
+    p = _rects(spark, d).select("k", shapes.turned_to_axis(_tilted(x, y, w, h, F.col("k") % 41 - 19.5), F.lit(0.0)).alias("p"))
+    first, third = F.get("p", F.lit(0)), F.get("p", F.lit(2))
+    return p.select("k", F.round(first.x, 6).alias("first_x"), F.round(first.y, 6).alias("first_y"), F.round(third.x, 6).alias("third_x"))
+
+
+@query(
+    f"""WITH {_RECTS} SELECT k, round(w * h, 6) AS own, round((w * cos(radians(k % 80)) + h * sin(radians(k % 80))) * (w * sin(radians(k % 80)) + h * cos(radians(k % 80))), 6) AS level,
+       round(w * h, 6) AS along FROM b"""
+)
+def fitted_boxes(spark, d):
+    """Areas of the boxes around tilted rectangles: along the longest edge, level, and along the tilt."""
+    x, y, w, h = (F.col(c) for c in "xywh")
+    turn = F.col("k") % 80
+    p = _rects(spark, d).select("k", turn.cast("double").alias("t"), _tilted(x, y, w, h, turn).alias("p"))
+
+    def size(axis):
+        return F.round(F.abs(G.area(shapes.box_of_axis(F.col("p"), axis))), 6)
+
+    return p.select("k", size(None).alias("own"), size(F.lit(0.0)).alias("level"), size(F.col("t")).alias("along"))
+
+
+@query(
+    f"""WITH {_RECTS}, r AS (SELECT k, x, y, w, list_transform(range(0, 9), lambda i: 1 / sqrt((cos(radians(k % 50 + 10 * i)) / (3 * w)) ** 2 + (sin(radians(k % 50 + 10 * i)) / (2 * w + h)) ** 2)) AS far FROM b)
+       SELECT k, round(x + far[1] * cos(radians(k % 50)), 6) AS first_x, round(y + far[1] * sin(radians(k % 50)), 6) AS first_y,
+       round(sin(radians(10)) / 2 * (list_sum(list_transform(range(1, 9), lambda i: far[i] * far[i + 1])) - 8 * w * w), 5) AS area FROM r"""
+)
+def bands(spark, d):
+    """Bands of 80 degrees between a circle and an ellipse around it."""
+    k, x, y, w, h = (F.col(c) for c in "kxywh")
+
+    def ellipse(a, b, turn):
+        return F.struct(x.alias("cx"), y.alias("cy"), a.alias("a"), b.alias("b"), turn.alias("turn"))
+
+    rows = _rects(spark, d).select("k", ellipse(w, w, F.lit(30.0)).alias("i"), ellipse(2 * w + h, 3 * w, F.lit(90.0)).alias("o"))
+    p = rows.select("k", shapes.band(F.col("i"), F.col("o"), k % 50, k % 50 + 80, 8).alias("p"))
+    first = F.get("p", F.lit(0))
+    return p.select("k", F.round(first.x, 6).alias("first_x"), F.round(first.y, 6).alias("first_y"), F.round(F.abs(G.area(F.col("p"))), 5).alias("area"))
+
+
 @query(f"WITH {_RECTS} SELECT k, round(x - 0.3 * w + 0.4 * h, 6) AS first_x, round(y - 0.4 * w - 0.3 * h, 6) AS first_y, round(w * h, 6) AS area FROM b")
 def turned_boxes(spark, d):
     x, y, w, h = (F.col(c) for c in "xywh")

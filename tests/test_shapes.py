@@ -1,5 +1,6 @@
 """Matching, shapes, Markdown and plan names on small inline frames."""
 
+import math
 import random
 
 import pytest
@@ -172,3 +173,25 @@ def test_directory_without_entries(spark):
     with pytest.raises(ValueError, match="layout"):
         directory.people_of_rooms(empty, "id")
     assert value(spark, directory.building_room(F.lit("b412 tower, phone"), "Tower")) == "B412"
+
+
+def test_turned_to_axis_and_boxes_of_an_axis(spark):
+    wedge = F.array(G.point(F.lit(0.0), F.lit(0.0)), G.point(F.lit(20.0), F.lit(1.0), F.lit(0.3)), G.point(F.lit(20.0), F.lit(4.0)))
+    got = value(spark, shapes.turned_to_axis(wedge, F.lit(0.0)))
+    assert [p.bulge for p in got] == [None, 0.3, None] and got[0].y == got[2].y == 2.6
+    skew = lit_poly((0, 0), (10, 6), (9, 8))
+    for same in (skew, lit_poly(*SQUARE), lit_poly((0, 0), (0, 0), (0, 0))):
+        assert value(spark, shapes.turned_to_axis(same, F.lit(0.0))) == value(spark, same)
+    none = F.lit(None).cast("array<struct<x:double,y:double,bulge:double>>")
+    assert value(spark, shapes.turned_to_axis(none, F.lit(0.0))) is None and value(spark, shapes.turned_to_axis(skew, F.lit(None).cast("double"))) == value(spark, skew)
+    assert value(spark, G.area(shapes.box_of_axis(skew))) < value(spark, G.area(shapes.box_of_axis(skew, F.lit(0.0)))) == 80.0
+
+
+def test_rays_leave_ellipses(spark):
+    e = F.struct(*[F.lit(v).alias(n) for n, v in (("cx", 1.0), ("cy", 2.0), ("a", 5.0), ("b", 3.0), ("turn", 30.0))])
+    for deg in (0, 77, 200):
+        p = value(spark, shapes.leaves_ellipse(e, F.lit(2.0), F.lit(1.5), F.lit(deg)))
+        t = math.radians(30)
+        u, v = (p.x - 1) * math.cos(t) + (p.y - 2) * math.sin(t), (p.y - 2) * math.cos(t) - (p.x - 1) * math.sin(t)
+        assert abs(u * u / 25 + v * v / 9 - 1) < 1e-9
+        assert abs(math.degrees(math.atan2(p.y - 1.5, p.x - 2)) % 360 - deg) < 1e-9
