@@ -90,3 +90,12 @@ def door_swing(a: Column, b: Column, open_end: Column, leaves: Column, size: flo
 
     one = F.array(leaf(*[G.point(p.x, p.y) for p in (a, open_end, b)]))
     return G.named(F.when(leaves == 2, two(leaves)).otherwise(one), drawn)
+
+
+def arrow_head(arrow: Column, past: float = 12.0) -> Column:
+    """The point ``past`` the last vertex of a line along its last stretch; the vertex itself where there is no stretch; null for an empty line."""
+    head, before = F.get(arrow, F.size(arrow) - 1), F.get(arrow, F.size(arrow) - 2)
+    dx, dy = F.coalesce(head.x - before.x, F.lit(0.0)), F.coalesce(head.y - before.y, F.lit(0.0))
+    n = F.hypot(dx, dy)
+    by = F.lit(past) / F.when(n == 0, F.lit(1.0)).otherwise(n)
+    return F.when(F.size(arrow) > 0, G.point(head.x + dx * by, head.y + dy * by))

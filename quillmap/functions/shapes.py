@@ -341,3 +341,32 @@ def band(inner: Column, outer: Column, low: Column, high: Column, steps: int = 4
         return F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: leaves_ellipse(e, inner.cx, inner.cy, low + (high - low) * i / steps))
 
     return F.concat(side(outer), F.reverse(side(inner)))
+
+
+def without_jogs(poly: Column, jog: float, degrees: float) -> Column:
+    """``poly`` with each edge below ``jog`` replaced by its middle where the edges beside it run within ``degrees`` of each other.
+
+    Edges are judged on the polygon as given, from its first vertex on; the end of a replaced edge starts none of its own. Null and
+    empty polygons stay as they are.
+    """
+
+    def told(v: Column) -> Column:
+        def at(i: Column) -> Column:
+            return F.get(v, F.pmod(i, F.size(v)))
+
+        def edge(p: Column, i: Column) -> Column:
+            q, before, after = at(i + 1), at(i - 1), at(i + 2)
+            ax, ay, bx, by = p.x - before.x, p.y - before.y, after.x - q.x, after.y - q.y
+            long = (F.hypot(ax, ay) > 1e-9) & (F.hypot(bx, by) > 1e-9)
+            bend = F.abs(F.degrees(F.atan2(ax * by - ay * bx, ax * bx + ay * by)))
+            short = (F.hypot(q.x - p.x, q.y - p.y) < jog) & long & (bend < degrees)
+            return F.struct(p.alias("p"), G.point((p.x + q.x) / 2, (p.y + q.y) / 2).alias("mid"), short.alias("short"))
+
+        def step(s: Column, e: Column) -> Column:
+            starts = e.short & ~s.skip
+            grown = F.when(s.skip, s.out).when(starts, F.concat(s.out, F.array(e.mid))).otherwise(F.concat(s.out, F.array(e.p)))
+            return F.struct(grown.alias("out"), starts.alias("skip"))
+
+        return F.aggregate(F.transform(v, edge), F.struct(F.slice(v, 1, 0).alias("out"), F.lit(False).alias("skip")), step, lambda s: s.out)
+
+    return G.named(poly, told)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmap.functions import geometry as G
-from quillmap.functions import naming, shapes
+from quillmap.functions import marks, naming, shapes
 from quillmap.functions import text as X
 from quillmap.operators import matching
 from quillmap.plans.storage import shared_folder
@@ -45,6 +45,25 @@ def ellipses(spark, d):
     return e.select("k", "area", F.round("b.x", 6).alias("low"), F.round("b.height", 6).alias("height"))
 
 
+@query(f"WITH {_RECTS} SELECT k, CASE WHEN k % 2 = 0 THEN 5 ELSE 6 END AS corners, CASE WHEN k % 2 = 0 THEN y + 0.25 ELSE y END AS second_y, round(w * h - CASE WHEN k % 2 = 0 THEN 0.25 ELSE 1 END * w, 6) AS area FROM b")
+def stepped_outlines(spark, d):
+    """Rectangles whose lower edge has a step of 0.5 or of 2 in its middle."""
+    x, y, w, h = (F.col(c) for c in "xywh")
+    s = F.when(F.col("k") % 2 == 0, 0.5).otherwise(2.0)
+    stepped = F.array(*[G.point(*p) for p in ((x, y), (x + w / 2, y), (x + w / 2, y + s), (x + w, y + s), (x + w, y + h), (x, y + h))])
+    p = _rects(spark, d).select("k", shapes.without_jogs(stepped, 1.0, 10.0).alias("p"))
+    return p.select("k", F.size("p").alias("corners"), F.get("p", F.lit(1)).y.alias("second_y"), F.round(F.abs(G.area(F.col("p"))), 6).alias("area"))
+
+
+@query(f"WITH {_RECTS} SELECT k, CASE k % 3 WHEN 0 THEN x WHEN 1 THEN x + w + 12 ELSE x + w END AS head_x, CASE k % 3 WHEN 2 THEN y + h + 12 ELSE y END AS head_y FROM b")
+def arrow_heads(spark, d):
+    """Where lines of one, two and three vertices carry their label."""
+    k, x, y, w, h = (F.col(c) for c in "kxywh")
+    line = F.slice(F.array(G.point(x, y), G.point(x + w, y), G.point(x + w, y + h)), F.lit(1), (k % 3 + 1).cast("int"))
+    head = _rects(spark, d).select("k", marks.arrow_head(line).alias("p"))
+    return head.select("k", F.col("p.x").alias("head_x"), F.col("p.y").alias("head_y"))
+
+
 def _tilted(x, y, w, h, turn):
     """A rectangle turned around its middle by degrees."""
     c, s = F.cos(F.radians(turn)), F.sin(F.radians(turn))

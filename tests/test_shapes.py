@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmap.functions import geometry as G
-from quillmap.functions import directory, markdown, naming, shapes
+from quillmap.functions import directory, markdown, marks, naming, shapes
 from quillmap.operators import analytics, matching
 
 
@@ -195,3 +195,23 @@ def test_rays_leave_ellipses(spark):
         u, v = (p.x - 1) * math.cos(t) + (p.y - 2) * math.sin(t), (p.y - 2) * math.cos(t) - (p.x - 1) * math.sin(t)
         assert abs(u * u / 25 + v * v / 9 - 1) < 1e-9
         assert abs(math.degrees(math.atan2(p.y - 1.5, p.x - 2)) % 360 - deg) < 1e-9
+
+
+def test_without_jogs(spark):
+    def corners(*points):
+        return [(p.x, p.y) for p in value(spark, shapes.without_jogs(lit_poly(*points), 1.0, 10.0))]
+
+    assert corners((0, 0), (5, 0), (5, 0.5), (9, 0.5), (9, 9), (0, 9)) == [(0, 0), (5, 0.25), (9, 0.5), (9, 9), (0, 9)]
+    short_corner = ((0, 0), (5, 0), (5, 0.5), (9, 9))
+    assert corners(*short_corner) == list(short_corner)
+    # Two short edges in a row on one line: the first goes, the second starts at its end and stays.
+    assert corners((0, 0), (5, 0), (5.5, 0), (6, 0), (9, 0), (9, 9)) == [(0, 0), (5.25, 0), (6, 0), (9, 0), (9, 9)]
+    none = "array<struct<x:double,y:double,bulge:double>>"
+    assert value(spark, shapes.without_jogs(F.array().cast(none), 1.0, 10.0)) == [] and value(spark, shapes.without_jogs(F.lit(None).cast(none), 1.0, 10.0)) is None
+
+
+def test_arrow_head_of_no_stretch(spark):
+    none = "array<struct<x:double,y:double,bulge:double>>"
+    assert value(spark, marks.arrow_head(F.array().cast(none))) is None and value(spark, marks.arrow_head(F.lit(None).cast(none))) is None
+    p = value(spark, marks.arrow_head(lit_poly((1, 2), (1, 2))))
+    assert (p.x, p.y) == (1.0, 2.0)
