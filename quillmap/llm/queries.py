@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmap.llm import bpe, exact_dedup, html_extract, jaccard_join, language_id, mixing, quality_classifier, quality_rules, sharding, token_counts
+from quillmap.llm import bpe, centroid_clusters, exact_dedup, html_extract, jaccard_join, language_id, mixing, quality_classifier, quality_rules, sharding, token_counts, vector_codes
 from quillmap.sources.tables import table
 
 #: The vocabulary file of the BPE queries.
@@ -55,9 +55,19 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_bpe, op3_html, op4_quality_rules, op5_jaccard_join, op6_language_id, op7_exact_dedup, op8_token_counts, op9_quality_classifier, op10_sharding)
-}
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters.centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
+_ALL = (
+    (op1_mixing, op2_bpe, op3_html, op4_quality_rules, op5_jaccard_join, op6_language_id, op7_exact_dedup, op8_token_counts)
+    + (op9_quality_classifier, op10_sharding, op12_vector_codes, op13_centroid_clusters)
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 _SPACE = r"[\x20\x09-\x0D]"
 _STOPS = ", ".join(f"'{w}'" for w in sorted(set(quality_rules.STOP_WORDS)))
@@ -103,4 +113,54 @@ SELECT doc_id, n_bytes, CASE WHEN b.depth = 0 THEN '-' ELSE right(repeat('0', 60
 FROM best b JOIN sums s ON s.depth = b.depth AND s.prefix = b.h >> ({sharding.HASH_BITS} - b.depth)
 """
 
-ORACLES: dict[str, str] = {"op4_quality_rules": _OP4, "op7_exact_dedup": _OP7, "op10_sharding": _OP10}
+_KEPT = """kept AS MATERIALIZED (
+  SELECT *, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+
+
+def _op12() -> str:
+    """Four parts of 16 numbers, 256 entries: every distance, with the index in the last digits of what is compared."""
+    steps = []
+    for k in range(5):
+        steps.append(f"""near{k} AS MATERIALIZED (
+  SELECT r, part, any_value(v) AS v, min((list_inner_product(v, v) + list_inner_product(c, c) - 2 * list_inner_product(v, c))::BIGINT * 256 + entry) AS best
+  FROM parts JOIN book{k} USING (part) GROUP BY r, part)""")
+        if k < 4:
+            steps.append(f"""means{k} AS (SELECT part, best % 256 AS entry, i, floor(sum(v[i]) / count(*)) AS m FROM near{k}, range(1, 17) AS t(i) GROUP BY ALL),
+rows{k} AS (SELECT part, entry, list(m ORDER BY i) AS c FROM means{k} GROUP BY ALL),
+book{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(n.c, b.c) AS c FROM book{k} b LEFT JOIN rows{k} n USING (part, entry))""")
+    return f"""WITH {_KEPT},
+numbered AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, q) AS r, vec_id, label, q FROM kept),
+parts AS MATERIALIZED (SELECT r, p AS part, q[16 * p + 1 : 16 * p + 16] AS v FROM numbered, range(4) AS t(p)),
+book0 AS MATERIALIZED (SELECT part, r - 1 AS entry, v AS c FROM parts WHERE r <= 256),
+{", ".join(steps)},
+found AS (SELECT r, string_agg(printf('%02x', best % 256), '' ORDER BY part) AS code, sum(best // 256)::BIGINT AS error FROM near4 GROUP BY r),
+digest AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: x::BIGINT), ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book4)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+FROM numbered JOIN found USING (r), digest"""
+
+
+def _op13() -> str:
+    """Eight centroids: every distance, with the number in the last digit of what is compared."""
+    steps = []
+    for k in range(11):
+        steps.append(f"""near{k} AS MATERIALIZED (
+  SELECT r, any_value(q) AS q, min((list_inner_product(q, q) + list_inner_product(c, c) - 2 * list_inner_product(q, c))::BIGINT * 8 + n) AS best
+  FROM numbered, cent{k} GROUP BY r)""")
+        if k < 10:
+            steps.append(f"""means{k} AS (SELECT best % 8 AS n, i, floor(sum(q[i]) / count(*)) AS m FROM near{k}, range(1, 65) AS t(i) GROUP BY ALL),
+rows{k} AS (SELECT n, list(m ORDER BY i) AS c FROM means{k} GROUP BY ALL),
+cent{k + 1} AS MATERIALIZED (SELECT o.n, coalesce(u.c, o.c) AS c FROM cent{k} o LEFT JOIN rows{k} u USING (n))""")
+    return f"""WITH {_KEPT},
+numbered AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), q) AS r, vec_id, q FROM kept WHERE len(embedding) = 64),
+cent0 AS MATERIALIZED (SELECT r - 1 AS n, q AS c FROM numbered WHERE r <= 8),
+{", ".join(steps)}
+SELECT vec_id, n::INT AS cluster, (best // 8)::BIGINT AS distance, sum(best // 8) OVER (PARTITION BY n)::BIGINT AS cluster_inertia,
+       sum(best // 8) OVER ()::BIGINT AS inertia, sha256(array_to_string(list_transform(c, lambda x: x::BIGINT), ',')) AS centroid_sha256
+FROM near10 JOIN numbered USING (r) JOIN cent10 ON n = best % 8"""
+
+
+ORACLES: dict[str, str] = {
+    "op4_quality_rules": _OP4, "op7_exact_dedup": _OP7, "op10_sharding": _OP10,
+    "op12_vector_codes": _op12(), "op13_centroid_clusters": _op13(),
+}
