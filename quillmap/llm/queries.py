@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmap.llm import bpe, centroid_clusters, exact_dedup, html_extract, jaccard_join, language_id, mixing, quality_classifier, quality_rules, sharding, token_counts, vector_codes
+from quillmap.llm import bpe, centroid_clusters, exact_dedup, html_extract, jaccard_join, language_id, license_scan, mixing, quality_classifier, quality_rules, sharding, token_counts, vector_codes
 from quillmap.sources.tables import table
 
 #: The vocabulary file of the BPE queries.
@@ -55,6 +55,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
 
@@ -65,7 +70,7 @@ def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     (op1_mixing, op2_bpe, op3_html, op4_quality_rules, op5_jaccard_join, op6_language_id, op7_exact_dedup, op8_token_counts)
-    + (op9_quality_classifier, op10_sharding, op12_vector_codes, op13_centroid_clusters)
+    + (op9_quality_classifier, op10_sharding, op11_license_scan, op12_vector_codes, op13_centroid_clusters)
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
@@ -113,6 +118,41 @@ SELECT doc_id, n_bytes, CASE WHEN b.depth = 0 THEN '-' ELSE right(repeat('0', 60
 FROM best b JOIN sums s ON s.depth = b.depth AND s.prefix = b.h >> ({sharding.HASH_BITS} - b.depth)
 """
 
+_ALIKE = "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer (2 )?redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_GRANT = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met (1 )?"
+#: Each license as a regular expression over words with a space in front and behind.
+_LICENSES = {
+    "apache-2.0": ["licensed under (the terms of )?the apache license version 2 0"],
+    "bsd-2-clause": [f"{_GRANT}{_ALIKE} this software is provided by ([^ ]+ ){{1,12}}as is"],
+    "bsd-3-clause": [f"{_GRANT}{_ALIKE} (3 )?neither the name of ([^ ]+ ){{1,20}}nor the names of ([^ ]+ ){{0,2}}contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
+    "cc-by-4.0": ["licensed under (a )?(creative commons )?(attribution )?cc by 4 0"],
+    "cc-by-nc-4.0": ["licensed under (a )?(creative commons )?cc by nc 4 0"],
+    "cc-by-sa-4.0": ["licensed under (a )?(creative commons )?cc by sa 4 0"],
+    "gpl-2.0": ["licensed under the gnu general public license version 2", "under the terms of the gnu general public license as published by the free software foundation (either )?version 2 of the license"],
+    "gpl-3.0": ["licensed under the gnu general public license version 3", "under the terms of the gnu general public license as published by the free software foundation (either )?version 3 of the license"],
+    "isc": ["permission to use copy modify and (or )?distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
+    "mit": ["released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files (the software )?to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"],
+    "mpl-2.0": ["subject to the terms of the mozilla public license v 2 0"],
+    "unlicense": ["this is free and unencumbered software released into the public domain"],
+    "zlib": ["this software is provided as is without any express or implied warranty in no event will the ([^ ]+ ){1,4}be held liable for any damages arising from the use of this software"],
+}
+_FOUND = " UNION ALL ".join(f"SELECT r, '{label}' AS label FROM w WHERE regexp_matches(joined, ' {rule} ')" for label, rules in _LICENSES.items() for rule in rules)
+_OP11 = f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS MATERIALIZED (SELECT r, doc_id, words, ' ' || array_to_string(words, ' ') || ' ' AS joined
+      FROM (SELECT r, doc_id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM t)),
+phrases(phrase, label) AS (VALUES ('gnu general public license', 'gpl'), ('apache license', 'apache'), ('cc by', 'cc-by'), ('mit license', 'mit')),
+near AS (SELECT r, words, label, string_split(phrase, ' ') AS p FROM w JOIN phrases ON contains(joined, ' ' || phrase || ' ')),
+spots AS (SELECT r, label, unnest(list_filter(range(len(words)), lambda i: words[i + 1 : i + len(p)] = p)) AS i FROM near),
+base AS (SELECT r, count(*) AS n, min(i) AS a, max(i) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM spots GROUP BY r),
+more AS MATERIALIZED ({_FOUND}),
+every AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM spots UNION ALL FROM more) GROUP BY r)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, a::BIGINT AS first_word, b::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CASE WHEN r IN (SELECT r FROM more) THEN 1.0 WHEN n IS NOT NULL THEN 0.5 ELSE 0.0 END::DOUBLE AS score
+FROM w LEFT JOIN base USING (r) LEFT JOIN every USING (r)
+"""
+
 _KEPT = """kept AS MATERIALIZED (
   SELECT *, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)) AS q FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
@@ -161,6 +201,6 @@ FROM near10 JOIN numbered USING (r) JOIN cent10 ON n = best % 8"""
 
 
 ORACLES: dict[str, str] = {
-    "op4_quality_rules": _OP4, "op7_exact_dedup": _OP7, "op10_sharding": _OP10,
+    "op4_quality_rules": _OP4, "op7_exact_dedup": _OP7, "op10_sharding": _OP10, "op11_license_scan": _OP11,
     "op12_vector_codes": _op12(), "op13_centroid_clusters": _op13(),
 }
