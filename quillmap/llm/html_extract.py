@@ -12,12 +12,20 @@
    headline (h1) in front of the text comes along where the text holds none.
 
 Boilerplate never counts nor comes out, on the path or below it: menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments, told by tag, role or the words of class and id. Words alone do not drop an element with
+scripts, styles and reader comments, told by tag, role or the words of class and id. Only block containers are judged by
+words: headings, paragraphs, list items, cells and inline elements never are, but for paragraphs and items whose class is
+that of an advert. Inside an article or main, for ids and for words that also name subjects (``WEAK_WORDS``), a class or id
+counts only if all its words are of boilerplate or layout: ``related-posts`` does, ``related-work`` does not; inside an
+article an id of weak words alone (``discussion``) does not either. Words alone do not drop an element with
 most of the page's text if it is, or holds, an article or main; on pages without these, an element that is named by words of
 layout only and holds an h1, if there is one. Words of comments and adverts are overruled by an article with an h1 only. Nor
 do words of a header inside an article: there headings stay, as in a header element. A form is dropped like an element named
 by words, as some sites put the whole page into one. Where words drop all of a page's text, they are not looked at.
 
+An article (or, without one, a main) with text and an h1, or the only one on a page that has no h1 elsewhere, claims the
+page: nothing outside it is scored, however long, and links inside it do not count against it. A page without a container of
+positive score, as one of links only, gives all its text outside boilerplate.
+
 A page is read once, from left to right, in time proportional to its length: open elements are found by tag, not by search,
 and the path of a deep element is a digest and its last steps, of ``PATH_CHARS`` at most.
 
@@ -56,6 +64,19 @@ DROP_WORDS = frozenset(
     "pagination pager footer header masthead topbar share sharing social follow related recommended recommendations newsletter subscribe subscription signup login "
     "comment comments commentlist disqus reply replies respond discussion form search toolbar copyright outbrain taboola skiplink hidden".split()
 )
+#: Words that name subjects as well.
+WEAK_WORDS = frozenset("ad ads adv alert aside comment consent copyright discussion follow form header hidden login menu modal notice notices overlay rail related reply replies respond search share sharing signup social subscribe subscription toolbar".split())
+#: Those that inside an article say nothing as a class alone; as an id alone no weak word does.
+SUBJECT_WORDS = frozenset("discussion follow form search".split())
+#: Words that say nothing of their own beside those of boilerplate.
+GLUE_WORDS = frozenset(
+    "site page main global top bottom left right primary secondary inner outer box bar list area section block wrap wrapper container content item items group row col column "
+    "button buttons link links icon icons post posts article articles story stories entry media slot unit space text title head foot thread user your the and by x px id js".split()
+)
+#: Elements that words may drop, and those that only the class of an advert may.
+JUDGED = frozenset("div section ul ol dl table tbody fieldset figure center details article form".split())
+AD_JUDGED = frozenset("p li tr td".split())
+AD_CLASSES = frozenset("ad ads advert adverts advertisement advertisements adslot ad-slot sponsored".split())
 HEADER_WORDS = frozenset("header masthead".split())
 LAYOUT_WORDS = HEADER_WORDS | frozenset("sidebar aside widget widgets rail nav navbar navigation menu menus breadcrumb breadcrumbs footer topbar toolbar".split())
 COMMENT_WORDS = frozenset("comment comments commentlist reply replies ad ads advert sponsored promo promoted related".split())
@@ -113,6 +134,19 @@ def tokens(s: str) -> Iterator[tuple[str, str, str]]:
         yield "text", s[text:], ""
 
 
+def _named(classes: list[str], name: str, strict: bool) -> set[str]:
+    """The words of boilerplate by which classes and an id name an element."""
+    bad: set[str] = set()
+    for k, c in enumerate([*classes, name]):
+        words = {w.lower() for w in _WORDS.findall(c)} if not _NEGATED.match(c) else set()
+        own = words & DROP_WORDS
+        whole = all(w in DROP_WORDS or w in GLUE_WORDS or w.isdigit() for w in words)
+        if strict and words <= (WEAK_WORDS - HEADER_WORDS if k == len(classes) else SUBJECT_WORDS):
+            continue
+        bad |= own if whole else set() if strict or k == len(classes) else own - WEAK_WORDS
+    return bad
+
+
 class Page:
     """The elements and text runs of one page, in order; with ``words`` false, words of classes and ids drop nothing."""
 
@@ -127,6 +161,7 @@ class Page:
         self._read(source)
         if self.words:
             self._spare()
+        self.claimed = self._claim()
 
     def _read(self, s: str) -> None:
         stack, block = [0], 0
@@ -180,12 +215,16 @@ class Page:
             for a in _ATTR.finditer(attrs):
                 found.setdefault(a[1].lower(), a[2] or a[3] or a[4] or "")
         classes = found.get("class", "").split()
-        words = {w.lower() for c in [*classes, found.get("id", "")] if not _NEGATED.match(c) for w in _WORDS.findall(c)}
         drop = name in DROP_TAGS or found.get("role", "").lower() in DROP_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-        bad = words & (COMMENT_WORDS if name == "article" else DROP_WORDS) if self.by_words and name not in ("html", "body", "main") else set()
+        article = self.article[parent] or name in ("article", "main")
+        bad: set[str] = set()
+        if self.by_words and name in JUDGED:
+            bad = _named(classes, found.get("id", ""), self.article[parent])
+            bad &= COMMENT_WORDS if name == "article" else DROP_WORDS
+        elif self.by_words and name in AD_JUDGED:
+            bad = {c.lower() for c in classes} & AD_CLASSES
         if self.by_words and name == "form":
             bad.add("form")
-        article = self.article[parent] or name in ("article", "main")
         banner = name == "header"
         if banner and article:
             drop = False  # its headings are the article's own
@@ -234,6 +273,29 @@ class Page:
         for k in range(1, size):
             self.dropped[k] = self.dropped[self.parent[k]] or self.barred[k] or k in self.words and not spared(k)
 
+    def _claim(self) -> list[bool] | None:
+        """Whether each element lies in the article or main that claims the page; none if nothing does."""
+        size = len(self.parent)
+        head, first = [0] * size, {name: [0] * size for name in ("article", "main")}
+        for k in range(1, size):
+            up = self.parent[k]
+            head[k] = k if self.tag[k] == "h1" else head[up]
+            for name, outer in first.items():
+                outer[k] = outer[up] or (k if self.tag[k] == name else 0)
+        heads, texts = set(), set()
+        for node, _, text, _ in self.runs:
+            if self.shown(node) and not text.isspace():
+                if head[node]:
+                    heads.add(node)
+                elif not self.heading[node]:
+                    texts.add(node)
+        for outer in first.values():
+            filled = {outer[k] for k in texts if outer[k]}
+            tops = filled & {outer[k] for k in heads} or (filled if len(filled) == 1 and not heads else set())
+            if tops:
+                return [outer[k] in tops for k in range(size)]
+        return None
+
     def shown(self, node: int) -> bool:
         """Whether text of ``node`` may come out; in an article's header only headings do."""
         return not self.dropped[node] and (self.heading[node] or not self.banner[node])
@@ -244,8 +306,10 @@ class Page:
         for node, _, text, link in self.runs:
             if not self.shown(node) or not (n := len(text) - text.count(" ")) or text.isspace():
                 continue
+            if self.claimed and not self.claimed[node]:
+                continue
             box = self.box[node]
-            credit[box] = credit.get(box, 0) + (-2 * n if link else 2 * n)
+            credit[box] = credit.get(box, 0) + (0 if link and self.claimed else -2 * n if link else 2 * n)
         return credit
 
     def _common(self, credit: dict[int, int]) -> int:
@@ -305,6 +369,7 @@ class Page:
         """The blocks of all elements on ``path``, widened, boilerplate left out; ``own`` says that the page itself has chosen the path."""
         wide = self._widened(self._credit(), own)
         tops = {wide[k] for k, p in enumerate(self.path) if p == path and not self.dropped[k]}
+        tops = {k for k in tops if not self.claimed or self.claimed[k]}
         size = len(self.parent)
         inside, headline = [False] * size, [0] * size
         for k in range(size):
@@ -326,6 +391,14 @@ class Page:
             found = [t for b in before.values() if (t := _GAP.sub(" ", "".join(b)).strip())] + found
         return "\n".join(found)
 
+    def everything(self) -> str:
+        """All text outside boilerplate."""
+        blocks: dict[int, list[str]] = {}
+        for node, block, text, _ in self.runs:
+            if self.shown(node) and (not self.claimed or self.claimed[node]):
+                blocks.setdefault(block, []).append(entities.unescape(text))
+        return "\n".join(t for b in blocks.values() if (t := _GAP.sub(" ", "".join(b)).strip()))
+
     def has(self, path: str) -> bool:
         return any(p == path and not self.dropped[n] for n, p in enumerate(self.path))
 
@@ -347,6 +420,8 @@ def main_text(source: str | None, path: str | None) -> str:
         best = page.best()
         if best is not None and (found := page.text(best, True)):
             return found
+        if found := page.everything():
+            return found
         if not page.words:  # nothing was dropped by words
             return ""
     return ""

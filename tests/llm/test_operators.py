@@ -759,3 +759,35 @@ def test_attention_gradient():
     y = np.array([0.0, 1, 1, 0])
     m = quality_classifier.Model(0.5).fit(bags, y, steps=150)
     assert ((m.score(bags) > 0.5) == y).all()
+
+
+INNER = [
+    '<section id=discussion><p>{t}</p></section>', '<h2 id="the-search-for-life">{t}</h2>', '<h2 id="related-work">{t}</h2>', '<h2 class="section-header">{t}</h2>', '<h1 class="page-header">{t}</h1>',
+    '<p class="social-history">{t}</p>', '<p>a <code class="search">{t}</code></p>', '<p>a <span class="ad-hoc">{t}</span></p>', '<ul class=notices-of-war><li id=comments>{t}</li></ul>', '<section class="related-work"><p>{t}</p></section>',
+]
+
+
+@pytest.mark.parametrize("inner", INNER)
+def test_html_words_drop_nothing_of_an_article(inner):
+    for outer in ("<article><h1>T</h1><p>Long text of it.</p>{}<p>More.</p></article>", "<main><h1>T</h1><p>Long text.</p>{}</main>"):
+        assert "Planted words" in html_extract.main_text(f"<body><nav>m</nav>{outer.format(inner.format(t='Planted words'))}<footer>f</footer>", None)
+
+
+@pytest.mark.parametrize("inner", ["<section class=comments>{}</section>", "<div id=comment-list>{}</div>", "<div class='ad-slot'>{}</div>", "<p class=advert>{}</p>", "<div class='related-posts'>{}</div>", "<div class='newsletter-box'>{}</div>", "<ul class='share-buttons'><li>{}</ul>"])
+def test_html_boilerplate_inside_an_article_goes(inner):
+    page = f"<body><article><h1>T</h1><p>Long text of it.</p>{inner.format('Planted words')}<p>More.</p></article>"
+    assert html_extract.main_text(page, None) == "T\nLong text of it.\nMore."
+
+
+def test_html_articles_of_links_and_beside_long_divisions():
+    links = "".join(f"<li><a href=/{k}>Linked item number {k}</a></li>" for k in range(5))
+    want = "\n".join(["T", "Short intro text.", *[f"Linked item number {k}" for k in range(5)]])
+    page = f"<body><article><h1>T</h1><p>Short intro text.</p><ul>{links}</ul></article></body>"
+    assert html_extract.main_text(page, None) == want
+    assert html_extract.main_text(page, html_extract.votes(page)[0][0]) == want
+    assert html_extract.main_text(f"<body><nav>menu</nav><ul>{links}</ul></body>", None) == "\n".join(want.split("\n")[2:])
+    long = f"<div><p>{SENTENCES * 9}</p></div>"
+    for own in ("<article><p>Only this.</p></article>", "<article><h1>H</h1><p>Only this.</p></article>", "<main><p>Only this.</p></main>"):
+        for page in (f"<body>{own}{long}</body>", f"<body>{long}{own}</body>"):
+            for path in (None, "body>div"):
+                assert html_extract.main_text(page, path).endswith("Only this.") and SENTENCES[:20] not in html_extract.main_text(page, path)
