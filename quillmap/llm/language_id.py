@@ -16,6 +16,8 @@ order; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,7 +36,10 @@ LONGEST = 5
 CACHE = 200_000
 #: Words of evidence at most that the score is sharpened by.
 SHARP = 30
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Word characters that are neither letters nor decimal digits, such as superscripts and Roman numerals.
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and unicodedata.category(c) in ("Nl", "No"))
+#: Characters of category L.
+_LETTERS = re.compile(rf"[^\W\d_{re.escape(_NUMERALS)}]+")
 
 
 def letters(text: str) -> list[str]:
