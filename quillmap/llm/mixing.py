@@ -4,19 +4,20 @@
    ``BLOCK_WORDS``. A document's place in its stream is a prefix sum in two levels: sums per (source, bucket), offsets over
    runs of buckets, then a window inside one bucket. Rows that are alike in all that matters are one row with a count until
    their places are known. Buckets are about a thousand rows, so a hot source or id is spread over tasks like any other.
-2. Every output shard of ``SHARD_SLOTS`` slots draws how many of them each source gets: a multinomial draw whose weights
-   are the targets. Shards come in groups of ``GROUP_SHARDS``; inside a group the weights of a draw are what the group still
-   owes each source, so that chance of one shard is answered by the next and a group misses its share by the chance of a
-   single shard. Groups are drawn apart, in tasks of their own. What a source gives is the sum of its draws, no more and no
-   less: over G groups it comes within about ``sqrt(G * SHARD_SLOTS * p)`` blocks of its target, for a share ``p``.
-3. The draws of a source, numbered by prefix sums over groups, go through its blocks: draw ``j`` of a source of ``n`` blocks
-   is pass ``j div n`` at ``j mod n``; a Feistel permutation of ``0 .. n-1``, keyed by source and pass, names the block. So
-   no block comes more often than once in a pass, nor more than three times in all; a slot that would need a fourth pass
-   stays empty. Inside its shard every slot has a pseudorandom place.
+2. A source owes the number of blocks that makes up its target to the word: the last of them is cut to what is missing
+   then. These blocks are dealt evenly to groups of about ``GROUP_SHARDS`` output shards, by one division per source and
+   group. Inside a group every shard of up to ``SHARD_SLOTS`` slots draws how many of them each source gets: a multinomial
+   draw whose weights are what the group still owes each source; what a draw gives a source beyond its due is drawn again
+   among the others. So single shards follow chance, and sources of any size, those below a block too, meet their targets.
+   Groups are drawn apart, in tasks of their own, and need nothing of each other.
+3. The draws of a source are numbered over groups by the same division and go through its blocks: draw ``j`` of a source of
+   ``n`` blocks is pass ``j div n`` at ``j mod n``; a Feistel permutation of ``0 .. n-1``, keyed by source and pass, names the
+   block. So no block comes more often than once in a pass, nor more than three times in all. Inside its shard every slot has
+   a pseudorandom place. Numbers of shards have gaps between groups.
 4. Blocks join the documents they hold by source and block index.
 
 Everything is keyed by ids, texts and a seed, so reruns agree whatever the partitioning. One row for each source passes
-through the driver, and a task that draws holds one number for each source; nothing else is collected.
+through the driver, and a task that draws holds four numbers for each source; nothing else is collected.
 
 Edge cases: null and empty texts have size 0 and are never taken; a null source is one source, last in order; null ids and
 repeated ids are told apart by their texts; repeated rows each have their own place; a table without words has targets of 0;
@@ -68,21 +69,29 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = WE
     return fixed
 
 
-def draw_group(share: np.ndarray, group: int, n_slots: int, seed: int, shard_slots: int = SHARD_SLOTS, group_shards: int = GROUP_SHARDS) -> np.ndarray:
-    """Slots per (shard, source) of one group of shards; ``share`` adds up to 1, ``n_slots`` counts those of all groups."""
-    left = min(n_slots - group * group_shards * shard_slots, group_shards * shard_slots)
-    rng, owed, rows = np.random.default_rng([seed, group]), share * left, []
-    while left > 0:
-        n = min(shard_slots, left)
-        weight = np.maximum(owed, 0)
-        rows.append(rng.multinomial(n, weight / weight.sum()))
-        owed = owed - rows[-1]
-        left -= n
-    return np.array(rows, dtype=np.int64).reshape(len(rows), len(share))
+def draw_group(owed: np.ndarray, seed: list[int], shard_slots: int = SHARD_SLOTS) -> np.ndarray:
+    """Slots per (shard, source) of one group of shards that gives each source what it is owed."""
+    left, rows, rng = int(owed.sum()), [], np.random.default_rng(seed)
+    shards = -(-left // shard_slots)
+    sizes = np.diff(left * np.arange(shards + 1) // max(1, shards))
+    owed = owed.copy()
+    for n in sizes.tolist():
+        row = np.zeros(len(owed), np.int64)
+        while n:
+            drawn = np.minimum(rng.multinomial(n, owed / owed.sum()), owed)
+            row, owed, n = row + drawn, owed - drawn, n - int(drawn.sum())
+        rows.append(row)
+    return np.array(rows, dtype=np.int64).reshape(len(rows), len(owed))
 
 
-def permute(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """A pseudorandom permutation of ``0 .. n-1`` at ``index``: a four-round Feistel network, walked until inside."""
+def _keyed(right: np.ndarray, key: np.ndarray, turn: int, mask: np.ndarray) -> np.ndarray:
+    f = (right + key + np.uint64(turn + 1)) * np.uint64(0x9E3779B97F4A7C15)
+    f = (f ^ (f >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (f ^ (f >> np.uint64(32))) & mask
+
+
+def permute(index: np.ndarray, n: np.ndarray, key: np.ndarray, back: bool = False) -> np.ndarray:
+    """A pseudorandom permutation of ``0 .. n-1`` at ``index``: a four-round Feistel network, walked until inside. ``back`` inverts it."""
     n = n.astype(np.uint64)
     half = np.ceil(np.log2(np.maximum(n, 2).astype(np.float64)) / 2).astype(np.uint64)
     mask = (np.uint64(1) << half) - np.uint64(1)
@@ -91,9 +100,10 @@ def permute(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
         x, h, m, k = out[todo], half[todo], mask[todo], key[todo].astype(np.uint64)
         left, right = x >> h, x & m
         for r in range(4):
-            f = (right + k + np.uint64(r + 1)) * np.uint64(0x9E3779B97F4A7C15)
-            f = (f ^ (f >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            left, right = right, left ^ ((f ^ (f >> np.uint64(32))) & m)
+            if back:
+                left, right = right ^ _keyed(left, k, 3 - r, m), left
+            else:
+                left, right = right, left ^ _keyed(right, k, r, m)
         out[todo] = (left << h) | right
         todo = todo[out[todo] >= n[todo]]
     return out.astype(np.int64)
@@ -104,6 +114,21 @@ def block_keys(source_no: np.ndarray, turn: np.ndarray, seed: int) -> np.ndarray
     return (source_no.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)) ^ (turn.astype(np.uint64) * np.uint64(0x94D049BB133111EB)) ^ np.uint64(seed)
 
 
+def due(source_no: np.ndarray, sizes: np.ndarray, words: np.ndarray, block_words: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``blocks, draws, cut`` of each source: its blocks, the draws that give ``words``, and the words of the last draw (0: all of it)."""
+    blocks = -(-sizes // block_words)
+    some = np.maximum(sizes, 1)
+    passes, rest = words // some, words % some
+    short = sizes - block_words * (blocks - 1)  # the words of a source's last block
+    place = permute(np.maximum(blocks - 1, 0), np.maximum(blocks, 1), block_keys(source_no, passes, seed), back=True)
+    draws = -(-rest // block_words)
+    draws = np.where((rest > 0) & (place < draws), -(-(rest + block_words - short) // block_words), draws)
+    earlier = block_words * (draws - 1) - np.where(place < draws - 1, block_words - short, 0)
+    last = np.where(place == draws - 1, short, block_words)
+    cut = np.where((rest > 0) & (rest - earlier < last), rest - earlier, 0)
+    return blocks, np.where(sizes > 0, passes * blocks + draws, 0), cut
+
+
 def before(rows: DataFrame, group: str, order: str, value: str, run: int = RUN) -> DataFrame:
     """``rows`` with ``before``: the sum of ``value`` over smaller ``order`` of the same ``group``, which it tells apart.
 
@@ -131,11 +156,11 @@ class Mix:
         totals = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()  # one row for each source
         totals = sorted(((r["source"], r["size"], r["n"]) for r in totals), key=lambda x: (x[0] is None, x[0] or ""))
         want = targets([(s, n) for s, n, _ in totals], weights)
-        self.summary = []
-        for k, (s, n, _) in enumerate(totals):
-            blocks = -(-n // block_words)
-            self.summary.append((k, s, n, want[s], blocks, want[s] * blocks / n if n else 0.0))
-        schema = "source_no long, source string, source_size long, target double, n_blocks long, slots double"
+        numbers, sizes = np.arange(len(totals)), np.array([n for _, n, _ in totals], np.int64)
+        words = np.array([min(MOST_PASSES * n, int(want[s] + 0.5)) for s, n, _ in totals], np.int64)
+        self.due = due(numbers, sizes, words, block_words, seed)
+        self.summary = [(k, s, n, want[s]) for k, (s, n, _) in enumerate(totals)]
+        schema = "source_no long, source string, source_size long, target double"
         known = self.spark.createDataFrame(self.summary, schema) if self.summary else self.spark.createDataFrame([], schema)
         known = small(known.select("source_no", "source", "source_size", "target"))
         buckets = max(1, -(-sum(n for *_, n in totals) // BUCKET_ROWS))
@@ -152,52 +177,41 @@ class Mix:
         self.slots = self._slots()
 
     def _slots(self) -> DataFrame:
-        """``shard, slot, source_no, draw, block``: one row for each block of the output."""
-        schema = "shard long, slot long, source_no long, draw long, block long"
-        quota = np.array([x[5] for x in self.summary])
-        n_slots = int(quota.sum() + 0.5)
+        """``shard, slot, source_no, draw, block, cut``: one row for each block of the output; ``cut`` is its words if it is cut, else 0."""
+        schema = "shard long, slot long, source_no long, draw long, block long, cut long"
+        blocks, draws, cut = self.due
+        n_slots = int(draws.sum())
         if n_slots == 0:
             return self.spark.createDataFrame([], schema)
-        share, n_blocks = quota / quota.sum(), np.array([x[4] for x in self.summary], np.int64)
-        seed, shard_slots, group_shards = self.seed, self.shard_slots, self.group_shards
-        plan = self.spark.sparkContext.broadcast((share, n_blocks))  # two numbers for each source
-        groups = -(-n_slots // (shard_slots * group_shards))
-        tasks = -(-groups // TASK_GROUPS)
-
-        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for g in b.column(0).to_pylist():
-                    n = draw_group(plan.value[0], g, n_slots, seed, shard_slots, group_shards).sum(axis=0)
-                    some = np.flatnonzero(n)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), g)), pa.array(some), pa.array(n[some])], names=["group", "source_no", "n"])
+        seed, shard_slots = self.seed, self.shard_slots
+        groups = -(-n_slots // (shard_slots * self.group_shards))
+        stride = self.group_shards + -(-len(draws) // shard_slots) + 1  # a group has a slot more for each source at most
+        shift = np.random.default_rng([seed, 2]).integers(0, groups, len(draws))
+        plan = self.spark.sparkContext.broadcast((blocks, draws, cut, shift))  # four numbers for each source
 
         def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            blocks, draws, cut, shift = plan.value
             for b in batches:
-                for g, firsts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    drawn = draw_group(plan.value[0], g, n_slots, seed, shard_slots, group_shards)
-                    first = np.zeros(drawn.shape[1], np.int64)
-                    for f in firsts:
-                        first[f["source_no"]] = f["before"]
+                for g in b.column(0).to_pylist():
+                    first = (draws * g + shift) // groups
+                    drawn = draw_group((draws * (g + 1) + shift) // groups - first, [seed, g], shard_slots)
                     first = first + np.cumsum(drawn, axis=0) - drawn
                     shard, source = (np.repeat(x.ravel(), drawn.ravel()) for x in np.indices(drawn.shape))
                     run = np.cumsum(drawn.ravel()) - drawn.ravel()
                     draw = np.repeat(first.ravel() - run, drawn.ravel()) + np.arange(len(shard))
                     rng = np.random.default_rng([seed, g, 1])
-                    slot = np.concatenate([rng.permutation(n) for n in drawn.sum(axis=1)])
-                    n = plan.value[1][source]
-                    turn = draw // n
-                    block = permute(draw % n, n, block_keys(source, turn, seed))
-                    fits = turn < MOST_PASSES
-                    yield pa.RecordBatch.from_arrays([pa.array(x[fits].astype(np.int64)) for x in (shard + g * group_shards, slot, source, draw, block)], names=["shard", "slot", "source_no", "draw", "block"])
-
-        numbers = self.spark.range(0, groups, 1, tasks)
-        drawn = keep(numbers.mapInArrow(sums, "group long, source_no long, n long"), "draws")
-        firsts = before(drawn, "source_no", "group", "n").groupBy("group").agg(F.collect_list(F.struct("source_no", "before")).alias("firsts"))  # one for each source
-        return firsts.repartition(tasks, "group").mapInArrow(slots, schema)
+                    slot = np.concatenate([np.zeros(0, np.int64), *[rng.permutation(n) for n in drawn.sum(axis=1)]])
+                    turn = draw // blocks[source]
+                    block = permute(draw % blocks[source], blocks[source], block_keys(source, turn, seed))
+                    short = np.where(draw == draws[source] - 1, cut[source], 0)
+                    yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (shard + g * stride, slot, source, draw, block, short)], names=["shard", "slot", "source_no", "draw", "block", "cut"])
+
+        return self.spark.range(0, groups, 1, -(-groups // TASK_GROUPS)).mapInArrow(slots, schema)
 
     def blocks(self) -> DataFrame:
-        """``source_no, block, times, place``: how often the output holds each block that it holds, and where first."""
-        return self.slots.groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("shard", "slot")).alias("place"))
+        """``source_no, block, times, cut, place``: how often the output holds each block whole, the words of it that it holds once more, and where first."""
+        whole, cut = F.count(F.when(F.col("cut") == 0, 1)).alias("times"), F.max("cut").alias("cut")
+        return self.slots.groupBy("source_no", "block").agg(whole, cut, F.min(F.struct("shard", "slot")).alias("place"), F.min(F.when(F.col("cut") == 0, F.struct("shard", "slot"))).alias("whole_place"))
 
     def parts(self) -> DataFrame:
         """``source_no, start, block, first, upto, times, place`` for every piece of a document in one block; words ``first .. upto-1``."""
@@ -205,7 +219,12 @@ class Mix:
         spans = self.placed.where("size > 0").select("source_no", "start", "size", F.explode(F.expr(f"sequence(start div {b}, (start + size - 1) div {b})")).alias("block"))
         spans = spans.withColumn("first", F.greatest(F.col("start"), F.col("block") * b) - F.col("start"))
         spans = spans.withColumn("upto", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b) - F.col("start"))
-        return spans.join(self.blocks().hint("merge"), ["source_no", "block"])
+        spans = spans.join(self.blocks().hint("merge"), ["source_no", "block"])
+        edge = F.greatest("first", F.least("upto", F.col("block") * b + F.col("cut") - F.col("start")))  # words in front of it come once more
+        front = F.struct(F.col("first"), edge.alias("upto"), (F.col("times") + (F.col("cut") > 0).cast("long")).alias("times"), F.col("place"))
+        back = F.struct(edge.alias("first"), F.col("upto"), F.col("times"), F.col("whole_place").alias("place"))
+        pieces = spans.select("source_no", "start", "block", F.explode(F.array(front, back)).alias("p")).select("source_no", "start", "block", "p.*")
+        return pieces.where("first < upto and times > 0")
 
     def with_texts(self, rows: DataFrame) -> DataFrame:
         """``rows``, which hold the columns that tell documents apart, with the text and the carried columns of each."""
@@ -272,6 +291,8 @@ def mixed_blocks(docs: DataFrame, **options) -> DataFrame:
     m = Mix(docs, **options)
     parts = m.parts().select("source_no", "start", "block", "first", "upto").join(m.placed.where("size > 0"), ["source_no", "start"])
     words = m.with_texts(parts.select("source_no", "start", "block", "first", "upto", "doc_id", "source", "row_hash", "text_hash"))
-    words = words.select("source_no", "block", "start", F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), (F.col("first") + 1).cast("int"), (F.col("upto") - F.col("first")).cast("int")), " ").alias("words"))
-    texts = words.groupBy("source_no", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "words"))), lambda x: x.words), " ").alias("text"))
-    return m.slots.join(texts, ["source_no", "block"]).select("shard", "slot", "source_no", "block", "text")
+    own = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), (F.col("first") + 1).cast("int"), (F.col("upto") - F.col("first")).cast("int"))
+    words = words.select("source_no", "block", "start", "first", own.alias("words"))
+    texts = words.groupBy("source_no", "block").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "first", "words"))), lambda x: x.words)).alias("words"))
+    held = F.when(F.col("cut") > 0, F.slice("words", F.lit(1), F.greatest("cut", F.lit(1)).cast("int"))).otherwise(F.col("words"))
+    return m.slots.join(texts, ["source_no", "block"]).select("shard", "slot", "source_no", "block", F.array_join(held, " ").alias("text"))
