@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmap.functions import geometry as G
-from quillmap.operators import overlay, planar
+from quillmap.operators import outlines, overlay, planar
 from quillmap.queries import query
 from quillmap.shape_queries import _RECTS, _rect, _rects
 from quillmap.sources.tables import table
@@ -93,3 +93,62 @@ def cell_contours(spark, d):
     rings = rim.groupBy("floor", "ring").agg(F.sum(turned).alias("area")).groupBy("floor").agg(F.sum(F.signum("area")).cast("long").alias("rings_less_holes"), F.sum("area").alias("area"))
     bends = planar.corners(rim, "floor").groupBy(F.col("floor").alias("f")).agg(F.count(F.lit(1)).alias("corners"))
     return rings.join(bends, F.col("floor") == F.col("f")).select("floor", "corners", "rings_less_holes", "area")
+
+
+# outlines and lines
+
+
+def _bulged(spark, d):
+    """Boxes whose upper side bows out as an arc, given by nine points on it."""
+    part = table(spark, d, "part")
+    k, w, h = F.col("p_partkey"), (4 + F.col("p_size") % 11).cast("double"), (3 + F.col("p_partkey") % 13).cast("double")
+    half = F.radians(20.0 + k % 5 * 6)
+    r = w / 2 / F.sin(half)
+    turns = F.sequence(F.lit(0), F.lit(8))
+    bow = F.transform(turns, lambda i: G.point(w / 2 + r * F.sin(half * (1 - i / 4)), h + r * (F.cos(half * (1 - i / 4)) - F.cos(half))))
+    ring = F.concat(F.array(G.point(F.lit(0.0), F.lit(0.0)), G.point(w, F.lit(0.0))), bow)
+    return part.select("p_partkey", F.posexplode(ring).alias("place", "p")).select("p_partkey", "place", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+
+
+@query(
+    """SELECT p_partkey, 4 AS corners, round(-tan(radians(20 + p_partkey % 5 * 6) / 2), 6) AS bulge, round((4 + p_size % 11)::DOUBLE, 6) AS x, round((3 + p_partkey % 13)::DOUBLE, 6) AS y FROM part"""
+)
+def fitted_arcs(spark, d):
+    """The arc that stands for the bowed side, and where it starts."""
+    found = outlines.arcs(_bulged(spark, d), "p_partkey", 0.05, 2.5)
+    bow = F.max_by(F.struct("x", "y", "bulge"), F.col("bulge").isNotNull())
+    rows = found.groupBy("p_partkey").agg(F.count(F.lit(1)).cast("int").alias("corners"), bow.alias("a"))
+    return rows.select("p_partkey", "corners", *[F.round(f"a.{c}", 6).alias(c) for c in ("bulge", "x", "y")])
+
+
+_LINES = """v AS (SELECT p_partkey AS k, i, i * 3 AS x, (p_partkey * (i * i + 3) + p_size * i) % 11 AS y FROM part, range(9) t(i))"""
+
+
+def _lines(spark, d):
+    k, i = F.col("p_partkey"), F.col("place")
+    part = table(spark, d, "part").select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("place"))
+    return part.select(k, i, (i * 3).alias("x"), ((k * (i * i + 3) + F.col("p_size") * i) % 11).alias("y"))
+
+
+@query(
+    f"""WITH {_LINES}, c AS MATERIALIZED (SELECT a.k, a.i, b.i AS j, sum(((b.x - a.x) * (m.y - a.y) - (b.y - a.y) * (m.x - a.x)) ** 2) / any_value((b.x - a.x) ** 2 + (b.y - a.y) ** 2) AS cost
+        FROM v a JOIN v b ON b.k = a.k AND b.i > a.i JOIN v m ON m.k = a.k AND m.i >= a.i AND m.i <= b.i GROUP BY ALL),
+        t AS (SELECT p.k, p.j AS one, q.j AS two, p.cost + q.cost + r.cost AS error FROM c p JOIN c q ON q.k = p.k AND q.i = p.j JOIN c r ON r.k = p.k AND r.i = q.j WHERE p.i = 0 AND r.j = 8)
+        SELECT k AS p_partkey, round(min(error), 6) AS error, arg_min(one, (error, one, two)) AS one, arg_min(two, (error, one, two)) AS two FROM t GROUP BY k"""
+)
+def straight_pieces(spark, d):
+    """Lines of nine vertices as three chords."""
+    found = outlines.straight_pieces(_lines(spark, d), "p_partkey", 3)
+    return found.select("p_partkey", F.round("error", 6).alias("error"), F.get("places", F.lit(1)).alias("one"), F.get("places", F.lit(2)).alias("two"))
+
+
+@query(
+    f"""WITH RECURSIVE {_LINES}, r AS (SELECT k, 0::BIGINT AS lo, 8::BIGINT AS hi FROM v WHERE i = 0 UNION ALL
+        SELECT k, unnest([lo, cut]), unnest([cut, hi]) FROM (
+          SELECT r.k, r.lo, r.hi, arg_max(m.i, (abs((b.x - a.x) * (m.y - a.y) - (b.y - a.y) * (m.x - a.x)) / sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2), -m.i)) AS cut,
+                 max(abs((b.x - a.x) * (m.y - a.y) - (b.y - a.y) * (m.x - a.x)) / sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2)) AS far
+          FROM r JOIN v a ON a.k = r.k AND a.i = r.lo JOIN v b ON b.k = r.k AND b.i = r.hi JOIN v m ON m.k = r.k AND m.i > r.lo AND m.i < r.hi GROUP BY ALL) WHERE far > 2.25)
+        SELECT DISTINCT k AS p_partkey, unnest([lo, hi]) AS place FROM r"""
+)
+def simplified_lines(spark, d):
+    return outlines.simplified(_lines(spark, d), "p_partkey", 2.25).select("p_partkey", F.col("place").cast("long").alias("place"))
