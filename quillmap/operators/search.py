@@ -67,3 +67,33 @@ def listed(category: Column, name: Column, hidden: tuple[str, ...], unnamed: str
 def navigable(category: Column, on_floor: Column, current: Column, hidden: tuple[str, ...], wanted: list[str], always: tuple[str, ...] = ()) -> Column:
     """Rows that the focus may move to: on the floor, not the current one, not hidden and not filtered out."""
     return on_floor & ~current & ~category.isin(*hidden) & facets(category, wanted, always)
+
+
+def on_floor(items: DataFrame, floor: Column, floor_id: str = "floor_id") -> DataFrame:
+    """What a floor's map draws: the items of that floor; no floor draws nothing."""
+    return items.where(F.coalesce(F.col(floor_id) == floor, F.lit(False)))
+
+
+def shown_doors(doors: DataFrame, floor: Column, floor_id: str = "floor_id", shown: str = "shown") -> DataFrame:
+    """The doors of a floor that are marked to be shown; unmarked ones serve directions only."""
+    return on_floor(doors, floor, floor_id).where(F.coalesce(F.col(shown), F.lit(False)))
+
+
+def marked(corrections: DataFrame, floor: Column, at: str = "at", floor_id: str = "floor_id") -> DataFrame:
+    """The corrections of a floor that have a place on it."""
+    return on_floor(corrections, floor, floor_id).where(F.col(at).isNotNull())
+
+
+def importable(category: Column, space_id: Column, without: str = "circulation", unnumbered: str = "room-") -> Column:
+    """Spaces that a sheet may give a department: those that are no circulation and have an id of their own; null ids have none."""
+    return F.coalesce(category != without, F.lit(True)) & F.coalesce(~F.startswith(space_id, F.lit(unnumbered)), F.lit(False))
+
+
+def pick(found: DataFrame, places: DataFrame, place_id: str, floor: str) -> DataFrame:
+    """The changes of the store that picking search results makes: ``session, field, value``, a floor and a selection for each.
+
+    ``found`` has ``session`` and ``place_id``; a place that is not known changes nothing.
+    """
+    both = found.select("session", F.col(place_id).alias("__id")).join(places.select(F.col(place_id).alias("__place"), F.col(floor).cast("string").alias("__floor")), F.col("__id") == F.col("__place"))
+    fields = F.explode(F.array(F.struct(F.lit("floor").alias("field"), F.col("__floor").alias("value")), F.struct(F.lit("selected").alias("field"), F.col("__id").cast("string").alias("value"))))
+    return both.select("session", fields.alias("f")).select("session", "f.*")
