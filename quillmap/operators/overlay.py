@@ -36,7 +36,7 @@ def ring_areas(edges: DataFrame) -> DataFrame:
     return own.groupBy("id").agg(F.sum(F.when(F.col("ring") == 0, F.col("a")).otherwise(-F.col("a"))).alias("area"))
 
 
-def _strips(edges: DataFrame, size: float) -> DataFrame:
+def strips(edges: DataFrame, size: float) -> DataFrame:
     """``id, strip, ya, yb, xa, xb``: edges that are not level, from their low to their high end, cut at the strips' lines."""
     up = F.col("ay") < F.col("by")
     rows = edges.where("ay <> by").select("id", *[F.when(up, F.col(a)).otherwise(F.col(b)).alias(n) for n, a, b in (("x0", "ax", "bx"), ("y0", "ay", "by"), ("x1", "bx", "ax"), ("y1", "by", "ay"))])
@@ -68,8 +68,8 @@ def shared_areas(a: DataFrame, b: DataFrame | None, size: float, shape_id: str =
     """
     key = ["a", "b", "strip"]
     edges = ring_edges(a, shape_id, rings), ring_edges(a if b is None else b, shape_id, rings)
-    own = keep(_strips(edges[0], size), "strips-a")
-    other = own if b is None else keep(_strips(edges[1], size), "strips-b")
+    own = keep(strips(edges[0], size), "strips-a")
+    other = own if b is None else keep(strips(edges[1], size), "strips-b")
     pairs = keep(_pairs(own, other, size, b is None), "overlay-pairs")
     sides = [pairs.join(p.withColumnRenamed("id", n), [n, "strip"]).select(*key, F.lit(k).alias("side"), "ya", "yb", "xa", "xb") for k, (n, p) in enumerate((("a", own), ("b", other)))]
     both = keep(sides[0].unionByName(sides[1]), "overlay-edges")

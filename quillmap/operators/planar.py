@@ -6,10 +6,13 @@ each edge names the next by the turn at its end, and pointer doubling labels and
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillmap.operators import overlay
 from quillmap.operators.spatial import cells_of_box
 from quillmap.plans.cycles import cycles
 from quillmap.plans.storage import keep
@@ -104,8 +107,69 @@ def corners(rim: DataFrame, group: str) -> DataFrame:
     """The edges of ``contours`` merged into straight ones, numbered anew: ``group, ring, place, x, y``, one row for each corner."""
     ring = W.partitionBy(group, "ring").orderBy("place")
     whole = ring.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    dx, dy = F.col("to_x") - F.col("x"), F.col("to_y") - F.col("y")
-    way = F.struct(dx.alias("dx"), dy.alias("dy"))
+    way = F.struct((F.col("to_x") - F.col("x")).alias("dx"), (F.col("to_y") - F.col("y")).alias("dy"))
     rows = rim.withColumn("way", way)
-    rows = rows.withColumn("before", F.coalesce(F.lag("way").over(ring), F.last("way").over(whole))).where("way <> before")
-    return rows.select(group, "ring", (F.row_number().over(ring) - 1).alias("place"), "x", "y")
+    rows = rows.withColumn("before", F.coalesce(F.lag("way").over(ring), F.last("way").over(whole)))
+    level = F.col("before.dx") * F.col("way.dy") == F.col("before.dy") * F.col("way.dx")
+    ahead = F.col("before.dx") * F.col("way.dx") + F.col("before.dy") * F.col("way.dy") > 0
+    return rows.where(~(level & ahead)).select(group, "ring", (F.row_number().over(ring) - 1).alias("place"), "x", "y")
+
+
+def _owners(edges: DataFrame, sides: DataFrame, order: DataFrame, size: float, snap: float) -> DataFrame:
+    """``face, owner``: the first shape by ``order`` that each face lies in; faces in no shape are left out.
+
+    A point just left of the face's longest side stands for it. It meets the shapes whose span in its strip it falls into, and
+    is inside those of which an odd number of edges lies to its left.
+    """
+    dx, dy = (F.col("to_x") - F.col("x")).cast("double"), (F.col("to_y") - F.col("y")).cast("double")
+    long = F.hypot(dx, dy)
+    spot = F.struct(long.alias("n"), ((F.col("x") + F.col("to_x")) / 2 - dy / long / 4).alias("px"), ((F.col("y") + F.col("to_y")) / 2 + dx / long / 4).alias("py"))
+    spots = sides.groupBy("face").agg(F.max(spot).alias("s")).select("face", (F.col("s.px") * snap).alias("px"), (F.col("s.py") * snap).alias("py"))
+    spots = spots.withColumn("strip", F.floor(F.col("py") / size)).withColumn("tile", F.floor(F.col("px") / size))
+    strips = keep(overlay.strips(edges, size), "strips")
+    spans = strips.groupBy("id", "strip").agg(F.min(F.least("xa", "xb")).alias("x0"), F.max(F.greatest("xa", "xb")).alias("x1"))
+    spans = spans.withColumn("tile", F.explode(F.sequence(F.floor(F.col("x0") / size), F.floor(F.col("x1") / size))))
+    near = spots.join(spans, ["strip", "tile"]).where("px between x0 and x1").select("face", "id", "strip", "px", "py")
+    at = F.col("xa") + (F.col("xb") - F.col("xa")) * (F.col("py") - F.col("ya")) / (F.col("yb") - F.col("ya"))
+    left = near.join(strips, ["id", "strip"]).where("ya <= py and py < yb").where(at < F.col("px"))
+    inside = left.groupBy("face", "id").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1")
+    return inside.join(order, "id").groupBy("face").agg(F.min(F.struct("o", "id")).alias("m")).select("face", F.col("m.id").alias("owner"))
+
+
+def claimed(shapes: DataFrame, shape_id: str, rings: str, order: str, size: float, snap: float = 1e-3) -> DataFrame:
+    """``id, ring, place, x, y, to_x, to_y``: what each shape keeps where all shapes overlap and the first by ``order`` takes each place.
+
+    Outlines run round positive areas, holes round negative ones, in whole numbers of ``snap``. All edges are split where they
+    meet, each face between them goes to its first shape, and the edges between faces of different owners are linked to rings
+    by the next turn clockwise. Rings are straight and do not cross themselves; shapes with a null id or order take no part;
+    equal orders go by id.
+    """
+    known = shapes.where(F.col(shape_id).isNotNull() & F.col(order).isNotNull())
+    edges = keep(overlay.ring_edges(known, shape_id, rings).select("id", "ring", *[(F.round(F.col(c) / snap) * snap).alias(c) for c in _ENDS]), "ring-edges")
+    sides = keep(face_edges(split_lines(edges, size, snap)), "faces")
+    owner = keep(_owners(edges, sides, known.select(F.col(shape_id).alias("id"), F.col(order).alias("o")), size, snap), "owners")
+    owned = sides.join(owner, "face", "left").select("owner", "x", "y", "to_x", "to_y")
+    across = owned.select(F.col("owner").alias("other"), F.col("to_x").alias("x"), F.col("to_y").alias("y"), F.col("x").alias("to_x"), F.col("y").alias("to_y"))
+    rim = owned.where("owner is not null").join(across, ["x", "y", "to_x", "to_y"]).where("other is null or other <> owner").drop("other")
+    rim = keep(rim.withColumn("id", F.monotonically_increasing_id()), "owned-rims")
+    ahead = rim.select("owner", F.col("x").alias("to_x"), F.col("y").alias("to_y"), F.col("to_x").alias("nx"), F.col("to_y").alias("ny"), F.col("id").alias("nid"))
+    met = rim.join(ahead, ["owner", "to_x", "to_y"])
+    back = F.atan2((F.col("y") - F.col("to_y")).cast("double"), (F.col("x") - F.col("to_x")).cast("double"))
+    on = F.atan2((F.col("ny") - F.col("to_y")).cast("double"), (F.col("nx") - F.col("to_x")).cast("double"))
+    links = met.groupBy(F.col("id").alias("node")).agg(F.min_by("nid", F.pmod(back - on, F.lit(2 * math.pi))).alias("after"))
+    found = cycles(links)
+    return rim.join(found, F.col("id") == F.col("node")).select(F.col("owner").alias(shape_id), "ring", "place", "x", "y", "to_x", "to_y")
+
+
+def resolved(shapes: DataFrame, shape_id: str, rings: str, order: str, size: float, snap: float = 1e-3, least: float = 0.5, rounding: float = 1e-3) -> DataFrame:
+    """``id, area, kept, cut``: each shape's area, what ``claimed`` leaves of it, and whether it is cut.
+
+    A shape that would lose more than a share of 1 - ``least`` of itself is left whole, overlaps and all: ``cut`` is false then, as
+    for shapes that lose no more area than ``rounding``.
+    """
+    sizes = overlay.ring_areas(overlay.ring_edges(shapes, shape_id, rings)).withColumnRenamed("id", "__id")
+    turned = (F.col("x").cast("double") * F.col("to_y") - F.col("to_x").cast("double") * F.col("y")) / 2
+    left = claimed(shapes, shape_id, rings, order, size, snap).groupBy(shape_id).agg((F.sum(turned) * snap * snap).alias("kept"))
+    rows = sizes.join(left, F.col("__id") == F.col(shape_id), "left").select(F.col("__id").alias(shape_id), "area", F.coalesce("kept", F.lit(0.0)).alias("kept"))
+    cut = (F.col("area") - F.col("kept") > rounding) & (F.col("kept") >= least * F.col("area"))
+    return rows.withColumn("cut", cut)

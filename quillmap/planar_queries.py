@@ -9,7 +9,7 @@ from quillmap.operators import fields, outlines, overlay, planar
 from quillmap.queries import query
 from quillmap.shape_queries import _RECTS, _rect, _rects
 from quillmap.sources.tables import table
-from quillmap.view_queries import _SPOTS, _spots
+from quillmap.view_queries import _RASTER, _SPOTS, _spots
 
 # L-shapes with a hole, and U-shapes beside them: in SQL, boxes that count once or minus once.
 _BOXES = f"""{_RECTS}, l AS (SELECT k, unnest([(x, y, w + 4, h + 4, 1), (x + w, y + h, 4, 4, -1), (x + 1, y + 1, 1, 2, -1)]) AS b FROM b),
@@ -165,3 +165,14 @@ def cell_distances(spark, d):
     spots = _spots(spark, d).where("p_size < 8").withColumn("label", F.col("p_size") % 7)
     frame = spots.select("floor").distinct().select("floor", F.lit(0).alias("x0"), F.lit(96).alias("x1"), F.lit(0).alias("y0"), F.lit(49).alias("y1"))
     return fields.nearest_labels(spots, "floor", "x", "y", "label", frame)
+
+
+@query(
+    f"""WITH {_RASTER}, o AS (SELECT x, y, min(k) AS k FROM c GROUP BY x, y), n AS (SELECT k, count(*)::DOUBLE AS kept FROM o GROUP BY k)
+        SELECT b.k, w * h AS area, coalesce(kept, 0.0) AS kept, coalesce(kept, 0.0) < w * h AND coalesce(kept, 0.0) >= 0.5 * w * h AS cut FROM b LEFT JOIN n USING (k)"""
+)
+def resolved_overlaps(spark, d):
+    """Overlapping boxes, of which the first keeps a place and the others are cut."""
+    shapes = _rects(spark, d).select("k", F.array(_rect(*(F.col(c) for c in "xywh"))).alias("rings"))
+    found = planar.resolved(shapes.withColumn("o", F.col("k")), "k", "rings", "o", 16.0)
+    return found.select("k", F.round("area", 6).alias("area"), F.round("kept", 6).alias("kept"), "cut")

@@ -162,3 +162,24 @@ def test_contours_are_rings_around_regions(spark):
     bends = planar.corners(rim, "floor").where("floor = 'h'").orderBy("place").collect()
     assert [(r.x, r.y) for r in bends] in ([(3, 3), (4, 3), (4, 4), (3, 4)], [(4, 3), (4, 4), (3, 4), (3, 3)], [(4, 4), (3, 4), (3, 3), (4, 3)], [(3, 4), (3, 3), (4, 3), (4, 4)])
     assert planar.contours(spark.createDataFrame([], "floor string, x long, y long"), "floor").collect() == []
+
+
+@pytest.mark.parametrize("degrees", [0, 33])
+def test_claimed_places(spark, degrees):
+    """A cup in front of a box with a hole, a box within it, and one that loses most of itself."""
+    small = [(4, 4.5), (6, 4.5), (6, 5.5), (4, 5.5)]
+    rings = {2: ([BOX, HOLE], 2), 1: ([CUP], 1), 3: ([[(2, 1), (5, 1), (5, 3.5), (2, 3.5)]], 9), 4: ([[(20, 0), (30, 0), (30, 10), (20, 10)]], 3), 5: ([[(22, 2), (24, 2), (24, 4), (22, 4)]], 0), 6: ([small], None)}
+    rows = [(k, [[(float(x), float(y), None) for x, y in turned(r, degrees)] for r in rs], o, "x") for k, (rs, o) in rings.items()]
+    table = spark.createDataFrame(rows, "k long, rings array<array<struct<x:double,y:double,bulge:double>>>, o int, owner string").drop("owner").repartition(3)
+    got = {r.k: r for r in planar.resolved(table, "k", "rings", "o", 4.0, 1e-6).collect()}
+    # the box's cells outside of the cup and the hole; what the third keeps lies behind both
+    box = sum(not (2 <= x < 4 and 2 <= y < 4) and not (1 <= x <= 9 and 1 <= y <= 8 and not (3 <= x <= 7 and y >= 3)) for x, y in ((i + 0.5, j + 0.5) for i in range(6) for j in range(6)))
+    assert got[1].kept == pytest.approx(36, abs=1e-4) and not got[1].cut and got[2].kept == pytest.approx(box, abs=1e-4)
+    assert got[2].cut == (box >= 16) and got[3].kept == pytest.approx(0.5, abs=1e-4) and not got[3].cut
+    assert got[4].kept == pytest.approx(96, abs=1e-4) and got[4].cut and got[5].kept == pytest.approx(4, abs=1e-4) and got[6].kept == 0
+    rim = planar.claimed(table, "k", "rings", "o", 4.0, 1e-6).where("k = 4")
+    ends = {}
+    for r in rim.orderBy("place").collect():
+        ends.setdefault(r.ring, []).append(((r.x, r.y), (r.to_x, r.to_y)))
+    assert sorted(len(e) for e in ends.values()) == [4, 4] and all(e[i][1] == e[(i + 1) % 4][0] for e in ends.values() for i in range(4))
+    assert planar.claimed(table.limit(0), "k", "rings", "o", 4.0).collect() == []
