@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmap.functions import geometry as G
-from quillmap.operators import fields, outlines, overlay, planar
+from quillmap.operators import fields, outlines, overlay, planar, spatial, voronoi
 from quillmap.queries import query
 from quillmap.shape_queries import _RECTS, _rect, _rects
 from quillmap.sources.tables import table
@@ -176,3 +176,16 @@ def resolved_overlaps(spark, d):
     shapes = _rects(spark, d).select("k", F.array(_rect(*(F.col(c) for c in "xywh"))).alias("rings"))
     found = planar.resolved(shapes.withColumn("o", F.col("k")), "k", "rings", "o", 16.0)
     return found.select("k", F.round("area", 6).alias("area"), F.round("kept", 6).alias("kept"), "cut")
+
+
+@query(
+    """WITH s AS (SELECT s_suppkey, (s_suppkey * 37.137) % 101 AS x, (s_suppkey * 53.71) % 67 AS y FROM supplier), c AS (SELECT c_custkey, (c_custkey * 13.713) % 101 AS x, (c_custkey * 7.919) % 67 AS y FROM customer)
+       SELECT c_custkey, arg_min(s_suppkey, (s.x - c.x) ** 2 + (s.y - c.y) ** 2) AS s_suppkey FROM c, s GROUP BY c_custkey"""
+)
+def voronoi_cells(spark, d):
+    """The supplier in whose cell each customer lies."""
+    k, c = F.col("s_suppkey"), F.col("c_custkey")
+    seeds = table(spark, d, "supplier").select(k, (k * 37.137 % 101).alias("x"), (k * 53.71 % 67).alias("y"))
+    places = table(spark, d, "customer").select(c, (c * 13.713 % 101).alias("x"), (c * 7.919 % 67).alias("y"))
+    cells = voronoi.voronoi(seeds, "s_suppkey", (0.0, 0.0, 101.0, 67.0), 8.0).select("s_suppkey", "poly")
+    return spatial.points_in_polygons(places, cells, 8.0, "c_custkey", "s_suppkey", "s_suppkey").select("c_custkey", "s_suppkey")
