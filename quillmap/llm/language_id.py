@@ -36,14 +36,18 @@ LONGEST = 5
 CACHE = 200_000
 #: Words of evidence at most that the score is sharpened by.
 SHARP = 30
-#: Word characters that are neither letters nor decimal digits, such as superscripts and Roman numerals.
-_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and unicodedata.category(c) in ("Nl", "No"))
-#: Characters of category L.
-_LETTERS = re.compile(rf"[^\W\d_{re.escape(_NUMERALS)}]+")
+#: Word characters that are neither letters nor decimal digits, such as superscripts and Roman numerals. They are looked for
+#: on their own, as a class of them and of categories would be tried one by one for each character.
+_NUMERALS = re.compile("[" + re.escape("".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and unicodedata.category(c) in ("Nl", "No"))) + "]")
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def letters(text: str) -> list[str]:
-    return _LETTERS.findall(text.lower())
+    """Runs of characters of category L, in lower case."""
+    text = text.lower()
+    if not text.isascii() and _NUMERALS.search(text):
+        text = _NUMERALS.sub(" ", text)
+    return _LETTERS.findall(text)
 
 
 def grams(word: str, n: int) -> list[str]:
