@@ -16,8 +16,6 @@ order; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import re
-import sys
-import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,18 +34,16 @@ LONGEST = 5
 CACHE = 200_000
 #: Words of evidence at most that the score is sharpened by.
 SHARP = 30
-#: Word characters that are neither letters nor decimal digits, such as superscripts and Roman numerals. They are looked for
-#: on their own, as a class of them and of categories would be tried one by one for each character.
-_NUMERALS = re.compile("[" + re.escape("".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and unicodedata.category(c) in ("Nl", "No"))) + "]")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def letters(text: str) -> list[str]:
     """Runs of characters of category L, in lower case."""
-    text = text.lower()
-    if not text.isascii() and _NUMERALS.search(text):
-        text = _NUMERALS.sub(" ", text)
-    return _LETTERS.findall(text)
+    words = _LETTERS.findall(text.lower())
+    if all(map(str.isalpha, words)):
+        return words
+    # the pattern takes superscripts, Roman numerals and other numbers that are no decimal digits too
+    return [w for word in words for w in ("".join(c if c.isalpha() else " " for c in word).split() if not word.isalpha() else (word,))]
 
 
 def grams(word: str, n: int) -> list[str]:
