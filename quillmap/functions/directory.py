@@ -70,46 +70,62 @@ def stacked(lines: Column, gap: float) -> Column:
 _STRINGS = "array<string>"
 
 
-def names_in(lines: Column, roles: frozenset[str]) -> Column:
+def block_names(lines: Column, roles: frozenset[str]) -> Column:
     """``STRUCT<names, dropped>`` of an annotation block; ``roles`` are the lower-case words that are no names.
 
     Notes go; pieces between separators with a room number are dropped; role words at either end of a line go, and lines of
     roles alone; lines of a piece join to names of two to four words. A single word left beside a dropped role is no name.
     """
-    known = F.array(*[F.lit(r) for r in sorted(roles)]) if roles else F.array().cast(_STRINGS)
+    titles = F.array(*[F.lit(r) for r in sorted(roles)]) if roles else F.array().cast(_STRINGS)
+    none = F.array().cast(_STRINGS)
 
-    def is_role(w: Column) -> Column:
-        return F.array_contains(known, F.regexp_replace(F.lower(w), "^[.,]+|[.,]+$", ""))
+    def titled(w: Column) -> Column:
+        return F.array_contains(titles, F.regexp_replace(F.lower(w), "^[.,]+|[.,]+$", ""))
 
-    def without_role(line: Column) -> Column:
-        words = F.split(line, " ")
-        own = F.filter(F.transform(words, lambda w, i: F.when(~is_role(w), i)), lambda i: i.isNotNull())
-        first, last, n = F.get(own, F.lit(0)), F.element_at(own, -1), F.size(own)
-        kept = (n == last - first + 1) & ~((n == 1) & (last < F.size(words) - 1))
-        return F.when(n == F.size(words), line).when((n > 0) & kept, F.array_join(F.slice(words, first + 1, n), " "))
+    def bare(line: Column) -> Column:
+        """The line without titles at its ends; null if nothing is left, or titles stand between other words."""
 
-    def join(groups: Column, line: Column) -> Column:
-        words, last = F.split(line, " "), F.element_at(groups, -1)
-        goes_on = (F.size(groups) > 0) & ((F.size(last) < 2) | ((F.size(words) == 1) & (F.size(last) < 3)))
-        return F.when(goes_on, F.concat(F.slice(groups, 1, F.greatest(F.size(groups) - 1, F.lit(0))), F.array(F.concat(last, words)))).otherwise(F.concat(groups, F.array(words)))
+        def cut(k: Column) -> Column:
+            def between(own: Column) -> Column:
+                first, last, n = F.get(own, F.lit(0)), F.try_element_at(own, F.lit(-1)), F.size(own)
+                usable = (n > 0) & (n == last - first + 1) & ~((n == 1) & (last < F.size(k) - 1))
+                return F.when(n == F.size(k), line).when(usable, F.array_join(F.slice(k, first + 1, n), " "))
 
-    def is_name(words: Column) -> Column:
-        return F.size(words).between(1, 4) & ~F.exists(words, is_role) & F.exists(words, lambda w: F.rlike(w, F.lit('^(?:\\p{Lu}|")'))) & F.forall(words, lambda w: F.rlike(w, F.lit(NAME_WORD)))
+            return named(F.filter(F.transform(k, lambda w, i: F.when(~titled(w), i)), lambda i: i.isNotNull()), between)
+
+        return named(F.split(line, " "), cut)
+
+    def grown(groups: Column, line: Column) -> Column:
+        """``groups`` of words with one line more: in the last group while that is short, else in a group of its own."""
+
+        def put(k: Column) -> Column:
+            joins = (F.size(groups) > 0) & ((F.size(k.last) < 2) | ((F.size(k.own) == 1) & (F.size(k.last) < 3)))
+            return F.when(joins, F.concat(F.slice(groups, 1, F.greatest(F.size(groups) - 1, F.lit(0))), F.array(F.concat(k.last, k.own)))).otherwise(F.concat(groups, F.array(k.own)))
+
+        return named(F.struct(F.split(line, " ").alias("own"), F.try_element_at(groups, F.lit(-1)).alias("last")), put)
+
+    def reads_well(words: Column) -> Column:
+        return F.size(words).between(1, 4) & ~F.exists(words, titled) & F.exists(words, lambda w: F.rlike(w, F.lit('^(?:\\p{Lu}|")'))) & F.forall(words, lambda w: F.rlike(w, F.lit(NAME_WORD)))
+
+    def sorted_out(rows: Column) -> Column:
+        """``rows`` holds each line with what is left of it."""
+        lost = F.exists(rows, lambda r: r.left.isNull())
+        groups = F.reduce(F.transform(F.filter(rows, lambda r: r.left.isNotNull()), lambda r: r.left), F.array().cast("array<array<string>>"), grown)
+        judged = F.transform(groups, lambda g: F.struct(F.array_join(g, " ").alias("text"), (reads_well(g) & ~(lost & (F.size(g) == 1))).alias("good")))
+
+        def parted(t: Column) -> Column:
+            gone = F.transform(F.filter(rows, lambda r: r.left.isNull()), lambda r: r.line)
+            return F.struct(F.transform(F.filter(t, lambda x: x.good), lambda x: x.text).alias("names"), F.concat(gone, F.transform(F.filter(t, lambda x: ~x.good), lambda x: x.text)).alias("dropped"))
+
+        def unless_numbered(whole: Column) -> Column:
+            return F.when(F.rlike(whole, F.lit(ROOM_NUMBER)), F.struct(none.alias("names"), F.array(whole).alias("dropped"))).otherwise(named(judged, parted))
+
+        return named(F.array_join(F.transform(rows, lambda r: r.line), " "), unless_numbered)
 
     def piece(text: Column) -> Column:
-        rows = F.filter(F.transform(F.split(text, "\n"), lambda t: F.regexp_replace(F.regexp_replace(t, r"\s+", " "), "^[ ,;:]+|[ ,;:]+$", "")), lambda t: t != "")
-        whole = F.array_join(rows, " ")
-        kept = F.filter(F.transform(rows, without_role), lambda t: t.isNotNull())
-        lost = F.size(kept) < F.size(rows)
-        groups = F.reduce(kept, F.array().cast("array<array<string>>"), join)
-        tried = F.transform(groups, lambda g: F.struct(F.array_join(g, " ").alias("text"), (is_name(g) & ~(lost & (F.size(g) == 1))).alias("good")))
-        gone = F.filter(rows, lambda t: without_role(t).isNull())
-        names = F.transform(F.filter(tried, lambda t: t.good), lambda t: t.text)
-        dropped = F.concat(gone, F.transform(F.filter(tried, lambda t: ~t.good), lambda t: t.text))
-        numbered = F.rlike(whole, F.lit(ROOM_NUMBER))
-        none = F.array().cast(_STRINGS)
-        return F.struct(F.when(numbered, none).otherwise(names).alias("names"), F.when(numbered, F.array(whole)).otherwise(dropped).alias("dropped"))
+        tidy = F.filter(F.transform(F.split(text, "\n"), lambda t: F.regexp_replace(F.regexp_replace(t, r"\s+", " "), "^[ ,;:]+|[ ,;:]+$", "")), lambda t: t != "")
+        return named(F.transform(tidy, lambda t: F.struct(t.alias("line"), bare(t).alias("left"))), sorted_out)
 
     text = F.translate(F.regexp_replace(F.array_join(lines, "\n"), NOTE, " "), "’", "'")
-    pieces = F.transform(F.split(text, SEPARATORS), piece)
-    return F.struct(F.flatten(F.transform(pieces, lambda p: p.names)).alias("names"), F.flatten(F.transform(pieces, lambda p: p.dropped)).alias("dropped"))
+    parts = F.transform(F.split(text, SEPARATORS), piece)
+    return named(parts, lambda p: F.struct(F.flatten(F.transform(p, lambda x: x.names)).alias("names"), F.flatten(F.transform(p, lambda x: x.dropped)).alias("dropped")))

@@ -102,16 +102,20 @@ def without_straight_corners(poly: Column, slack: float) -> Column:
     Vertices of arcs stay, and so does the polygon if fewer than three vertices would be left.
     """
 
-    def step(s: Column, i: Column) -> Column:
-        p, n = F.get(poly, i), F.get(poly, F.pmod(i + 1, F.size(poly)))
-        before = F.when(F.size(s) > 0, F.element_at(s, -1)).otherwise(F.element_at(poly, -1))
-        base = F.hypot(n.x - before.x, n.y - before.y)
-        off = F.when(base > 0, F.abs((n.x - before.x) * (p.y - before.y) - (n.y - before.y) * (p.x - before.x)) / base).otherwise(F.hypot(p.x - before.x, p.y - before.y))
-        bent = (F.coalesce(p.bulge, F.lit(0.0)) != 0) | (F.coalesce(before.bulge, F.lit(0.0)) != 0)
-        return F.when(bent | (off > slack), F.concat(s, F.array(p))).otherwise(s)
+    def told(v: Column) -> Column:
+        def step(s: Column, e: Column) -> Column:
+            def judged(k: Column) -> Column:
+                dx, dy, gx, gy = e.b.x - k.x, e.b.y - k.y, e.a.x - k.x, e.a.y - k.y
+                off = G.named(F.hypot(dx, dy), lambda base: F.when(base > 0, F.abs(dx * gy - dy * gx) / base).otherwise(F.hypot(gx, gy)))
+                bent = (F.coalesce(e.a.bulge, F.lit(0.0)) != 0) | (F.coalesce(k.bulge, F.lit(0.0)) != 0)
+                return F.when(bent | (off > slack), F.concat(s, F.array(e.a))).otherwise(s)
+
+            return G.named(F.when(F.size(s) > 0, F.element_at(s, -1)).otherwise(F.element_at(v, -1)), judged)
 
-    kept = F.reduce(F.sequence(F.lit(0), F.size(poly) - 1), F.slice(poly, 1, 0), step)
-    return F.when(F.size(poly) < 4, poly).otherwise(F.when(F.size(kept) >= 3, kept).otherwise(poly))
+        kept = F.reduce(G.edges(v), F.slice(v, 1, 0), step)
+        return F.when(F.size(v) < 4, v).otherwise(G.named(kept, lambda k: F.when(F.size(k) >= 3, k).otherwise(v)))
+
+    return G.named(poly, told)
 
 
 def ellipse(cx: Column, cy: Column, rx: Column, ry: Column, corners: int = 48) -> Column:
@@ -319,28 +323,40 @@ def box_of_axis(poly: Column, axis: Column | None = None) -> Column:
     return G.named(poly, told)
 
 
-def leaves_ellipse(e: Column, ox: Column, oy: Column, degrees: Column) -> Column:
-    """The point where a ray from ``(ox, oy)`` inside an ellipse (``cx, cy, a, b, turn`` in degrees) leaves it."""
+def _rays(e: Column, ox: Column, oy: Column, degrees: Column) -> Column:
+    """Where rays from a point in an ellipse leave it, for an array of directions. What all rays share is worked out once."""
 
-    def scaled(x: Column, y: Column) -> tuple[Column, Column]:
+    def all_rays(k: Column) -> Column:
         # In the ellipse's own axes, as parts of them, it is the unit circle.
-        c, s = F.cos(F.radians(e.turn)), F.sin(F.radians(e.turn))
-        return (x * c + y * s) / e.a, (y * c - x * s) / e.b
+        def ray(d: Column) -> Column:
+            unit = F.struct(((d.x * k.c + d.y * k.s) / k.a).alias("x"), ((d.y * k.c - d.x * k.s) / k.b).alias("y"))
 
-    dx, dy = F.cos(F.radians(degrees)), F.sin(F.radians(degrees))
-    (px, py), (ux, uy) = scaled(ox - e.cx, oy - e.cy), scaled(dx, dy)
-    along, square = px * ux + py * uy, ux * ux + uy * uy
-    far = (F.sqrt(along * along - square * (px * px + py * py - 1)) - along) / square
-    return G.named(far, lambda k: G.point(ox + k * dx, oy + k * dy))
+            def reach(u: Column) -> Column:
+                parts = F.struct((k.px * u.x + k.py * u.y).alias("along"), (u.x * u.x + u.y * u.y).alias("square"))
+                return G.named(parts, lambda q: (F.sqrt(q.along * q.along - q.square * (k.px * k.px + k.py * k.py - 1)) - q.along) / q.square)
 
+            return G.named(G.named(unit, reach), lambda f: G.point(k.ox + f * d.x, k.oy + f * d.y))
 
-def band(inner: Column, outer: Column, low: Column, high: Column, steps: int = 40) -> Column:
-    """The polygon between two ellipses from ``low`` to ``high`` degrees, seen from the inner one's centre: out there, back inside."""
+        directions = F.transform(degrees, lambda t: F.struct(F.cos(F.radians(t)).alias("x"), F.sin(F.radians(t)).alias("y")))
+        return F.transform(directions, ray)
 
-    def side(e: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: leaves_ellipse(e, inner.cx, inner.cy, low + (high - low) * i / steps))
+    def placed(t: Column) -> Column:
+        dx, dy = t.ox - e.cx, t.oy - e.cy
+        px, py = (dx * t.c + dy * t.s) / e.a, (dy * t.c - dx * t.s) / e.b
+        return G.named(F.struct(t.ox.alias("ox"), t.oy.alias("oy"), t.c.alias("c"), t.s.alias("s"), e.a.alias("a"), e.b.alias("b"), px.alias("px"), py.alias("py")), all_rays)
 
-    return F.concat(side(outer), F.reverse(side(inner)))
+    return G.named(F.struct(F.cos(F.radians(e.turn)).alias("c"), F.sin(F.radians(e.turn)).alias("s"), ox.alias("ox"), oy.alias("oy")), placed)
+
+
+def leaves_ellipse(e: Column, ox: Column, oy: Column, degrees: Column) -> Column:
+    """The point where a ray from ``(ox, oy)`` inside an ellipse (``cx, cy, a, b, turn`` in degrees) leaves it."""
+    return F.get(_rays(e, ox, oy, F.array(degrees)), F.lit(0))
+
+
+def band(inner: Column, outer: Column, low: Column, high: Column, steps: int = 40) -> Column:
+    """The polygon between two ellipses from ``low`` to ``high`` degrees, seen from the inner one's centre: out there, back inside."""
+    turns = F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: low + (high - low) * i / steps)
+    return F.concat(_rays(outer, inner.cx, inner.cy, turns), F.reverse(_rays(inner, inner.cx, inner.cy, turns)))
 
 
 def without_jogs(poly: Column, jog: float, degrees: float) -> Column:

@@ -69,10 +69,14 @@ def degrees(a: Column) -> Column:
 
 
 def least_gap(df: DataFrame, group: str, value: str) -> DataFrame:
-    """``group, pitch``: the smallest gap between neighbouring different values; null for a group of one value."""
-    w = W.partitionBy(group).orderBy(value)
-    steps = df.select(group, value).distinct().withColumn("gap", F.col(value) - F.lag(value).over(w))
-    return steps.groupBy(group).agg(F.min("gap").alias("pitch"))
+    """``group, pitch``: the smallest gap between neighbouring different values; null for a group of one value.
+
+    Values are numbered over tasks and each meets its successor, so that no task sorts a whole group. Null values count for nothing.
+    """
+    rows = keep(numbered(df.select(group, value).where(F.col(value).isNotNull()).distinct(), group, value, name="__n"), "values")
+    after = rows.select(F.col(group).alias("__group"), (F.col("__n") - 1).alias("__at"), F.col(value).alias("__value"))
+    steps = rows.join(after, F.col(group).eqNullSafe(F.col("__group")) & (F.col("__n") == F.col("__at")), "left")
+    return steps.groupBy(group).agg(F.min(F.col("__value") - F.col(value)).alias("pitch"))
 
 
 def frame(df: DataFrame, group: str, by: float = 20.0) -> DataFrame:

@@ -7,6 +7,7 @@ and the exact predicate follows.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmap.functions import geometry as G
@@ -133,9 +134,11 @@ def coverage(rooms: DataFrame, fills: DataFrame, group: str, step: float, room_i
 
 def best_cover(covers: DataFrame, room_id: str = "room_id", least: float = 0.5, review: float = 0.2) -> DataFrame:
     """Each room's name of largest coverage, the second where it reaches ``review``, and whether the first is assigned."""
-    ranked = covers.groupBy(room_id).agg(F.array_sort(F.collect_list(F.struct((-F.col("fraction")).alias("f"), "name"))).alias("all"))
-    one, two = F.get("all", F.lit(0)), F.get("all", F.lit(1))
-    return ranked.select(room_id, one["name"].alias("name"), (-one["f"]).alias("fraction"), F.when(-two["f"] >= review, two["name"]).alias("second"), (-one["f"] >= least).alias("assigned"))
+    place = F.row_number().over(W.partitionBy(room_id).orderBy(F.desc("fraction"), "name"))
+    best = covers.where(F.col("name").isNotNull()).withColumn("__place", place).where("__place <= 2")  # Spark limits groups before it deals them
+    one, two = (F.max(F.when(F.col("__place") == k, F.struct("fraction", "name"))).alias(n) for k, n in ((1, "__one"), (2, "__two")))
+    ranked = best.groupBy(room_id).agg(one, two)
+    return ranked.select(room_id, "__one.name", "__one.fraction", F.when(F.col("__two.fraction") >= review, F.col("__two.name")).alias("second"), (F.col("__one.fraction") >= least).alias("assigned"))
 
 
 def ordered_first(zones: DataFrame, points: DataFrame, size: float, point_id: str, zone_id: str, order: str, kind: str, otherwise: str) -> DataFrame:

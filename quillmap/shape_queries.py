@@ -315,7 +315,7 @@ def stacked_lines(spark, d):
 @query("SELECT c_custkey, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || ' Stone;Max Byrd' AS names, '31' || (c_custkey % 90 + 10) || ';Scholars' AS dropped FROM customer")
 def annotation_names(spark, d):
     lines = F.array(F.concat(F.lit("Staff "), F.initcap("c_mktsegment"), F.lit(" Stone (away) & Max")), F.lit("Byrd,"), F.concat(F.lit("31"), (F.col("c_custkey") % 90 + 10).cast("string")), F.lit("; Scholars"))
-    found = table(spark, d, "customer").select("c_custkey", directory.names_in(lines, frozenset({"staff", "scholars"})).alias("f"))
+    found = table(spark, d, "customer").select("c_custkey", directory.block_names(lines, frozenset({"staff", "scholars"})).alias("f"))
     return found.select("c_custkey", F.array_join("f.names", ";").alias("names"), F.array_join("f.dropped", ";").alias("dropped"))
 
 

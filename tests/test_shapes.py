@@ -158,7 +158,7 @@ ROLES = frozenset({"dean", "staff", "lab"})
     ],
 )
 def test_names_in(spark, lines, names, dropped):
-    got = value(spark, directory.names_in(F.lit(lines) if lines else F.array().cast("array<string>"), ROLES))
+    got = value(spark, directory.block_names(F.lit(lines) if lines else F.array().cast("array<string>"), ROLES))
     assert (got.names, got.dropped) == (names, dropped)
 
 
