@@ -269,7 +269,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
 
 def decoded(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
-    """``rows`` with a column ``decoded``: the text that the ids stand for.
+    """``rows`` with a column ``decoded``: the text that the ids stand for; a column of that name is replaced.
 
     A null list gives null; null ids and ids beyond the vocabulary stand for nothing, as in the library.
     """

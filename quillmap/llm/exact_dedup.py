@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmap.llm.runtime import SPACES, narrow
+from quillmap.llm.runtime import SPACES, narrow, packed, unpacked
 from quillmap.plans.storage import keep, small
 
 
@@ -67,12 +67,12 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = keep(exact_dedup(docs, id_col, text_col).select("doc_id", "kept", "text_sha256"), "verdicts")
     marks = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("kept").alias("all"), F.max("kept").alias("some"))
     marks = keep(marks.where("not all").select(F.col("doc_id").alias("__id"), F.col("some").alias("mixed")), "dropped")
-    own = F.col(id_col).cast("long")
-    stay = docs.where(own.isNotNull()).join(small(marks.select("__id")), own == F.col("__id"), "left_anti")
+    own, rows = F.col("__own"), packed(docs, id_col)
+    stay = rows.where(own.isNotNull()).join(small(marks.select("__id")), own == F.col("__id"), "left_anti")
     mixed = small(marks.where("mixed").select("__id"))
-    unclear = docs.where(own.isNotNull()).join(mixed, own == F.col("__id"), "left_semi").unionByName(docs.where(own.isNull()))
-    unclear = unclear.withColumn("__id", own).withColumn("__sha", F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
+    unclear = rows.where(own.isNotNull()).join(mixed, own == F.col("__id"), "left_semi").unionByName(rows.where(own.isNull()))
+    unclear = unclear.withColumn("__sha", F.sha2(normalised(F.col("__row")[text_col]).cast("binary"), 256))
     kept = found.where("kept").join(mixed.withColumnRenamed("__id", "__mixed"), F.col("doc_id") == F.col("__mixed"), "left_semi").unionByName(found.where("kept and doc_id is null"))
-    kept = small(keep(kept.select(F.col("doc_id").alias("__kept"), F.col("text_sha256").alias("__own")), "kept-of-unclear"))
-    once = unclear.join(kept, F.col("__id").eqNullSafe(F.col("__kept")) & (F.col("__sha") == F.col("__own")), "left_semi")
-    return stay.unionByName(once.dropDuplicates(["__id", "__sha"]).drop("__id", "__sha"))
+    kept = small(keep(kept.select(F.col("doc_id").alias("__kept"), F.col("text_sha256").alias("__of")), "kept-of-unclear"))
+    once = unclear.join(kept, own.eqNullSafe(F.col("__kept")) & (F.col("__sha") == F.col("__of")), "left_semi")
+    return unpacked(stay.unionByName(once.dropDuplicates(["__own", "__sha"]).drop("__sha")))

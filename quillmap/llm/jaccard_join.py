@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmap.llm.runtime import WORD, narrow, prepare, release
+from quillmap.llm.runtime import WORD, narrow, packed, prepare, release, unpacked
 from quillmap.llm.shingles import many_ngrams, mixed
 from quillmap.plans.components import components
 from quillmap.plans.storage import keep, small
@@ -311,15 +311,15 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = found.select("doc_id", "set_key", (F.col("set_key").isNull() | (F.col("leads") & (F.col("doc_id") == F.col("class_id")))).alias("stays"))
     found = keep(found, "verdicts")
     marks = keep(found.groupBy(F.col("doc_id").alias("__id")).agg(F.max("stays").alias("some"), F.count(F.lit(1)).alias("n")).where("not some or n > 1"), "marks")
-    own = F.col(id_col).cast("long")
+    own, text, rows = F.col("__own"), F.col("__row")[text_col], packed(docs, id_col)
     if marks.where("some").limit(1).count() == 0:
-        return docs.join(marks.select("__id"), own == F.col("__id"), "left_anti")
-    clear = docs.join(small(marks.select("__id")), own == F.col("__id"), "left_anti")
-    repeated = docs.join(small(marks.where("some").select("__id")), own == F.col("__id"), "left_semi")
-    has_words = F.coalesce(F.col(text_col).rlike(WORD), F.lit(False))
-    told = repeated.where(has_words).withColumns({"__id": own, "__sha": F.sha2(F.col(text_col).cast("binary"), 256)}).dropDuplicates(["__id", "__sha"])
-    keys = told.select("__id", "__sha", F.col(text_col).alias("text")).mapInArrow(_keys(words), "__key_id long, __key_sha string, __set binary")
+        return unpacked(rows.join(marks.select("__id"), own == F.col("__id"), "left_anti"))
+    clear = rows.join(small(marks.select("__id")), own == F.col("__id"), "left_anti")
+    repeated = rows.join(small(marks.where("some").select("__id")), own == F.col("__id"), "left_semi")
+    has_words = F.coalesce(text.rlike(WORD), F.lit(False))
+    told = repeated.where(has_words).withColumn("__sha", F.sha2(text.cast("binary"), 256)).dropDuplicates(["__own", "__sha"])
+    keys = told.select("__own", "__sha", text.alias("text")).mapInArrow(_keys(words), "__key_id long, __key_sha string, __set binary")
     leading = found.where("stays and set_key is not null").select(F.col("doc_id").alias("__key_id"), F.col("set_key").alias("__set")).distinct()
     chosen = keys.join(leading, ["__key_id", "__set"]).groupBy("__key_id", "__set").agg(F.min("__key_sha").alias("__key_sha")).drop("__set")
-    once = told.join(chosen, (F.col("__id") == F.col("__key_id")) & (F.col("__sha") == F.col("__key_sha")), "left_semi").drop("__id", "__sha")
-    return clear.unionByName(repeated.where(~has_words)).unionByName(once)
+    once = told.join(chosen, (own == F.col("__key_id")) & (F.col("__sha") == F.col("__key_sha")), "left_semi").drop("__sha")
+    return unpacked(clear.unionByName(repeated.where(~has_words)).unionByName(once))

@@ -31,6 +31,23 @@ def narrow(df: DataFrame, id_col: str, *cols: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), *[F.col(c) for c in cols])
 
 
+def packed(df: DataFrame, id_col: str) -> DataFrame:
+    """``__own`` (the id, as a long) and ``__row`` with all columns, whose names can't clash with those of a join then."""
+    return df.select(F.col(id_col).cast("long").alias("__own"), F.struct("*").alias("__row"))
+
+
+def unpacked(df: DataFrame) -> DataFrame:
+    return df.select("__row.*")
+
+
+def free_name(name: str, df: DataFrame) -> str:
+    """``name``, with underscores behind it as long as ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def id_crc(doc_id: Column) -> Column:
     """crc32 of the id as text; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary"))

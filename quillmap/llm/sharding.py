@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillmap.llm.runtime import narrow
+from quillmap.llm.runtime import free_name, narrow, packed
 from quillmap.plans.storage import keep, small
 
 HASH_BITS = 60
@@ -94,6 +94,11 @@ def _packed(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = SHARD_BYTES) -> None:
-    """``docs`` written with one folder and one file per shard; as a shard fits the limit, one task writes it. Ids are taken as unique."""
-    where = shard(docs, id_col, text_col, limit).select(F.col("doc_id").alias("__id"), "shard").distinct()
-    docs.join(where, F.col(id_col).cast("long").eqNullSafe(F.col("__id"))).drop("__id").repartition("shard").write.partitionBy("shard").parquet(path)
+    """``docs`` written with one folder and one file per shard; as a shard fits the limit, one task writes it. Ids are taken as unique.
+
+    Folders are named by a column ``shard``; where ``docs`` has one, by ``shard_``.
+    """
+    name = free_name("shard", docs)
+    where = shard(docs, id_col, text_col, limit).select(F.col("doc_id").alias("__id"), F.col("shard").alias("__shard")).distinct()
+    rows = packed(docs, id_col).join(where, F.col("__own").eqNullSafe(F.col("__id"))).select("__row.*", F.col("__shard").alias(name))
+    rows.repartition(name).write.partitionBy(name).parquet(path)

@@ -833,3 +833,17 @@ def test_only_letters_are_letters():
             assert language_id.letters(c), hex(k)
     scorer = language_id.Scorer(language_id.Model([("aa", 0, "ab", 3), ("bb", 0, "cd", 3), ("aa", 1, "a", 3), ("bb", 1, "c", 3)]))
     assert all(scorer.predict(t) == ("und", 0.0) for t in ("\u00b2", "\u2167", "\u00bd \u2460", None, "", "12 _ !"))
+
+
+def test_clashing_names_of_joins(spark, tmp_path):
+    """Columns named like those that joins use on their way pass through."""
+    kind = "doc_id long, text string, __id long, __own string, __sha string, __row int, __kept long, __key_id long, shard string, source string"
+    words = " ".join(f"word{k}" for k in range(40))
+    rows = [(k, t, 7, "o", "s", 1, 2, 3, "x", "z") for k, t in ((1, words), (2, words), (3, words + " end"), (4, "other"), (4, words), (5, None), (None, words), (None, "other"))]
+    docs = spark.createDataFrame(rows, kind).repartition(2)
+    for got in (exact_dedup.drop_copies(docs), jaccard_join.one_of_each(docs.where("doc_id <> 4 or text = 'other'"))):
+        assert got.columns == docs.columns and all(tuple(r)[2:] == rows[0][2:] for r in got.collect())
+    assert sorted(r.doc_id for r in jaccard_join.one_of_each(docs).where("doc_id is not null").collect()) == [1, 4, 5]
+    sharding.write_shards(docs.where("doc_id < 4"), str(tmp_path / "s"), limit=500)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert back.count() == 3 and set(back.columns) == {*docs.columns, "shard_"} and back.where("shard <> 'x'").count() == 0
