@@ -53,11 +53,11 @@ def repeats(df: DataFrame, key: str, order: Column) -> DataFrame:
 
 
 def suffixed(df: DataFrame, key: str, order: list[Column], into: str) -> DataFrame:
-    """``key`` made unique: the second occurrence gets ``-2``, the third ``-3``. A key of any number of rows is spread over tasks."""
+    """``key`` made unique: the second occurrence gets ``-2``, the third ``-3``; null keys stay null. A key of any number of rows is spread over tasks."""
     places = [f"__order{k}" for k in range(len(order))]
     n = F.col("__n")
     out = numbered(df.withColumns(dict(zip(places, order, strict=True))), key, *places, name="__n")
-    return out.withColumn(into, F.when(n == 1, F.col(key).cast("string")).otherwise(F.concat_ws("-", F.col(key).cast("string"), n.cast("string")))).drop("__n", *places)
+    return out.withColumn(into, F.when(n == 1, F.col(key).cast("string")).otherwise(F.concat(F.col(key).cast("string"), F.lit("-"), n.cast("string")))).drop("__n", *places)
 
 
 def with_dimension(rows: DataFrame, dimension: DataFrame, key: str, dimension_key: str) -> DataFrame:

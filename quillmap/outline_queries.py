@@ -5,8 +5,6 @@ The streaming forms run here on a table as on a stream that has ended.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,7 +12,7 @@ from quillmap.functions import geometry as G
 from quillmap.functions import marks, naming, shapes
 from quillmap.functions import text as X
 from quillmap.operators import matching
-from quillmap.plans.storage import shared_folder
+from quillmap.plans.storage import new_path
 from quillmap.queries import query
 from quillmap.shape_queries import _RECTS, _rect, _rects
 from quillmap.sources import records
@@ -240,7 +238,7 @@ def correction_lines(spark, d):
 @query("SELECT n_nationkey, n_name FROM nation")
 def strict_round_trip(spark, d):
     """Nations written in the order of their names and read again with their schema."""
-    path = f"{shared_folder(spark)}/listing-{uuid.uuid4().hex}"
+    path = new_path(spark, "listing")
     records.write_ordered(table(spark, d, "nation").select("n_nationkey", "n_name"), path, "n_name")
     return records.strict_json(spark, path, T.StructType([T.StructField("n_nationkey", T.IntegerType()), T.StructField("n_name", T.StringType())]))
 

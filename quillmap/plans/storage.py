@@ -6,6 +6,8 @@ lineage, survives lost executors and lets several branches of a plan read the sa
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -34,11 +36,31 @@ def shared_folder(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path of its own in the shared folder, for what is removed when the driver's process ends, or by ``remove_kept`` before."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.unregister(_remove_at_exit)
+        atexit.register(_remove_at_exit, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration())
+    _written.append(path)
+    return path
+
+
+def _delete(jvm, conf, path: str) -> None:
+    path = jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(conf).delete(path, True)
+
+
+def _remove_at_exit(jvm, conf) -> None:
+    while _written:
+        with contextlib.suppress(Exception):  # the JVM may be gone; then the folder's owner clears it
+            _delete(jvm, conf, _written.pop())
+
+
 def keep(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once to the shared folder and read again."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    _written.append(path)
+    path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -56,5 +78,4 @@ def kept() -> int:
 def remove_kept(spark: SparkSession, since: int = 0) -> None:
     """Deletes what ``keep`` has written after ``kept()`` gave ``since``. Frames that read these tables can't be used any more."""
     while len(_written) > since:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), _written.pop())

@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from quillmap.operators import search
-from quillmap.plans.storage import shared_folder
+from quillmap.plans.storage import new_path
 from quillmap.queries import query
 from quillmap.sources import modules, records
 from quillmap.sources.tables import table
 from quillmap.streaming import sessions
 
 
-def _new(spark, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-
-
 def _rooms(spark, d):
     k = F.col("p_partkey")
     note = F.when(k % 5 == 0, None).otherwise(F.concat(F.lit("it's "), F.col("p_type")))
@@ -31,7 +25,7 @@ def _rooms(spark, d):
 )
 def level_modules(spark, d):
     """Rooms written as one module for each level, with a second list behind them, and read again as one typed table in the files' order."""
-    rooms, path = _rooms(spark, d), _new(spark, "levels")
+    rooms, path = _rooms(spark, d), new_path(spark, "levels")
     brands = table(spark, d, "part").select((F.col("p_partkey") % 4).alias("floor"), "p_brand").distinct()
     modules.write_levels([modules.section(rooms, "floor", 0, "rooms", ["p_name", "id", "place", "note"], ["p_name", "id"]), modules.section(brands, "floor", 1, "brands", ["p_brand"], ["p_brand"])], path)
     read = modules.level_rows(records.module_rows(spark, path, "rooms"), "name string, id long, place array<double>, note string")
@@ -44,7 +38,7 @@ def level_modules(spark, d):
 def patch_files(spark, d):
     """Patches written as JSON lines, read strictly and counted; a folder without patches adds none."""
     k, size = F.col("p_partkey"), F.col("p_size")
-    path = _new(spark, "patches")
+    path = new_path(spark, "patches")
     line = F.array(*[F.lit(v) for v in ("0", "1.5", "2", "3", "a note")])
     area = F.array_repeat(F.array(F.lit(1.0), F.lit(2.0)), (k % 2 + 1).cast("int") * 2)
     guide = F.when(size % 4 == 0, F.create_map(F.lit("g"), F.array_repeat(F.array(F.lit(0.0), F.lit(1.0)), 3)))
@@ -68,7 +62,7 @@ def streamed_lists(spark, d):
     i = F.col("event_id")
     op = F.when(i % 97 == 0, "clear").when(i % 5 == 0, "remove").when(i % 3 == 0, "edit").otherwise("add")
     log = events.select(F.col("user_id").alias("scope"), i.alias("seq"), op.alias("op"), (i % 9).alias("entry"), F.col("event_type").alias("value"))
-    return sessions.folded(sessions.run_to_end(sessions.list_changes(log), _new(spark, "lists")))
+    return sessions.folded(sessions.run_to_end(sessions.list_changes(log), new_path(spark, "lists")))
 
 
 @query(
