@@ -128,9 +128,3 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     told = cut.select("doc_id", *[c.alias(k) for k, c in counts(text, F.col("words"), F.col("lines")).items()], repeated_words(F.col("words")).alias("n_repeat_words"))
     base = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     return told.select("*", base.alias("base_failed"), (~base & verdict(rules)).alias("kept"))
-
-
-def verdict_sql(rules: tuple[Rule, ...] = RULES) -> str:
-    """The same table as SQL text."""
-    tests = [f"{r.part} * 1000 >= {r.whole} * {r.low}" for r in rules if r.low is not None] + [f"{r.part} * 1000 <= {r.whole} * {r.high}" for r in rules if r.high is not None]
-    return " AND ".join(tests)

@@ -75,7 +75,10 @@ _ALL = (
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 _SPACE = r"[\x20\x09-\x0D]"
-_STOPS = ", ".join(f"'{w}'" for w in sorted(set(quality_rules.STOP_WORDS)))
+_STOPS = """'the','of','and','to','in','is','that','it','for','was','on','are','as','with','be','this','have','from','or','by','an','not','at','but','which',
+      'der','die','und','den','von','zu','das','mit','sich','des','auf','ist','im','dem','nicht','ein','eine','als','auch','es','werden','aus','er','hat','dass',
+      'le','la','les','de','et','un','une','du','est','que','qui','dans','en','pour','pas','sur','au','avec','ce','il','elle','plus','par','ne','se',
+      'el','los','las','y','una','con','no','su','para','al','lo','como','del','mas','pero','sus'"""
 
 _OP4 = f"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
@@ -97,7 +100,8 @@ c AS (SELECT doc_id, len(words)::BIGINT AS n_words,
       FROM w LEFT JOIN hits USING (r)),
 f AS (SELECT *, n_words < 50 OR n_repeat_words * 100 > n_words * 50 AS base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND {quality_rules.verdict_sql()} AS kept FROM f
+       NOT base_failed AND word_chars >= 2 * n_words AND word_chars <= 12 * n_words AND 10 * n_symbols <= 3 * n_words AND 2 * n_marked_words <= n_words
+       AND 50 * n_stop_words >= n_words AND 10 * n_dup_lines <= 3 * n_lines AND 2 * n_cut_lines <= n_lines AS kept FROM f
 """
 
 _OP7 = f"""
