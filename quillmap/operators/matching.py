@@ -120,12 +120,13 @@ def named_numbers(names: DataFrame, numbers: DataFrame, reach: float, name_id: s
     return numbers.select(number_id).join(lines, number_id, "left").select(number_id, F.coalesce(joined, F.lit("")).alias("name"))
 
 
-def holding_face(points: DataFrame, faces: DataFrame, size: float, reach: float, least: float, point_id: str, face_id: str) -> DataFrame:
+def holding_face(points: DataFrame, faces: DataFrame, size: float, reach: float, least: float, point_id: str, face_id: str, most: float | None = None) -> DataFrame:
     """``points`` with the smallest face that holds each, else the nearest within ``reach`` (smaller of equals), else null.
 
-    ``faces`` has ``poly``, straight; those below ``least`` in area take no part.
+    ``faces`` has ``poly``, straight; those below ``least`` in area, or above ``most``, take no part.
     """
     f = faces.withColumn("__area", G.area(F.col("poly"))).where(F.col("__area") >= least)
+    f = f if most is None else f.where(F.col("__area") <= most)
     cut = f.select(F.col(face_id).alias("__f"), "poly", "__area", F.explode(cells_of_box(G.padded(G.bbox(F.col("poly")), reach), size)).alias("c"))
     cut = cut.select("__f", "poly", "__area", F.col("c.i").alias("__i"), F.col("c.j").alias("__j"))
     near = points.withColumn("__i", _cell(F.col("x"), size)).withColumn("__j", _cell(F.col("y"), size)).join(cut, ["__i", "__j"])

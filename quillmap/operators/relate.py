@@ -94,3 +94,16 @@ def listing(groups: DataFrame, rows: DataFrame, group_key: str, row_key: str) ->
     out = groups.join(counts, F.col(group_key) == F.col("__key"), "left").select(group_key, F.coalesce("n", F.lit(0)).alias("n"))
     sums = out.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("n_groups")).withColumn("__one", F.lit(1))
     return out.withColumn("__one", F.lit(1)).join(F.broadcast(sums), "__one").drop("__one")  # one row
+
+
+def shadings(fills: DataFrame, level: str, name: str, colour: str, shape: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """``level, name, shapes`` and ``name, colour``: the shapes of each name on each sheet in order, and each name's first colour on any.
+
+    Rows without a name are left out; a null order comes last, and equal ones go by the colour. The shapes of a name on one sheet
+    are one row, as many as the sheet draws of it.
+    """
+    rows = fills.where(F.col(name).isNotNull())
+    place = F.struct(F.col(order).isNull().alias("n"), F.col(order).alias("o"))
+    lists = rows.groupBy(level, name).agg(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("p"), F.col(shape).alias("s")))), lambda x: x.s).alias("shapes"))
+    firsts = rows.where(F.col(colour).isNotNull()).groupBy(name).agg(F.min(F.struct(place.alias("p"), F.col(colour).alias("c"))).alias("m"))
+    return lists, firsts.select(name, F.col("m.c").alias(colour))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmap.functions import geometry as G
-from quillmap.operators import fields, outlines, overlay, planar, spatial, voronoi
+from quillmap.operators import fields, outlines, overlay, planar, relate, spatial, voronoi
 from quillmap.queries import query
 from quillmap.shape_queries import _RECTS, _rect, _rects
 from quillmap.sources.tables import table
@@ -189,3 +189,29 @@ def voronoi_cells(spark, d):
     places = table(spark, d, "customer").select(c, (c * 13.713 % 101).alias("x"), (c * 7.919 % 67).alias("y"))
     cells = voronoi.voronoi(seeds, "s_suppkey", (0.0, 0.0, 101.0, 67.0), 8.0).select("s_suppkey", "poly")
     return spatial.points_in_polygons(places, cells, 8.0, "c_custkey", "s_suppkey", "s_suppkey").select("c_custkey", "s_suppkey")
+
+
+_TURN = "4 * atan(0.5)"  # of an arc with a bulge of a half; it is drawn by eight chords
+
+
+@query(
+    f"""WITH {_RECTS} SELECT k, 11 AS corners, round(w * h + (0.625 * h) ** 2 / 2 * (8 * sin({_TURN} / 8) - sin({_TURN})), 6) AS area, round(x, 6) AS x, round(w + 0.25 * h, 6) AS width, round(h, 6) AS height FROM b"""
+)
+def bent_outlines(spark, d):
+    """Boxes whose right side bows out as an arc, drawn by chords."""
+    x, y, w, h = (F.col(c) for c in "xywh")
+    bowed = F.array(G.point(x, y), G.point(x + w, y, F.lit(-0.5)), G.point(x + w, y + h), G.point(x, y + h))
+    flat = _rects(spark, d).select("k", G.flatten(bowed).alias("p")).select("k", "p", G.bbox(F.col("p")).alias("b"))
+    return flat.select("k", F.size("p").alias("corners"), F.round(G.area(F.col("p")), 6).alias("area"), *[F.round(f"b.{c}", 6).alias(c) for c in ("x", "width", "height")])
+
+
+@query(
+    """WITH l AS (SELECT p_partkey % 4 AS level, p_brand AS name, count(*)::INT AS shapes, arg_min(p_partkey, (p_size, p_partkey))::BIGINT AS first_shape FROM part GROUP BY ALL),
+       c AS (SELECT p_brand AS name, arg_min(p_type, (p_size, p_type)) AS colour FROM part GROUP BY ALL) SELECT level, name, shapes, first_shape, colour FROM l JOIN c USING (name)"""
+)
+def sheet_shadings(spark, d):
+    """Shapes of each brand on four sheets, with the brand's first colour."""
+    k = F.col("p_partkey")
+    rows = table(spark, d, "part").select((k % 4).alias("level"), "p_brand", "p_type", F.col("p_size").alias("o"), k.alias("shape"))
+    lists, firsts = relate.shadings(rows, "level", "p_brand", "p_type", "shape", "o")
+    return lists.join(firsts, "p_brand").select("level", F.col("p_brand").alias("name"), F.size("shapes").alias("shapes"), F.get("shapes", F.lit(0)).alias("first_shape"), F.col("p_type").alias("colour"))

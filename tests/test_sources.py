@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quillmap.operators import search
+from quillmap.operators import matching, relate, search
 from quillmap.sources import modules, records
 
 
@@ -79,3 +79,20 @@ def test_importable_and_pick(spark):
     found = spark.createDataFrame([("s", "4100"), ("t", "nowhere"), ("u", None)], "session string, place string")
     places = spark.createDataFrame([("4100", 4, "x"), (None, 5, "y")], "place string, floor int, field string")
     assert sorted(map(tuple, search.pick(found, places, "place", "floor").collect())) == [("s", "floor", "4"), ("s", "selected", "4100")]
+
+
+def test_shadings(spark):
+    rows = [(1, "a", "red", "p", 2), (1, "a", "blue", "q", 1), (2, "a", None, "r", 0), (1, None, "x", "s", 0), (2, "b", None, "t", None), (1, "a", "green", "u", None)]
+    lists, firsts = relate.shadings(spark.createDataFrame(rows, "level int, name string, colour string, shape string, o int"), "level", "name", "colour", "shape", "o")
+    assert {(r.level, r.name): r.shapes for r in lists.collect()} == {(1, "a"): ["q", "p", "u"], (2, "a"): ["r"], (2, "b"): ["t"]}
+    assert [tuple(r) for r in firsts.collect()] == [("a", "blue")]
+
+
+def test_seed_takes_no_face_above_the_cap(spark):
+    def square(s):
+        return [(0.0, 0.0, None), (s, 0.0, None), (s, s, None), (0.0, s, None)]
+
+    faces = spark.createDataFrame([(1, square(4.0)), (2, square(9.0))], "f int, poly array<struct<x:double,y:double,bulge:double>>")
+    points = spark.createDataFrame([(1, 2.0, 2.0), (2, 7.0, 7.0)], "p int, x double, y double")
+    for cap, want in ((None, {1: 1, 2: 2}), (50.0, {1: 1, 2: None})):
+        assert {r.p: r.f for r in matching.holding_face(points, faces, 5.0, 1.0, 1.0, "p", "f", cap).collect()} == want
