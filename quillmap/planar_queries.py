@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmap.functions import geometry as G
-from quillmap.operators import fields, outlines, overlay, planar, relate, spatial, voronoi
+from quillmap.operators import fields, matching, outlines, overlay, planar, relate, spatial, voronoi
 from quillmap.queries import query
 from quillmap.shape_queries import _RECTS, _rect, _rects
 from quillmap.sources.tables import table
@@ -215,3 +215,16 @@ def sheet_shadings(spark, d):
     rows = table(spark, d, "part").select((k % 4).alias("level"), "p_brand", "p_type", F.col("p_size").alias("o"), k.alias("shape"))
     lists, firsts = relate.shadings(rows, "level", "p_brand", "p_type", "shape", "o")
     return lists.join(firsts, "p_brand").select("level", F.col("p_brand").alias("name"), F.size("shapes").alias("shapes"), F.get("shapes", F.lit(0)).alias("first_shape"), F.col("p_type").alias("colour"))
+
+
+@query(
+    """WITH m AS (SELECT c_custkey, (c_custkey * 13.713) % 101 AS x, (c_custkey * 7.919) % 67 AS y FROM customer), d AS (SELECT s_suppkey, (s_suppkey * 37.137) % 101 AS x, (s_suppkey * 53.71) % 67 AS y FROM supplier),
+       n AS (SELECT c_custkey, s_suppkey, sqrt((d.x - m.x) ** 2 + (d.y - m.y) ** 2) AS far FROM m, d)
+       SELECT c_custkey, arg_min(s_suppkey, (far, s_suppkey)) FILTER (far < 3.5) AS s_suppkey, round(min(far) FILTER (far < 3.5), 6) AS distance FROM n GROUP BY c_custkey"""
+)
+def mentioned_doors(spark, d):
+    """The nearest door of each mention, if one is near."""
+    c, s = F.col("c_custkey"), F.col("s_suppkey")
+    mentions = table(spark, d, "customer").select(c, (c * 13.713 % 101).alias("x"), (c * 7.919 % 67).alias("y"))
+    doors = table(spark, d, "supplier").select(s, (s * 37.137 % 101).alias("x"), (s * 53.71 % 67).alias("y"))
+    return matching.nearest_within(mentions, doors, 3.5, "c_custkey", "s_suppkey").select("c_custkey", "s_suppkey", F.round("distance", 6).alias("distance"))
