@@ -155,14 +155,14 @@ def simplified_lines(spark, d):
 
 
 @query(
-    """WITH s AS (SELECT p_partkey % 2 AS floor, (p_partkey * 7 // 3) % 97 AS x, (p_partkey * 11 // 5) % 50 AS y, min(p_size % 7) AS label FROM part WHERE p_size < 8 GROUP BY ALL),
+    """WITH s AS (SELECT p_partkey % 2 AS floor, (p_partkey * 7 // 3) % 97 AS x, (p_partkey * 11 // 5) % 50 AS y, min(p_size % 7) AS label FROM part GROUP BY ALL),
        f AS (SELECT floor, i AS x, j AS y, min((i - s.x) ** 2 + (j - s.y) ** 2) AS square, arg_min(label, ((i - s.x) ** 2 + (j - s.y) ** 2, label)) AS label
              FROM s, range(97) a(i), range(50) b(j) GROUP BY ALL)
        SELECT floor, x, y, square::BIGINT AS square, label::BIGINT AS label FROM f"""
 )
 def cell_distances(spark, d):
-    """Every cell of two floors with the nearest spot of a small part; a sparse field, so distances are long."""
-    spots = _spots(spark, d).where("p_size < 8").withColumn("label", F.col("p_size") % 7)
+    """Every cell of two floors with the nearest part's spot."""
+    spots = _spots(spark, d).withColumn("label", F.col("p_size") % 7)
     frame = spots.select("floor").distinct().select("floor", F.lit(0).alias("x0"), F.lit(96).alias("x1"), F.lit(0).alias("y0"), F.lit(49).alias("y1"))
     return fields.nearest_labels(spots, "floor", "x", "y", "label", frame)
 
