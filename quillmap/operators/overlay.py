@@ -61,16 +61,21 @@ def _pairs(a: DataFrame, b: DataFrame, size: float, same: bool) -> DataFrame:
     return met.where((F.col("a0") < F.col("b1")) & (F.col("b0") < F.col("a1")) & here & ((F.col("a") < F.col("b")) if same else F.lit(True))).select("a", "b", "strip")
 
 
-def shared_areas(a: DataFrame, b: DataFrame | None, size: float, shape_id: str = "id", rings: str = "rings") -> DataFrame:
+def shared_areas(a: DataFrame, b: DataFrame | None, size: float, shape_id: str = "id", rings: str = "rings", same_id: bool = False) -> DataFrame:
     """``a, b, area_a, area_b, shared, iou`` of all pairs of shapes with common area; without ``b``, pairs ``a < b`` of one table.
 
+    With ``same_id`` shapes of ``a`` meet only those of ``b`` with their own id, in whatever place the others lie.
     ``size`` is the height of strips and the width of tiles: about the height of a usual shape.
     """
     key = ["a", "b", "strip"]
     edges = ring_edges(a, shape_id, rings), ring_edges(a if b is None else b, shape_id, rings)
     own = keep(strips(edges[0], size), "strips-a")
     other = own if b is None else keep(strips(edges[1], size), "strips-b")
-    pairs = keep(_pairs(own, other, size, b is None), "overlay-pairs")
+    if same_id:
+        met = own.select("id", "strip").distinct().join(other.select("id", "strip").distinct(), ["id", "strip"]).select(F.col("id").alias("a"), F.col("id").alias("b"), "strip")
+    else:
+        met = _pairs(own, other, size, b is None)
+    pairs = keep(met, "overlay-pairs")
     sides = [pairs.join(p.withColumnRenamed("id", n), [n, "strip"]).select(*key, F.lit(k).alias("side"), "ya", "yb", "xa", "xb") for k, (n, p) in enumerate((("a", own), ("b", other)))]
     both = keep(sides[0].unionByName(sides[1]), "overlay-edges")
     # heights at which an edge of one crosses an edge of the other
@@ -103,3 +108,26 @@ def best_matches(pairs: DataFrame, least: float, digits: int = 9) -> DataFrame:
     """``a, b, iou`` of the pairs of at least ``least``, taken from the greatest on, each shape once."""
     rows = keep(pairs.select("a", "b", F.round("iou", digits).alias("iou")).where(F.col("iou") >= least), "iou-pairs")
     return greedy_pairs(rows, "a", "b", cost=-F.col("iou")).select("a", "b", (-F.col("cost")).alias("iou"))
+
+
+def compared(drawn: DataFrame, traced: DataFrame, size: float, shape_id: str = "id", exempt: str = "exempt", kind: str = "kind", rings: str = "rings") -> DataFrame:
+    """``shape_id, status, iou`` of every drawn shape: how well the traced shape of the same id covers it.
+
+    The status is ``hand`` for shapes that are exempt, ``missing`` without a traced shape, else the traced shape's kind; only the
+    last have an overlap, 0 where nothing is shared. Ids are unique in both tables; null ids are left out, a null mark does not
+    exempt, and traced shapes without a drawn one count for nothing.
+    """
+    hand = F.coalesce(F.col(exempt).cast("boolean"), F.lit(False))
+    own = keep(drawn.where(F.col(shape_id).isNotNull()).select(F.col(shape_id).alias("id"), F.col(rings).alias("rings"), hand.alias("hand")), "drawn")
+    other = keep(traced.where(F.col(shape_id).isNotNull()).select(F.col(shape_id).alias("id"), F.col(rings).alias("rings"), F.col(kind).alias("kind"), F.lit(True).alias("found")), "traced")
+    shared = shared_areas(own.where("not hand"), other, size, same_id=True).select(F.col("a").alias("__id"), "iou")
+    rows = own.select("id", "hand").join(other.select("id", "kind", "found"), "id", "left").join(shared, F.col("id") == F.col("__id"), "left")
+    found = ~F.col("hand") & F.col("found").isNotNull()
+    status = F.when(F.col("hand"), "hand").when(F.col("found").isNull(), "missing").otherwise(F.col("kind"))
+    return rows.select(F.col("id").alias(shape_id), status.alias("status"), F.when(found, F.coalesce("iou", F.lit(0.0))).alias("iou"))
+
+
+def status_counts(found: DataFrame, *by: str) -> DataFrame:
+    """``n, traced, missing, hand`` of what ``compared`` gives: all shapes, those with an overlap, and those without one."""
+    counts = [F.count_if(F.col("iou").isNotNull()).alias("traced"), *[F.count_if(F.col("iou").isNull() & (F.col("status") == s)).alias(s) for s in ("missing", "hand")]]
+    return found.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *counts)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmap.functions import geometry as G
-from quillmap.operators import fields, matching, outlines, overlay, planar, relate, spatial, voronoi
+from quillmap.operators import fields, matching, outlines, overlay, planar, relate, sides, spatial, voronoi
 from quillmap.queries import query
 from quillmap.shape_queries import _RECTS, _rect, _rects
 from quillmap.sources.tables import table
@@ -228,3 +228,55 @@ def mentioned_doors(spark, d):
     mentions = table(spark, d, "customer").select(c, (c * 13.713 % 101).alias("x"), (c * 7.919 % 67).alias("y"))
     doors = table(spark, d, "supplier").select(s, (s * 37.137 % 101).alias("x"), (s * 53.71 % 67).alias("y"))
     return matching.nearest_within(mentions, doors, 3.5, "c_custkey", "s_suppkey").select("c_custkey", "s_suppkey", F.round("distance", 6).alias("distance"))
+
+
+_COMPARED = f"""{_BOXES}, j AS (SELECT l.k, sum(l.b[5] * u.b[5] * greatest(0.0, least(l.b[1] + l.b[3], u.b[1] + u.b[3]) - greatest(l.b[1], u.b[1])) * greatest(0.0, least(l.b[2] + l.b[4], u.b[2] + u.b[4]) - greatest(l.b[2], u.b[2]))) AS shared FROM l JOIN u ON l.k = u.k GROUP BY l.k),
+    v AS (SELECT b.k, p_type, CASE WHEN b.k % 10 = 0 THEN 'hand' WHEN w = 9 THEN 'missing' WHEN h > 8 THEN 'tall' ELSE 'room' END AS status,
+          CASE WHEN b.k % 10 > 0 AND w <> 9 THEN round(shared / ((w + 4) * (h + 4) - 18 + (w + 2) * (h + 2) - h - shared), 9) END AS iou FROM b JOIN j USING (k))"""
+
+
+def _compared(spark, d):
+    drawn, traced = _shapes(spark, d)
+    kinds = _rects(spark, d).select("k", "w", "h", F.when(F.col("h") > 8, "tall").otherwise("room").alias("kind"))
+    traced = traced.join(kinds.where("w <> 9"), "k").select("k", "rings", "kind")
+    return overlay.compared(drawn.withColumn("exempt", F.col("k") % 10 == 0), traced, 16.0, "k")
+
+
+@query(f"WITH {_COMPARED} SELECT k, status, iou FROM v")
+def compared_shapes(spark, d):
+    """Each drawn shape's overlap with the traced one of its id, and what became of the others."""
+    return _compared(spark, d).select("k", "status", F.round("iou", 9).alias("iou"))
+
+
+@query(f"WITH {_COMPARED} SELECT p_type, count(*) AS n, count(iou) AS traced, count_if(status = 'missing')::BIGINT AS missing, count_if(status = 'hand')::BIGINT AS hand FROM v GROUP BY p_type")
+def trace_statuses(spark, d):
+    return overlay.status_counts(_compared(spark, d).join(_rects(spark, d).select("k", "p_type"), "k"), "p_type")
+
+
+# Nine points along each side of a box, off it by a slant of its own and by steps; the last side of each seventh box has three.
+_TRACED_POINTS = f"""{_RECTS}, g AS (SELECT k, x, y, w, h, s, j, (j + 1) / 10.0::DOUBLE AS t, (k * 3 + j * j + s) % 5 * 0.03 + (k + s) % 4 * 0.02 * j - 0.07 AS o FROM b, range(4) a(s), range(9) c(j) WHERE NOT (k % 7 = 0 AND s = 3 AND j > 2)),
+    p AS (SELECT k, s * 9 + j AS i, CASE s WHEN 0 THEN x + w * t WHEN 1 THEN x + w + o WHEN 2 THEN x + w - w * t ELSE x + o END AS px, CASE s WHEN 0 THEN y + o WHEN 1 THEN y + h * t WHEN 2 THEN y + h + o ELSE y + h - h * t END AS py FROM g),
+    e AS (SELECT k, s, x + CASE WHEN s IN (1, 2) THEN w ELSE 0 END AS ax, y + CASE WHEN s IN (2, 3) THEN h ELSE 0 END AS ay, CASE s WHEN 0 THEN w WHEN 2 THEN -w ELSE 0 END AS dx, CASE s WHEN 1 THEN h WHEN 3 THEN -h ELSE 0 END AS dy FROM b, range(4) a(s)),
+    f AS (SELECT p.k, p.i, p.px, p.py, e.s, e.ax, e.ay, dx, dy, least(greatest(((px - ax) * dx + (py - ay) * dy) / (dx * dx + dy * dy), 0.0), 1.0) AS t FROM p JOIN e USING (k)),
+    n AS (SELECT k, i, any_value(px) AS px, any_value(py) AS py, arg_min(s, ((px - ax - t * dx) ** 2 + (py - ay - t * dy) ** 2, s)) AS s FROM f GROUP BY k, i),
+    l AS (SELECT k, s, avg(px) AS x, avg(py) AS y, atan2(2 * covar_pop(px, py), var_pop(px) - var_pop(py)) / 2 AS a FROM n GROUP BY k, s HAVING count(*) >= 6)"""
+
+
+@query(
+    f"""WITH {_TRACED_POINTS}, c AS (SELECT e.k, e.s, e.ax, e.ay, m.x AS x1, m.y AS y1, m.a AS a1, l.x AS x2, l.y AS y2, l.a AS a2, abs(sin(l.a - m.a)) >= sin(radians(20)) AS meet,
+          ((l.x - m.x) * sin(l.a) - (l.y - m.y) * cos(l.a)) / nullif(sin(l.a - m.a), 0) AS u, coalesce(l.x, m.x) AS x3, coalesce(l.y, m.y) AS y3, coalesce(l.a, m.a) AS a3
+        FROM e LEFT JOIN l ON l.k = e.k AND l.s = e.s LEFT JOIN l m ON m.k = e.k AND m.s = (e.s + 3) % 4)
+        SELECT k, s AS corner, round(CASE WHEN meet THEN x1 + u * cos(a1) WHEN a3 IS NULL THEN ax ELSE x3 + ((ax - x3) * cos(a3) + (ay - y3) * sin(a3)) * cos(a3) END, 5) + 0.0 AS x,
+               round(CASE WHEN meet THEN y1 + u * sin(a1) WHEN a3 IS NULL THEN ay ELSE y3 + ((ax - x3) * cos(a3) + (ay - y3) * sin(a3)) * sin(a3) END, 5) + 0.0 AS y FROM c"""
+)
+def straightened_boxes(spark, d):
+    """Boxes set by points that were traced along their sides."""
+    x, y, w, h, j = (F.col(c) for c in "xywhj")
+    t, s = (j + 1) / 10, F.col("s")
+    off = (F.col("k") * 3 + j * j + s) % 5 * 0.03 + (F.col("k") + s) % 4 * 0.02 * j - 0.07
+    boxes = _rects(spark, d)
+    rows = boxes.select("k", "x", "y", "w", "h", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("s")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(8)))).where(~((F.col("k") % 7 == 0) & (s == 3) & (j > 2)))
+    places = F.when(s == 0, G.point(x + w * t, y + off)).when(s == 1, G.point(x + w + off, y + h * t)).when(s == 2, G.point(x + w - w * t, y + h + off)).otherwise(G.point(x + off, y + h - h * t))
+    points = rows.select("k", places.alias("p")).select("k", "p.x", "p.y")
+    found = sides.straightened(points, boxes.select("k", _rect(x, y, w, h).alias("poly")), "k")
+    return found.select("k", F.posexplode("poly").alias("corner", "p")).select("k", F.col("corner").cast("long").alias("corner"), (F.round("p.x", 5) + 0.0).alias("x"), (F.round("p.y", 5) + 0.0).alias("y"))
