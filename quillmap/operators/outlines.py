@@ -183,3 +183,30 @@ def simplified(points: DataFrame, shape: str, off: float) -> DataFrame:
     for more in stay[1:]:
         kept = kept.unionByName(more)
     return v.join(kept.distinct(), ["s", "i"]).select(F.col("s").alias(shape), F.col("i").alias("place"), "x", "y")
+
+
+def without_facets(points: DataFrame, shape: str, flat: float = 6.0, curve: float = 12.0, least: int = 3, still: float = 0.3) -> DataFrame:
+    """``shape, place, x, y`` of the vertices of closed outlines that stay when facets of one flat wall are merged.
+
+    A vertex that turns by less than ``flat`` degrees goes, unless it is of a curve: ``least`` or more vertices in a row that
+    turn the same way, each by more than ``still`` and less than ``curve``. Turns are those of the outline as given. Outlines
+    of less than five vertices, and those of which less than three would stay, keep all. Places count from 0.
+    """
+    ring, whole = W.partitionBy("s").orderBy("i"), W.partitionBy("s").orderBy("i").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    v = _vertices(points, shape)
+    ax, ay = F.col("x") - _cyclic("x", -1, ring, whole), F.col("y") - _cyclic("y", -1, ring, whole)
+    bx, by = _cyclic("x", 1, ring, whole) - F.col("x"), _cyclic("y", 1, ring, whole) - F.col("y")
+    v = v.select("s", "i", "n", "x", "y", ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"))
+    sharp = F.degrees(F.atan2(F.col("ax") * F.col("by") - F.col("ay") * F.col("bx"), F.col("ax") * F.col("bx") + F.col("ay") * F.col("by")))
+    stands = (F.hypot("ax", "ay") < 1e-9) | (F.hypot("bx", "by") < 1e-9)
+    v = v.withColumn("turn", F.when(stands, 0.0).otherwise(sharp))
+    # 1 and -1 for gentle turns to either side; a run goes on as long as that stays the same
+    v = v.withColumn("side", F.when((F.abs("turn") > still) & (F.abs("turn") < curve), F.signum("turn")).otherwise(0.0))
+    v = v.withColumn("starts", (F.col("side") == 0) | (F.col("side") != _cyclic("side", -1, ring, whole)))
+    first = F.coalesce(F.min(F.when(F.col("starts"), F.col("i"))).over(W.partitionBy("s")), F.lit(0))
+    v = v.withColumn("r", F.pmod(F.col("i") - first, F.col("n")))
+    v = v.withColumn("run", F.max(F.when(F.col("starts") | (F.col("r") == 0), F.col("r"))).over(W.partitionBy("s").orderBy("r")))
+    bent = (F.col("side") != 0) & (F.count(F.lit(1)).over(W.partitionBy("s", "run")) >= least)
+    v = v.withColumn("stays", bent | (F.abs("turn") >= flat))
+    v = v.withColumn("few", (F.col("n") < 5) | (F.count_if("stays").over(W.partitionBy("s")) < 3))
+    return v.where("few or stays").select(F.col("s").alias(shape), F.col("i").alias("place"), "x", "y")

@@ -280,3 +280,28 @@ def straightened_boxes(spark, d):
     points = rows.select("k", places.alias("p")).select("k", "p.x", "p.y")
     found = sides.straightened(points, boxes.select("k", _rect(x, y, w, h).alias("poly")), "k")
     return found.select("k", F.posexplode("poly").alias("corner", "p")).select("k", F.col("corner").cast("long").alias("corner"), (F.round("p.x", 5) + 0.0).alias("x"), (F.round("p.y", 5) + 0.0).alias("y"))
+
+
+# Boxes whose lower side is two facets, whose left side has a small dent, and whose upper side bows out over seven vertices.
+_FACETS = """v AS (SELECT p_partkey AS k, i, CASE i WHEN 0 THEN 0 WHEN 1 THEN w / 2 WHEN 2 THEN w WHEN 10 THEN 0.02 * (k % 3) * h ELSE w / 2 + w * cos(radians(a)) / 2 END AS x,
+        CASE i WHEN 0 THEN 0 WHEN 1 THEN -0.02 * w * (k % 4) WHEN 2 THEN 0 WHEN 10 THEN h / 2 ELSE h + w * 0.05 * (k % 7) * sin(radians(a)) END AS y
+      FROM (SELECT p_partkey, p_partkey AS k, i, (4 + p_size % 11)::DOUBLE AS w, (3 + p_partkey % 13)::DOUBLE AS h, (i - 3) * 30.0::DOUBLE AS a FROM part, range(11) t(i)))"""
+
+
+@query(
+    f"""WITH {_FACETS}, e AS (SELECT a.k, a.i, a.x, a.y, a.x - p.x AS ax, a.y - p.y AS ay, n.x - a.x AS bx, n.y - a.y AS b_y FROM v a JOIN v p ON p.k = a.k AND p.i = (a.i + 10) % 11 JOIN v n ON n.k = a.k AND n.i = (a.i + 1) % 11),
+        t AS (SELECT k, i, x, y, CASE WHEN ax * ax + ay * ay < 1e-18 OR bx * bx + b_y * b_y < 1e-18 THEN 0 ELSE degrees(atan2(ax * b_y - ay * bx, ax * bx + ay * b_y)) END AS turn FROM e),
+        s AS (SELECT *, CASE WHEN abs(turn) > 0.3 AND abs(turn) < 12 THEN sign(turn) ELSE 0 END AS side FROM t),
+        c AS (SELECT m.k, m.i, m.x, m.y, m.turn, m.side <> 0 AND (f.side = m.side AND g.side = m.side OR g.side = m.side AND n.side = m.side OR n.side = m.side AND o.side = m.side) AS bent
+              FROM s m JOIN s f ON f.k = m.k AND f.i = (m.i + 9) % 11 JOIN s g ON g.k = m.k AND g.i = (m.i + 10) % 11 JOIN s n ON n.k = m.k AND n.i = (m.i + 1) % 11 JOIN s o ON o.k = m.k AND o.i = (m.i + 2) % 11)
+        SELECT k AS p_partkey, i::BIGINT AS place, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y FROM c WHERE bent OR abs(turn) >= 6"""
+)
+def merged_facets(spark, d):
+    """Outlines of parts without the corners between facets of one wall; curves keep theirs."""
+    k, i, w, h = (F.col(c) for c in ("p_partkey", "place", "w", "h"))
+    part = table(spark, d, "part").select(k, (4 + F.col("p_size") % 11).cast("double").alias("w"), (3 + k % 13).cast("double").alias("h"), F.explode(F.sequence(F.lit(0), F.lit(10))).alias("place"))
+    a = F.radians((i - 3) * 30.0)
+    x = F.when(i == 0, 0.0).when(i == 1, w / 2).when(i == 2, w).when(i == 10, 0.02 * (k % 3) * h).otherwise(w / 2 + w * F.cos(a) / 2)
+    y = F.when(i == 0, 0.0).when(i == 1, -0.02 * w * (k % 4)).when(i == 2, 0.0).when(i == 10, h / 2).otherwise(h + w * 0.05 * (k % 7) * F.sin(a))
+    found = outlines.without_facets(part.select(k, i, x.alias("x"), y.alias("y")), "p_partkey")
+    return found.select("p_partkey", F.col("place").cast("long").alias("place"), (F.round("x", 6) + 0.0).alias("x"), (F.round("y", 6) + 0.0).alias("y"))

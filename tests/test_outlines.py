@@ -105,3 +105,32 @@ def test_simplified_equals_recursion(spark):
     for s, p in shapes.items():
         assert [r.place for r in got[s]] == sorted(set(split(p, 0, len(p) - 1, 2.0))), s
     assert outlines.simplified(frame(spark, {}), "shape", 1.0).collect() == []
+
+
+def test_without_facets(spark):
+    rng = random.Random(12)
+    shapes = {"square": [(0, 0), (4, 0), (4, 4), (0, 4)], "round": [(math.cos(k / 20 * math.pi), math.sin(k / 20 * math.pi)) for k in range(40)], "line": [(k, 0) for k in range(7)]}
+    shapes |= {"dot": [(1, 1)] * 6, "facet": [(0, 0), (5, 0.1), (10, 0), (10, 9), (0, 9)]}
+    for name in "abcdefgh":
+        way, pts = 0.0, [(0.0, 0.0)]
+        for _ in range(rng.randint(5, 24)):
+            way += math.radians(rng.choice([0, 0.2, 3, 3, 4, 8, 8, 11, 13, -3, -8, 40, 90]))
+            step = rng.uniform(1, 3)
+            pts.append((pts[-1][0] + step * math.cos(way), pts[-1][1] + step * math.sin(way)))
+        shapes[name] = pts
+
+    def direct(pts):
+        n = len(pts)
+        turns = []
+        for i, (x, y) in enumerate(pts):
+            (px, py), (qx, qy) = pts[i - 1], pts[(i + 1) % n]
+            a, b = (x - px, y - py), (qx - x, qy - y)
+            turns.append(0.0 if math.hypot(*a) < 1e-9 or math.hypot(*b) < 1e-9 else math.degrees(math.atan2(a[0] * b[1] - a[1] * b[0], a[0] * b[0] + a[1] * b[1])))
+        side = [math.copysign(1, t) if 0.3 < abs(t) < 12 else 0 for t in turns]
+        bent = [any(all(side[(i - k + m) % n] == side[i] != 0 for m in range(3)) for k in range(3)) for i in range(n)]
+        stay = [i for i in range(n) if bent[i] or abs(turns[i]) >= 6]
+        return stay if n >= 5 and len(stay) >= 3 else list(range(n))
+
+    got = {s: [r.place for r in rows] for s, rows in found(outlines.without_facets(frame(spark, shapes | {None: [(1, 1)] * 5, "gap": [(None, 1)]}), "shape")).items()}
+    assert got == {s: direct(pts) for s, pts in shapes.items()} and got["facet"] == [0, 2, 3, 4]
+    assert outlines.without_facets(frame(spark, shapes).limit(0), "shape").count() == 0
