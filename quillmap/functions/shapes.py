@@ -239,7 +239,9 @@ def hull(points: Column) -> Column:
             def choose(best: Column, p: Column) -> Column:
                 ux, uy, vx, vy = best.x - at.x, best.y - at.y, p.x - at.x, p.y - at.y
                 side = ux * vy - uy * vx
-                slack = 1e-12 * (F.abs(ux * vy) + F.abs(uy * vx))
+                # coordinates far from the origin are rounded more coarsely than the distances between them
+                last = 2e-15 * F.greatest(F.abs(at.x), F.abs(at.y))
+                slack = 1e-12 * (F.abs(ux * vy) + F.abs(uy * vx)) + last * (F.abs(ux) + F.abs(uy) + F.abs(vx) + F.abs(vy))
                 farther = (F.abs(side) <= slack) & (vx * vx + vy * vy > ux * ux + uy * uy)
                 return F.when((side < -slack) | farther, p).otherwise(best)
 

@@ -248,3 +248,15 @@ def test_rasterised_is_the_cells_whose_middles_are_inside(spark):
     want = items.where("id < 90").crossJoin(places).where(G.contains(F.col("poly"), (F.col("x") + 0.5) * 0.5, (F.col("y") + 0.5) * 0.5)).select("id", "x", "y")
     got = sorted(map(tuple, grid.rasterised(items, 0.5).collect()))
     assert got == sorted(map(tuple, want.collect())) and got
+
+
+@pytest.mark.parametrize("far", [16390.0, 1.8e6])
+def test_hull_far_from_the_origin(spark, far):
+    corners = [(340 + r * math.cos(2 * math.pi * i / 7), far + r * math.sin(2 * math.pi * i / 7)) for r in (2, 5) for i in range(7)]
+    rows = []
+    for poly in (corners[:7], corners[7:]):
+        on = [((2 * a + c) / 3, (2 * b + d) / 3) for (a, b), (c, d) in zip(poly, poly[1:] + poly[:1])]
+        rows.append((on + poly[::-1] + poly, sorted(poly)))
+    df = spark.createDataFrame([(pts, want) for pts, want in rows], "v array<struct<x: double, y: double>>, want array<struct<x: double, y: double>>")
+    for r in df.select("want", shapes.hull(F.col("v")).alias("h")).collect():
+        assert sorted((p.x, p.y) for p in r.h) == [(p.x, p.y) for p in r.want]
