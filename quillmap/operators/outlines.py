@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillmap.plans.storage import keep
+from quillmap.plans.storage import apart, keep
 
 
 def _vertices(points: DataFrame, shape: str) -> DataFrame:
@@ -160,7 +160,7 @@ def simplified(points: DataFrame, shape: str, off: float) -> DataFrame:
     A stretch is split at its vertex farthest from the chord (the first of equals) as long as that is farther than ``off``. The
     number of rounds is the depth of splits.
     """
-    v = keep(_vertices(points, shape), "line-vertices")
+    v = apart(keep(_vertices(points, shape), "line-vertices"))
     ends = v.where("i = 0 or i = n - 1").select("s", "i")
     stay = [ends]
     rest = v.where("i < n - 1 or n = 1").select("s", "i", "x", "y", F.lit(0).alias("lo"), (F.col("n") - 1).cast("int").alias("hi"))
@@ -172,7 +172,7 @@ def simplified(points: DataFrame, shape: str, off: float) -> DataFrame:
         length = F.hypot(dx, dy)
         far = F.when(length > 0, F.abs(dx * (F.col("y") - F.col("acy")) - dy * (F.col("x") - F.col("acx"))) / length).otherwise(F.hypot(F.col("x") - F.col("acx"), F.col("y") - F.col("acy")))
         worst = rows.select("s", "lo", "hi", "i", far.alias("far")).groupBy("s", "lo", "hi").agg(F.max(F.struct("far", (-F.col("i")).alias("i"))).alias("w"))
-        split = keep(worst.where(F.col("w.far") > off).select("s", "lo", "hi", (-F.col("w.i")).cast("int").alias("at")), "splits")
+        split = apart(keep(worst.where(F.col("w.far") > off).select("s", "lo", "hi", (-F.col("w.i")).cast("int").alias("at")), "splits"))
         if split.limit(1).count() == 0:
             break
         stay.append(split.select("s", F.col("at").alias("i")))

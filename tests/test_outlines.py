@@ -134,3 +134,11 @@ def test_without_facets(spark):
     got = {s: [r.place for r in rows] for s, rows in found(outlines.without_facets(frame(spark, shapes | {None: [(1, 1)] * 5, "gap": [(None, 1)]}), "shape")).items()}
     assert got == {s: direct(pts) for s, pts in shapes.items()} and got["facet"] == [0, 2, 3, 4]
     assert outlines.without_facets(frame(spark, shapes).limit(0), "shape").count() == 0
+
+
+def test_many_vertices_are_not_broadcast(spark):
+    """Their file is of few bytes, of which a broadcast makes many."""
+    points = spark.range(60_000).select(F.floor(F.col("id") / 6).alias("shape"), (F.col("id") % 6).alias("place"), (F.col("id") % 6).alias("x"), (F.col("id") % 2 * 5).alias("y"))
+    kept = outlines.simplified(points, "shape", 1.0)
+    assert "BroadcastHashJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert kept.count() == 60_000
