@@ -34,7 +34,9 @@ def side_lines(points: DataFrame, outlines: DataFrame, key: str, poly: str = "po
     ``least`` points, or with all points in one place, have no row. Rows with a null and points without an outline count for nothing.
     """
     rows = points.select(F.col(key).alias("__key"), F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py")).where("__key is not null and px is not null and py is not null")
-    rows = rows.join(outlines.select(F.col(key).alias("__own"), F.col(poly).alias("__poly")).where(F.size("__poly") > 0), F.col("__key") == F.col("__own"))
+    # Outlines may be made from a file of few bytes, by which Spark would broadcast millions of them.
+    shapes = outlines.select(F.col(key).alias("__own"), F.col(poly).alias("__poly")).where(F.size("__poly") > 0).hint("merge")
+    rows = rows.join(shapes, F.col("__key") == F.col("__own"))
     near = rows.select("__key", "px", "py", _nearest_side(F.col("__poly"), F.col("px"), F.col("py")).alias("s"))
     dx, dy = F.col("px") - F.col("s.ox"), F.col("py") - F.col("s.oy")  # from the side's start, so that sums of squares stay exact
     sums = near.groupBy("__key", F.col("s.side").alias("side"), F.col("s.ox").alias("ox"), F.col("s.oy").alias("oy")).agg(
@@ -69,7 +71,7 @@ def straightened(points: DataFrame, outlines: DataFrame, key: str, poly: str = "
     lines = side_lines(points, outlines.select(key, poly), key, poly, least)
     # One line for each side of an outline, so a list is no longer than its outline.
     own = lines.groupBy(F.col(key).alias("__key")).agg(F.map_from_entries(F.collect_list(F.struct("side", F.struct("x", "y", "angle")))).alias("__lines"))
-    rows = outlines.join(own, F.col(key) == F.col("__key"), "left")
+    rows = outlines.join(own.hint("merge"), F.col(key) == F.col("__key"), "left")
     p, n = F.col(poly), F.size(poly)
 
     def moved(q: Column, i: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillmap.functions import geometry as G
 from quillmap.operators import fields, matching, outlines, overlay, planar, relate, sides, spatial, voronoi
+from quillmap.plans.storage import dealt
 from quillmap.queries import query
 from quillmap.shape_queries import _RECTS, _rect, _rects
 from quillmap.sources.tables import table
@@ -275,7 +276,7 @@ def straightened_boxes(spark, d):
     t, s = (j + 1) / 10, F.col("s")
     off = (F.col("k") * 3 + j * j + s) % 5 * 0.03 + (F.col("k") + s) % 4 * 0.02 * j - 0.07
     boxes = _rects(spark, d)
-    rows = boxes.select("k", "x", "y", "w", "h", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("s")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(8)))).where(~((F.col("k") % 7 == 0) & (s == 3) & (j > 2)))
+    rows = dealt(boxes, "k").select("k", "x", "y", "w", "h", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("s")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(8)))).where(~((F.col("k") % 7 == 0) & (s == 3) & (j > 2)))
     places = F.when(s == 0, G.point(x + w * t, y + off)).when(s == 1, G.point(x + w + off, y + h * t)).when(s == 2, G.point(x + w - w * t, y + h + off)).otherwise(G.point(x + off, y + h - h * t))
     points = rows.select("k", places.alias("p")).select("k", "p.x", "p.y")
     found = sides.straightened(points, boxes.select("k", _rect(x, y, w, h).alias("poly")), "k")

@@ -90,3 +90,13 @@ def test_compared(spark):
     assert overlay.compared(drawn.limit(0), traced, 3.0).count() == 0
     assert {r.status for r in overlay.compared(drawn, traced.limit(0), 3.0).collect()} == {"hand", "missing"}
     assert found.where(F.col("iou") > 1).count() == 0
+
+
+def test_outlines_are_not_broadcast_by_the_size_of_their_file(spark, tmp_path):
+    spark.range(20_000).write.parquet(str(tmp_path / "keys"))
+    keys = spark.read.parquet(str(tmp_path / "keys"))
+    corner = [F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"), F.lit(None).cast("double").alias("bulge")) for x, y in ((0, 0), (9, 0), (9, 9), (0, 9))]
+    points = keys.select("id", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("j")).select("id", F.col("j").cast("double").alias("x"), F.lit(0.5).alias("y"))
+    found = sides.straightened(points, keys.select("id", F.array(*corner).alias("poly")), "id", least=2)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 20_000
