@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillmap.plans.storage import keep
+from quillmap.plans.storage import apart, keep
 
 
 def _ends(edges: DataFrame) -> DataFrame:
@@ -25,10 +25,12 @@ def _settled(edges: DataFrame) -> DataFrame:
     """``u, root, label, high`` of every basin without a label: where its lowest way out, and those of the basins beyond, lead to."""
     least = _ends(edges).groupBy("u").agg(F.min(F.struct("way", "v", "label")).alias("m"))
     picks = keep(least.select("u", F.col("m.v").alias("v"), F.col("m.label").alias("label"), F.col("m.way.high").alias("high")), "picks")
+    picks = apart(picks)
     other = picks.select(F.col("u").alias("ou"), F.col("v").alias("ov"))
     # Two basins that pick each other do so over one edge; the lesser is the root of what gathers there.
     is_root = F.coalesce((F.col("ov") == F.col("u")) & (F.col("u") < F.col("v")), F.lit(False))
     state = keep(picks.join(other, F.col("v") == F.col("ou"), "left").select("u", F.when(is_root, F.col("u")).otherwise(F.col("v")).alias("root"), "label", "high"), "roots")
+    state = apart(state)
     while True:
         step = state.select(F.col("u").alias("su"), F.col("root").alias("sroot"), F.col("label").alias("slabel"))
         found = state.withColumn("moved", F.lit(False))
@@ -36,7 +38,7 @@ def _settled(edges: DataFrame) -> DataFrame:
             moved = F.col("moved") | F.coalesce(F.col("sroot") != F.col("root"), F.lit(False))
             joined = found.join(step, F.col("root") == F.col("su"), "left")
             found = joined.select("u", F.coalesce("sroot", "root").alias("root"), F.coalesce("slabel", "label").alias("label"), "high", moved.alias("moved"))
-        found = keep(found, "roots")
+        found = apart(keep(found, "roots"))
         state = found.drop("moved")
         if found.where("moved").limit(1).count() == 0:
             return state
@@ -53,7 +55,7 @@ def basins(cells: DataFrame, seeds: DataFrame, group: str, height: str = "height
     valid = "c.g is not null and c.x is not null and c.y is not null and v is not null"
     ground = cells.select(place.alias("c"), F.col(height).alias("v")).where(valid).groupBy("c").agg(F.min("v").alias("h"))
     marks = seeds.select(place.alias("c"), F.col(label).alias("v")).where(valid).groupBy("c").agg(F.min("v").alias("l"))
-    ground = keep(ground.join(marks, "c", "left"), "ground")
+    ground = apart(keep(ground.join(marks, "c", "left"), "ground"))
     steps = F.array(*[F.struct(F.col("c.g").alias("g"), (F.col("c.x") + dx).alias("x"), (F.col("c.y") + dy).alias("y")) for dx, dy in ((1, 0), (0, 1))])
     near = ground.select(F.col("c").alias("a"), F.col("h").alias("a_h"), F.col("l").alias("a_label"), F.explode(steps).alias("c"))
     pairs = near.join(ground, "c").select("a", F.col("c").alias("b"), "a_label", F.col("l").alias("b_label"), F.greatest("a_h", "h").alias("high"), F.least("a_h", "h").alias("low"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmap.plans.storage import keep
+from quillmap.plans.storage import apart, keep
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -18,11 +18,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
     both = keep(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
     labels = keep(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    labels = apart(labels)
     while True:
         told = both.join(labels, both.u == labels.node).groupBy("v").agg(F.min("label").alias("heard"))
         heard = labels.join(told, labels.node == told.v, "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("heard", "label")).alias("near"))
         target = labels.select(F.col("node").alias("t"), F.col("label").alias("jump"))
         after = keep(heard.join(target, heard.near == target.t, "left").select("node", "was", F.least("near", F.coalesce("jump", "near")).alias("label")), "labels")
-        labels = after.select("node", "label")
+        labels = apart(after.select("node", "label"))
         if after.where("was <> label").limit(1).count() == 0:
             return labels

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmap.plans.storage import keep
+from quillmap.plans.storage import apart, keep
 
 
 def cycles(links: DataFrame, node: str = "node", after: str = "after") -> DataFrame:
@@ -16,13 +16,13 @@ def cycles(links: DataFrame, node: str = "node", after: str = "after") -> DataFr
     each a written table; no cycle is gathered in one task. An empty table gives an empty result.
     """
     state = keep(links.select(F.col(node).alias("node"), F.col(after).alias("to"), F.col(node).alias("ring"), F.lit(0).cast("long").alias("off")), "cycles")
-    step = 1
+    state, step = apart(state), 1
     while True:
         far = state.select(F.col("node").alias("__node"), F.col("to").alias("__to"), F.col("ring").alias("__ring"), F.col("off").alias("__off"))
         nearer = F.col("__ring") < F.col("ring")  # of equal ones, the nearer place counts
         joined = state.join(far, F.col("to") == F.col("__node"))
         joined = joined.select("node", F.col("__to").alias("to"), F.when(nearer, F.col("__ring")).otherwise(F.col("ring")).alias("ring"), F.when(nearer, F.col("__off") + step).otherwise(F.col("off")).alias("off"), nearer.alias("moved"))
-        found = keep(joined, "cycles")
+        found = apart(keep(joined, "cycles"))
         state, step = found.drop("moved"), 2 * step
         # Stretches that end where the next begins agree on their least node only if that is the least of the whole cycle.
         if found.where("moved").limit(1).count() == 0:

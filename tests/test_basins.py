@@ -2,7 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from quillmap.operators import basins, grid
+from quillmap.plans import storage
 
 CELLS = "floor string, x long, y long, height double, u string, v string, way string"
 SEEDS = "floor string, x long, y long, label long, u string"
@@ -80,3 +83,17 @@ def test_dealt_regions(spark):
     owner += [("a", x, 4, x) for x in range(10)] + [("a", x, 6, None) for x in range(4)]
     got = basins.dealt_regions(found, spark.createDataFrame(owner, "floor string, x long, y long, label long"), "floor")
     assert {(r.region_y, r.label, r.cells, r.whole) for r in got.collect()} == {(0, 1, 10, True), (2, 1, 5, False), (2, 2, 4, False), *((4, k, 1, False) for k in range(10))}
+
+
+def test_many_cells_are_not_broadcast(spark):
+    """The files of numbers that rise take few bytes, of which a broadcast makes many."""
+    cells = spark.range(60_000).select(F.lit(1).alias("g"), (F.col("id") % 300 * 2).alias("x"), (F.floor(F.col("id") / 300) * 2).alias("y"))
+    found = grid.regions(cells, "g")
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.where("x = region_x and y = region_y").count() == 60_000
+
+
+def test_kept_tables_of_many_rows_stay_apart(spark):
+    many, few = (storage.keep(spark.range(n), "t") for n in (60_000, 10))
+    plans = [a.join(storage.apart(b), "id")._jdf.queryExecution().executedPlan().toString() for a, b in ((spark.range(10**7), many), (many, few))]
+    assert "BroadcastHashJoin" not in plans[0] and "BroadcastHashJoin" in plans[1]
