@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillmap.functions import geometry as G
 from quillmap.plans.components import components
-from quillmap.plans.storage import keep
+from quillmap.plans.storage import apart, keep
 
 
 def numbered(df: DataFrame, group: str, *order: str, name: str = "n") -> DataFrame:
@@ -33,7 +33,7 @@ def regions(cells: DataFrame, group: str, x: str = "x", y: str = "y", corners: b
     connected components. Repeated cells count once; cells with a null are left out.
     """
     cell = F.struct(F.col(group).alias("g"), F.col(x).cast("long").alias("x"), F.col(y).cast("long").alias("y"))
-    own = keep(cells.select(cell.alias("c")).where("c.g is not null and c.x is not null and c.y is not null").distinct(), "cells")
+    own = apart(keep(cells.select(cell.alias("c")).where("c.g is not null and c.x is not null and c.y is not null").distinct(), "cells"))
     steps = [(1, 0), (0, 1)] + ([(1, 1), (1, -1)] if corners else [])
 
     def moved(dx: int, dy: int) -> Column:
