@@ -28,6 +28,14 @@ def cells_of_box(box: Column, size: float) -> Column:
     return F.flatten(F.transform(xs, lambda i: F.transform(ys, lambda j: F.struct(i.alias("i"), j.alias("j")))))
 
 
+def fine(rows: DataFrame, area: float, size: float) -> float:
+    """``size`` halved until ``area`` has as many cells of it as ``rows`` has rows (a kept table, counted), so that a cell holds a few."""
+    n = rows.count()
+    while size * size * n > 2 * area > 0:
+        size /= 2
+    return size
+
+
 def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float, point_id: str, polygon_id: str, order: str) -> DataFrame:
     """``points`` (``x, y``) with the first polygon, by ``order``, that holds each; null where none does.
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmap.functions import geometry as G
-from quillmap.plans.storage import keep
+from quillmap.operators.spatial import fine
+from quillmap.plans.storage import apart, keep
 
 
 def _nearer(poly: Column, x: Column, y: Column, other: Column) -> Column:
@@ -31,16 +32,18 @@ def _nearer(poly: Column, x: Column, y: Column, other: Column) -> Column:
 def voronoi(points: DataFrame, point_id: str, box: tuple[float, float, float, float], size: float) -> DataFrame:
     """``id, x, y, poly``: the part of ``box`` (x0, y0, x1, y1) that is nearer to each point (``x, y``) than to any other.
 
-    Points lie in grid cells of ``size``. A round cuts a point's polygon by the points of the grid cells up to r cells away;
+    Points lie in grid cells of ``size`` at most, halved until there are as many grid cells as points. A round cuts a point's polygon by the points of the grid cells up to r cells away;
     points beyond those are more than r sizes away, so a polygon whose corners all lie within half of that is final. r doubles
-    for the others, and a written table goes from round to round. ``size`` should leave a few points in a grid cell.
+    for the others, and a written table goes from round to round.
 
     Points with a null, and those outside the box, have no polygon; of points in one place the least id has it.
     """
     x0, y0, x1, y1 = box
     known = points.select(F.col(point_id).alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where(f"id is not null and x between {x0} and {x1} and y between {y0} and {y1}")
     known = known.groupBy("x", "y").agg(F.min("id").alias("id"))
-    known = keep(known.select("id", "x", "y", F.floor((F.col("x") - x0) / size).alias("i"), F.floor((F.col("y") - y0) / size).alias("j")), "seeds")
+    known = keep(known, "seeds")
+    size = fine(known, (x1 - x0) * (y1 - y0), size)
+    known = apart(known).select("id", "x", "y", F.floor((F.col("x") - x0) / size).alias("i"), F.floor((F.col("y") - y0) / size).alias("j"))
     whole = F.array(*[G.point(F.lit(float(a)), F.lit(float(b))) for a, b in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))])
     rest, done, r, seen = known.withColumn("poly", whole), [], 1, -1
     widest = max(x1 - x0, y1 - y0) / size + 1

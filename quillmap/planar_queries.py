@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillmap.functions import geometry as G
 from quillmap.operators import fields, matching, outlines, overlay, planar, relate, sides, spatial, voronoi
-from quillmap.plans.storage import dealt
+from quillmap.plans.storage import dealt, keep
 from quillmap.queries import query
 from quillmap.shape_queries import _RECTS, _rect, _rects
 from quillmap.sources.tables import table
@@ -188,8 +188,8 @@ def voronoi_cells(spark, d):
     k, c = F.col("s_suppkey"), F.col("c_custkey")
     seeds = table(spark, d, "supplier").select(k, (k * 37.137 % 101).alias("x"), (k * 53.71 % 67).alias("y"))
     places = table(spark, d, "customer").select(c, (c * 13.713 % 101).alias("x"), (c * 7.919 % 67).alias("y"))
-    cells = voronoi.voronoi(seeds, "s_suppkey", (0.0, 0.0, 101.0, 67.0), 8.0).select("s_suppkey", "poly")
-    return spatial.points_in_polygons(places, cells, 8.0, "c_custkey", "s_suppkey", "s_suppkey").select("c_custkey", "s_suppkey")
+    cells = keep(voronoi.voronoi(seeds, "s_suppkey", (0.0, 0.0, 101.0, 67.0), 8.0).select("s_suppkey", "poly"), "cells")
+    return spatial.points_in_polygons(places, cells, spatial.fine(cells, 101.0 * 67.0, 8.0), "c_custkey", "s_suppkey", "s_suppkey").select("c_custkey", "s_suppkey")
 
 
 _TURN = "4 * atan(0.5)"  # of an arc with a bulge of a half; it is drawn by eight chords
