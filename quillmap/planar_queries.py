@@ -186,8 +186,8 @@ def resolved_overlaps(spark, d):
 def voronoi_cells(spark, d):
     """The supplier in whose cell each customer lies."""
     k, c = F.col("s_suppkey"), F.col("c_custkey")
-    seeds = table(spark, d, "supplier").select(k, (k * 37.137 % 101).alias("x"), (k * 53.71 % 67).alias("y"))
-    places = table(spark, d, "customer").select(c, (c * 13.713 % 101).alias("x"), (c * 7.919 % 67).alias("y"))
+    seeds = table(spark, d, "supplier").select(k, (k * 37137 % 101000 / 1000).alias("x"), (k * 5371 % 6700 / 100).alias("y"))
+    places = table(spark, d, "customer").select(c, (c * 13713 % 101000 / 1000).alias("x"), (c * 7919 % 67000 / 1000).alias("y"))
     cells = keep(voronoi.voronoi(seeds, "s_suppkey", (0.0, 0.0, 101.0, 67.0), 8.0).select("s_suppkey", "poly"), "cells")
     return spatial.points_in_polygons(places, cells, spatial.fine(cells, 101.0 * 67.0, 8.0), "c_custkey", "s_suppkey", "s_suppkey").select("c_custkey", "s_suppkey")
 
@@ -226,8 +226,8 @@ def sheet_shadings(spark, d):
 def mentioned_doors(spark, d):
     """The nearest door of each mention, if one is near."""
     c, s = F.col("c_custkey"), F.col("s_suppkey")
-    mentions = table(spark, d, "customer").select(c, (c * 13.713 % 101).alias("x"), (c * 7.919 % 67).alias("y"))
-    doors = table(spark, d, "supplier").select(s, (s * 37.137 % 101).alias("x"), (s * 53.71 % 67).alias("y"))
+    mentions = table(spark, d, "customer").select(c, (c * 13713 % 101000 / 1000).alias("x"), (c * 7919 % 67000 / 1000).alias("y"))
+    doors = table(spark, d, "supplier").select(s, (s * 37137 % 101000 / 1000).alias("x"), (s * 5371 % 6700 / 100).alias("y"))
     return matching.nearest_within(mentions, doors, 3.5, "c_custkey", "s_suppkey").select("c_custkey", "s_suppkey", F.round("distance", 6).alias("distance"))
 
 

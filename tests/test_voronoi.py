@@ -1,11 +1,14 @@
 """Voronoi cells tile their box, and each point of a cell has its seed nearest."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillmap.functions import geometry as G
+from quillmap.operators.matching import nearest_within
+from quillmap.operators.spatial import fine
 from quillmap.operators.voronoi import voronoi
 
 KIND = "k long, x double, y double, id string, poly string, i int"
@@ -32,3 +35,23 @@ def test_cells_tile_the_box(spark, n, size):
 
 def test_no_points(spark):
     assert voronoi(frame(spark, []), "k", BOX, 5.0).collect() == []
+
+
+def test_grids_grow_with_the_points(spark):
+    """So that a cell holds a few points, however many the table has."""
+    for n in (100, 10_000):
+        assert n * fine(spark.range(n), 600.0, 8.0) ** 2 <= 2 * 600 < 4 * n * fine(spark.range(n), 600.0, 8.0) ** 2
+    assert fine(spark.range(3), 600.0, 8.0) == 8.0 and fine(spark.range(9), 0.0, 8.0) == 8.0
+
+
+def test_nearest_within_looks_into_farther_rings(spark):
+    rng = random.Random(8)
+    others = [(k, rng.randrange(60) / 2, rng.randrange(8) / 2) for k in range(700)] + [(900, None, 1.0), (901, 29.0, 40.0)]
+    points = [(k, rng.uniform(-9, 39), rng.choice([rng.uniform(0, 4), rng.uniform(-9, 50)])) for k in range(150)] + [(200, None, 2.0)]
+    got = nearest_within(spark.createDataFrame(points, "p long, x double, y double"), spark.createDataFrame(others, "o long, x double, y double"), 7.0, "p", "o").collect()
+    assert len(got) == len(points)
+    for r in got:
+        near = [] if r.x is None else sorted((math.hypot(r.x - x, r.y - y), k) for k, x, y in others if x is not None and math.hypot(r.x - x, r.y - y) < 7)
+        assert (r.o, r.distance) == ((near[0][1], pytest.approx(near[0][0])) if near else (None, None))
+    none = nearest_within(spark.createDataFrame(points, "p long, x double, y double"), spark.createDataFrame([], "o long, x double, y double"), 7.0, "p", "o").collect()
+    assert len(none) == len(points) and all(r.o is None for r in none)
