@@ -44,7 +44,8 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float, poin
     cut = polygons.select(polygon_id, order, "poly", F.explode(cells_of_box(G.bbox(F.col("poly")), size)).alias("c"))
     cut = cut.select(polygon_id, F.col(order).alias("__order"), "poly", F.col("c.i").alias("__i"), F.col("c.j").alias("__j"))
     near = points.withColumn("__i", _cell(F.col("x"), size)).withColumn("__j", _cell(F.col("y"), size))
-    hits = near.join(cut, ["__i", "__j"]).where(G.contains(F.col("poly"), F.col("x"), F.col("y")))
+    # Not broadcast, whatever the bytes of the file: points in one file would all be sorted by id in one task.
+    hits = near.join(cut.hint("merge"), ["__i", "__j"]).where(G.contains(F.col("poly"), F.col("x"), F.col("y")))
     best = hits.groupBy(point_id).agg(F.min_by(polygon_id, F.struct("__order", polygon_id)).alias(polygon_id))
     return points.join(best, point_id, "left")
 
