@@ -12,7 +12,7 @@ from quillmap.functions import geometry as G
 from quillmap.functions import marks, naming, shapes
 from quillmap.functions import text as X
 from quillmap.operators import matching
-from quillmap.plans.storage import new_path
+from quillmap.plans.storage import dealt, new_path
 from quillmap.queries import query
 from quillmap.shape_queries import _RECTS, _rect, _rects
 from quillmap.sources import records
@@ -148,7 +148,7 @@ def hook_labels(spark, d):
     x, y = F.col("x"), F.col("y")
     hook = F.array(*[G.point(x + px, y + py) for px, py in ((F.lit(0), F.lit(0)), (F.lit(24), F.lit(0)), (F.lit(24), F.lit(24)), (24 - a, F.lit(24)), (24 - a, a), (F.lit(0), a))])
     # Few rows of much work each: they are dealt to more tasks than their file has.
-    return _rects(spark, d).repartition(32, "k").select("k", hook.alias("p")).select("k", G.label_point(F.col("p")).alias("l")).select("k", "l.x", "l.y")
+    return dealt(_rects(spark, d), "k").select("k", hook.alias("p")).select("k", G.label_point(F.col("p")).alias("l")).select("k", "l.x", "l.y")
 
 
 @query(f"WITH {_RECTS} SELECT k, round((y - 3) / 2, 6) AS x, round((5 - x - w) / 2, 6) AS y, round(h / 2, 6) AS width, round(w / 2, 6) AS height FROM b")

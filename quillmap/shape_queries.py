@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from quillmap.functions import geometry as G
 from quillmap.functions import directory, markdown, naming, shapes
 from quillmap.operators import analytics, matching
-from quillmap.plans.components import components
 from quillmap.queries import _CORNERS, _POINTS, _points, _polygons, query
 from quillmap.sources.tables import table
 
@@ -184,7 +183,7 @@ def parallel_pairs(spark, d):
 )
 def mean_lines(spark, d):
     lines = _lines(spark, d)
-    groups = components(matching.near_parallel(lines, "k", "own", 12.0, 3.0))
+    groups = matching.parallel_groups(lines, "k", "own", 12.0, 3.0)
     found = analytics.mean_line(lines.join(groups, F.col("k") == F.col("node")).withColumn("angle", F.radians("angle")), "label", "angle", "offset", "w")
     return found.select("label", *[(F.round(c, 8) + 0.0).alias(c) for c in ("nx", "ny", "offset")])
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillmap.functions import geometry as G
 from quillmap.functions import strokes
+from quillmap.plans.storage import dealt
 from quillmap.queries import query
 from quillmap.shape_queries import _RECTS, _rect, _rects
 from quillmap.sources.tables import table
@@ -72,7 +73,7 @@ def facades(spark, d):
 def bank_cells(spark, d):
     x, y, w, h = (F.col(c) for c in "xywh")
     seeds = F.array(*[G.point(x + w * f, y + h / 2) for f in (0.9, 0.1, 0.4)])
-    cells = _rects(spark, d).select("k", F.posexplode(strokes.equal_boxes(_rect(x, y, w, h), seeds, F.lit(0.0))).alias("i", "box"))
+    cells = dealt(_rects(spark, d), "k").select("k", F.posexplode(strokes.equal_boxes(_rect(x, y, w, h), seeds, F.lit(0.0))).alias("i", "box"))
     box = G.bbox(F.col("box"))
     return cells.select("k", (F.col("i") + 1).alias("seed"), F.round(box.x, 6).alias("x0"), F.round(box.y, 6).alias("y0"), F.round(box.width, 6).alias("side"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillmap.functions import geometry as G
 from quillmap.functions import marks, shapes
 from quillmap.operators import grid
+from quillmap.plans.storage import dealt
 from quillmap.queries import _polygons, query
 from quillmap.shape_queries import _RECTS, _rect, _rects
 from quillmap.sources import records
@@ -199,7 +200,7 @@ _RASTER = f"{_RECTS}, u AS (SELECT k, unnest(range(x::BIGINT, (x + w)::BIGINT))
 
 @query(f"WITH {_RASTER}, o AS (SELECT x, y, min(k) AS k FROM c GROUP BY x, y) SELECT k, count(*) AS cells, min(x) AS x, max(y) AS y FROM o GROUP BY k")
 def owned_cells(spark, d):
-    cells = grid.owned(grid.rasterised(_whole_rects(spark, d), 1.0, "k"), "k", keep_cols=("k",))
+    cells = grid.owned(grid.rasterised(dealt(_whole_rects(spark, d), "k"), 1.0, "k"), "k", keep_cols=("k",))
     return cells.groupBy("k").agg(F.count(F.lit(1)).alias("cells"), F.min("x").alias("x"), F.max("y").alias("y"))
 
 
@@ -248,5 +249,5 @@ def hull_area(spark, d):
     poly = F.col("poly")
     middles = F.transform(G.edges(poly), lambda e: G.point((e.a.x * 2 + e.b.x) / 3, (e.a.y * 2 + e.b.y) / 3))
     inner = F.transform(middles, lambda p: G.point((p.x + F.get(middles, F.lit(0)).x) / 2, (p.y + F.get(middles, F.lit(0)).y) / 2))
-    ring = _polygons(spark, d).select("p_partkey", shapes.hull(F.concat(inner, F.reverse(poly), poly)).alias("h"))
+    ring = dealt(_polygons(spark, d), "p_partkey").select("p_partkey", shapes.hull(F.concat(inner, F.reverse(poly), poly)).alias("h"))
     return ring.select("p_partkey", F.size("h").cast("long").alias("corners"), F.round(G.area(F.col("h")), 5).alias("area"))

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from quillmap.functions import geometry as G
 from quillmap.functions import directory, markdown, marks, naming, shapes
-from quillmap.operators import analytics, matching
+from quillmap.operators import analytics, matching, spatial
+from quillmap.plans.components import components
+from quillmap.plans.storage import dealt
+from __spark_entry__ import QUERIES
 
 
 def value(spark, column):
@@ -215,3 +218,36 @@ def test_arrow_head_of_no_stretch(spark):
     assert value(spark, marks.arrow_head(F.array().cast(none))) is None and value(spark, marks.arrow_head(F.lit(None).cast(none))) is None
     p = value(spark, marks.arrow_head(lit_poly((1, 2), (1, 2))))
     assert (p.x, p.y) == (1.0, 2.0)
+
+
+def test_joins_by_cells_are_not_broadcast(spark, tmp_path):
+    """A file of few bytes may hold many rows, which one task would then sort."""
+    spark.range(30).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    polys = rows.select(F.col("id").alias("f"), F.col("id").alias("o"), G.moved(lit_poly(*SQUARE), 3.0).alias("poly"))
+    points = rows.select("id", (F.col("id") / 9).alias("x"), F.lit(1.0).alias("y"))
+    joins = (spatial.points_in_polygons(points, polys, 4.0, "id", "f", "o"), matching.holding_face(points, polys, 4.0, 1.0, 0.0, "id", "f"), matching.overlaps(polys, 4.0, "f"))
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in joins]
+    assert all("(strategy=merge)" in p for p in plans) and [df.count() for df in joins] == [30, 30, 435]
+
+
+def test_groups_of_parallel_lines_with_copies(spark):
+    r = random.Random(4)
+    kinds = [(r.randrange(4), r.randrange(360) / 2, r.randrange(80) / 1.0) for _ in range(60)]
+    lines = spark.createDataFrame([(k, *r.choice(kinds)) for k in range(150)], "k long, own long, angle double, offset double")
+    got = {(x.node, x.label) for x in matching.parallel_groups(lines, "k", "own", 9.0, 2.0).collect()}
+    assert got == {(x.node, x.label) for x in components(matching.near_parallel(lines, "k", "own", 9.0, 2.0)).collect()} and got
+
+
+def test_a_crowded_bucket_is_dealt_to_many_tasks(spark):
+    strokes = spark.range(40).select("id", *[(s * f(F.radians(F.col("id") * 9.0)) * 5).alias(c) for c, s, f in (("ax", -1, F.cos), ("ay", -1, F.sin), ("bx", 1, F.cos), ("b_y", 1, F.sin))])
+    found = matching.crossing_strokes(strokes, "id", 3.0, 0.5, 60.5, 120.0)
+    turn = lambda a, b: abs((9 * a - 9 * b + 90) % 180 - 90)
+    assert {tuple(x) for x in found.collect()} == {(a, b) for a in range(40) for b in range(a + 1, 40) if 60.5 <= turn(a, b) <= 120}
+    assert found.rdd.getNumPartitions() >= 32
+
+
+def test_much_work_on_rows_of_a_small_file_is_dealt_to_tasks(spark, sf):
+    for name in ("hook_labels", "bank_cells", "hull_area"):
+        assert QUERIES[name](spark, sf).rdd.getNumPartitions() >= 32
+    assert dealt(spark.range(50_000), "id", rows=1_000).rdd.getNumPartitions() == 50
