@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillmap.functions import geometry as G
 from quillmap.functions import shapes
 from quillmap.operators import overlay, planar
+from quillmap.plans import cycles as cycles_module
 from quillmap.plans.cycles import cycles
 
 RINGS = "id long, rings array<array<struct<x:double,y:double,bulge:double>>>, a string, strip int, side int"
@@ -183,3 +184,20 @@ def test_claimed_places(spark, degrees):
         ends.setdefault(r.ring, []).append(((r.x, r.y), (r.to_x, r.to_y)))
     assert sorted(len(e) for e in ends.values()) == [4, 4] and all(e[i][1] == e[(i + 1) % 4][0] for e in ends.values() for i in range(4))
     assert planar.claimed(table.limit(0), "k", "rings", "o", 4.0).collect() == []
+
+
+def test_finished_cycles_are_not_written_again(spark, monkeypatch):
+    """Cycles of 1 to 8 nodes beside one of 300: each is done when a stretch is twice as long, right to the last place."""
+    r = random.Random(5)
+    nodes, after, want, i = r.sample(range(10**6), 2100), {}, {}, 0
+    for n in [300] + [1 + k % 8 for k in range(400)]:
+        ring, i = nodes[i : i + n], i + n
+        at = ring.index(min(ring))
+        for k, v in enumerate(ring):
+            after[v], want[v] = ring[(k + 1) % n], (min(ring), (k - at) % n)
+    written = []
+    monkeypatch.setattr(cycles_module, "keep", lambda df, label, keep=cycles_module.keep: written.append(kept := keep(df, label)) or kept)
+    got = {x.node: (x.ring, x.place) for x in cycles(spark.createDataFrame(list(after.items()), "node long, after long")).collect()}
+    assert got == want
+    rows = [w.count() for w in written]
+    assert rows[0] == len(after) and rows[5:] == [300] * (len(rows) - 5) and len(rows) == 11
