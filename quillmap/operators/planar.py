@@ -33,7 +33,9 @@ def split_lines(lines: DataFrame, size: float, snap: float = 1e-3) -> DataFrame:
     box = F.struct(low[0].alias("x"), low[1].alias("y"), (F.greatest("ax", "bx") - low[0]).alias("width"), (F.greatest("ay", "by") - low[1]).alias("height"))
     dealt = keep(rows.select("n", *_ENDS, F.explode(cells_of_box(box, size / snap)).alias("cell")), "line-cells")
     other = dealt.select("cell", *[F.col(c).alias(f"o{c}") for c in ("n", *_ENDS)])
-    near = dealt.join(other, "cell").where("n <> on").drop("cell").distinct()
+    # two lines may share many cells; they meet in the first of them only
+    first = [F.floor(F.greatest(F.least(f"a{c}", f"b{c}"), F.least(f"oa{c}", f"ob{c}")) / (size / snap)).cast("long") for c in "xy"]
+    near = dealt.join(other, "cell").where((F.col("n") != F.col("on")) & (F.col("cell.i") == first[0]) & (F.col("cell.j") == first[1])).drop("cell")
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     ox, oy = F.col("obx") - F.col("oax"), F.col("oby") - F.col("oay")
     turn = (dx * oy - dy * ox).cast("double")
@@ -45,7 +47,7 @@ def split_lines(lines: DataFrame, size: float, snap: float = 1e-3) -> DataFrame:
     places = near.select("n", *_ENDS, F.explode(F.array(meets, *along)).alias("t")).where("t > 0 and t < 1")
     places = places.unionByName(rows.select("n", *_ENDS, F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t")))
     at = places.select("n", F.round(F.col("ax") + F.col("t") * dx).cast("long").alias("x"), F.round(F.col("ay") + F.col("t") * dy).cast("long").alias("y"), "t")
-    at = at.groupBy("n", "x", "y").agg(F.min("t").alias("t"))
+    at = at.repartition("n").groupBy("n", "x", "y").agg(F.min("t").alias("t"))
     order = W.partitionBy("n").orderBy("t", "x", "y")
     pieces = at.select(F.col("x").alias("ax"), F.col("y").alias("ay"), F.lead("x").over(order).alias("bx"), F.lead("y").over(order).alias("by")).where("bx is not null")
     swap = F.struct("bx", "by") < F.struct("ax", "ay")
@@ -59,15 +61,19 @@ def face_edges(pieces: DataFrame) -> DataFrame:
     from the one it came by; an outer face, around a group of lines, comes out with negative area. Blind ends are walked
     round. A vertex's edges are sorted in one task: their number is that of lines that meet in a point.
     """
+    return _linked_edges(pieces).drop("id")
+
+
+def _linked_edges(pieces: DataFrame) -> DataFrame:
+    """``face_edges`` with their ``id``: a piece has an even one and, for the way back, the odd one after it."""
     both = keep(pieces.select(*_ENDS, F.monotonically_increasing_id().alias("p")), "pieces")
     ahead = both.select((F.col("p") * 2).alias("id"), (F.col("p") * 2 + 1).alias("twin"), F.col("ax").alias("x"), F.col("ay").alias("y"), F.col("bx").alias("to_x"), F.col("by").alias("to_y"))
     back = both.select((F.col("p") * 2 + 1).alias("id"), (F.col("p") * 2).alias("twin"), F.col("bx").alias("x"), F.col("by").alias("y"), F.col("ax").alias("to_x"), F.col("ay").alias("to_y"))
-    half = keep(ahead.unionByName(back), "half-edges")
+    half = ahead.unionByName(back)
     around = W.partitionBy("x", "y").orderBy(F.atan2((F.col("to_y") - F.col("y")).cast("double"), (F.col("to_x") - F.col("x")).cast("double")), "id")
     last = F.last("id").over(around.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     links = half.select(F.col("twin").alias("node"), F.coalesce(F.lag("id").over(around), last).alias("after"))
-    found = cycles(links)
-    return half.join(found, F.col("id") == F.col("node")).select(F.col("ring").alias("face"), "place", "x", "y", "to_x", "to_y")
+    return half.join(cycles(links), F.col("id") == F.col("node")).select("id", F.col("ring").alias("face"), "place", "x", "y", "to_x", "to_y")
 
 
 def faces(edges: DataFrame, snap: float = 1e-3) -> DataFrame:
@@ -136,6 +142,21 @@ def _owners(edges: DataFrame, sides: DataFrame, order: DataFrame, size: float, s
     return inside.join(order, "id").groupBy("face").agg(F.min(F.struct("o", "id")).alias("m")).select("face", F.col("m.id").alias("owner"))
 
 
+def _owned_rims(shapes: DataFrame, shape_id: str, rings: str, order: str, size: float, snap: float) -> DataFrame:
+    """``owner, x, y, to_x, to_y``: the directed edges around what each shape keeps, see ``claimed``."""
+    known = shapes.where(F.col(shape_id).isNotNull() & F.col(order).isNotNull())
+    edges = keep(overlay.ring_edges(known, shape_id, rings).select("id", "ring", *[(F.round(F.col(c) / snap) * snap).alias(c) for c in _ENDS]), "ring-edges")
+    sides = keep(_linked_edges(split_lines(edges, size, snap)).select("id", "face", "x", "y", "to_x", "to_y"), "faces")
+    owner = keep(_owners(edges, sides, known.select(F.col(shape_id).alias("id"), F.col(order).alias("o")), size, snap), "owners")
+    # both directions of a piece side by side: the even one leads from a to b
+    even = F.col("id") % 2 == 0
+    owned = sides.join(owner, "face", "left").groupBy(F.shiftright("id", 1).alias("p")).agg(
+        *[F.max(F.when(even, F.col(c))).alias(n) for c, n in (("owner", "own"), ("x", "ax"), ("y", "ay"), ("to_x", "bx"), ("to_y", "by"))], F.max(F.when(~even, F.col("owner"))).alias("other")
+    ).where("not own <=> other")
+    way = [F.struct(F.col(k).alias("owner"), *[F.col(c).alias(n) for c, n in zip(ends, ("x", "y", "to_x", "to_y"), strict=True)]) for k, ends in (("own", _ENDS), ("other", ("bx", "by", "ax", "ay")))]
+    return owned.select(F.explode(F.array(*way)).alias("s")).select("s.*").where("owner is not null")
+
+
 def claimed(shapes: DataFrame, shape_id: str, rings: str, order: str, size: float, snap: float = 1e-3) -> DataFrame:
     """``id, ring, place, x, y, to_x, to_y``: what each shape keeps where all shapes overlap and the first by ``order`` takes each place.
 
@@ -144,14 +165,7 @@ def claimed(shapes: DataFrame, shape_id: str, rings: str, order: str, size: floa
     by the next turn clockwise. Rings are straight and do not cross themselves; shapes with a null id or order take no part;
     equal orders go by id.
     """
-    known = shapes.where(F.col(shape_id).isNotNull() & F.col(order).isNotNull())
-    edges = keep(overlay.ring_edges(known, shape_id, rings).select("id", "ring", *[(F.round(F.col(c) / snap) * snap).alias(c) for c in _ENDS]), "ring-edges")
-    sides = keep(face_edges(split_lines(edges, size, snap)), "faces")
-    owner = keep(_owners(edges, sides, known.select(F.col(shape_id).alias("id"), F.col(order).alias("o")), size, snap), "owners")
-    owned = sides.join(owner, "face", "left").select("owner", "x", "y", "to_x", "to_y")
-    across = owned.select(F.col("owner").alias("other"), F.col("to_x").alias("x"), F.col("to_y").alias("y"), F.col("x").alias("to_x"), F.col("y").alias("to_y"))
-    rim = owned.where("owner is not null").join(across, ["x", "y", "to_x", "to_y"]).where("other is null or other <> owner").drop("other")
-    rim = keep(rim.withColumn("id", F.monotonically_increasing_id()), "owned-rims")
+    rim = keep(_owned_rims(shapes, shape_id, rings, order, size, snap).withColumn("id", F.monotonically_increasing_id()), "owned-rims")
     ahead = rim.select("owner", F.col("x").alias("to_x"), F.col("y").alias("to_y"), F.col("to_x").alias("nx"), F.col("to_y").alias("ny"), F.col("id").alias("nid"))
     met = rim.join(ahead, ["owner", "to_x", "to_y"])
     back = F.atan2((F.col("y") - F.col("to_y")).cast("double"), (F.col("x") - F.col("to_x")).cast("double"))
@@ -169,7 +183,7 @@ def resolved(shapes: DataFrame, shape_id: str, rings: str, order: str, size: flo
     """
     sizes = overlay.ring_areas(overlay.ring_edges(shapes, shape_id, rings)).withColumnRenamed("id", "__id")
     turned = (F.col("x").cast("double") * F.col("to_y") - F.col("to_x").cast("double") * F.col("y")) / 2
-    left = claimed(shapes, shape_id, rings, order, size, snap).groupBy(shape_id).agg((F.sum(turned) * snap * snap).alias("kept"))
+    left = _owned_rims(shapes, shape_id, rings, order, size, snap).groupBy(F.col("owner").alias(shape_id)).agg((F.sum(turned) * snap * snap).alias("kept"))
     rows = sizes.join(left, F.col("__id") == F.col(shape_id), "left").select(F.col("__id").alias(shape_id), "area", F.coalesce("kept", F.lit(0.0)).alias("kept"))
     cut = (F.col("area") - F.col("kept") > rounding) & (F.col("kept") >= least * F.col("area"))
     return rows.withColumn("cut", cut)

@@ -201,3 +201,13 @@ def test_finished_cycles_are_not_written_again(spark, monkeypatch):
     assert got == want
     rows = [w.count() for w in written]
     assert rows[0] == len(after) and rows[5:] == [300] * (len(rows) - 5) and len(rows) == 11
+
+
+def test_resolved_links_edges_once(spark, monkeypatch):
+    """What a shape keeps is a sum over its rim, whatever the order of its edges."""
+    calls = []
+    monkeypatch.setattr(planar, "cycles", lambda links, own=planar.cycles: calls.append(1) or own(links))
+    table = frame(spark, [(1, [BOX, HOLE]), (2, [BOX]), (3, [CUP]), (4, [turned(BOX, 30, 40, 0)])]).withColumn("o", F.col("id"))
+    got = {r.id: (r.area, r.kept) for r in planar.resolved(table, "id", "rings", "o", 2.5).collect()}
+    assert len(calls) == 1
+    assert got[1] == pytest.approx((32, 32)) and got[2] == pytest.approx((36, 4)) and got[3] == pytest.approx((36, 36 - 16)) and got[4] == pytest.approx((36, 36), abs=0.05)
