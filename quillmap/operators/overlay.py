@@ -1,11 +1,11 @@
-"""Common areas of any polygons, holes included, by slabs.
+"""Common areas of any polygons, holes included, by their edges.
 
 A shape is rows of rings: straight polygons, the first of a row its outline, the others its holes (``ARRAY<ARRAY<vertex>>``;
 bent edges are flattened first). Edges are cut at the lines of a grid of strips, so that a shape of many edges is spread over
-its strips. Shapes meet where they share a tile of a strip, an equi-join. In a strip, the heights of all ends and crossings of
-a pair's edges part it into slabs in which no two edges cross; across the middle of a slab the edges in order of x tell where
-each shape is inside, and length times height is exact there, as edges are straight. Every step is a join, a window over one
-pair's slab or a sum; nothing is gathered into arrays.
+its strips. Shapes meet where they share a tile of a strip, an equi-join. A shape is what lies right of the edges where it begins,
+less what lies right of those where it ends; so the common area of two is a sum over the pairs of their edges in a strip, of what
+lies right of both, which is exact as edges are straight. Only a shape of several rows, which may overlap, is first parted
+into slabs in which no two of its edges cross. Every step is a join, a sum or a window over one slab; nothing is gathered into arrays.
 
 Edge cases: rows with a null id or without rings have no area and meet nothing; rings of less than three vertices, repeated
 vertices and level edges add nothing; touching shapes share no area; rows that repeat an id count as one shape under the
@@ -36,71 +36,124 @@ def ring_areas(edges: DataFrame) -> DataFrame:
     return own.groupBy("id").agg(F.sum(F.when(F.col("ring") == 0, F.col("a")).otherwise(-F.col("a"))).alias("area"))
 
 
-def strips(edges: DataFrame, size: float) -> DataFrame:
-    """``id, strip, ya, yb, xa, xb``: edges that are not level, from their low to their high end, cut at the strips' lines."""
+def strips(edges: DataFrame, size: float, *more: str) -> DataFrame:
+    """``id, strip, ya, yb, xa, xb`` and the columns ``more``: edges that are not level, from their low to their high end, cut at the strips' lines."""
     up = F.col("ay") < F.col("by")
-    rows = edges.where("ay <> by").select("id", *[F.when(up, F.col(a)).otherwise(F.col(b)).alias(n) for n, a, b in (("x0", "ax", "bx"), ("y0", "ay", "by"), ("x1", "bx", "ax"), ("y1", "by", "ay"))])
+    rows = edges.where("ay <> by").select("id", *more, *[F.when(up, F.col(a)).otherwise(F.col(b)).alias(n) for n, a, b in (("x0", "ax", "bx"), ("y0", "ay", "by"), ("x1", "bx", "ax"), ("y1", "by", "ay"))])
     rows = rows.withColumn("strip", F.explode(F.sequence(F.floor(F.col("y0") / size), F.ceil(F.col("y1") / size) - 1)))
     low, high = F.greatest("y0", F.col("strip") * size), F.least("y1", (F.col("strip") + 1) * size)
 
     def at(y: Column) -> Column:
         return F.when(y == F.col("y0"), F.col("x0")).when(y == F.col("y1"), F.col("x1")).otherwise(F.col("x0") + (F.col("x1") - F.col("x0")) * (y - F.col("y0")) / (F.col("y1") - F.col("y0")))
 
-    return rows.select("id", "strip", low.alias("ya"), high.alias("yb"), at(low).alias("xa"), at(high).alias("xb"))
+    return rows.select("id", "strip", low.alias("ya"), high.alias("yb"), at(low).alias("xa"), at(high).alias("xb"), *more)
+
+
+def _borders(shapes: DataFrame, shape_id: str, rings: str, size: float) -> DataFrame:
+    """``id, strip, ya, yb, xa, xb, way, area``: the pieces of ``strips``, 1 where the shape begins to their right and -1 where it ends."""
+    whole = shapes.where(F.col(shape_id).isNotNull())
+    turned = F.transform(rings, lambda r: F.coalesce(_turned(r), F.lit(0.0)))
+    rows = whole.select(F.col(shape_id).alias("id"), F.col(rings).alias("rings"), turned.alias("turned"))
+    area = 2 * F.abs(F.get("turned", F.lit(0))) - F.aggregate("turned", F.lit(0.0), lambda s, t: s + F.abs(t))
+    rows = rows.select("id", "turned", area.alias("area"), F.posexplode("rings").alias("ring", "r"))
+    # outlines run round with the inside on their left, holes with it on their right
+    turn = F.signum(F.get("turned", F.col("ring"))) * F.when(F.col("ring") == 0, 1).otherwise(-1)
+    edge = rows.select("id", "area", turn.cast("int").alias("turn"), F.explode(G.edges(F.col("r"))).alias("e"))
+    edge = edge.select("id", "area", "turn", *[F.col(f"e.{p}.{c}").alias(p + c) for p in "ab" for c in "xy"]).where("turn <> 0")
+    pieces = keep(strips(edge.withColumn("way", F.when(F.col("ay") < F.col("by"), -F.col("turn")).otherwise(F.col("turn"))), size, "way", "area"), "strips")
+    many = keep(whole.groupBy(F.col(shape_id).alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"), "repeated")
+    if many.limit(1).count() == 0:
+        return pieces
+    return keep(pieces.join(many, "id", "left_anti").unionByName(_even_odd(pieces.join(many, "id", "left_semi"))), "strips")
+
+
+def _turned(ring: Column) -> Column:
+    """The area of a ring, positive if it runs with its inside on the left, y up; coordinates count from its first vertex."""
+    first = F.get(ring, F.lit(0))
+
+    def cross(e: Column) -> Column:
+        return (e.a.x - first.x) * (e.b.y - first.y) - (e.b.x - first.x) * (e.a.y - first.y)
+
+    return F.aggregate(G.edges(ring), F.lit(0.0), lambda s, e: s + cross(e)) / 2
+
+
+def _even_odd(pieces: DataFrame) -> DataFrame:
+    """The ``pieces`` of shapes whose rows may overlap, cut where they meet and marked by the even-odd rule.
+
+    The heights of all ends and crossings of a shape's edges in a strip part it into slabs in which no two edges cross; across
+    the middle of a slab, every second edge ends what the one before began.
+    """
+    key = ["id", "strip"]
+    own = keep(pieces.select(*key, *_PIECE, F.monotonically_increasing_id().alias("m")), "own-pieces")
+    other = own.select(*key, *[F.col(c).alias("q" + c) for c in (*_PIECE, "m")])
+    low, high, gap = _gaps()
+    crossed = own.join(other, key).where((F.col("m") < F.col("qm")) & (low < high)).select(*key, low.alias("low"), high.alias("high"), gap(low).alias("g0"), gap(high).alias("g1")).where("g0 * g1 < 0")
+    crossed = crossed.select(*key, (F.col("low") + (F.col("high") - F.col("low")) * F.col("g0") / (F.col("g0") - F.col("g1"))).alias("y"))
+    heights = own.select(*key, F.explode(F.array("ya", "yb")).alias("y")).unionByName(crossed).distinct()
+    slabs = heights.withColumn("top", F.lead("y").over(W.partitionBy(*key).orderBy("y"))).where("top is not null")
+    cuts = slabs.join(own, key).where("ya <= y and yb >= top").select(*key, F.col("y").alias("ya"), F.col("top").alias("yb"), _at("", F.col("y")).alias("xa"), _at("", F.col("top")).alias("xb"))
+    across = W.partitionBy(*key, "ya").orderBy(F.col("xa") + F.col("xb"))
+    marked = keep(cuts.withColumn("way", F.when(F.row_number().over(across) % 2 == 1, 1).otherwise(-1)), "marked")
+    areas = marked.groupBy("id").agg((-F.sum(F.col("way") * (F.col("yb") - F.col("ya")) * (F.col("xa") + F.col("xb")) / 2)).alias("area"))
+    return marked.join(areas, "id")
+
+
+_PIECE = ("ya", "yb", "xa", "xb")
+
+
+def _at(p: str, y: Column) -> Column:
+    """Where a piece (columns with prefix ``p``) is at ``y``."""
+    ya, yb, xa, xb = (F.col(p + c) for c in _PIECE)
+    return F.when(y == ya, xa).when(y == yb, xb).otherwise(xa + (xb - xa) * (y - ya) / (yb - ya))
+
+
+def _gaps():
+    """Low and high end of what two pieces (the other with prefix ``q``) share in height, and how far the one is right of the other."""
+    return F.greatest("ya", "qya"), F.least("yb", "qyb"), lambda y: _at("", y) - _at("q", y)
+
+
+def _spans(pieces: DataFrame) -> DataFrame:
+    return pieces.groupBy("id", "strip").agg(F.min(F.least("xa", "xb")).alias("x0"), F.max(F.greatest("xa", "xb")).alias("x1"), F.min("ya").alias("y0"), F.max("yb").alias("y1"))
 
 
 def _pairs(a: DataFrame, b: DataFrame, size: float, same: bool) -> DataFrame:
-    """``a, b, strip``: shapes whose spans in a strip meet, each once; their tile is the first that both touch."""
+    """``a, b, strip, x0``: shapes whose boxes in a strip meet, each once, and where they begin to; their tile is the first that both touch."""
 
     def spans(pieces: DataFrame, name: str) -> DataFrame:
-        span = pieces.groupBy(F.col("id").alias(name), "strip").agg(F.min(F.least("xa", "xb")).alias(f"{name}0"), F.max(F.greatest("xa", "xb")).alias(f"{name}1"))
-        return span.withColumn("tile", F.explode(F.sequence(F.floor(F.col(f"{name}0") / size), F.floor(F.col(f"{name}1") / size))))
+        span = _spans(pieces).select(F.col("id").alias(name), "strip", *[F.col(c).alias(name + c) for c in ("x0", "x1", "y0", "y1")])
+        return span.withColumn("tile", F.explode(F.sequence(F.floor(F.col(f"{name}x0") / size), F.floor(F.col(f"{name}x1") / size))))
 
-    met = spans(a, "a").join(spans(b, "b"), ["strip", "tile"])
-    here = F.col("tile") == F.floor(F.greatest("a0", "b0") / size)
-    return met.where((F.col("a0") < F.col("b1")) & (F.col("b0") < F.col("a1")) & here & ((F.col("a") < F.col("b")) if same else F.lit(True))).select("a", "b", "strip")
+    met = spans(a, "a").hint("merge").join(spans(b, "b"), ["strip", "tile"])
+    x0 = F.greatest("ax0", "bx0")
+    meets = (F.col("ax0") < F.col("bx1")) & (F.col("bx0") < F.col("ax1")) & (F.col("ay0") < F.col("by1")) & (F.col("by0") < F.col("ay1"))
+    return met.where(meets & (F.col("tile") == F.floor(x0 / size)) & ((F.col("a") < F.col("b")) if same else F.lit(True))).select("a", "b", "strip", x0.alias("x0"))
 
 
 def shared_areas(a: DataFrame, b: DataFrame | None, size: float, shape_id: str = "id", rings: str = "rings", same_id: bool = False) -> DataFrame:
     """``a, b, area_a, area_b, shared, iou`` of all pairs of shapes with common area; without ``b``, pairs ``a < b`` of one table.
 
     With ``same_id`` shapes of ``a`` meet only those of ``b`` with their own id, in whatever place the others lie.
-    ``size`` is the height of strips and the width of tiles: about the height of a usual shape.
+    ``size`` is the height of strips and the width of tiles: about the height of a usual shape. An area that the rounding of
+    its sum can't tell from 0 counts as none.
     """
-    key = ["a", "b", "strip"]
-    edges = ring_edges(a, shape_id, rings), ring_edges(a if b is None else b, shape_id, rings)
-    own = keep(strips(edges[0], size), "strips-a")
-    other = own if b is None else keep(strips(edges[1], size), "strips-b")
+    own = _borders(a, shape_id, rings, size)
+    other = own if b is None else _borders(b, shape_id, rings, size)
     if same_id:
-        met = own.select("id", "strip").distinct().join(other.select("id", "strip").distinct(), ["id", "strip"]).select(F.col("id").alias("a"), F.col("id").alias("b"), "strip")
+        pairs = _spans(own).select("id", "strip", "x0").join(other.select("id", "strip").distinct(), ["id", "strip"]).select(F.col("id").alias("a"), F.col("id").alias("b"), "strip", "x0")
     else:
-        met = _pairs(own, other, size, b is None)
-    pairs = keep(met, "overlay-pairs")
-    sides = [pairs.join(p.withColumnRenamed("id", n), [n, "strip"]).select(*key, F.lit(k).alias("side"), "ya", "yb", "xa", "xb") for k, (n, p) in enumerate((("a", own), ("b", other)))]
-    both = keep(sides[0].unionByName(sides[1]), "overlay-edges")
-    # heights at which an edge of one crosses an edge of the other
-    one = both.where("side = 0").drop("side")
-    two = both.where("side = 1").select(*key, *[F.col(c).alias("q" + c) for c in ("ya", "yb", "xa", "xb")])
-    low, high = F.greatest("ya", "qya"), F.least("yb", "qyb")
-
-    def gap(y: Column) -> Column:
-        p = F.col("xa") + (F.col("xb") - F.col("xa")) * (y - F.col("ya")) / (F.col("yb") - F.col("ya"))
-        return p - (F.col("qxa") + (F.col("qxb") - F.col("qxa")) * (y - F.col("qya")) / (F.col("qyb") - F.col("qya")))
-
-    crossed = one.join(two, key).where(low < high).select(*key, low.alias("low"), high.alias("high"), gap(low).alias("g0"), gap(high).alias("g1")).where("g0 * g1 < 0")
-    crossed = crossed.select(*key, (F.col("low") + (F.col("high") - F.col("low")) * F.col("g0") / (F.col("g0") - F.col("g1"))).alias("y"))
-    heights = both.select(*key, F.explode(F.array("ya", "yb")).alias("y")).unionByName(crossed).distinct()
-    slabs = heights.withColumn("top", F.lead("y").over(W.partitionBy(*key).orderBy("y"))).where("top is not null")
-    middle = (F.col("y") + F.col("top")) / 2
-    x = F.col("xa") + (F.col("xb") - F.col("xa")) * (middle - F.col("ya")) / (F.col("yb") - F.col("ya"))
-    cuts = slabs.join(both, key).where("ya <= y and yb >= top").select(*key, "y", "side", (F.col("top") - F.col("y")).alias("height"), x.alias("x"))
-    across = W.partitionBy(*key, "y").orderBy("x", "side")
-    upto = across.rowsBetween(W.unboundedPreceding, W.currentRow)
-    inside = [F.sum((F.col("side") == k).cast("int")).over(upto) % 2 == 1 for k in (0, 1)]
-    parts = cuts.select("a", "b", (inside[0] & inside[1]).alias("both"), ((F.lead("x").over(across) - F.col("x")) * F.col("height")).alias("area"))
-    shared = parts.where("both and area > 0").groupBy("a", "b").agg(F.sum("area").alias("shared"))
-    sizes = [ring_areas(e) for e in edges]
-    found = shared.join(sizes[0].select(F.col("id").alias("a"), F.col("area").alias("area_a")), "a").join(sizes[1].select(F.col("id").alias("b"), F.col("area").alias("area_b")), "b")
+        pairs = _pairs(own, other, size, b is None)
+    one = pairs.join(own.select(F.col("id").alias("a"), "strip", *_PIECE, "way", F.col("area").alias("area_a")).hint("merge"), ["a", "strip"])
+    two = other.select(F.col("id").alias("b"), "strip", *[F.col(c).alias("q" + c) for c in (*_PIECE, "way")], F.col("area").alias("area_b"))
+    low, high, _ = _gaps()
+    met = one.join(two.hint("merge"), ["b", "strip"]).where(low < high)
+    ends = [_at(p, y) - F.col("x0") for y in (low, high) for p in ("", "q")]
+    met = met.select("a", "b", "area_a", "area_b", (F.col("way") * F.col("qway")).alias("way"), (high - low).alias("high"), *[v.alias(n) for v, n in zip(ends, ("p0", "q0", "p1", "q1"), strict=True)])
+    g0, g1 = F.col("p0") - F.col("q0"), F.col("p1") - F.col("q1")
+    # the mean of the right one of both over their common height
+    beyond = F.when((g0 < 0) & (g1 > 0), g1 * g1 / (g1 - g0) / 2).when((g0 > 0) & (g1 < 0), g0 * g0 / (g0 - g1) / 2).otherwise((F.greatest(g0, F.lit(0.0)) + F.greatest(g1, F.lit(0.0))) / 2)
+    part = met.select("a", "b", "area_a", "area_b", (-F.col("way") * F.col("high") * ((F.col("q0") + F.col("q1")) / 2 + beyond)).alias("part"))
+    found = part.groupBy("a", "b").agg(F.max("area_a").alias("area_a"), F.max("area_b").alias("area_b"), F.sum("part").alias("shared"), F.sum(F.abs("part")).alias("__all"))
+    found = found.where(F.col("shared") > 1e-14 * F.col("__all"))
     return found.select("a", "b", "area_a", "area_b", "shared", (F.col("shared") / (F.col("area_a") + F.col("area_b") - F.col("shared"))).alias("iou"))
 
 

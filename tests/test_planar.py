@@ -211,3 +211,23 @@ def test_resolved_links_edges_once(spark, monkeypatch):
     got = {r.id: (r.area, r.kept) for r in planar.resolved(table, "id", "rings", "o", 2.5).collect()}
     assert len(calls) == 1
     assert got[1] == pytest.approx((32, 32)) and got[2] == pytest.approx((36, 4)) and got[3] == pytest.approx((36, 36 - 16)) and got[4] == pytest.approx((36, 36), abs=0.05)
+
+
+@pytest.mark.parametrize("degrees", [0, 17])
+def test_overlay_of_repeated_ids(spark, degrees):
+    """Rows of one id count by the even-odd rule, whichever way their rings run, in areas too."""
+    wide = turned([(-1, -1), (20, -1), (20, 7), (-1, 7)], degrees)
+    a = frame(spark, [(1, [turned(BOX, degrees)]), (1, [turned([(x + 3, y) for x, y in BOX[::-1]], degrees)]), (2, [turned(BOX, degrees)]), (2, [turned([(x + 8, y) for x, y in BOX[::-1]], degrees)]), (3, [turned(BOX, degrees), turned(HOLE, degrees)])])
+    got = {r.a: r for r in overlay.shared_areas(a, frame(spark, [(7, [wide])]), 2.5).collect()}
+    assert got.keys() == {1, 2, 3}
+    for k, area in ((1, 36), (2, 72), (3, 32)):
+        assert (got[k].area_a, got[k].area_b, got[k].shared) == pytest.approx((area, 168, area))
+
+
+def test_overlay_writes_no_pairs(spark, monkeypatch):
+    """Thirty boxes on each other make 435 pairs; what is written grows with the boxes."""
+    written = []
+    monkeypatch.setattr(overlay, "keep", lambda df, label, keep=overlay.keep: written.append(kept := keep(df, label)) or kept)
+    pairs = overlay.shared_areas(frame(spark, [(k, [turned(BOX, 0, k / 64)]) for k in range(30)]), None, 8.0)
+    assert {(r.a, r.b): r.shared for r in pairs.collect()} == {(a, b): 6 * (6 - (b - a) / 64) for a in range(30) for b in range(a + 1, 30)}
+    assert sum(w.count() for w in written) == 60
