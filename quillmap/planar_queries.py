@@ -28,8 +28,9 @@ def _ring(*points):
 def _shapes(spark, d):
     x, y, w, h = (F.col(c) for c in "xywh")
     bent = _ring((x, y), (x + w + 4, y), (x + w + 4, y + h), (x + w, y + h), (x + w, y + h + 4), (x, y + h + 4))
-    ell = _rects(spark, d).select("k", F.array(bent, _rect(x + 1, y + 1, F.lit(1.0), F.lit(2.0))).alias("rings"))
-    moved = _rects(spark, d).withColumn("x", x + F.col("k") % 5 * 0.5).withColumn("y", y + F.col("k") % 7 * 0.5)
+    rects = dealt(_rects(spark, d), "k")
+    ell = rects.select("k", F.array(bent, _rect(x + 1, y + 1, F.lit(1.0), F.lit(2.0))).alias("rings"))
+    moved = rects.withColumn("x", x + F.col("k") % 5 * 0.5).withColumn("y", y + F.col("k") % 7 * 0.5)
     top = y + h + 2
     cup = _ring((x, y), (x + w + 2, y), (x + w + 2, top), (x + 2, top), (x + 2, y + 2), (x + 1, y + 2), (x + 1, top), (x, top))
     return ell, moved.select("k", F.array(cup).alias("rings"))

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quillmap import planar_queries
 from quillmap.functions import geometry as G
 from quillmap.functions import shapes
 from quillmap.operators import overlay, planar
@@ -231,3 +232,9 @@ def test_overlay_writes_no_pairs(spark, monkeypatch):
     pairs = overlay.shared_areas(frame(spark, [(k, [turned(BOX, 0, k / 64)]) for k in range(30)]), None, 8.0)
     assert {(r.a, r.b): r.shared for r in pairs.collect()} == {(a, b): 6 * (6 - (b - a) / 64) for a in range(30) for b in range(a + 1, 30)}
     assert sum(w.count() for w in written) == 60
+
+
+def test_shapes_of_a_small_file_are_dealt_to_tasks(spark, sf):
+    """Edges are made and cut where the shapes lie; a file of few bytes would be one task."""
+    for side in planar_queries._shapes(spark, sf):
+        assert side.rdd.getNumPartitions() >= 32 and side.count() == spark.read.parquet(f"{sf}/part.parquet").count()
